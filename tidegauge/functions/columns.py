@@ -72,5 +72,7 @@ def all_of(conditions: list[Column]) -> Column:
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], as_type: str, name="feature", value="value") -> DataFrame:
     """Long form (ids, name, value) of ``columns``, all cast to one type, without missing values."""
-    cast = df.select(*ids, *[no_nan(df, c).cast(as_type).alias(c) for c in columns])
-    return cast.unpivot(ids, columns, name, value).where(F.col(value).isNotNull())
+    # stack, not unpivot: Spark can reuse the shuffle of a repeated branch above it
+    pairs = [x for c in columns for x in (F.lit(c), no_nan(df, c).cast(as_type))]
+    long = df.select(*ids, F.stack(F.lit(len(columns)), *pairs).alias(name, value))
+    return long.where(F.col(value).isNotNull())

@@ -67,15 +67,13 @@ def _offsets(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFra
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column], bucketed: bool, peers: bool = False
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], bucketed: bool
 ) -> DataFrame:
-    """Add one inclusive running sum per entry of ``sums``, per key in the order of ``value``.
+    """Add one inclusive running sum per entry of ``sums``, per key and row by row in the given order.
 
-    ``df`` carries the bucket column. With ``peers`` all rows of one value get the same sum.
+    ``df`` carries the bucket column; rows of a lower bucket come before rows of a higher one.
     """
-    window = Window.partitionBy(*keys, BUCKET).orderBy(value)
-    frame = window.rangeBetween if peers else window.rowsBetween
-    window = frame(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = {n: F.sum(c).over(window) for n, c in sums.items()}
     if not bucketed:
         return df.withColumns(inside)

@@ -114,11 +114,19 @@ def cumulative(counts: DataFrame, buckets: int) -> DataFrame:
     edges = bucket_edges(counts, [FEATURE], VALUE, buckets)
     bucketed = edges is not None
     placed = with_bucket(counts, edges, [FEATURE], VALUE)
+    # the reference's row of a value comes first, so a batch row sees it in its running sums
+    ref_first = [F.col(VALUE).asc(), F.col(BATCH).asc_nulls_first()]
     sums = {"ref_le": F.col("n_ref"), "ref_mass": F.col("n_ref") * F.col(VALUE)}
-    ref = running_sums(placed, [FEATURE], VALUE, sums, bucketed, peers=True)
-    same_value = Window.partitionBy(FEATURE, BUCKET, VALUE)
-    ref = ref.withColumn("ref_lt", F.col("ref_le") - F.sum("n_ref").over(same_value))
-    cur = running_sums(ref, KEY, VALUE, {"cur_le": F.col("n_cur")}, bucketed)
+    ref = running_sums(placed, [FEATURE], ref_first, sums, bucketed)
+    so_far = Window.partitionBy(FEATURE, BUCKET).orderBy(*ref_first).rowsBetween(Window.unboundedPreceding, 0)
+    is_ref = F.col(BATCH).isNull()
+    last = {
+        "_v": F.last(F.when(is_ref, F.col(VALUE)), ignorenulls=True).over(so_far),
+        "_c": F.last(F.when(is_ref, F.col("n_ref")), ignorenulls=True).over(so_far),
+    }
+    here = F.when(F.col("_v") == F.col(VALUE), F.col("_c")).otherwise(F.lit(0))
+    ref = ref.withColumns(last).withColumn("ref_lt", F.col("ref_le") - here).drop("_v", "_c")
+    cur = running_sums(ref, KEY, [F.col(VALUE).asc()], {"cur_le": F.col("n_cur")}, bucketed)
     return cur.withColumn("cur_lt", F.col("cur_le") - F.col("n_cur"))
 
 

@@ -28,6 +28,7 @@ def local_session(cpus: int = 8, app: str = "tidegauge", **conf: str) -> SparkSe
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEGAUGE_DRIVER_MEMORY", "12g"))
     )
     for key, value in {**DEFAULTS, **conf}.items():
