@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.config import DriftConfig
+from tidegauge.config import DriftConfig, ImageDriftConfig
+from tidegauge.operators import image_drift as im
 from tidegauge.operators.drift_report import (
     batch_sizes,
     dataset_table,
@@ -15,6 +16,7 @@ from tidegauge.operators.drift_report import (
     result_records,
     with_alerts,
 )
+from tidegauge.operators.mmd import embedding_mmd
 from tidegauge.operators.two_sample import BATCH
 
 
@@ -48,3 +50,42 @@ def monitor(
     records = result_records(table, rows, reference, config, task_type, generated_at=generated_at)
     graded = records.withColumn("severity", F.col("overall.severity"))
     return with_alerts(graded, config, interactive).drop("severity")
+
+
+def monitor_images(
+    reference: DataFrame,
+    batches: DataFrame,
+    batch: str,
+    config: ImageDriftConfig = ImageDriftConfig(),
+    signatures: DataFrame | None = None,
+    report: DataFrame | None = None,
+    generated_at: Column | None = None,
+) -> DataFrame:
+    """One nested record per image batch from channel distances, with scale profile and nearest scenario."""
+    kept = large_enough(batches, batch, config.min_batch_size)
+    sizes = batch_sizes(batches, batch).where(F.col("row_count") >= config.min_batch_size)
+    channels = im.channel_wasserstein(reference, kept, batch)
+    profile = im.scale_profile(im.multiscale(reference, kept, batch, config))
+    match = None if signatures is None else im.match_scenarios(channels, signatures, report, config)
+    return im.image_records(
+        channels, im.overall_score(channels), profile, match, sizes, reference, "statistical", generated_at=generated_at, config=config
+    )
+
+
+def monitor_embeddings(
+    reference: DataFrame,
+    batch_rows: DataFrame,
+    name: str,
+    key: str,
+    vector: str,
+    profile: DataFrame | None = None,
+    config: ImageDriftConfig = ImageDriftConfig(),
+    generated_at: Column | None = None,
+) -> DataFrame:
+    """The record of one batch from the MMD of its embeddings; an empty table where the batch is too small."""
+    score = embedding_mmd(reference, batch_rows, key, vector).where(F.col("m") >= config.min_batch_size)
+    overall = score.select(F.lit(name).alias(BATCH), F.col("mmd").alias("drift_score"))
+    sizes = score.select(F.lit(name).alias(BATCH), F.col("m").alias("row_count"))
+    if profile is None:
+        profile = overall.select(BATCH, F.lit(None).cast("double").alias("scale_decay_ratio"), F.lit(None).cast("string").alias("interpretation"))
+    return im.image_records(None, overall, profile, None, sizes, reference, "embedding", generated_at=generated_at, config=config)
