@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,13 @@ def bucket_count(*frames: DataFrame) -> int:
             return int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         total += size
     return max(1, min(MAX_BUCKETS, -(-total // BUCKET_BYTES)))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder every executor can reach: under the cluster's checkpoint folder, or local in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        return tempfile.mkdtemp(prefix=f"tidegauge-{name}-")
+    return f"{shared.rstrip('/')}/tidegauge-{name}-{uuid.uuid4().hex}"
