@@ -152,46 +152,61 @@ def wasserstein(counts: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Between two neighbouring values of a batch its curve is a constant g. There the area follows from
     A(x), the area under the reference's curve up to x, at both ends and at q, the reference's g-quantile,
-    when q lies inside. Quantiles are found by rank, so reference rows are not repeated per batch.
+    when q lies inside. Quantiles are found by rank, so reference rows are not repeated per batch, and all
+    rows run through one chain of windows.
     """
     k = bucket_count(counts) if buckets is None else buckets
-    curves = cumulative(counts, k)
-    n, m = F.col("n"), F.col("m")
-    steps = _neighbours(curves.where(F.col(BATCH).isNotNull()), k > 1).join(sizes(counts), KEY)
-    nxt = F.col("nxt")
-    steps = steps.select(
-        *KEY,
+    n, m, nxt = F.col("n"), F.col("m"), F.col("nxt")
+    rows = _neighbours(cumulative(counts, k), k > 1)
+    size = _all_sizes(counts)
+    same = [rows[FEATURE] == size[FEATURE], rows[BATCH].eqNullSafe(size[BATCH])]
+    share = F.col("cur_le") / F.nullif(m, F.lit(0).cast("bigint"))
+    steps = rows.join(size, same).select(
+        rows[FEATURE],
+        rows[BATCH],
         VALUE,
-        "prev_value",
-        nxt[VALUE].alias("next_value"),
-        (F.col("cur_le") / m).alias("g"),
-        ((F.col(VALUE) * F.col("ref_le") - F.col("ref_mass")) / n).alias("a0"),
-        ((nxt[VALUE] * nxt["ref_le"] - nxt["ref_mass"]) / n).alias("a1"),
-        ((F.col("ref_le") / n < F.col("cur_le") / m) & (nxt["ref_lt"] / n > F.col("cur_le") / m)).alias("crosses"),
+        "ref_lt",
+        "ref_le",
         "cur_le",
         "n",
         "m",
+        F.col("prev_value").isNull().alias("is_first"),
+        nxt[VALUE].alias("next_value"),
+        share.alias("g"),
+        ((F.col(VALUE) * F.col("ref_le") - F.col("ref_mass")) / n).alias("a0"),
+        ((nxt[VALUE] * nxt["ref_le"] - nxt["ref_mass"]) / n).alias("a1"),
+        F.coalesce((F.col("ref_le") / n < share) & (nxt["ref_lt"] / n > share), F.lit(False)).alias("crosses"),
     )
-    # below the first value of the batch, then the pieces the reference's curve does not cross, then above the last
-    head = F.when(F.col("prev_value").isNull(), F.col("a0")).otherwise(F.lit(0.0))
+    placed = _with_quantile(steps)
+    # below the first value of the batch, then the piece up to the next value, or what lies above the last
+    head = F.when(F.col("is_first"), F.col("a0")).otherwise(F.lit(0.0))
     flat = F.abs(F.col("a1") - F.col("a0") - F.col("g") * (F.col("next_value") - F.col(VALUE)))
-    flat = F.when(F.col("crosses"), F.lit(0.0)).otherwise(flat)
+    crossed = (
+        F.col("a0")
+        + F.col("a1")
+        - 2.0 * F.col("at.area")
+        + F.col("g") * (2.0 * F.col("at.q") - F.col(VALUE) - F.col("next_value"))
+    )
     tail = F.col("a0") - F.col(VALUE)  # the reference mean is added once, below
-    piece = head + F.when(F.col("next_value").isNotNull(), flat).otherwise(tail)
-    straight = steps.groupBy(*KEY).agg(F.sum(piece).alias("straight"))
-    crossing = _crossing_area(curves, steps.where("crosses"))
-    total = F.col("straight") + F.col("ref_mean") + F.coalesce(F.col("crossed"), F.lit(0.0))
+    piece = F.when(F.col("next_value").isNull(), tail).when(F.col("crosses"), crossed).otherwise(flat)
+    area = placed.where(F.col(BATCH).isNotNull()).groupBy(*KEY).agg(F.sum(head + piece).alias("area"))
     scale = F.when(F.col("ref_std") > 0, F.col("ref_std")).otherwise(F.lit(1.0))
     return (
-        straight.join(crossing, KEY, "left")
-        .join(F.broadcast(reference_moments(counts)), FEATURE)
-        .withColumn("statistic", F.greatest(total, F.lit(0.0)))
+        area.join(F.broadcast(reference_moments(counts)), FEATURE)
+        .withColumn("statistic", F.greatest(F.col("area") + F.col("ref_mean"), F.lit(0.0)))
         .select(*KEY, "statistic", (F.col("statistic") / scale).alias("scaled"))
     )
 
 
+def _all_sizes(counts: DataFrame) -> DataFrame:
+    """(feature, batch, n, m) with a row for the reference too (batch null)."""
+    spread = Window.partitionBy(FEATURE)
+    totals = counts.groupBy(*KEY).agg(F.sum("n_ref").alias("_n"), F.sum("n_cur").alias("m"))
+    return totals.withColumn("n", F.max("_n").over(spread)).where("n > 0").select(*KEY, "n", "m")
+
+
 def _neighbours(rows: DataFrame, bucketed: bool) -> DataFrame:
-    """Each batch row with the row after it (``nxt``) and the value before it, in value order.
+    """Each row with the row after it (``nxt``) and the value before it, in value order per batch.
 
     Inside a bucket they come from a window; the ends of buckets are linked through a small table with
     one first and one last row per bucket.
@@ -206,9 +221,9 @@ def _neighbours(rows: DataFrame, bucketed: bool) -> DataFrame:
     links = ends.select(
         *KEY, BUCKET, F.lead("_first").over(over).alias("_after"), F.lag("_last").over(over).alias("_before")
     )
-    return linked.join(links, KEY + [BUCKET]).withColumns(
-        {"nxt": F.coalesce("nxt", "_after"), "prev_value": F.coalesce("prev_value", "_before")}
-    )
+    same = [linked[FEATURE] == links[FEATURE], linked[BUCKET] == links[BUCKET], linked[BATCH].eqNullSafe(links[BATCH])]
+    joined = linked.join(links, same).drop(links[FEATURE], links[BUCKET], links[BATCH])
+    return joined.withColumns({"nxt": F.coalesce("nxt", "_after"), "prev_value": F.coalesce("prev_value", "_before")})
 
 
 def _whole(a: Column, b: Column) -> Column:
@@ -216,59 +231,32 @@ def _whole(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("bigint")
 
 
-def _crossing_area(curves: DataFrame, steps: DataFrame) -> DataFrame:
-    """Area of the flat pieces that the reference's curve crosses, per (feature, batch).
+def _with_quantile(steps: DataFrame) -> DataFrame:
+    """Add ``at``: the reference's value, and the area up to it, where its curve reaches the row's share g.
 
     Ranks are cut into equal buckets. A reference value that spans several rank buckets is placed in each
     of them, so the value that holds a wanted rank is always found inside that rank's own bucket.
     """
     k = RANK_BUCKETS
-    last_rank = Window.partitionBy(FEATURE)
     top = F.lit(k - 1).cast("bigint")
-    totals = curves.groupBy(FEATURE).agg(F.sum("n_ref").alias("n"))
-    ref = curves.where(F.col(BATCH).isNull()).join(F.broadcast(totals), FEATURE)
-    first_bucket = F.least(_whole(F.col("ref_lt") * k, F.col("n")), top)
-    last_bucket = F.least(_whole(F.col("ref_le") * k, F.col("n")), top)
-    empty = {c: F.lit(None).cast(t) for c, t in _STEP_FIELDS.items()}
-    marks = ref.select(
-        FEATURE,
-        F.explode(F.sequence(first_bucket, last_bucket)).alias("rank_bucket"),
-        F.col("ref_le").cast("double").alias("rank"),
-        F.lit(1).alias("is_mark"),
-        F.struct(F.col(VALUE).alias("q"), ((F.col(VALUE) * F.col("ref_le") - F.col("ref_mass")) / F.col("n")).alias("area")).alias("mark"),
-        *[c.alias(name) for name, c in empty.items()],
-    )
-    wanted = steps.select(
-        FEATURE,
-        F.least(_whole(F.col("cur_le") * k, F.col("m")), top).alias("rank_bucket"),
-        (F.col("cur_le") * (F.col("n") / F.col("m"))).alias("rank"),
-        F.lit(0).alias("is_mark"),
-        F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"),
-        *_STEP_FIELDS,
-    )
+    n, m = F.col("n"), F.col("m")
+    is_ref = F.col(BATCH).isNull()
+
+    def bucket_of(count: Column, size: Column) -> Column:
+        return F.least(_whole(count * k, F.greatest(size, F.lit(1))), top)
+
+    own = bucket_of(F.col("cur_le"), m)
+    first = F.when(is_ref, bucket_of(F.col("ref_lt"), n)).otherwise(own)
+    last = F.when(is_ref, bucket_of(F.col("ref_le"), n)).otherwise(own)
+    rank = F.when(is_ref, F.col("ref_le").cast("double")).otherwise(F.col("cur_le") * (n / F.greatest(m, F.lit(1))))
+    mark = F.when(is_ref, F.struct(F.col(VALUE).alias("q"), F.col("a0").alias("area")))
+    spread = steps.withColumns({"rank": rank, "mark": mark, "rank_bucket": F.explode(F.sequence(first, last))})
     downwards = (
         Window.partitionBy(FEATURE, "rank_bucket")
-        .orderBy(F.desc("rank"), F.desc("is_mark"))
+        .orderBy(F.desc("rank"), F.col(BATCH).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = marks.unionByName(wanted).withColumn("at", F.last("mark", ignorenulls=True).over(downwards))
-    piece = (
-        F.col("a0")
-        + F.col("a1")
-        - 2.0 * F.col("at.area")
-        + F.col("g") * (2.0 * F.col("at.q") - F.col(VALUE) - F.col("next_value"))
-    )
-    return found.where("is_mark = 0").groupBy(*KEY).agg(F.sum(piece).alias("crossed"))
-
-
-_STEP_FIELDS = {
-    BATCH: "string",
-    VALUE: "double",
-    "next_value": "double",
-    "g": "double",
-    "a0": "double",
-    "a1": "double",
-}
+    return spread.withColumn("at", F.last("mark", ignorenulls=True).over(downwards))
 
 
 # --- distances over cells (categories or bins) ----------------------------------------------------------
