@@ -25,10 +25,13 @@ def append_history(index: DataFrame, root: str, model: str) -> None:
 
 def scan_history(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(entries, rejected): parsed index lines, and the lines that do not parse."""
-    reader = spark.read.schema(f"{INDEX_SCHEMA}, {CORRUPT} string").option("mode", "PERMISSIVE")
-    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).option("timestampFormat", STAMP).json(root)
-    bad = F.col(CORRUPT).isNotNull()
-    return rows.where(~bad).drop(CORRUPT), rows.where(bad).select(CORRUPT)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "timestampFormat": STAMP}
+    lines = spark.read.text(root).where(F.trim("value") != "")
+    parsed = lines.withColumn("_entry", F.from_json("value", f"{INDEX_SCHEMA}, {CORRUPT} string", options))
+    broken = F.col(f"_entry.{CORRUPT}").isNotNull()
+    partitions = [c for c in lines.columns if c != "value"]
+    entries = parsed.where(~broken).select("_entry.*", *partitions).drop(CORRUPT)
+    return entries, parsed.where(broken).select("value", *partitions)
 
 
 def scan_results(spark: SparkSession, path: str) -> DataFrame:
