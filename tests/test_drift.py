@@ -46,9 +46,9 @@ def test_distances_equal_brute_force_for_any_bucket_count(spark, buckets):
         "one": [10.0],
     }
     left, right = frames(spark, ref, batches)
-    counts = ts.value_counts(left, right, ["x"], "b", "double")
-    ks = {r["batch"]: r["statistic"] for r in ts.ks(counts, buckets).collect()}
-    wd = {r["batch"]: r for r in ts.wasserstein(counts, buckets).collect()}
+    counts = ts.samples(left, right, ["x"], "b", buckets)
+    ks = {r["batch"]: r["statistic"] for r in ts.ks(counts).collect()}
+    wd = {r["batch"]: r for r in ts.wasserstein(counts).collect()}
     for name, values in batches.items():
         assert ks[name] == pytest.approx(ks_distance(ref, np.asarray(values)), abs=1e-12)
         assert wd[name]["statistic"] == pytest.approx(earth_mover(ref, np.asarray(values)), abs=1e-9)
@@ -64,21 +64,20 @@ def test_distances_equal_brute_force_for_any_bucket_count(spark, buckets):
 )
 def test_distances_on_small_integers(spark, ref, cur, buckets):
     left, right = frames(spark, ref, {"b": cur})
-    counts = ts.value_counts(left, right, ["x"], "b", "double")
-    assert ts.ks(counts, buckets).first()["statistic"] == pytest.approx(ks_distance(np.array(ref), np.array(cur)), abs=1e-12)
-    assert ts.wasserstein(counts, buckets).first()["statistic"] == pytest.approx(earth_mover(np.array(ref), np.array(cur)), abs=1e-9)
+    counts = ts.samples(left, right, ["x"], "b", buckets)
+    assert ts.ks(counts).first()["statistic"] == pytest.approx(ks_distance(np.array(ref), np.array(cur)), abs=1e-12)
+    assert ts.wasserstein(counts).first()["statistic"] == pytest.approx(earth_mover(np.array(ref), np.array(cur)), abs=1e-9)
 
 
 def test_missing_values_leave_the_feature_not_the_batch(spark):
     left, right = frames(spark, [1, 2, 3, float("nan")], {"b": [1, float("nan"), 2, 3]})
-    row = ts.ks(ts.value_counts(left, right, ["x"], "b", "double"), 1).first()
+    row = ts.ks(ts.samples(left, right, ["x"], "b", 1)).first()
     assert (row["n"], row["m"], row["statistic"], row["p_value"]) == (3, 3, 0.0, 1.0)
 
 
 def test_constant_reference(spark):
     left, right = frames(spark, [5, 5, 5], {"b": [5, 7]})
-    counts = ts.value_counts(left, right, ["x"], "b", "double")
-    row = ts.wasserstein(counts, 1).first()
+    row = ts.wasserstein(ts.samples(left, right, ["x"], "b", 1)).first()
     assert row["statistic"] == pytest.approx(1.0) and row["scaled"] == pytest.approx(1.0)
     cells = ts.bin_counts(left, right, ["x"], "b", 10)
     assert ts.share_distances(cells).first()["psi"] == pytest.approx(0.0)
@@ -195,4 +194,4 @@ def test_hot_value_is_one_row_after_counting(spark):
     cur = ref.withColumn("b", F.lit("b"))
     counts = ts.value_counts(ref, cur, ["x"], "b", "double")
     assert counts.where("value = 7.0").count() == 2
-    assert ts.ks(counts, 6).first()["statistic"] == 0.0
+    assert ts.ks(ts.samples(ref, cur, ["x"], "b", 6)).first()["statistic"] == 0.0

@@ -72,7 +72,8 @@ def all_of(conditions: list[Column]) -> Column:
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], as_type: str, name="feature", value="value") -> DataFrame:
     """Long form (ids, name, value) of ``columns``, all cast to one type, without missing values."""
-    # stack, not unpivot: Spark can reuse the shuffle of a repeated branch above it
+    # stack, not unpivot, and the filter on the name spelled out: so the branches of a plan stay alike down to
+    # the scan, whatever joins stand above them, and Spark reuses their shuffle
     pairs = [x for c in columns for x in (F.lit(c), no_nan(df, c).cast(as_type))]
     long = df.select(*ids, F.stack(F.lit(len(columns)), *pairs).alias(name, value))
-    return long.where(F.col(value).isNotNull())
+    return long.where(F.col(name).isNotNull() & F.col(value).isNotNull())

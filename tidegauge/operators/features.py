@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import FeatureConfig
 from tidegauge.functions.columns import finite, is_numeric, nan_to_null, no_nan, unpivot
 from tidegauge.operators.contract import null_fail_fast
-from tidegauge.operators.ordered import bucket_edges, running_sums, with_bucket
+from tidegauge.operators.ordered import bucket_edges, running_sums, thinned, with_bucket
 from tidegauge.session import bucket_count
 
 TOP_VALUES = 10
@@ -39,8 +39,9 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: in
     No task holds a whole column, unlike the ``percentile`` aggregate, whose buffer keeps every distinct value.
     """
     counts = unpivot(df, [], columns, "double").groupBy("feature", "value").agg(F.count("*").alias("c"))
-    k = bucket_count(counts) if buckets is None else buckets
-    edges = bucket_edges(counts, ["feature"], "value", k)
+    k = bucket_count(df.select(*columns)) if buckets is None else buckets
+    thin = unpivot(thinned(df.select(*columns)), [], columns, "double") if k > 1 else counts
+    edges = bucket_edges(thin, ["feature"], "value", k)
     placed = with_bucket(counts, edges, ["feature"], "value")
     ranked = running_sums(placed, ["feature"], [F.col("value").asc()], {"upto": F.col("c")}, edges is not None)
     totals = counts.groupBy("feature").agg(F.sum("c").alias("n"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidegauge.config import IMAGE_RECORD_VERSION, ImageDriftConfig
 from tidegauge.functions.severity import image_severity
 from tidegauge.operators import two_sample as ts
+from tidegauge.operators.ordered import thinned
 from tidegauge.operators.pixels import pyramid
+from tidegauge.session import bucket_count
 
 # fixed values: the readings of a scale profile and the ratios between them
 FINE_ABOVE, COARSE_BELOW = 3.0, 1.5
@@ -34,20 +36,22 @@ def channel_name() -> Column:
     return F.when(F.col("channels") == 1, "gray").when(F.col("channels") >= 3, colour).otherwise(bad.cast("string"))
 
 
-def _long(images: DataFrame, batch: Column, is_ref: int, prefix: Column | None) -> DataFrame:
+def _long(images: DataFrame, batch: Column, prefix: Column | None) -> DataFrame:
     keep = [F.col("channels"), batch.cast("string").alias(ts.BATCH), F.posexplode("pixels").alias("pos", ts.VALUE)]
     if prefix is not None:
         keep.append(prefix.alias("_prefix"))
     rows = images.select(*keep).withColumn("_channel", channel_name()).where(F.col("_channel").isNotNull())
     name = F.col("_channel") if prefix is None else F.concat_ws("/", "_prefix", "_channel")
-    return rows.where(F.col(ts.VALUE).isNotNull()).select(
-        name.alias(ts.FEATURE), ts.BATCH, ts.VALUE, F.lit(is_ref).alias("is_ref")
-    )
+    return rows.where(F.col(ts.VALUE).isNotNull()).select(name.alias(ts.FEATURE), ts.BATCH, ts.VALUE)
 
 
 def _distances(reference: DataFrame, batches: DataFrame, batch: str, prefix: Column | None = None) -> DataFrame:
-    long = _long(reference, F.lit(None), 1, prefix).unionByName(_long(batches, F.col(batch), 0, prefix))
-    return ts.wasserstein(ts.counts_of(long))
+    def both(ref: DataFrame, cur: DataFrame) -> DataFrame:
+        return _long(ref, F.lit(None), prefix).unionByName(_long(cur.where(F.col(batch).isNotNull()), F.col(batch), prefix))
+
+    number = bucket_count(reference, batches)
+    thin = None if number <= 1 else both(thinned(reference), thinned(batches))
+    return ts.wasserstein(ts.Samples(ts.counts_of(both(reference, batches)), thin, number))
 
 
 def channel_wasserstein(reference: DataFrame, batches: DataFrame, batch: str) -> DataFrame:

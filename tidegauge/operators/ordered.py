@@ -11,25 +11,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.session import plan_bytes
+
 BUCKET = "_bucket"
 CHUNK = 64
+CLASSES = 4
+THIN_BYTES = 2 * 1024 * 1024
+
 
+def thinned(df: DataFrame) -> DataFrame:
+    """Some rows of ``df``, enough to place cut points. No result is computed from them."""
+    size = plan_bytes(df)
+    if size is None or size <= THIN_BYTES:
+        return df
+    return df.sample(fraction=max(THIN_BYTES / size, 1e-6), seed=17)
 
-def bucket_edges(hist: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame | None:
-    """At most ``buckets - 1`` cut points per key, from a quantile sketch of the distinct values.
+
+def bucket_edges(rows: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame | None:
+    """At most ``buckets - 1`` cut points per key, from quantile sketches of ``rows`` (a thinned table).
 
     The cut points are brought to the driver (keys x buckets numbers) so that every branch of the plan
     that follows uses the very same ones. They only balance the work; any cut points give the same sums.
+    Values are sketched in four classes by hash: a value that fills most rows can bend one class only.
     """
     if buckets <= 1:
         return None
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = hist.groupBy(*keys).agg(F.percentile_approx(value, probs, min(50 * buckets, 400_000)).alias("edges"))
-    rows = []
+    per_class = max(1, -(-buckets // CLASSES))
+    probs = [i / (per_class + 1) for i in range(1, per_class + 1)]
+    own = F.pmod(F.xxhash64(F.col(value)), F.lit(CLASSES))
+    sketch = rows.groupBy(*keys).agg(
+        F.concat(
+            *[
+                F.coalesce(
+                    F.percentile_approx(F.when(own == c, F.col(value)), probs, min(50 * per_class, 200_000)),
+                    F.array().cast("array<double>"),
+                )
+                for c in range(CLASSES)
+            ]
+        ).alias("edges")
+    )
+    found = []
     for row in sketch.collect():
         edges = sorted({float(e) for e in row["edges"] or []})
         chunks = [edges[i : i + CHUNK] for i in range(0, len(edges), CHUNK)]
-        rows.append((*[row[k] for k in keys], [c[-1] for c in chunks], chunks))
+        found.append((*[row[k] for k in keys], [c[-1] for c in chunks], chunks))
     key_fields = [sketch.schema[k] for k in keys]
     schema = T.StructType(
         key_fields
@@ -38,7 +63,7 @@ def bucket_edges(hist: DataFrame, keys: list[str], value: str, buckets: int) ->
             T.StructField("_chunks", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
-    return hist.sparkSession.createDataFrame(rows, schema)
+    return rows.sparkSession.createDataFrame(found, schema)
 
 
 def with_bucket(df: DataFrame, edges: DataFrame | None, keys: list[str], value: str) -> DataFrame:
@@ -49,7 +74,7 @@ def with_bucket(df: DataFrame, edges: DataFrame | None, keys: list[str], value:
     if edges is None:
         return df.withColumn(BUCKET, F.lit(0))
     v = F.col(value).cast("double")
-    full = F.size(F.filter("_tops", lambda e: e < v))
+    full = F.coalesce(F.size(F.filter("_tops", lambda e: e < v)), F.lit(0))
     rest = F.coalesce(F.size(F.filter(F.get("_chunks", full), lambda e: e < v)), F.lit(0))
     return (
         df.join(F.broadcast(edges), keys, "left")
@@ -67,17 +92,18 @@ def _offsets(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFra
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], bucketed: bool
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], bucketed: bool, base: DataFrame | None = None
 ) -> DataFrame:
     """Add one inclusive running sum per entry of ``sums``, per key and row by row in the given order.
 
-    ``df`` carries the bucket column; rows of a lower bucket come before rows of a higher one.
+    ``df`` carries the bucket column; rows of a lower bucket come before rows of a higher one. ``base`` is a
+    simpler table with the same rows, from which the bucket totals are taken.
     """
     window = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = {n: F.sum(c).over(window) for n, c in sums.items()}
     if not bucketed:
         return df.withColumns(inside)
-    offsets = _offsets(df, keys, sums)
+    offsets = _offsets(df if base is None else base, keys, sums)
     null_safe = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys + [BUCKET]]
     joined = df.alias("l").join(offsets.alias("r"), null_safe, "left").select(
         "l.*", *[F.col(f"r._o_{n}") for n in sums]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import DriftConfig
 from tidegauge.functions.columns import no_nan, unpivot
 from tidegauge.functions.stats import chi_square_p, kolmogorov_p
-from tidegauge.operators.ordered import BUCKET, bucket_edges, running_sums, with_bucket
+from tidegauge.operators.ordered import BUCKET, bucket_edges, running_sums, thinned, with_bucket
 from tidegauge.session import bucket_count
 
 FEATURE, VALUE, BATCH = "feature", "value", "batch"
@@ -29,21 +29,27 @@ RANK_BUCKETS = 256
 
 
 def long_form(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, as_type: str) -> DataFrame:
-    """(feature, batch, value, is_ref) of both sides; batch is null for the reference."""
-    ref = unpivot(reference, [], features, as_type).select(
-        FEATURE, F.lit(None).cast("string").alias(BATCH), VALUE, F.lit(1).alias("is_ref")
-    )
+    """(feature, batch, value) of both sides; batch is null for the reference."""
+    ref = unpivot(reference, [], features, as_type).select(FEATURE, F.lit(None).cast("string").alias(BATCH), VALUE)
     named = batches.where(F.col(batch).isNotNull()).select(
         F.col(batch).cast("string").alias(BATCH), *[F.col(c) for c in features if c != BATCH]
     )
-    cur = unpivot(named, [BATCH], features, as_type).select(FEATURE, BATCH, VALUE, F.lit(0).alias("is_ref"))
-    return ref.unionByName(cur)
+    return ref.unionByName(unpivot(named, [BATCH], features, as_type).select(FEATURE, BATCH, VALUE))
 
 
 def counts_of(long: DataFrame) -> DataFrame:
-    """(feature, batch, value, n_ref, n_cur): one row per distinct value of a side."""
-    return long.groupBy(FEATURE, BATCH, VALUE).agg(
-        F.sum("is_ref").alias("n_ref"), F.sum(1 - F.col("is_ref")).alias("n_cur")
+    """(feature, batch, value, n_ref, n_cur): one row per distinct value of a side.
+
+    There is one aggregate only, so column pruning cannot make branches differ that share this shuffle.
+    """
+    counted = long.groupBy(FEATURE, BATCH, VALUE).agg(F.count("*").alias("n"))
+    is_ref, none = F.col(BATCH).isNull(), F.lit(0).cast("bigint")
+    return counted.select(
+        FEATURE,
+        BATCH,
+        VALUE,
+        F.when(is_ref, F.col("n")).otherwise(none).alias("n_ref"),
+        F.when(is_ref, none).otherwise(F.col("n")).alias("n_cur"),
     )
 
 
@@ -51,6 +57,32 @@ def value_counts(reference: DataFrame, batches: DataFrame, features: list[str],
     return counts_of(long_form(reference, batches, features, batch, as_type))
 
 
+@dataclass(frozen=True)
+class Samples:
+    """Value counts with a thinned copy of the rows behind them, from which cut points are drawn."""
+
+    counts: DataFrame
+    thin: DataFrame | None = None
+    buckets: int | None = None
+
+    def bucket_number(self) -> int:
+        return bucket_count(self.counts) if self.buckets is None else self.buckets
+
+    def placed(self) -> tuple[DataFrame, bool]:
+        """The counts with their ordered bucket, and whether there is more than one."""
+        rows = self.counts if self.thin is None else self.thin
+        edges = bucket_edges(rows, [FEATURE], VALUE, self.bucket_number())
+        return with_bucket(self.counts, edges, [FEATURE], VALUE), edges is not None
+
+
+def samples(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, buckets: int | None = None) -> Samples:
+    """Counts of numeric features, ready for the distances over ordered values."""
+    counts = value_counts(reference, batches, features, batch, "double")
+    number = bucket_count(reference, batches) if buckets is None else buckets
+    thin = None if number <= 1 else long_form(thinned(reference), thinned(batches), features, batch, "double")
+    return Samples(counts, thin, number)
+
+
 def bin_counts(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, bins: int) -> DataFrame:
     """Counts of equal-width bins over the reference's range; outside values go to the edge bins.
 
@@ -74,7 +106,7 @@ def bin_long(long: DataFrame, span: DataFrame, bins: int) -> DataFrame:
     place = F.floor((F.col(VALUE) - F.col("lo")) / width * bins)
     place = F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)), F.lit(0))
     binned = long.join(F.broadcast(span), FEATURE)  # as many rows as there are feature columns
-    return counts_of(binned.select(FEATURE, BATCH, place.cast("string").alias(VALUE), "is_ref"))
+    return counts_of(binned.select(FEATURE, BATCH, place.cast("string").alias(VALUE)))
 
 
 def sizes(counts: DataFrame) -> DataFrame:
@@ -106,14 +138,12 @@ def reference_moments(counts: DataFrame) -> DataFrame:
 # --- distances over ordered values ----------------------------------------------------------------------
 
 
-def cumulative(counts: DataFrame, buckets: int) -> DataFrame:
+def cumulative(data: Samples) -> tuple[DataFrame, bool]:
     """The counts with both cumulative counts up to (``_le``) and below (``_lt``) each value.
 
     ``ref_mass`` is the reference's running sum of value x count, for areas under its distribution function.
     """
-    edges = bucket_edges(counts, [FEATURE], VALUE, buckets)
-    bucketed = edges is not None
-    placed = with_bucket(counts, edges, [FEATURE], VALUE)
+    placed, bucketed = data.placed()
     # the reference's row of a value comes first, so a batch row sees it in its running sums
     ref_first = [F.col(VALUE).asc(), F.col(BATCH).asc_nulls_first()]
     sums = {"ref_le": F.col("n_ref"), "ref_mass": F.col("n_ref") * F.col(VALUE)}
@@ -126,18 +156,18 @@ def cumulative(counts: DataFrame, buckets: int) -> DataFrame:
     }
     here = F.when(F.col("_v") == F.col(VALUE), F.col("_c")).otherwise(F.lit(0))
     ref = ref.withColumns(last).withColumn("ref_lt", F.col("ref_le") - here).drop("_v", "_c")
-    cur = running_sums(ref, KEY, [F.col(VALUE).asc()], {"cur_le": F.col("n_cur")}, bucketed)
-    return cur.withColumn("cur_lt", F.col("cur_le") - F.col("n_cur"))
+    cur = running_sums(ref, KEY, [F.col(VALUE).asc()], {"cur_le": F.col("n_cur")}, bucketed, base=placed)
+    return cur.withColumn("cur_lt", F.col("cur_le") - F.col("n_cur")), bucketed
 
 
-def ks(counts: DataFrame, buckets: int | None = None) -> DataFrame:
+def ks(data: Samples) -> DataFrame:
     """(feature, batch, statistic, p_value, n, m): largest gap of the two distribution functions.
 
     It sits at a value of the batch or just below one, because the batch's curve is flat and the
     reference's only rises in between.
     """
-    k = bucket_count(counts) if buckets is None else buckets
-    at = cumulative(counts, k).where(F.col(BATCH).isNotNull()).join(sizes(counts), KEY)
+    curves, _ = cumulative(data)
+    at = curves.where(F.col(BATCH).isNotNull()).join(sizes(data.counts), KEY)
     n, m = F.col("n"), F.col("m")
     gap = F.greatest(
         F.abs(F.col("ref_le") / n - F.col("cur_le") / m), F.abs(F.col("ref_lt") / n - F.col("cur_lt") / m)
@@ -146,7 +176,7 @@ def ks(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     return d.select(*KEY, "statistic", kolmogorov_p(F.col("statistic"), n, m).alias("p_value"), "n", "m")
 
 
-def wasserstein(counts: DataFrame, buckets: int | None = None) -> DataFrame:
+def wasserstein(data: Samples) -> DataFrame:
     """(feature, batch, statistic, scaled): area between the two distribution functions, also over the
     reference's population standard deviation (1 where that is 0).
 
@@ -155,10 +185,9 @@ def wasserstein(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     when q lies inside. Quantiles are found by rank, so reference rows are not repeated per batch, and all
     rows run through one chain of windows.
     """
-    k = bucket_count(counts) if buckets is None else buckets
     n, m, nxt = F.col("n"), F.col("m"), F.col("nxt")
-    rows = _neighbours(cumulative(counts, k), k > 1)
-    size = _all_sizes(counts)
+    rows = _neighbours(*cumulative(data))
+    size = _all_sizes(data.counts)
     same = [rows[FEATURE] == size[FEATURE], rows[BATCH].eqNullSafe(size[BATCH])]
     share = F.col("cur_le") / F.nullif(m, F.lit(0).cast("bigint"))
     steps = rows.join(size, same).select(
@@ -192,7 +221,7 @@ def wasserstein(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     area = placed.where(F.col(BATCH).isNotNull()).groupBy(*KEY).agg(F.sum(head + piece).alias("area"))
     scale = F.when(F.col("ref_std") > 0, F.col("ref_std")).otherwise(F.lit(1.0))
     return (
-        area.join(F.broadcast(reference_moments(counts)), FEATURE)
+        area.join(F.broadcast(reference_moments(data.counts)), FEATURE)
         .withColumn("statistic", F.greatest(F.col("area") + F.col("ref_mean"), F.lit(0.0)))
         .select(*KEY, "statistic", (F.col("statistic") / scale).alias("scaled"))
     )
@@ -361,10 +390,10 @@ class TwoSample:
             return bin_counts(self.reference, self.batches, self.features, self.batch, bins)
         return self.counts()
 
-    def ordered_counts(self, test: str) -> DataFrame:
+    def ordered(self, test: str) -> Samples:
         if not self.numeric:
             raise ValueError(f"the {test} test needs numeric features, got {self.features}")
-        return self.counts()
+        return samples(self.reference, self.batches, self.features, self.batch)
 
 
 StatTest = Callable[[TwoSample, DriftConfig], DataFrame]
@@ -386,8 +415,8 @@ def _score(result: DataFrame, column: str) -> DataFrame:
     return result.select(*KEY, F.col(column).alias("score"))
 
 
-register_stat_test("ks", lambda s, c: _score(ks(s.ordered_counts("ks")), "p_value"))
-register_stat_test("wasserstein", lambda s, c: _score(wasserstein(s.ordered_counts("wasserstein")), "scaled"))
+register_stat_test("ks", lambda s, c: _score(ks(s.ordered("ks")), "p_value"))
+register_stat_test("wasserstein", lambda s, c: _score(wasserstein(s.ordered("wasserstein")), "scaled"))
 register_stat_test("chisquare", lambda s, c: _score(chi_square(s.cells(c.bins), c.unseen_expected), "p_value"))
 register_stat_test("psi", lambda s, c: _score(share_distances(s.cells(c.bins), c.share_floor), "psi"))
 register_stat_test(

@@ -136,7 +136,7 @@ BINNED = f"""
 )
 def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = both_sides(spark, sf_dir)
-    out = ts.ks(ts.value_counts(ref, cur, NUM, "batch", "double"))
+    out = ts.ks(ts.samples(ref, cur, NUM, "batch"))
     return out.select("feature", "batch", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"), "n", "m")
 
 
@@ -147,7 +147,7 @@ def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drift_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = both_sides(spark, sf_dir)
-    out = ts.wasserstein(ts.value_counts(ref, cur, NUM, "batch", "double"))
+    out = ts.wasserstein(ts.samples(ref, cur, NUM, "batch"))
     return out.select("feature", "batch", r6("statistic", 4).alias("statistic"), r6("scaled").alias("scaled"))
 
 

@@ -17,8 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# A histogram bigger than this is split over several ordered buckets per feature.
-BUCKET_BYTES = 128 * 1024 * 1024
+# Input bytes per ordered bucket of a value histogram; a bigger histogram is split over more buckets per feature.
+BUCKET_BYTES = 64 * 1024 * 1024
 MAX_BUCKETS = 16384
 
 

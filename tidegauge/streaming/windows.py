@@ -18,8 +18,8 @@ def with_window(df: DataFrame, time: str, size: str) -> DataFrame:
 
 def windowed_ks(reference: DataFrame, rows: DataFrame, features: list[str], time: str, size: str) -> DataFrame:
     """(window_start, feature, statistic, p_value, n, m): exact KS of every window against the reference."""
-    counts = ts.value_counts(reference, with_window(rows, time, size), features, START, "double")
-    return ts.ks(counts).withColumn(START, F.to_timestamp("batch")).drop("batch")
+    data = ts.samples(reference, with_window(rows, time, size), features, START)
+    return ts.ks(data).withColumn(START, F.to_timestamp("batch")).drop("batch")
 
 
 def reference_cells(reference: DataFrame, features: list[str], bins: int) -> DataFrame:
