@@ -53,6 +53,10 @@ def test_encoders(spark, train):
         ft.fit_features(train, ["c"], "target", FeatureConfig(encoding="onehot", max_categories=1))
     codes = {r["value"]: r["code"] for r in ft.ordinal_table(train, "c").collect()}
     assert codes == {"a": 0, "b": 1}
+    names = spark.range(500).select(F.concat(F.lit("Customer#"), F.col("id") * 7 % 500).alias("c"))
+    for buckets in (1, 6):  # a shared prefix does not put all names in one bucket
+        wide = ft.ordinal_table(names, "c", buckets).orderBy("code").collect()
+        assert [r["code"] for r in wide] == list(range(500)) and [r["value"] for r in wide] == sorted(r["value"] for r in wide)
 
 
 def test_null_policies(spark, train):
@@ -164,7 +168,7 @@ def test_registry(spark):
     versions = spark.createDataFrame([("m", 2, "r2", "Production"), ("m", 10, "r10", "Production"), ("m", 11, "r11", "Staging"), ("k", 1, "r1", "Staging")], "model string, version long, run_id string, stage string")
     top = gv.current_production(versions).collect()
     assert [(r["model"], r["version"], r["candidates"]) for r in top] == [("m", 10, 2)]
-    ask = spark.createDataFrame([("m", "r2", 1), ("m", "new2", 9), ("m", "new1", 5), ("z", "first", 1)], "model string, run_id string, requested_at long")
+    ask = spark.createDataFrame([("m", "r2", 1), ("m", "new2", 9), ("m", "new1", 5), ("z", "first", 1)], "model string, run_id string, requested_at long").withColumn("requested_at", F.timestamp_seconds("requested_at"))
     got = {(r["model"], r["run_id"]): (r["version"], r["is_new"]) for r in gv.register_versions(ask, versions).collect()}
     assert got == {("m", "r2"): (2, False), ("m", "new1"): (12, True), ("m", "new2"): (13, True), ("z", "first"): (1, True)}
 

@@ -208,19 +208,20 @@ def test_exact_mmd(spark, block):
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(15, 4)), rng.normal(0.7, 1.0, size=(12, 4))
     y[:3] = x[:3]  # equal vectors: distance 0 is left out of the median
+    x[5:9] = x[4]  # copies inside a side
     left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, v array<double>")
-    got = mmd.embedding_mmd(left, right, "id", "v", block).first()
+    got = mmd.embedding_mmd(left, right, "v", block).first()
     want, gamma = brute_mmd(x, y)
     assert got["mmd"] == pytest.approx(want, abs=1e-12) and got["gamma"] == pytest.approx(gamma, rel=1e-12)
-    assert mmd.embedding_mmd(left.limit(1), right, "id", "v").first()["mmd"] == 0.0
-    rough = mmd.mmd_features(left, right, "id", "v", gamma, count=4096).first()["mmd"]
+    assert mmd.embedding_mmd(left.limit(1), right, "v").first()["mmd"] == 0.0
+    rough = mmd.mmd_features(left, right, "v", gamma, count=4096).first()["mmd"]
     assert rough == pytest.approx(want, abs=0.06)
 
 
 def test_mmd_of_equal_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, v array<double>")
-    row = mmd.embedding_mmd(same, same, "id", "v", 2).first()
+    row = mmd.embedding_mmd(same, same, "v", 2).first()
     assert row["mmd"] == pytest.approx(0.0)
 
 
@@ -247,6 +248,6 @@ def test_image_records(spark):
     assert row[0]["drift_type"] == "image_statistical" and row[0]["scenario_interpretation"] is None
     vectors = spark.createDataFrame([(i, x.ravel().tolist()) for i, x in enumerate(ref)], "id long, v array<double>")
     moved = spark.createDataFrame([(i, (x.ravel() + 5).tolist()) for i, x in enumerate(ref)], "id long, v array<double>")
-    rec = monitor_embeddings(vectors, moved, "m", "id", "v").first()
+    rec = monitor_embeddings(vectors, moved, "m", "v").first()
     assert rec["drift_type"] == "image_embedding" and rec["overall"]["severity"] == "high" and math.isfinite(rec["overall"]["drift_score"])
-    assert monitor_embeddings(vectors, moved.limit(5), "m", "id", "v").count() == 0
+    assert monitor_embeddings(vectors, moved.limit(5), "m", "v").count() == 0

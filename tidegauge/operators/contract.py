@@ -192,11 +192,15 @@ MAX_CLASSES = 10_000
 
 
 def infer_table(df: DataFrame, target: str) -> DataFrame:
-    """The inferred contract as a table (column, type, role, label_classes), computed without the driver."""
+    """The inferred contract as rows (column, type, role, label_class): one per feature, one per target class."""
     spark = df.sparkSession
-    rows = spark.createDataFrame(infer_columns(df, target), "`column` string, type string, role string")
-    classes = df.select(F.col(target).cast("string").alias("v")).distinct().agg(F.array_sort(F.collect_list("v"))).scalar()
-    return rows.withColumn("label_classes", F.when(F.col("role") == "target", classes))
+    listed = infer_columns(df, target)
+    features = spark.createDataFrame([r for r in listed if r[2] == "feature"], "`column` string, type string, role string")
+    kind = next(t for c, t, _ in listed if c == target)
+    classes = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("label_class")).distinct()
+    return features.withColumn("label_class", F.lit(None).cast("string")).unionByName(
+        classes.select(F.lit(target).alias("column"), F.lit(kind).alias("type"), F.lit("target").alias("role"), "label_class")
+    )
 
 
 def unknown_classes(rows: DataFrame, label: str, known: DataFrame, known_label: str) -> DataFrame:

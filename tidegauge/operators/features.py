@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tidegauge.config import FeatureConfig
 from tidegauge.functions.columns import finite, is_numeric, nan_to_null, no_nan, unpivot
 from tidegauge.operators.contract import null_fail_fast
-from tidegauge.operators.ordered import bucket_edges, running_sums, thinned, with_bucket
+from tidegauge.operators.ordered import bucket_edges, in_text_buckets, running_sums, text_edges, thinned, with_bucket
 from tidegauge.session import bucket_count
 
 TOP_VALUES = 10
+MAX_TEXT_BUCKETS = 512
 
 
 def select_features(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -143,18 +144,16 @@ def onehot_columns(column: str, value: Column, found: dict[str, list[str]]) -> l
     return out
 
 
-def ordinal_table(train: DataFrame, column: str) -> DataFrame:
+def ordinal_table(train: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """(value, code): sorted category to 0..k-1, for any number of categories.
 
     Codes come from running sums over ordered buckets, so no task sorts all categories.
     """
     distinct = train.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    bucket = F.substring("value", 1, 2)
-    per_bucket = distinct.groupBy(bucket.alias("b")).agg(F.count("*").alias("k"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.select("b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("b").orderBy("value"))
-    return distinct.withColumn("b", bucket).join(starts, "b").select("value", (F.col("start") + inside - 1).cast("bigint").alias("code"))
+    number = min(bucket_count(train.select(column)), MAX_TEXT_BUCKETS) if buckets is None else buckets
+    placed = in_text_buckets(distinct, "value", text_edges(distinct, "value", number)).withColumn("_all", F.lit(1))
+    ranked = running_sums(placed, ["_all"], [F.col("value").asc()], {"upto": F.lit(1)}, bucketed=True)
+    return ranked.select("value", (F.col("upto") - 1).cast("bigint").alias("code"))
 
 
 def encode_ordinal(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:

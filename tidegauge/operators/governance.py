@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import PromotionRule
 from tidegauge.operators.as_of import as_of
+from tidegauge.operators.ordered import BUCKET, running_sums
 
 TOLERANCE = 1e-6
 LOWER_IS_BETTER = ("mae", "mse", "rmse")
@@ -156,7 +157,7 @@ def production_metrics(versions: DataFrame, run_metrics: DataFrame) -> DataFrame
     return current_production(versions).join(evals, "run_id").select("model", "version", "metric", "value")
 
 
-def register_versions(requests: DataFrame, versions: DataFrame) -> DataFrame:
+def register_versions(requests: DataFrame, versions: DataFrame, span: str = "1 day") -> DataFrame:
     """(model, run_id, version, is_new): a run known to the registry keeps its highest version, the others get
     the next numbers of their model in order of request."""
     known = versions.groupBy("model", "run_id").agg(F.max("version").alias("version"))
@@ -164,8 +165,10 @@ def register_versions(requests: DataFrame, versions: DataFrame) -> DataFrame:
     kept = wanted.join(known, ["model", "run_id"]).select("model", "run_id", "version", F.lit(False).alias("is_new"))
     fresh = wanted.join(known, ["model", "run_id"], "left_anti")
     top = versions.groupBy("model").agg(F.max("version").alias("top"))
-    order = Window.partitionBy("model").orderBy("requested_at", "run_id")
-    numbered = fresh.withColumn("rn", F.row_number().over(order)).join(top, "model", "left")
+    # numbered span by span, so that a model with very many requests is not sorted by one task
+    spans = fresh.withColumn(BUCKET, F.window(F.col("requested_at").cast("timestamp"), span)["start"])
+    order = [F.col("requested_at").asc(), F.col("run_id").asc()]
+    numbered = running_sums(spans, ["model"], order, {"rn": F.lit(1)}, bucketed=True).join(top, "model", "left")
     return kept.unionByName(
         numbered.select(
             "model", "run_id", (F.coalesce("top", F.lit(0)) + F.col("rn")).cast("bigint").alias("version"), F.lit(True).alias("is_new")

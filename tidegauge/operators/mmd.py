@@ -19,31 +19,41 @@ BLOCK = 1024
 BIT_STEPS = (20, 16, 14, 14)
 
 
-def _sides(reference: DataFrame, batch: DataFrame, key: str, vector: str) -> DataFrame:
+def _sides(reference: DataFrame, batch: DataFrame, vector: str) -> DataFrame:
     def one(df: DataFrame, is_ref: int) -> DataFrame:
         return df.where(F.col(vector).isNotNull()).select(
-            F.col(key).cast("string").alias("key"), F.lit(is_ref).alias("is_ref"), F.col(vector).cast("array<double>").alias("v")
+            F.lit(is_ref).alias("is_ref"), F.col(vector).cast("array<double>").alias("v")
         )
 
     return one(reference, 1).unionByName(one(batch, 0))
 
 
-def _sizes(rows: DataFrame) -> tuple[int, int]:
-    size = rows.agg(F.count_if(F.col("is_ref") == 1).alias("n"), F.count_if(F.col("is_ref") == 0).alias("m")).first()
-    return size["n"], size["m"]
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Equal vectors of a side as one row with their number: copies neither fill a block nor are paired up."""
+    return rows.groupBy("is_ref", "v").agg(F.count("*").alias("w"))
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int, int]:
+    """Rows of the reference and of the batch, and distinct vectors of both."""
+    size = rows.agg(
+        F.sum(F.when(F.col("is_ref") == 1, F.col("w")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("is_ref") == 0, F.col("w")).otherwise(0)).alias("m"),
+        F.count("*").alias("distinct"),
+    ).first()
+    return size["n"] or 0, size["m"] or 0, size["distinct"]
 
 
 def _grid(rows: DataFrame, total: int, block: int) -> DataFrame:
     """Each row in all the cells of its block: cell (i, j) holds blocks i and j."""
     blocks = max(1, -(-total // block))
-    own = F.pmod(F.xxhash64("key", "is_ref"), F.lit(blocks)).cast("int")
+    own = F.pmod(F.xxhash64("v", "is_ref"), F.lit(blocks)).cast("int")
     many = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return many.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
 
 
 def _pairs(pdf: pd.DataFrame):
     """Squared distances of a cell's pairs, some rows at a time, with the kind of each pair (0, 1 or 2
-    reference members). Inside one block every pair counts once."""
+    reference members) and the number of row pairs it stands for. Inside one block every pair counts once."""
     same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     left = pdf if same else pdf[pdf["b"] == pdf["i"]]
     right = pdf if same else pdf[pdf["b"] == pdf["j"]]
@@ -51,16 +61,20 @@ def _pairs(pdf: pd.DataFrame):
         return
     a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
     ra, rb = left["is_ref"].to_numpy(), right["is_ref"].to_numpy()
+    wa, wb = left["w"].to_numpy(), right["w"].to_numpy()
+    if same:
+        yield np.zeros(len(a)), 2 * ra, wa * (wa - 1) // 2
     step = max(1, (1 << 21) // max(1, b.size))
     for start in range(0, len(a), step):
-        part = a[start : start + step]
-        d2 = ((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
-        kind = ra[start : start + step, None] + rb[None, :]
+        part = slice(start, start + step)
+        d2 = ((a[part, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
+        kind = ra[part, None] + rb[None, :]
+        weight = wa[part, None] * wb[None, :]
         if same:
-            keep = np.arange(start, start + len(part))[:, None] < np.arange(len(b))[None, :]
-            yield d2[keep], kind[keep]
+            keep = np.arange(start, start + len(d2))[:, None] < np.arange(len(b))[None, :]
+            yield d2[keep], kind[keep], weight[keep]
         else:
-            yield d2.ravel(), np.broadcast_to(kind, d2.shape).ravel()
+            yield d2.ravel(), kind.ravel(), weight.ravel()
 
 
 def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
@@ -103,11 +117,16 @@ def _prefix_counter(shift: int, width: int, prefixes: list[int] | None):
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         tally: dict[int, int] = {}
-        for d2, _ in _pairs(pdf):
-            top = d2[d2 > 0].view(np.int64) >> shift
+        for d2, _, weight in _pairs(pdf):
+            positive = d2 > 0
+            top, count_of = d2[positive].view(np.int64) >> shift, weight[positive]
             if prefixes is not None:
-                top = top[np.isin(top >> width, prefixes)]
-            for key, c in zip(*np.unique(top, return_counts=True)):
+                inside = np.isin(top >> width, prefixes)
+                top, count_of = top[inside], count_of[inside]
+            keys, place = np.unique(top, return_inverse=True)
+            added = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(added, place, count_of)
+            for key, c in zip(keys, added):
                 tally[int(key)] = tally.get(int(key), 0) + int(c)
         return pd.DataFrame({"prefix": list(tally), "c": list(tally.values())}).astype("int64")
 
@@ -118,25 +137,25 @@ def _middle(count: int) -> list[int]:
     return [count // 2] if count % 2 else [count // 2 - 1, count // 2]
 
 
-def embedding_mmd(reference: DataFrame, batch: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+def embedding_mmd(reference: DataFrame, batch: DataFrame, vector: str, block: int = BLOCK) -> DataFrame:
     """(mmd, gamma, n, m): unbiased squared MMD with a Gaussian kernel, not below 0.
 
     The bandwidth is the exact median of all positive squared distances. Fewer than two rows on a side give 0.
     """
-    rows = _sides(reference, batch, key, vector)
+    rows = _distinct(_sides(reference, batch, vector))
     spark = rows.sparkSession
-    n, m = _sizes(rows)
+    n, m, distinct = _sizes(rows)
     schema = "mmd double, gamma double, n long, m long"
     if n < 2 or m < 2:
         return spark.createDataFrame([(0.0, None, n, m)], schema)
-    cells = _grid(rows, n + m, block)
+    cells = _grid(rows, distinct, block)
     middle = _order_statistics(cells, _middle)
     gamma = 1.0 / ((sum(middle) / len(middle) if middle else 1.0) + 1e-8)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = np.zeros(3)
-        for d2, kind in _pairs(pdf):
-            sums += np.bincount(kind, weights=np.exp(-gamma * d2), minlength=3)
+        for d2, kind, weight in _pairs(pdf):
+            sums += np.bincount(kind, weights=weight * np.exp(-gamma * d2), minlength=3)
         return pd.DataFrame([sums], columns=["yy", "xy", "xx"])
 
     total = cells.groupBy("i", "j").applyInPandas(kernel, "yy double, xy double, xx double")
@@ -150,25 +169,26 @@ def embedding_mmd(reference: DataFrame, batch: DataFrame, key: str, vector: str,
 
 
 def mmd_features(
-    reference: DataFrame, batch: DataFrame, key: str, vector: str, gamma: float, count: int = 512, seed: int = 42
+    reference: DataFrame, batch: DataFrame, vector: str, gamma: float, count: int = 512, seed: int = 42
 ) -> DataFrame:
     """(mmd, gamma, n, m) from random Fourier features (Rahimi and Recht, 2007): linear in the rows.
 
     ``gamma`` is given, e.g. from an earlier exact run. The kernel is approximated with an error of about
     1/sqrt(count); the estimate is unbiased for the features' own kernel.
     """
-    rows = _sides(reference, batch, key, vector)
-    n, m = _sizes(rows)
+    rows = _sides(reference, batch, vector)
+    n, m, _ = _sizes(rows.withColumn("w", F.lit(1)))
     spark = rows.sparkSession
     if n < 2 or m < 2:
         return spark.createDataFrame([(0.0, gamma, n, m)], "mmd double, gamma double, n long, m long")
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
-        seen = 0
+        seen, w = 0, None
         for pdf in batches:
             x = np.stack(pdf["v"].to_numpy())
-            w = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], count))
+            if w is None:
+                w = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], count))
             z = x @ w
             f = np.concatenate([np.cos(z), np.sin(z)], axis=1) / math.sqrt(count)
             for side in (0, 1):

@@ -66,6 +66,23 @@ def bucket_edges(rows: DataFrame, keys: list[str], value: str, buckets: int) ->
     return rows.sparkSession.createDataFrame(found, schema)
 
 
+def text_edges(values: DataFrame, column: str, buckets: int) -> list[str]:
+    """Cut points for distinct texts: the ones with the smallest hashes are an even sample of them."""
+    if buckets <= 1:
+        return []
+    picked = values.orderBy(F.xxhash64(column)).limit(16 * buckets).collect()
+    ordered = sorted(r[column] for r in picked)
+    return sorted({ordered[i] for i in range(16, len(ordered), 16)})
+
+
+def in_text_buckets(values: DataFrame, column: str, edges: list[str]) -> DataFrame:
+    """Add the ordered bucket number of a text: how many cut points are not above it."""
+    if not edges:
+        return values.withColumn(BUCKET, F.lit(0))
+    tops = F.array(*[F.lit(e) for e in edges])
+    return values.withColumn(BUCKET, F.size(F.filter(tops, lambda e: e <= F.col(column))))
+
+
 def with_bucket(df: DataFrame, edges: DataFrame | None, keys: list[str], value: str) -> DataFrame:
     """Add the ordered bucket number of ``value``: how many cut points lie below it.
 

@@ -76,14 +76,13 @@ def monitor_embeddings(
     reference: DataFrame,
     batch_rows: DataFrame,
     name: str,
-    key: str,
     vector: str,
     profile: DataFrame | None = None,
     config: ImageDriftConfig = ImageDriftConfig(),
     generated_at: Column | None = None,
 ) -> DataFrame:
     """The record of one batch from the MMD of its embeddings; an empty table where the batch is too small."""
-    score = embedding_mmd(reference, batch_rows, key, vector).where(F.col("m") >= config.min_batch_size)
+    score = embedding_mmd(reference, batch_rows, vector).where(F.col("m") >= config.min_batch_size)
     overall = score.select(F.lit(name).alias(BATCH), F.col("mmd").alias("drift_score"))
     sizes = score.select(F.lit(name).alias(BATCH), F.col("m").alias("row_count"))
     if profile is None:

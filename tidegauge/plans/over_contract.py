@@ -33,7 +33,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, CUSTOMERS)
 
 
-@query("contract_columns")
+@query(
+    "contract_columns",
+    """select * from (values ('error', 'missing_column', 'c_phone'), ('warning', 'extra_column', 'split')) t(level, "check", "column")""",
+)
 def contract_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.column_table(customers(spark, sf_dir), CONTRACT)
 
@@ -120,10 +123,9 @@ def null_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "contract_infer",
-    """with c as (select list_sort(list(distinct c_mktsegment)) as v from customer)
-    select t."column", t.type, t.role, case when t.role = 'target' then v end as label_classes from c, (values
-        ('c_custkey', 'int', 'feature'), ('c_name', 'string', 'feature'), ('c_nationkey', 'int', 'feature'),
-        ('c_acctbal', 'float', 'feature'), ('c_mktsegment', 'string', 'target')) t("column", type, role)""",
+    """select * from (values ('c_custkey', 'int', 'feature', null), ('c_name', 'string', 'feature', null),
+        ('c_nationkey', 'int', 'feature', null), ('c_acctbal', 'float', 'feature', null)) t("column", type, role, label_class)
+    union all select distinct 'c_mktsegment', 'string', 'target', c_mktsegment from customer where c_mktsegment is not null""",
 )
 def contract_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.infer_table(table(spark, sf_dir, "customer"), "c_mktsegment")
@@ -140,7 +142,11 @@ def unknown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.unknown_classes(part, "p_brand", known, "p_brand")
 
 
-@query("required_columns_batch")
+@query(
+    "required_columns_batch",
+    """select 'column' as "check", c as "column", c <> 'c_phone' as ok from (values ('c_acctbal'), ('c_name'), ('c_phone'), ('c_mktsegment')) t(c)
+    union all select 'rows', null, count(*) >= 2 from customer""",
+)
 def required_columns_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.batch_readiness(customers(spark, sf_dir), ["c_acctbal", "c_name", "c_phone"], "c_mktsegment")
 

@@ -208,14 +208,14 @@ def image_severity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def embedding_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batch = sides(table(spark, sf_dir, "embeddings"))
-    out = mmd.embedding_mmd(reference, batch, "vec_id", "embedding")
+    out = mmd.embedding_mmd(reference, batch, "embedding")
     return out.select(r6("mmd", 8).alias("mmd"), r6("gamma").alias("gamma"), "n", "m")
 
 
 @query("embedding_mmd_features")
 def embedding_mmd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batch = sides(table(spark, sf_dir, "embeddings"))
-    return mmd.mmd_features(reference, batch, "vec_id", "embedding", gamma=0.5)
+    return mmd.mmd_features(reference, batch, "embedding", gamma=0.5)
 
 
 SCORES = "select cast(user_id as varchar(20)) as batch, event_type as channel, avg(value) / 100 as drift_score from events group by 1, 2"
@@ -253,4 +253,4 @@ def monitor_image_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monitor_embedding_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batch = sides(table(spark, sf_dir, "embeddings"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return monitor_embeddings(reference, batch, "labels 5-9", "vec_id", "embedding", generated_at=at)
+    return monitor_embeddings(reference, batch, "labels 5-9", "embedding", generated_at=at)
