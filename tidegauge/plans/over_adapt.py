@@ -18,7 +18,15 @@ def append_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.append_training_rows(derived(spark, sf_dir, OLD), derived(spark, sf_dir, NEW))
 
 
-@query("append_report")
+_TEXT = "concat_ws(chr(31), c_custkey::varchar, coalesce(c_acctbal::varchar, chr(30)), coalesce(c_mktsegment, chr(30)))"
+_PRINT = f"""select '{{stage}}' as stage, count(*) as row_count, substr(sha256(concat_ws(',', 'c_custkey|c_acctbal|c_mktsegment', count(*),
+    {', '.join(f"sum(('0x' || substr(sha256({_TEXT}), {4 * i + 1}, 4))::bigint)::bigint" for i in range(16))})), 1, 12) as version from ({{rows}})"""
+
+
+@query(
+    "append_report",
+    _PRINT.format(stage="before", rows=OLD) + " union all " + _PRINT.format(stage="after", rows=f"{OLD} union all {NEW}"),
+)
 def append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.append_report(derived(spark, sf_dir, OLD), derived(spark, sf_dir, NEW))
 
@@ -27,7 +35,7 @@ def append_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stage_drift_batch",
     f"""with n as ({NEW}), r as ({ranked_sql('n', 'c_mktsegment', 'c_custkey', 42)})
     select c_custkey, c_acctbal, c_mktsegment, case when place <= least(round_even(n * 0.3, 0), n - 1) then 'holdout' else 'train' end as part
-    from r""".replace("count(*) over (partition by c_mktsegment) as n from n", "count(*) over (partition by c_mktsegment) as n from n"),
+    from r""",
 )
 def stage_drift_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = ad.stage_batch(derived(spark, sf_dir, OLD), derived(spark, sf_dir, NEW), "c_mktsegment", "c_custkey", 0.3)

@@ -315,7 +315,13 @@ def drift_alert_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("drift_alignment")
+@query(
+    "drift_alignment",
+    """select * from (values ('error', 'type_mismatch', 'l_tax', 'feature l_tax is numeric in the reference, categorical in the batch'),
+        ('warning', 'extra_column', 'note', 'column note is ignored')) t(level, "check", feature, message)
+    union all select 'warning', 'empty_batch', null, 'the batch has no rows' from lineitem
+        where l_shipdate >= timestamp '1999-01-01 00:00:00' having count(*) = 0""",
+)
 def drift_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = both_sides(spark, sf_dir)
     retyped = cur.withColumn("l_tax", F.col("l_tax").cast("string")).withColumn("note", F.lit("new"))
@@ -336,12 +342,43 @@ def monitor_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"drift_score": r6("drift_score"), "drift_share": r6("drift_share")})
 
 
-@query("drift_result")
-def drift_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drift_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = both_sides(spark, sf_dir)
     return monitor(ref, cur, NUM + CAT, "batch", generated_at=F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+@query(
+    "drift_result",
+    f"""{TABLE}, sizes as (select batch, count(*) as rows_in from cur group by batch)
+    select o.batch, '1.1.0' as schema_version, 'ks/chisquare' as method, round(o.drift_share, 6) as drift_share,
+        o.drifted_feature_count, o.total_feature_count, o.severity, rows_in as batch_rows, (select count(*) from ref) as reference_rows,
+        count(*) filter (g.severity = 'low') as n_low, count(*) filter (g.severity = 'medium') as n_medium,
+        count(*) filter (g.severity = 'high') as n_high, string_agg(g.feature || ':' || g.severity, ',' order by g.feature) as features,
+        rows_in < 30 as small_sample, o.severity in ('medium', 'high') as alert, o.severity = 'high' as gate
+    from overall o join graded g using (batch) join sizes using (batch) where rows_in >= 10
+    group by o.batch, o.drift_share, o.drifted_feature_count, o.total_feature_count, o.severity, rows_in""",
+)
+def drift_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested records, flattened for comparison."""
+    listed = F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["severity"]))
+    return drift_records(spark, sf_dir).select(
+        "batch",
+        "schema_version",
+        "method",
+        r6("overall.drift_share").alias("drift_share"),
+        "overall.drifted_feature_count",
+        "overall.total_feature_count",
+        "overall.severity",
+        F.col("current_dataset.row_count").alias("batch_rows"),
+        F.col("reference_dataset.row_count").alias("reference_rows"),
+        *[F.col(f"severity_counts.{s}").alias(f"n_{s}") for s in ("low", "medium", "high")],
+        F.array_join(F.array_sort(listed), ",").alias("features"),
+        F.array_contains("warnings", "small_sample").alias("small_sample"),
+        "alert",
+        "gate",
+    )
+
+
 EVENT_REF = "select value, event_type from events where ts < timestamp '2024-01-08 00:00:00'"
 EVENT_CUR = """select cast(cast(ts as date) as varchar(10)) as batch, value * 1.1 as value, event_type
     from events where ts >= timestamp '2024-01-08 00:00:00'"""

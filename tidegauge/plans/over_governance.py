@@ -266,15 +266,34 @@ def drift_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gv.drift_provenance(derived(spark, sf_dir, DECISIONS), derived(spark, sf_dir, DRIFT_LOG))
 
 
-@query("decision_record")
+DECIDED = f"""select {RUN} as run_id, {MODEL} as model, o_orderstatus = 'F' as approved, o_orderpriority as reason,
+    cast(o_orderkey % 9 as varchar(5)) as version, 'val' as split from orders"""
+
+
+@query(
+    "decision_record",
+    f"""with {COMPARED}, v as (select model, count(distinct verdict) as k, min(verdict) as one from cmp group by model),
+    mm as (select run_id, max(value) filter (metric = 'accuracy') as accuracy, count(*) as n from ({METRICS}) group by run_id)
+    select d.run_id, d.model, case when approved then 'approved' else 'rejected' end as outcome, reason, d.version as dataset_version_id,
+        split as evaluation_split, accuracy, n::int as metric_count,
+        case when d.model not in (select model from p) then 'no_baseline' when k is null then 'equal' when k = 1 then one else 'mixed' end as verdict
+    from ({DECIDED}) d left join mm using (run_id) left join v on v.model = d.model""",
+)
 def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = derived(
-        spark,
-        sf_dir,
-        f"""select {RUN} as run_id, {MODEL} as model, o_orderstatus = 'F' as approved, o_orderpriority as reason,
-        cast(o_orderkey % 9 as varchar(5)) as version, 'val' as split from orders""",
+    records = gv.decision_records(
+        derived(spark, sf_dir, DECIDED), derived(spark, sf_dir, METRICS), compare_verdict(spark, sf_dir)
+    )
+    return records.select(
+        "run_id",
+        "model",
+        "outcome",
+        "reason",
+        "dataset_version_id",
+        "evaluation_split",
+        F.try_element_at("metrics", F.lit("accuracy")).alias("accuracy"),
+        F.size("metrics").alias("metric_count"),
+        F.col("comparison.overall_verdict").alias("verdict"),
     )
-    return gv.decision_records(decisions, derived(spark, sf_dir, METRICS), compare_verdict(spark, sf_dir))
 
 
 AGES = """select event_id, case when event_id % 10 = 0 then 'unknown' when event_id % 2 = 0 then

@@ -179,7 +179,30 @@ def channel_wasserstein_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("drift_score", r6("drift_score"))
 
 
-@query("multiscale_drift")
+def _mirror(x: str) -> str:
+    return f"(case when {x} < 0 then -({x}) - 1 when {x} > 7 then 15 - ({x}) else {x} end)"
+
+
+# level 1 of an 8x8 image: five-tap Gaussian of sigma 0.5 in both directions, then every second pixel
+PYRAMID = f"""with f0 as ({FLAT}), kw as (select o, exp(-0.5 * (o / 0.5) ** 2) as w0 from (select unnest([-2, -1, 0, 1, 2]) as o)),
+    kn as (select o, w0 / sum(w0) over () as w from kw), rc as (select unnest(range(0, 4)) as p),
+    taps as (select r.p as r, c.p as c, a.w * b.w as w, {_mirror('2 * r.p + a.o')} * 8 + {_mirror('2 * c.p + b.o')} as pixel
+        from rc r, rc c, kn a, kn b),
+    f as (select label, '0/gray' as feature, value from f0
+        union all select label, '1/gray', sum(w * value) from f0 join taps using (pixel) group by vec_id, label, r, c),
+    rl as (select feature, value from f where label < 5), cl as (select label::varchar as batch, feature, value from f where label >= 5),
+    rn as (select feature, count(*) as n from rl group by all),
+    cm as (select feature, batch, count(*) as m from cl group by all), {ECDF}, {WASS},
+    lv as (select batch, feature[1]::int as level, 'gray' as channel, round(statistic, 6) as drift_score from ws),
+    pf as (select batch, round_even(max(drift_score) filter (level = 0) / greatest(max(drift_score) filter (level = 1), 1e-8), 3)
+        as scale_decay_ratio from lv group by batch)"""
+
+
+@query(
+    "multiscale_drift",
+    f"""{PYRAMID} select lv.*, scale_decay_ratio, case when scale_decay_ratio > 3 then '{im.FINE}' when scale_decay_ratio < 1.5 then '{im.COARSE}'
+        else '{im.MIDDLE}' end as interpretation from lv join pf using (batch)""",
+)
 def multiscale_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = im.multiscale(*sides(gray(spark, sf_dir)), "label")
     return levels.join(im.scale_profile(levels), "batch")
@@ -195,17 +218,17 @@ def image_severity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("detected", F.col("severity") != "low")
 
 
-@query(
-    "embedding_mmd",
-    """with e as (select vec_id, embedding::double[] as v, label < 5 as r from embeddings),
+MMD_SQL = """with e as (select vec_id, embedding::double[] as v, label < 5 as r from embeddings),
     d as (select a.r::int + b.r::int as kind, list_distance(a.v, b.v) ** 2 as d2 from e a join e b on a.vec_id < b.vec_id),
     g as (select 1 / (median(d2) + 1e-8) as gamma from d where d2 > 0),
     k as (select kind, sum(exp(-gamma * d2)) as s from d, g group by kind),
     c as (select count(*) filter (r) as n, count(*) filter (not r) as m from e)
     select round(greatest(0, 2 * max(s) filter (kind = 2) / (max(n) * (max(n) - 1)) + 2 * max(s) filter (kind = 0) / (max(m) * (max(m) - 1))
         - 2 * max(s) filter (kind = 1) / (max(n) * max(m))), 8) + 0.0 as mmd, round(max(gamma), 6) as gamma, max(n) as n, max(m) as m
-    from k, c, g""",
-)
+    from k, c, g"""
+
+
+@query("embedding_mmd", MMD_SQL)
 def embedding_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batch = sides(table(spark, sf_dir, "embeddings"))
     out = mmd.embedding_mmd(reference, batch, "embedding")
@@ -240,8 +263,7 @@ def scenario_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("estimated_accuracy_drop", r6("estimated_accuracy_drop"))
 
 
-@query("monitor_image_batch")
-def monitor_image_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batches = sides(gray(spark, sf_dir))
     bright = reference.withColumn("pixels", F.transform("pixels", lambda x: x + 0.1)).withColumn("label", F.lit("bright"))
     signatures = im.channel_wasserstein(reference, bright, "label").withColumnRenamed("batch", "scenario")
@@ -249,8 +271,48 @@ def monitor_image_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor_images(reference, batches, "label", signatures=signatures, generated_at=at)
 
 
-@query("monitor_embedding_batch")
+@query(
+    "monitor_image_batch",
+    f"""{PYRAMID}, s as (select batch, statistic as score from ws where feature = '0/gray'),
+    k as (select label::varchar as batch, count(*) as size from embeddings where label >= 5 group by 1)
+    select s.batch, 'image_statistical' as drift_type, size, (select count(*) from embeddings where label < 5) as reference_size,
+        round(score, 6) as drift_score, case when score >= 0.25 then 'high' when score >= 0.1 then 'medium' else 'low' end as severity,
+        score >= 0.1 as dataset_drift_detected, round(score, 6) as gray_score, scale_decay_ratio,
+        case when abs(score - 0.1) <= 0.2 then 'bright' end as matched_scenario,
+        case when abs(score - 0.1) <= 0.2 then round(abs(score - 0.1), 4) end as match_distance
+    from s join k using (batch) join pf using (batch) where size >= 10""",
+)
+def monitor_image_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = image_records(spark, sf_dir)
+    return r.select(
+        "batch",
+        "drift_type",
+        F.col("batch_info.size").alias("size"),
+        F.col("reference.size").alias("reference_size"),
+        r6("overall.drift_score").alias("drift_score"),
+        "overall.severity",
+        "overall.dataset_drift_detected",
+        r6(F.col("channels")["gray"]["drift_score"]).alias("gray_score"),
+        "multiscale_profile.scale_decay_ratio",
+        "scenario_interpretation.matched_scenario",
+        F.round("scenario_interpretation.match_distance", 4).alias("match_distance"),
+    )
+
+
+@query(
+    "monitor_embedding_batch",
+    f"""select 'labels 5-9' as batch, 'image_embedding' as drift_type, m as size, n as reference_size, round(mmd, 6) as drift_score,
+        case when mmd >= 0.25 then 'high' when mmd >= 0.1 then 'medium' else 'low' end as severity from ({MMD_SQL}) where m >= 10""",
+)
 def monitor_embedding_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, batch = sides(table(spark, sf_dir, "embeddings"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return monitor_embeddings(reference, batch, "labels 5-9", "embedding", generated_at=at)
+    r = monitor_embeddings(reference, batch, "labels 5-9", "embedding", generated_at=at)
+    return r.select(
+        "batch",
+        "drift_type",
+        F.col("batch_info.size").alias("size"),
+        F.col("reference.size").alias("reference_size"),
+        r6("overall.drift_score").alias("drift_score"),
+        "overall.severity",
+    )

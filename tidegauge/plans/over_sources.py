@@ -9,10 +9,10 @@ from tidegauge.config import DataContract
 from tidegauge.operators import metrics as mt
 from tidegauge.operators.history import history_index
 from tidegauge.plans.catalog import derived, query, r6, table
-from tidegauge.plans.over_drift import drift_result
-from tidegauge.plans.over_governance import RUN, compare_models
+from tidegauge.plans.over_drift import TABLE, drift_records
+from tidegauge.plans.over_governance import COMPARED, RUN, compare_models
 from tidegauge.plans.over_history import RESULTS
-from tidegauge.plans.over_images import gray, monitor_image_batch
+from tidegauge.plans.over_images import distance_sql, gray, image_records
 from tidegauge.plans.over_metrics import SCORED, metric_sql
 from tidegauge.session import scratch_folder
 from tidegauge.sources import history as hist
@@ -109,21 +109,40 @@ def metrics_long_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.evaluation_rows(reports, ["model", "split"])
 
 
-@query("metrics_comparison_rows")
+@query("metrics_comparison_rows", f"with {COMPARED} select model, 'comparison.delta.' || metric as key, delta as value from cmp")
 def metrics_comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.comparison_rows(compare_models(spark, sf_dir), ["model"])
 
 
-@query("metrics_drift_rows")
+@query(
+    "metrics_drift_rows",
+    f"""{TABLE} select g.batch, 'drift.' || g.feature || '.score' as key, round(g.drift_score, 6) + 0.0 as value, o.severity,
+        (o.drift_share >= 0.5)::varchar as detected, o.drifted_feature_count::varchar as drifted
+    from graded g join overall o using (batch) where batch in (select batch from cur group by batch having count(*) >= 10)""",
+)
 def metrics_drift_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = drift_result(spark, sf_dir)
-    tagged = sink.drift_tags(records, ["batch"]).select("batch", F.to_json("tags").alias("tags"))
-    return sink.drift_rows(records, ["batch"]).join(tagged, "batch")
+    """Metric rows of the drift records with three of their tags."""
+    records = drift_records(spark, sf_dir)
 
+    def tag(name: str):
+        return F.element_at("tags", F.lit(f"drift.{name}"))
+
+    tags = sink.drift_tags(records, ["batch"]).select(
+        "batch",
+        tag("overall_severity").alias("severity"),
+        tag("dataset_drift_detected").alias("detected"),
+        tag("drifted_feature_count").alias("drifted"),
+    )
+    return sink.drift_rows(records, ["batch"]).join(tags, "batch").withColumn("value", r6("value"))
 
-@query("metrics_image_drift_rows")
+
+@query(
+    "metrics_image_drift_rows",
+    f"""{distance_sql("'gray'")} select batch, k as key, round(statistic, 6) as value
+    from ws, (values ('drift.image.overall_score'), ('drift.image.gray_score')) t(k)""",
+)
 def metrics_image_drift_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sink.image_drift_rows(monitor_image_batch(spark, sf_dir), ["batch"])
+    return sink.image_drift_rows(image_records(spark, sf_dir), ["batch"]).withColumn("value", r6("value"))
 
 
 UNSAFE = """select event_id, case when event_id % 4 = 0 then cast('NaN' as double) when event_id % 4 = 1 then cast('Infinity' as double)
