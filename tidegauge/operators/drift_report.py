@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import RECORD_VERSION, DriftConfig
@@ -117,19 +117,36 @@ def feature_table(
     )
 
 
-def dataset_table(features: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+def _verdict(df: DataFrame, config: DriftConfig) -> DataFrame:
+    """Add share, verdict and severity to the feature counts of a batch."""
+    share = ratio(F.col("drifted_feature_count"), F.col("total_feature_count"))
+    return df.withColumn("drift_share", share).withColumns(
+        {
+            "dataset_drift_detected": F.col("drift_share") >= config.drift_share,
+            "overall_severity": overall_severity(F.col("drift_share"), config),
+        }
+    )
+
+
+def dataset_table(features: DataFrame, config: DriftConfig = DriftConfig(), *extra: Column) -> DataFrame:
     """One row per batch: drifted and total features, their share, whether the batch drifted, its severity."""
     drifted = F.sum(F.col("drift_detected").cast("int")).cast("bigint")
     out = features.groupBy(BATCH).agg(
-        drifted.alias("drifted_feature_count"), F.count("*").alias("total_feature_count")
+        drifted.alias("drifted_feature_count"), F.count("*").alias("total_feature_count"), *extra
     )
-    share = ratio(F.col("drifted_feature_count"), F.col("total_feature_count"))
-    return out.withColumn("drift_share", share).withColumns(
+    return _verdict(out, config).withColumnRenamed("overall_severity", "severity")
+
+
+def with_verdict(features: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+    """The feature rows with their batch's verdict beside them, from one window over a batch's few rows."""
+    whole = Window.partitionBy(BATCH)
+    counted = features.withColumns(
         {
-            "dataset_drift_detected": F.col("drift_share") >= config.drift_share,
-            "severity": overall_severity(F.col("drift_share"), config),
+            "drifted_feature_count": F.sum(F.col("drift_detected").cast("int")).over(whole),
+            "total_feature_count": F.count("*").over(whole),
         }
     )
+    return _verdict(counted, config).drop("drifted_feature_count", "total_feature_count")
 
 
 def with_alerts(overall: DataFrame, config: DriftConfig = DriftConfig(), interactive: bool = False) -> DataFrame:
@@ -167,12 +184,9 @@ def result_records(
     graded = [
         F.sum((F.col("severity") == s).cast("int")).cast("bigint").alias(f"n_{s}") for s in ("low", "medium", "high")
     ]
-    maps = features.groupBy(BATCH).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("features"), *graded
-    )
+    by_feature = F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("features")
     joined = (
-        dataset_table(features, config)
-        .join(maps, BATCH)
+        dataset_table(features, config, by_feature, *graded)
         .join(row_counts, BATCH)
         .withColumn("ref_rows", reference.agg(F.count("*")).scalar())
     )

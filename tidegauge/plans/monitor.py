@@ -9,12 +9,12 @@ from tidegauge.config import DriftConfig, ImageDriftConfig
 from tidegauge.operators import image_drift as im
 from tidegauge.operators.drift_report import (
     batch_sizes,
-    dataset_table,
     feature_table,
     large_enough,
     require_alignment,
     result_records,
     with_alerts,
+    with_verdict,
 )
 from tidegauge.operators.mmd import embedding_mmd
 from tidegauge.operators.two_sample import BATCH
@@ -25,11 +25,8 @@ def monitor_features(
 ) -> DataFrame:
     """One row per (batch, feature) for every batch that is large enough, with the batch's own verdict."""
     require_alignment(reference, batches, features, (batch,))
-    table = feature_table(reference, large_enough(batches, batch, config.min_batch_size), features, batch, config)
-    overall = dataset_table(table, config).select(
-        BATCH, "drift_share", "dataset_drift_detected", F.col("severity").alias("overall_severity")
-    )
-    return table.join(overall, BATCH)
+    kept = large_enough(batches, batch, config.min_batch_size)
+    return with_verdict(feature_table(reference, kept, features, batch, config), config)
 
 
 def monitor(

@@ -91,8 +91,8 @@ def rollback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 ADDED_FILES = """select o_orderpriority as class, concat('batch', cast(o_orderkey as varchar(20)), '/img_', cast(o_custkey % 50 as varchar(5)), '.png')
     as path from orders"""
 HELD_FILES = """select distinct o_orderpriority as class, concat('img_', cast(o_custkey % 60 as varchar(5)), '_drifted',
-    case when o_orderkey % 5 = 0 then '' else concat('_', cast(o_orderkey % 37 as varchar(5))) end, '.png') as name
-    from orders where o_orderkey % 37 <> 0 or o_orderkey % 5 = 0"""
+    case when o_orderkey % 5 = 0 then '' else concat('_', cast(1 + o_orderkey % 37 as varchar(5))) end, '.png') as name
+    from orders"""
 
 
 @query(

@@ -24,7 +24,7 @@ ACCURACY = "round(cast(55 + o_orderkey % 46 as double) / 100, 4)"
 F1 = "round(cast(50 + (o_orderkey + o_custkey) % 51 as double) / 100, 4)"
 RUN_METRICS = f"""
     select {RUN} as run_id, {MODEL} as model, 'eval.accuracy' as key, {ACCURACY} as value from orders
-    union all select {RUN}, {MODEL}, 'eval.f1_score', {F1} from orders where o_orderkey % 11 <> 0
+    union all select {RUN}, {MODEL}, 'eval.f1_score', {F1} from orders where o_orderpriority <> '4-NOT SPECIFIED'
     union all select {RUN}, {MODEL}, 'train.loss', cast(o_orderkey % 13 as double) from orders"""
 METRICS = f"""select run_id, model, substr(key, 6, 100) as metric, value,
     case when length(run_id) % 2 = 0 then 'val' else 'test' end as split from ({RUN_METRICS}) m where key like 'eval.%'"""
@@ -123,7 +123,7 @@ def production_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gv.production_metrics(derived(spark, sf_dir, VERSIONS), derived(spark, sf_dir, RUN_METRICS))
 
 
-REGISTERED = f"select model, run_id, version from ({VERSIONS}) v where o_orderkey % 3 <> 0"
+REGISTERED = f"select model, run_id, version from ({VERSIONS}) v where stage <> 'Archived'"
 REQUESTS = f"select {MODEL} as model, {RUN} as run_id, o_orderdate as requested_at from orders where o_orderpriority <> '5-LOW'"
 
 

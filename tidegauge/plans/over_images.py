@@ -245,7 +245,7 @@ SCORES = "select cast(user_id as varchar(20)) as batch, event_type as channel, a
 SIGNATURES = """select concat('day-', substr(cast(cast(ts as date) as varchar(10)), 9, 2)) as scenario, event_type as channel,
     avg(value) / 100 as drift_score from events group by 1, 2"""
 REPORT = """select concat('day-', substr(cast(cast(ts as date) as varchar(10)), 9, 2)) as scenario, -count(*) / 10000.0 as delta_accuracy
-    from events where event_type <> 'error' group by 1 having count(*) % 2 = 0"""
+    from events where event_type <> 'error' group by 1 having avg(value) > 20"""
 
 
 @query(
