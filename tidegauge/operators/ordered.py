@@ -109,20 +109,29 @@ def _offsets(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFra
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], bucketed: bool, base: DataFrame | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    sums: dict[str, Column],
+    bucketed: bool,
+    base: DataFrame | None = None,
+    latest: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add one inclusive running sum per entry of ``sums``, per key and row by row in the given order.
 
     ``df`` carries the bucket column; rows of a lower bucket come before rows of a higher one. ``base`` is a
-    simpler table with the same rows, from which the bucket totals are taken.
+    simpler table with the same rows, from which the bucket totals are taken. ``latest`` adds the last
+    non-null value so far of a column, inside its bucket, by the same window.
     """
     window = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = {n: F.sum(c).over(window) for n, c in sums.items()}
+    seen = {n: F.last(c, ignorenulls=True).over(window) for n, c in (latest or {}).items()}
     if not bucketed:
-        return df.withColumns(inside)
+        return df.withColumns({**inside, **seen})
     offsets = _offsets(df if base is None else base, keys, sums)
     null_safe = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys + [BUCKET]]
     joined = df.alias("l").join(offsets.alias("r"), null_safe, "left").select(
         "l.*", *[F.col(f"r._o_{n}") for n in sums]
     )
-    return joined.withColumns({n: c + F.col(f"_o_{n}") for n, c in inside.items()}).drop(*[f"_o_{n}" for n in sums])
+    added = {n: c + F.col(f"_o_{n}") for n, c in inside.items()}
+    return joined.withColumns({**added, **seen}).drop(*[f"_o_{n}" for n in sums])

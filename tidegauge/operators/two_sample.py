@@ -144,18 +144,20 @@ def cumulative(data: Samples) -> tuple[DataFrame, bool]:
     ``ref_mass`` is the reference's running sum of value x count, for areas under its distribution function.
     """
     placed, bucketed = data.placed()
+    is_ref = F.col(BATCH).isNull()
+    placed = placed.withColumns(
+        {
+            "_mass": F.col("n_ref") * F.col(VALUE),
+            "_value": F.when(is_ref, F.col(VALUE)),
+            "_count": F.when(is_ref, F.col("n_ref")),
+        }
+    )
     # the reference's row of a value comes first, so a batch row sees it in its running sums
     ref_first = [F.col(VALUE).asc(), F.col(BATCH).asc_nulls_first()]
-    sums = {"ref_le": F.col("n_ref"), "ref_mass": F.col("n_ref") * F.col(VALUE)}
-    ref = running_sums(placed, [FEATURE], ref_first, sums, bucketed)
-    so_far = Window.partitionBy(FEATURE, BUCKET).orderBy(*ref_first).rowsBetween(Window.unboundedPreceding, 0)
-    is_ref = F.col(BATCH).isNull()
-    last = {
-        "_v": F.last(F.when(is_ref, F.col(VALUE)), ignorenulls=True).over(so_far),
-        "_c": F.last(F.when(is_ref, F.col("n_ref")), ignorenulls=True).over(so_far),
-    }
+    sums = {"ref_le": F.col("n_ref"), "ref_mass": F.col("_mass")}
+    ref = running_sums(placed, [FEATURE], ref_first, sums, bucketed, latest={"_v": "_value", "_c": "_count"})
     here = F.when(F.col("_v") == F.col(VALUE), F.col("_c")).otherwise(F.lit(0))
-    ref = ref.withColumns(last).withColumn("ref_lt", F.col("ref_le") - here).drop("_v", "_c")
+    ref = ref.withColumn("ref_lt", F.col("ref_le") - here).drop("_v", "_c", "_mass", "_value", "_count")
     cur = running_sums(ref, KEY, [F.col(VALUE).asc()], {"cur_le": F.col("n_cur")}, bucketed, base=placed)
     return cur.withColumn("cur_lt", F.col("cur_le") - F.col("n_cur")), bucketed
 
