@@ -151,8 +151,9 @@ def ordinal_table(train: DataFrame, column: str, buckets: int | None = None) ->
     """
     distinct = train.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
     number = min(bucket_count(train.select(column)), MAX_TEXT_BUCKETS) if buckets is None else buckets
-    placed = in_text_buckets(distinct, "value", text_edges(distinct, "value", number)).withColumn("_all", F.lit(1))
-    ranked = running_sums(placed, ["_all"], [F.col("value").asc()], {"upto": F.lit(1)}, bucketed=True)
+    edges = text_edges(distinct, "value", number)
+    placed = in_text_buckets(distinct, "value", edges)
+    ranked = running_sums(placed, [], [F.col("value").asc()], {"upto": F.lit(1)}, bucketed=bool(edges))
     return ranked.select("value", (F.col("upto") - 1).cast("bigint").alias("code"))
 
 

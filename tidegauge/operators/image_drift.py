@@ -116,40 +116,43 @@ def match_scenarios(
     return out.join(drops, "matched_scenario", "left")
 
 
+def channel_summary(channels: DataFrame, config: ImageDriftConfig = ImageDriftConfig()) -> DataFrame:
+    """(batch, drift_score, channels): the mean of the channels, and each channel's score and grade."""
+    grade = F.struct(
+        F.round("drift_score", 6).alias("drift_score"), image_severity(F.col("drift_score"), config).alias("severity")
+    )
+    return channels.groupBy(ts.BATCH).agg(
+        F.avg("drift_score").alias("drift_score"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", grade)))).alias("channels"),
+    )
+
+
+_RECORD_PARTS = {
+    "scale_decay_ratio": "double",
+    "interpretation": "string",
+    "scenario_interpretation": "string",
+    "channels": "map<string,struct<drift_score:double,severity:string>>",
+}
+
+
 def image_records(
-    channels: DataFrame | None,
-    overall: DataFrame,
-    profile: DataFrame,
-    match: DataFrame | None,
-    sizes: DataFrame,
-    reference: DataFrame,
+    rows: DataFrame,
+    reference_size: Column,
     method: str,
     task_type: str = "image_classification_cnn",
     generated_at: Column | None = None,
     config: ImageDriftConfig = ImageDriftConfig(),
 ) -> DataFrame:
-    """One nested record per image batch."""
-    rows = graded(overall, config).join(sizes, ts.BATCH).join(profile, ts.BATCH, "left")
-    if match is not None:
-        hit = match.select(ts.BATCH, F.struct(*[c for c in match.columns if c != ts.BATCH]).alias("scenario_interpretation"))
-        rows = rows.join(hit, ts.BATCH, "left")
-    else:
-        rows = rows.withColumn("scenario_interpretation", F.lit(None).cast("string"))
-    if channels is not None:
-        entry = F.struct(
-            "channel", F.struct(F.round("drift_score", 6).alias("drift_score"), image_severity(F.col("drift_score"), config).alias("severity"))
-        )
-        rows = rows.join(channels.groupBy(ts.BATCH).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("channels")), ts.BATCH)
-    else:
-        rows = rows.withColumn("channels", F.lit(None).cast("map<string,struct<drift_score:double,severity:string>>"))
-    return rows.select(
+    """One nested record per row (batch, drift_score, row_count, and any of the parts a method has)."""
+    absent = {c: F.lit(None).cast(t) for c, t in _RECORD_PARTS.items() if c not in rows.columns}
+    return graded(rows, config).withColumns(absent).select(
         ts.BATCH,
         F.lit(IMAGE_RECORD_VERSION).alias("schema_version"),
         F.lit(f"image_{method}").alias("drift_type"),
         F.lit(method).alias("method"),
         (generated_at if generated_at is not None else F.current_timestamp()).alias("generated_at"),
         F.lit(task_type).alias("task_type"),
-        F.struct(reference.agg(F.count("*")).scalar().alias("size"), F.lit("train").alias("source")).alias("reference"),
+        F.struct(reference_size.alias("size"), F.lit("train").alias("source")).alias("reference"),
         F.struct(F.col("row_count").alias("size")).alias("batch_info"),
         F.struct(F.round("drift_score", 6).alias("drift_score"), "dataset_drift_detected", "severity").alias("overall"),
         "scenario_interpretation",

@@ -20,7 +20,7 @@ HASH = "_hash"
 
 
 def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column]) -> DataFrame:
-    """One row per class with the hash of the row at each rank in ``cuts`` (null for rank 0).
+    """One row per class with the hash of the row at each rank in ``cuts``; a class cut at rank 0 has none.
 
     ``rows`` has the hash column; a cut is an expression over the class size ``n`` and the class columns.
     """
@@ -43,8 +43,7 @@ def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column]) -> D
     found = ranked.groupBy(*strata).agg(
         *[F.max(F.when(F.col("place") == F.col(f"k_{n}"), F.col(HASH))).alias(f"cut_{n}") for n in cuts]
     )
-    sizes = placed.groupBy(*strata).agg(F.first("n").alias("n"))
-    return null_safe_join(sizes, found, strata, "left")
+    return found
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -71,7 +70,7 @@ def take_per_class(
     label = F.lit(rest)
     for cut in reversed(list(cuts)):
         label = F.when(_below(cut), F.lit(cut)).otherwise(label)
-    joined = null_safe_join(rows, limits, strata)
+    joined = null_safe_join(rows, limits, strata, "left")
     return joined.select(*df.columns, label.alias(name))
 
 
@@ -163,9 +162,10 @@ def holdout_tabular(df: DataFrame, label: str, key: str, ratio: float, task_type
     if task_type == "classification" and facts["least"] >= 2:
         cut = F.least(half_even(F.col("n") * F.lit(ratio)), F.col("n") - 1)
         return take_per_class(df, [label], key, seed, {"holdout": cut}, "part", "train")
-    one = df.withColumn("_all", F.lit(1))
+    rows = _keyed(df, key, seed).withColumn("_all", F.lit(1))
     cut = clip(half_even(F.col("n") * F.lit(ratio)), 1, total - 1)
-    return take_per_class(one, ["_all"], key, seed, {"holdout": cut}, "part", "train").drop("_all")
+    limit = class_cuts(rows, ["_all"], {"holdout": cut}).select("cut_holdout").scalar()
+    return rows.select(*df.columns, F.when(F.col(HASH) <= limit, "holdout").otherwise("train").alias("part"))
 
 
 def drift_val_slice(df: DataFrame, label: str, is_drifted: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
@@ -191,8 +191,8 @@ def weighted_resample(df: DataFrame, weight: str, key: str, size: int, seed: int
     The draw of a row depends on its key and the seed only, so a repeated task gives the same rows. The
     number of rows is ``size`` in expectation. ``copy_no`` numbers the copies.
     """
-    total = df.agg(F.sum(weight)).scalar()
-    rate = F.lit(float(size)) * F.col(weight) / total
+    total = df.agg(F.sum(weight).alias("t")).first()["t"] or 1.0
+    rate = F.col(weight) * F.lit(float(size) / float(total))
     rows = df.withColumns({"_rate": rate, "_u": hash_fraction(seeded_hash(seed, key))})
     return (
         rows.withColumn("_k", _poisson(F.col("_rate"), F.col("_u")))
@@ -204,15 +204,18 @@ def weighted_resample(df: DataFrame, weight: str, key: str, size: int, seed: int
 
 def _poisson(rate: Column, u: Column) -> Column:
     """Inverse Poisson distribution at u for rates up to 30, its normal approximation beyond."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"))
+    none = F.exp(-rate)
+    start = F.struct(F.lit(0).alias("k"), none.alias("term"), none.alias("cdf"), rate.alias("rate"), u.alias("u"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * rate / i
-        grow = u >= acc["cdf"]
+        term = acc["term"] * acc["rate"] / i
+        grow = acc["u"] >= acc["cdf"]
         return F.struct(
             F.when(grow, i.cast("int")).otherwise(acc["k"]).alias("k"),
             F.when(grow, term).otherwise(acc["term"]).alias("term"),
             F.when(grow, acc["cdf"] + term).otherwise(acc["cdf"]).alias("cdf"),
+            acc["rate"].alias("rate"),
+            acc["u"].alias("u"),
         )
 
     steps = F.least(F.lit(120), F.ceil(rate + 10.0 * F.sqrt(rate) + 10.0)).cast("int")

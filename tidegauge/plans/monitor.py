@@ -63,10 +63,13 @@ def monitor_images(
     sizes = batch_sizes(batches, batch).where(F.col("row_count") >= config.min_batch_size)
     channels = im.channel_wasserstein(reference, kept, batch)
     profile = im.scale_profile(im.multiscale(reference, kept, batch, config))
-    match = None if signatures is None else im.match_scenarios(channels, signatures, report, config)
-    return im.image_records(
-        channels, im.overall_score(channels), profile, match, sizes, reference, "statistical", generated_at=generated_at, config=config
-    )
+    rows = im.channel_summary(channels, config).join(sizes, BATCH).join(profile, BATCH, "left")
+    if signatures is not None:
+        match = im.match_scenarios(channels, signatures, report, config)
+        found = F.struct(*[c for c in match.columns if c != BATCH]).alias("scenario_interpretation")
+        rows = rows.join(match.select(BATCH, found), BATCH, "left")
+    size = reference.agg(F.count("*")).scalar()
+    return im.image_records(rows, size, "statistical", generated_at=generated_at, config=config)
 
 
 def monitor_embeddings(
@@ -74,14 +77,10 @@ def monitor_embeddings(
     batch_rows: DataFrame,
     name: str,
     vector: str,
-    profile: DataFrame | None = None,
     config: ImageDriftConfig = ImageDriftConfig(),
     generated_at: Column | None = None,
 ) -> DataFrame:
     """The record of one batch from the MMD of its embeddings; an empty table where the batch is too small."""
     score = embedding_mmd(reference, batch_rows, vector).where(F.col("m") >= config.min_batch_size)
-    overall = score.select(F.lit(name).alias(BATCH), F.col("mmd").alias("drift_score"))
-    sizes = score.select(F.lit(name).alias(BATCH), F.col("m").alias("row_count"))
-    if profile is None:
-        profile = overall.select(BATCH, F.lit(None).cast("double").alias("scale_decay_ratio"), F.lit(None).cast("string").alias("interpretation"))
-    return im.image_records(None, overall, profile, None, sizes, reference, "embedding", generated_at=generated_at, config=config)
+    rows = score.select(F.lit(name).alias(BATCH), F.col("mmd").alias("drift_score"), F.col("m").alias("row_count"), "n")
+    return im.image_records(rows, F.col("n"), "embedding", generated_at=generated_at, config=config)
