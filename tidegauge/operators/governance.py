@@ -283,7 +283,9 @@ def decision_records(decisions: DataFrame, metrics: DataFrame, verdicts: DataFra
 
 def report_age(generated_at: Column, now: Column) -> dict[str, Column]:
     """Age columns of a report time given as text; text without a zone is UTC, unreadable text gives nulls."""
-    at = F.try_to_timestamp(generated_at)
+    clock = F.when(F.length(generated_at) == 10, F.concat(generated_at, F.lit("T00:00:00"))).otherwise(generated_at)
+    has_zone = F.rlike(generated_at, F.lit(r"(Z|[+-]\d\d:?\d\d)$"))
+    at = F.try_to_timestamp(F.when(has_zone, generated_at).otherwise(F.concat(clock, F.lit("Z"))))
     seconds = F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(at) / 1e6
     days = F.floor(seconds / 86400).cast("bigint")
     return {"age_days": days, "age_hours": F.round(seconds / 3600, 1), "is_stale": days >= STALE_DAYS}

@@ -12,8 +12,8 @@ START = "window_start"
 
 
 def with_window(df: DataFrame, time: str, size: str) -> DataFrame:
-    """Add the start of each row's tumbling window."""
-    return df.withColumn(START, F.window(F.col(time).cast("timestamp"), size)["start"])
+    """Add the start of each row's tumbling window, by the time as it is stored."""
+    return df.withColumn(START, F.window(time, size)["start"])
 
 
 def windowed_ks(reference: DataFrame, rows: DataFrame, features: list[str], time: str, size: str) -> DataFrame:
