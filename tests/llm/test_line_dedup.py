@@ -1,5 +1,8 @@
 from collections import Counter, defaultdict
 
+import pytest
+
+from tidegauge.llm import line_dedup
 from tidegauge.llm.line_dedup import drop_site_lines
 
 
@@ -22,7 +25,9 @@ def run(spark, rows, ratio, least):
     return {r["doc_id"]: r for r in out.collect()}
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_lines_against_brute_force(spark, bound, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_MARKS", bound)
     rows = [("a", f"menu\nown {i}\n\n menu \nfooter") for i in range(8)]
     rows += [("a", "menu"), ("a", ""), ("a", None), ("a", "own 1\nown 1"), ("b", "menu\nfooter"), ("b", "plain")]
     rows += [(None, "menu\nfooter")] * 6 + [("c", "x\n" * 5000 + "menu")] * 2

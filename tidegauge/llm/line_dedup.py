@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 RATIO = 0.1
 MIN_PAGES = 5
+# Sites and boilerplate lines that may be broadcast (about 50 bytes each), and over how many tasks a site's pages are
+# dealt when there are more.
+BROADCAST_MARKS = 200_000
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -59,8 +65,17 @@ def drop_site_lines(
     """
     lines = _fresh(df, "boilerplate_lines")
     site = _fresh(df, "boilerplate_host")
-    found = boilerplate(df, host, text, ratio, min_pages).select(F.col("host").alias(site), F.col("lines").alias(lines))
-    joined = df.join(found, F.col(host) == F.col(site), "left")
+    found = checkpointed(boilerplate(df, host, text, ratio, min_pages)).select(
+        F.col("host").alias(site), F.col("lines").alias(lines)
+    )
+    size = found.agg(F.count(F.lit(1)), F.sum(F.size(lines))).first()
+    if size[0] + (size[1] or 0) <= BROADCAST_MARKS:
+        joined = df.join(F.broadcast(found), F.col(host) == F.col(site), "left")
+    else:  # a site's pages are dealt over several tasks, each with the site's lines
+        salt, part = _fresh(df, "boilerplate_salt"), _fresh(df, "boilerplate_part")
+        dealt = found.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        joined = salted.join(dealt, (F.col(host) == F.col(site)) & (F.col(salt) == F.col(part)), "left")
     kept = F.filter(_lines(F.col(text)), lambda line: ~F.array_contains(F.col(lines), _mark(line)))
     clean = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
