@@ -31,6 +31,9 @@ HOT_SAMPLE = 16
 HOT_LEAST = 64
 HOT_MOST = 100_000
 SHARD_BYTES = 4 * 1024 * 1024
+# Bits of the sieve that spares anchors that occur once the shuffle; its size is fixed (4 MB), so on larger inputs it
+# lets more of them through to the exact join behind it.
+SIEVE_BITS = 1 << 25
 NULL_ID = -(2**63)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -222,6 +225,16 @@ def _hot_anchors(docs: DataFrame, runs) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows.select("anchor").collect()], np.int64))
 
 
+def _sieve(again: DataFrame) -> np.ndarray:
+    """A bit for each remainder of a repeated anchor, as 64-bit words; at most SIEVE_BITS / 64 rows come here."""
+    place = F.pmod(F.col("anchor"), F.lit(SIEVE_BITS))
+    words = again.select((place / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(anchor, {SIEVE_BITS}) % 64 as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
+    sieve[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return sieve
+
+
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(documents, marks): documents has did and text; marks has, per did, the windows that start earlier elsewhere.
 
@@ -231,21 +244,28 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(text).cast("binary").alias("text")
     )
 
-    def runs(source: DataFrame, hot: np.ndarray) -> DataFrame:
-        shared = source.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MOST numbers
+    def runs(source: DataFrame, hot: np.ndarray, sieve: np.ndarray | None = None) -> DataFrame:
+        shared = source.sparkSession.sparkContext.broadcast((hot, sieve))  # HOT_MOST numbers and SIEVE_BITS at most
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in chunks(batches):
-                whose, start, count, anchor, content = segments(raw(rows.column(1)), shared.value, window)
+                hot, sieve = shared.value
+                found = segments(raw(rows.column(1)), hot, window)
+                if sieve is not None:
+                    place = found[3] % SIEVE_BITS
+                    kept = (sieve[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                    found = [x[kept] for x in found]
+                whose, start, count, anchor, content = found
                 ids = rows.column(0).to_numpy(zero_copy_only=False)[whose]
                 columns = [anchor, content, ids, start.astype(np.int32), count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "did", "start", "n"])
 
         return source.mapInArrow(cut, "anchor long, content long, did long, start int, n int")
 
-    every = runs(docs, _hot_anchors(docs, runs))
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    candidates = checkpointed(every.join(again, "anchor", "left_semi"))
+    hot = _hot_anchors(docs, runs)
+    counts = runs(docs, hot).groupBy("anchor").agg(F.count(F.lit(1)).alias("times"))
+    again = checkpointed(counts.where("times > 1").select("anchor"))
+    candidates = checkpointed(runs(docs, hot, _sieve(again)).join(again, "anchor", "left_semi"))
     distinct = candidates.groupBy("anchor", "content").agg(
         F.min(F.struct("did", "start", "n")).alias("first")
     )
