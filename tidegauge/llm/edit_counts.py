@@ -44,8 +44,7 @@ class Counter:
         if len(self.known) + len(new) > CACHE_PARTS:
             self.known.clear()
             new = list(parts)
-        codes = self.encoder.model.encode_batch(new, add_special_tokens=False)
-        self.known.update((p, len(c.ids)) for p, c in zip(new, codes))
+        self.known.update((p, len(self.encoder.pre_token(p))) for p in new)
 
     def forget_long(self, parts: set[str]) -> None:
         for p in parts:

@@ -8,12 +8,26 @@ import re
 import numpy as np
 
 # Parts a worker remembers, and the longest part worth remembering (characters).
-CACHE_PARTS = 400_000
+CACHE_PARTS = 1_200_000
 CACHE_CHARS = 64
 
 # A blank before a character that is not white space always starts a pre-token, so parts cut there are encoded alone.
 _CUT = re.compile(r" (?=\S)")
 _OTHER = re.compile(r" (?:\s|$)")
+# Letters below this character, and a mark after them, are told from their code points alone; all other parts go
+# through the whole tokenizer.
+_PLAIN = "\u0250"
+_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the rest for 256 and on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -26,16 +40,28 @@ class Encoder:
         self.model = Tokenizer.from_file(tokenizer)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.marks = {m: self.pre_token(m) for m in _MARKS}
 
     def parts(self, text: str) -> list[str]:
         """The text cut before each blank that starts a word; all but the first part lack that blank."""
         return _CUT.split(text) if _OTHER.search(text) else text.split(" ")
 
+    def pre_token(self, text: str) -> list[int]:
+        """Ids of one pre-token, by the model's merges alone."""
+        return [t.id for t in self.model.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
+
     def _learn(self, parts: set[str], blank: str) -> dict[str, bytes]:
-        """Ids of the parts not yet known; long ones are not remembered."""
-        new = list(parts)
-        codes = self.model.encode_batch([blank + p for p in new], add_special_tokens=False)
-        found = {p: np.array(c.ids, "<u4").tobytes() for p, c in zip(new, codes)}
+        """Ids of ``blank`` and each part."""
+        found, others = {}, []
+        for p in parts:
+            body = p[:-1] if p[-1:] in self.marks else p
+            if body.isalpha() and max(body) < _PLAIN:  # one pre-token, and one for the mark
+                ids = self.pre_token(blank + body)
+                found[p] = np.array(ids + self.marks[p[-1]] if body is not p else ids, "<u4").tobytes()
+            else:
+                others.append(p)
+        codes = self.model.encode_batch([blank + p for p in others], add_special_tokens=False)
+        found.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(others, codes))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
