@@ -39,6 +39,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(tokenizer)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.model.model.tokenize  # looked up once: each look makes a new wrapper
         self.known: dict[str, bytes] = {}
         self.marks = {m: self.pre_token(m) for m in _MARKS}
 
@@ -48,7 +49,7 @@ class Encoder:
 
     def pre_token(self, text: str) -> list[int]:
         """Ids of one pre-token, by the model's merges alone."""
-        return [t.id for t in self.model.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
+        return [t.id for t in self.merges(text.encode().decode("latin-1").translate(_LETTERS))]
 
     def _learn(self, parts: set[str], blank: str) -> dict[str, bytes]:
         """Ids of ``blank`` and each part."""
