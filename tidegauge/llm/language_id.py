@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, raw
+from .common import checkpointed, chunks, raw
 
 # The classifier is fitted on at most this many labelled texts of each language, those with the least hashes.
 SAMPLE_PER_LANG = 2000
@@ -19,6 +19,8 @@ SAMPLE_PER_LANG = 2000
 PROFILE = 400
 LONGEST = 3
 UNKNOWN = "und"
+# Languages whose bounds may be broadcast (a name and a number each).
+BROADCAST_LANGS = 100_000
 _POINTS = 0x110000
 
 
@@ -124,6 +126,9 @@ def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang", key: str
         .groupBy("lang")
         .agg(F.max("draw").alias("bound"))
     )
+    bound = checkpointed(bound)
+    if bound.count() <= BROADCAST_LANGS:
+        bound = F.broadcast(bound)
     sample = rows.join(bound, "lang").where("draw <= bound").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
