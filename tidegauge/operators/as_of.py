@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +14,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
 
     Both sides are cut into time spans of ``width``. Inside a span a window finds the record; the last record
     of each span is carried on through a small table. So the rows of a busy key are sorted span by span, not
-    all in one task.
+    all in one task. A row with a null key or time matches nothing and stays.
     """
+    whole = left
+    timed = reduce(and_, [F.col(k).isNotNull() for k in keys], F.col(left_time).isNotNull())
+    left = whole.where(timed)
     span = F.window(F.col("_at").cast("timestamp"), width)["start"]
     record = F.struct(*[F.col(c) for c in right.columns])
     row = F.struct(*[F.col(c) for c in left.columns])
@@ -29,7 +35,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select(*keys, "_span", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     joined = inside.where(F.col("_row").isNotNull()).join(carried, [*keys, "_span"])
-    return joined.select("_row.*", F.coalesce("_in", "_carried").alias("match"))
+    found = joined.select("_row.*", F.coalesce("_in", "_carried").alias("match"))
+    none = F.lit(None).cast(found.schema["match"].dataType).alias("match")
+    return found.unionByName(whole.where(~timed).select(*whole.columns, none))
 
 
 def _type(df: DataFrame, column):

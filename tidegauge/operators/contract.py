@@ -58,10 +58,11 @@ def text_dtype_table(df: DataFrame, contract: DataContract) -> DataFrame:
 
 def row_count_check(df: DataFrame, contract: DataContract, by: str | None = None) -> DataFrame:
     """(split, observed, limit, ok) for the minimum number of rows."""
+    count = F.count("*").alias("observed")
+    # without splits an empty table still has a count
+    counted = df.agg(count).withColumn("split", F.lit("all")) if by is None else df.groupBy(F.col(by).alias("split")).agg(count)
     return (
-        df.groupBy(_split(by).alias("split"))
-        .agg(F.count("*").alias("observed"))
-        .select("split", "observed", F.lit(contract.min_rows).cast("bigint").alias("limit"), (F.col("observed") >= contract.min_rows).alias("ok"))
+        counted.select("split", "observed", F.lit(contract.min_rows).cast("bigint").alias("limit"), (F.col("observed") >= contract.min_rows).alias("ok"))
     )
 
 
@@ -90,6 +91,8 @@ def null_fail_fast(df: DataFrame, features: list[str]) -> DataFrame:
 
 def unknown_labels(df: DataFrame, contract: DataContract, by: str | None = None) -> DataFrame:
     """(split, label) of non-null target values outside the contract's classes; none for regression."""
+    if contract.target not in df.columns:  # the schema findings name it
+        return df.select(_split(by).alias("split"), F.lit(None).cast("string").alias("label")).where(F.lit(False))
     found = df.where(F.col(contract.target).isNotNull()).select(
         _split(by).alias("split"), F.col(contract.target).cast("string").alias("label")
     )

@@ -152,7 +152,7 @@ def current_production(versions: DataFrame, stage: str = PRODUCTION) -> DataFram
 def production_metrics(versions: DataFrame, run_metrics: DataFrame) -> DataFrame:
     """(model, version, metric, value): evaluation metrics of the current production run, prefix removed."""
     evals = run_metrics.where(F.startswith("key", F.lit(METRIC_PREFIX))).select(
-        "run_id", F.substring("key", len(METRIC_PREFIX) + 1, 1000).alias("metric"), "value"
+        "run_id", F.expr(f"substr(key, {len(METRIC_PREFIX) + 1})").alias("metric"), "value"
     )
     return current_production(versions).join(evals, "run_id").select("model", "version", "metric", "value")
 

@@ -26,11 +26,17 @@ ALGORITHMS = {
 }
 
 
+def _depth(wanted: int | None) -> int:
+    if wanted is not None and wanted > MAX_DEPTH:
+        raise ValueError(f"max_depth {wanted} is above {MAX_DEPTH}, the deepest tree Spark grows")
+    return MAX_DEPTH if wanted is None else wanted
+
+
 def _forest_args(hp: dict, seed: int) -> dict:
     return {
         "numTrees": hp["n_estimators"],
-        "maxDepth": MAX_DEPTH if hp["max_depth"] is None else min(hp["max_depth"], MAX_DEPTH),
-        "minInstancesPerNode": max(1, hp["min_samples_split"] // 2),
+        "maxDepth": _depth(hp["max_depth"]),
+        "minInstancesPerNode": 1,  # Spark has no least size of a node to split
         "seed": seed,
     }
 
@@ -40,13 +46,13 @@ def random_forest_classifier(hp: dict, seed: int, rows: int):
 
 
 def random_forest_regressor(hp: dict, seed: int, rows: int):
-    return RandomForestRegressor(**_forest_args({**FOREST, **hp}, seed))
+    return RandomForestRegressor(featureSubsetStrategy="all", **_forest_args({**FOREST, **hp}, seed))
 
 
 def logistic_regression(hp: dict, seed: int, rows: int):
     """Spark divides the loss by the number of rows, so the penalty 1/C is divided too."""
     hp = {**LOGISTIC, **hp}
-    return LogisticRegression(regParam=1.0 / (hp["C"] * max(rows, 1)), maxIter=hp["max_iter"])
+    return LogisticRegression(regParam=1.0 / (hp["C"] * max(rows, 1)), maxIter=hp["max_iter"], standardization=False)
 
 
 def linear_regression(hp: dict, seed: int, rows: int):
@@ -59,7 +65,7 @@ def gradient_boosting_regressor(hp: dict, seed: int, rows: int):
     return GBTRegressor(
         maxIter=hp["max_iter"],
         stepSize=hp["learning_rate"],
-        maxDepth=min(hp["max_depth"], MAX_DEPTH),
+        maxDepth=_depth(hp["max_depth"]),
         minInstancesPerNode=hp["min_samples_leaf"],
         seed=seed,
     )

@@ -12,10 +12,10 @@ from tidegauge.plans.monitor import monitor
 
 
 
-def logged_batches(spark: SparkSession, history: str) -> DataFrame | None:
-    """The batch names in the history, or None before its first row."""
+def logged_batches(spark: SparkSession, history: str, model: str) -> DataFrame | None:
+    """The batch names of a model in the history, or None before its first row."""
     try:
-        return spark.read.parquet(history).select(BATCH).distinct()
+        return spark.read.parquet(history).where(F.col("model") == model).select(BATCH).distinct()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
@@ -26,7 +26,7 @@ def log_batches(
     rows: DataFrame, reference: DataFrame, features: list[str], batch: str, history: str, config: DriftConfig, model: str
 ) -> None:
     """Append the records of the batches that the history does not hold yet; a replay adds nothing."""
-    done = logged_batches(rows.sparkSession, history)
+    done = logged_batches(rows.sparkSession, history, model)
     fresh = rows.where(F.col(batch).isNotNull())
     if done is not None:
         fresh = fresh.join(done, fresh[batch].cast("string") == done[BATCH], "left_anti")
