@@ -9,7 +9,7 @@ from .line_dedup import drop_site_lines
 # Both engines' trim takes spaces only.
 LINES_SQL = """
 WITH lines AS (
-  SELECT source, list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x))) AS own
+  SELECT source, list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS own
   FROM documents WHERE source IS NOT NULL),
 totals AS (SELECT source, count(*) AS pages FROM lines GROUP BY source),
 counts AS (
@@ -20,7 +20,7 @@ dropped AS (
   WHERE line <> '' AND n >= 5 AND n > 0.1 * pages GROUP BY source),
 kept AS (
   SELECT d.doc_id, string_split(d.text, chr(10)) AS old,
-    list_filter(string_split(d.text, chr(10)), x -> NOT list_contains(coalesce(b.gone, []), trim(x))) AS new
+    list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(b.gone, []), trim(x))) AS new
   FROM documents d LEFT JOIN dropped b ON d.source = b.source)
 SELECT doc_id, CAST(len(old) AS BIGINT) AS n_lines, CAST(len(old) - len(new) AS BIGINT) AS n_dropped,
   sha256(array_to_string(new, chr(10))) AS kept_sha256
