@@ -61,8 +61,10 @@ class Pieces:
 
 def words(text: Column) -> Column:
     """A text's words in order; their concatenation is the text with a leading mark. Null and empty texts have none."""
-    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(text != "", F.split(marked, f"(?={MARK})|(?=\n)|(?<=\n)", -1))
+    # After the first step blanks only separate, so one literal character splits the text.
+    opened = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(" "), F.lit(" " + MARK))
+    apart = F.replace(opened, F.lit("\n"), F.lit(" \n "))
+    return F.when(text != "", F.array_remove(F.split(F.concat(F.lit(MARK), apart), " ", -1), ""))
 
 
 def _key(word: Column) -> Column:
@@ -70,54 +72,52 @@ def _key(word: Column) -> Column:
 
 
 def _edges(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, word, edge) from (key, word) with distinct keys."""
+    """(key, long, edge) from (key, word) with distinct keys; ``long`` is the word where the key is its hash.
+
+    ``back`` holds an edge's start and, from 1, its piece; 0 stands for a character without one.
+    """
     reach = pieces.longest
     slices = keyed.select(
-        "key", "word", F.explode(F.expr(f"sequence(0, length(word) - 1, {SHORT})")).alias("base")
-    ).withColumn("slice", F.expr(f"substring(word, base + 1, {SHORT + reach - 1})"))
+        "key", F.expr("if(word = key, null, word)").alias("long"), "word", F.explode(F.expr(f"sequence(0, length(word) - 1, {SHORT})")).alias("base")
+    ).select("key", "long", "base", F.expr(f"substring(word, base + 1, {SHORT + reach - 1})").alias("slice"))
     begins = slices.withColumn("i", F.explode(F.expr(f"sequence(1, least({SHORT}, length(slice)))")))
     spans = begins.withColumn("n", F.explode(F.expr(f"sequence(1, least({reach}, length(slice) - i + 1))")))
-    found = spans.withColumn("piece", F.expr("substring(slice, i, n)")).join(
+    found = spans.select("key", "long", "n", F.expr("base + i - 1").alias("start"), F.expr("substring(slice, i, n)").alias("piece")).join(
         F.broadcast(pieces.table(keyed.sparkSession)), "piece", "left"
     )
     return found.where("id is not null or n = 1").select(
         "key",
-        "word",
+        "long",
         F.struct(
-            F.expr("base + i - 1 + n").alias("stop"),
-            F.expr("base + i - 1").alias("start"),
-            F.coalesce("id", F.lit(-1)).alias("id"),
+            F.expr("start + n").alias("stop"),
+            "start",
+            F.expr("shiftleft(cast(start as bigint), 32) + coalesce(id + 1, 0)").alias("back"),
             F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-            F.expr("if(id is null, cast(piece as binary), null)").alias("raw"),
         ).alias("edge"),
     )
 
 
-_STATE = "struct<scores:array<double>,backs:array<struct<start:int,id:int,raw:binary>>,score:double,back:struct<start:int,id:int,raw:binary>,stop:int>"
-
 # One pass over the edges by (stop, start): the best way to each place is closed when the first edge to the next comes.
 # Every place has an edge, since a single character always has one. Of equal ways the longest last piece wins.
-_FOLD = f"""
+# The state starts with the place 0, which takes no edge; ``scores`` and ``backs`` are those of closed places.
+_FOLD = """
 aggregate(edges,
-  cast(named_struct('scores', array(0D), 'backs', array(), 'score', null, 'back', null, 'stop', 0) as {_STATE}),
+  named_struct('scores', cast(array() as array<double>), 'backs', cast(array() as array<bigint>), 'score', 0D, 'back', 0L, 'stop', 0),
   (s, e) -> if(e.stop = s.stop,
     if(s.scores[e.start] + e.score > s.score,
-      cast(named_struct('scores', s.scores, 'backs', s.backs, 'score', s.scores[e.start] + e.score,
-        'back', named_struct('start', e.start, 'id', e.id, 'raw', e.raw), 'stop', s.stop) as {_STATE}),
+      named_struct('scores', s.scores, 'backs', s.backs, 'score', s.scores[e.start] + e.score, 'back', e.back, 'stop', s.stop),
       s),
-    if(s.stop = 0,
-      cast(named_struct('scores', s.scores, 'backs', s.backs, 'score', s.scores[0] + e.score,
-        'back', named_struct('start', e.start, 'id', e.id, 'raw', e.raw), 'stop', e.stop) as {_STATE}),
-      cast(named_struct('scores', concat(s.scores, array(s.score)), 'backs', concat(s.backs, array(s.back)),
-        'score', if(e.start = s.stop, s.score, s.scores[e.start]) + e.score,
-        'back', named_struct('start', e.start, 'id', e.id, 'raw', e.raw), 'stop', e.stop) as {_STATE}))),
+    named_struct('scores', concat(s.scores, array(s.score)), 'backs', concat(s.backs, array(s.back)),
+      'score', if(e.start = s.stop, s.score, s.scores[e.start]) + e.score, 'back', e.back, 'stop', e.stop)),
   s -> concat(s.backs, array(s.back)))
 """
 
 _TRACE = """
-aggregate(sequence(size(backs), 1, -1),
-  named_struct('at', size(backs), 'path', cast(array() as array<struct<start:int,id:int,raw:binary>>)),
-  (s, p) -> if(p = s.at, named_struct('at', backs[p - 1].start, 'path', concat(array(backs[p - 1]), s.path)), s),
+aggregate(sequence(size(backs) - 1, 1, -1),
+  named_struct('at', size(backs) - 1, 'path', cast(array() as array<bigint>)),
+  (s, p) -> if(p = s.at,
+    named_struct('at', cast(shiftright(backs[p], 32) as int), 'path', concat(array(backs[p]), s.path)),
+    s),
   s -> s.path)
 """
 
@@ -125,15 +125,16 @@ aggregate(sequence(size(backs), 1, -1),
 def solve(keyed: DataFrame, pieces: Pieces) -> DataFrame:
     """(key, ids, unknown, whole) for distinct (key, word): the best pieces, how many of them stand for a byte, and
     whether decoding them gives the word again. Stays in the partitioning by key that its input has."""
-    grouped = _edges(keyed, pieces).groupBy("key", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    traced = grouped.withColumn("backs", F.expr(_FOLD)).withColumn("path", F.expr(_TRACE))
+    grouped = _edges(keyed, pieces).groupBy("key", "long").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    traced = grouped.select("key", F.coalesce("long", "key").alias("word"), F.expr(_FOLD).alias("backs")).withColumn("path", F.expr(_TRACE))
     octets = "array(" + ",".join(map(str, pieces.bytes)) + ")"
+    letter = "substring(word, cast(shiftright(e, 32) as int) + 1, 1)"  # of an edge without a piece
     spelled = (
-        "transform(sequence(1, octet_length(e.raw)), i -> "
-        f"element_at({octets}, cast(conv(hex(substring(e.raw, i, 1)), 16, 10) as int) + 1))"
+        f"transform(sequence(1, octet_length({letter})), i -> "
+        f"element_at({octets}, cast(conv(hex(substring(cast({letter} as binary), i, 1)), 16, 10) as int) + 1))"
     )
-    ids = F.expr(f"flatten(transform(path, e -> if(e.id >= 0, array(e.id), {spelled})))")
-    unknown = F.expr("aggregate(path, 0, (n, e) -> n + if(e.id >= 0, 0, octet_length(e.raw)))")
+    ids = F.expr(f"flatten(transform(path, e -> if((e & 4294967295) > 0, array(cast(e & 4294967295 as int) - 1), {spelled})))")
+    unknown = F.expr(f"aggregate(path, 0, (n, e) -> n + if((e & 4294967295) > 0, 0, octet_length({letter})))")
     return traced.select("key", "word", ids.alias("ids"), unknown.alias("unknown")).select(
         "key", "ids", "unknown", (decoded(F.col("ids"), pieces) == F.col("word").cast("binary")).alias("whole")
     )
