@@ -16,12 +16,10 @@ from tidegauge.llm.fm_dedup import without_repeats
 from tidegauge.llm.language_id import UNKNOWN, fit_profiles, prediction
 from tidegauge.llm.line_dedup import drop_site_lines
 from tidegauge.llm.packing import pack
-from tidegauge.llm.simhash_vp import near_groups
+from tidegauge.llm.simhash_vp import similar_groups
 
-# Five-word shingles. Fingerprints six bits apart mean a resemblance well above 0.8; unrelated texts come that near once
-# in 10^11 pairs.
 NEAR_WORDS = 5
-NEAR_BITS = 6
+NEAR_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id cannot be named, so they stay.
     """
-    groups = near_groups(docs, shingle=NEAR_WORDS, radius=NEAR_BITS)
+    groups = similar_groups(docs, shingle=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -1,8 +1,20 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
 
-from tidegauge.llm.simhash_vp import block_masks, fingerprint, fingerprints, links, near_groups, near_pairs
+from tidegauge.llm.simhash_vp import (
+    PARTS,
+    block_masks,
+    fingerprint,
+    fingerprints,
+    links,
+    near_groups,
+    near_pairs,
+    similar_groups,
+    similarity_radius,
+)
 
 
 def plain(text, shingle):
@@ -14,6 +26,29 @@ def plain(text, shingle):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_wide(text, shingle):
+    """The parts side by side in one integer, all from one hash of each shingle."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    runs = [words[i : i + shingle] for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashes, out, low = [xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs], 0, (1 << 64) - 1
+    for part in range(PARTS):
+        mixed = []
+        for h in hashes:
+            if part:
+                h = (h + part * 0x9E3779B97F4A7C15) & low
+                h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & low
+                h = ((h ^ h >> 27) * 0x94D049BB133111EB) & low
+                h ^= h >> 31
+            mixed.append(h)
+        out |= sum(1 << 64 * part + b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+    return out
+
+
+def brute_similar(rows, shingle=5, similarity=0.8):
+    marks = [(i, plain_wide(t, shingle)) for i, t in rows]
+    return [(i, c) for i, _, c in groups(marks, similarity_radius(similarity))]
+
+
 def groups(marks, radius):
     """Least id reachable, over all pairs."""
     left, out = set(range(len(marks))), {}
@@ -50,8 +85,47 @@ def test_given_documents(small):
     assert got(small) == brute(rows, 4, 4)
 
 
+def similar(df):
+    return sorted(((r["doc_id"], r["component_id"]) for r in similar_groups(df).collect()), key=str)
+
+
+def test_similar_messy(messy, messy_rows):
+    assert similar(messy) == sorted(brute_similar([(r[0], r[1]) for r in messy_rows]), key=str)
+
+
+def test_similar_given_documents(small):
+    rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    assert similar(small) == sorted(brute_similar(rows), key=str)
+
+
+def test_similar_finds_resemblance_of_four_fifths(spark, monkeypatch):
+    """Of pairs with a resemblance of 0.8 to 0.95, nine in ten are found; of pairs of 0.6 and of others, none."""
+    monkeypatch.setattr("tidegauge.llm.simhash_vp.SHARD_POINTS", 16)
+    rng, rows, alike = random.Random(4), [], {}
+    for base in range(0, 800, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        aim = rng.choice([0.6, 0.8, 0.85, 0.9, 0.95])
+        runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        resemblance = lambda: len(runs(words) & runs(other)) / len(runs(words) | runs(other))
+        while True:
+            at = rng.randrange(300)
+            before, other[at] = other[at], f"x{rng.randrange(10**6)}"
+            if resemblance() < aim:
+                other[at] = before
+                break
+        rows += [(base, " ".join(words)), (base + 1, " ".join(other))]
+        alike[base + 1] = resemblance()
+    found = dict(similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert all(c in (i, i & ~1) for i, c in found.items())
+    high = [found[i] == i - 1 for i, r in alike.items() if r >= 0.8]
+    assert len(high) > 200 and sum(high) >= 0.9 * len(high)
+    assert not any(found[i] == i - 1 for i, r in alike.items() if r < 0.65)
+
+
 def test_nothing(nothing):
     assert near_groups(nothing).collect() == []
+    assert similar_groups(nothing).collect() == []
 
 
 @pytest.mark.parametrize(("radius", "equal"), [(4, 1), (6, 1), (4, 2), (0, 1)])
@@ -90,7 +164,7 @@ def test_links_join_what_all_pairs_join(spark, radius, equal, monkeypatch):
 def test_a_branch_is_left_out_only_beyond_the_radius():
     rng = np.random.default_rng(3)
     points = np.unique(rng.integers(0, 2**16, 3000).astype(np.uint64))
-    pairs = {p for i, j in near_pairs(points, 2) for p in zip(i.tolist(), j.tolist())}
+    pairs = {p for i, j in near_pairs(points[:, None], 2) for p in zip(i.tolist(), j.tolist())}
     far = np.bitwise_count(points[:, None] ^ points[None, :])
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(far <= 2)) if i < j}
 

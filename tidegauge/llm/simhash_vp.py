@@ -33,24 +33,51 @@ LEAF = 128
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
+def _hashed_shingles(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in blocks: bounded memory for very long texts."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     reach = min(shingle, len(words)) - 1
-    hashed, counts, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(words) - reach
-    for lo in range(0, total, 1 << 16):  # bounded memory for very long texts
+    hashed, total = xxhash.xxh64_intdigest, len(words) - reach
+    for lo in range(0, total, 1 << 16):
         hi = min(total, lo + (1 << 16))
         spans = zip(starts[lo:hi].tolist(), ends[lo + reach : hi + reach].tolist())
-        values = np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, hi - lo)
-        octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-        for i in range(8):
-            counts[8 * i : 8 * i + 8] += np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+        yield np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, hi - lo)
+
+
+def _votes(values: np.ndarray) -> np.ndarray:
+    """How many of the values have each bit set."""
+    octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
+
+
+def _mixed(values: np.ndarray, part: int) -> np.ndarray:
+    """The hashes of a further part: the values shifted by a multiple of the golden ratio and mixed (SplitMix64)."""
+    if not part:
+        return values
+    x = values + np.uint64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, shingle: int, parts: int) -> np.ndarray:
+    """``parts`` times 64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
+    counts, total = np.zeros((parts, BITS), np.int64), 0
+    for values in _hashed_shingles(text, shingle):
+        total += len(values)
+        for part in range(parts):
+            counts[part] += _votes(_mixed(values, part))
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
+    return int(wide_fingerprint(text, shingle, 1)[0])
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -69,6 +96,14 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _wide_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between all points of ``a`` and of ``b``; the parts of a point lie along the last axis."""
+    away = np.zeros((len(a), len(b)), np.int16)
+    for part in range(a.shape[1]):
+        away += _distance(a[:, part, None], b[None, :, part])
+    return away
+
+
 def block_masks(radius: int, equal: int) -> list[int]:
     """The choices of ``equal`` out of ``radius + equal`` blocks, each as a mask of the bits compared."""
     cuts = [BITS * i // (radius + equal) for i in range(radius + equal + 1)]
@@ -113,7 +148,10 @@ def route(points: np.ndarray, mask: int, tree: tuple[np.ndarray, np.ndarray], de
 
 
 def near_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``radius``, each at least once, by a vantage-point tree over ``points`` in bounded blocks."""
+    """Index pairs within ``radius``, each at least once, by a vantage-point tree over ``points`` in bounded blocks.
+
+    ``points`` has a row for each fingerprint and a column for each of its parts.
+    """
     stack = [(np.arange(len(points)), np.arange(len(points)))]
     while stack:
         inside, asking = stack.pop()
@@ -121,13 +159,13 @@ def near_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
             continue
         split = False
         if len(inside) > LEAF:
-            vantage = points[inside[len(inside) // 2]]
-            away = _distance(points[inside], vantage)
+            vantage = points[inside[len(inside) // 2]][None, :]
+            away = _wide_distance(points[inside], vantage)[:, 0]
             middle = int(np.median(away))
             right = away > middle
             if right.any() and not right.all():
                 split = True
-                query = _distance(points[asking], vantage).astype(np.int64)
+                query = _wide_distance(points[asking], vantage)[:, 0]
                 # Within the radius of a point at distance d from the vantage point lie only d - radius .. d + radius.
                 stack.append((inside[~right], asking[query <= middle + radius]))
                 stack.append((inside[right], asking[query > middle - radius]))
@@ -135,7 +173,7 @@ def near_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
             rows = max(1, (1 << 21) // len(inside))
             for lo in range(0, len(asking), rows):
                 block = asking[lo : lo + rows]
-                i, j = np.nonzero(_distance(points[block][:, None], points[inside][None, :]) <= radius)
+                i, j = np.nonzero(_wide_distance(points[block], points[inside]) <= radius)
                 i, j = block[i], inside[j]
                 keep = i < j
                 if keep.any():
@@ -187,7 +225,7 @@ def links(marks: DataFrame, radius: int = 4, equal: int = 1) -> DataFrame:
 
     def join(batch: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(batch["fp"].to_numpy(np.int64).view(np.uint64))
-        root = points[_roots(points, radius)]
+        root = points[_roots(points[:, None], radius)]
         apart = root != points
         return pd.DataFrame({"a": points[apart].view(np.int64), "b": root[apart].view(np.int64)})
 
@@ -215,3 +253,73 @@ def near_groups(
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(ids, "component").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# Wide fingerprints, for a similarity that 64 bits cannot tell: the share of bits in which two texts differ is the
+# angle between their shingle vectors over pi, so 0.8 means 15 % of the bits.
+PARTS = 4
+BLOCK = 11  # Bits that two fingerprints must share to meet in one of the tables, and tables a part of 64 bits gives.
+TABLES = 5
+
+
+def similarity_radius(similarity: float, parts: int = PARTS) -> int:
+    """The bits in which texts of this resemblance differ by expectation, and one standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(parts * BITS * share + np.sqrt(parts * BITS * share * (1 - share)))
+
+
+def similar_groups(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id): the least doc_id reachable over links of resemblance ``similarity`` or more, one row per row.
+
+    Links are pairs of fingerprints of 256 bits within ``similarity_radius``. Each block of 11 bits makes a table, in
+    which a vantage-point tree splits the fingerprints by their distance on the block; a pair that agrees on a block
+    meets in a shard, where a vantage-point tree over all bits finds it. By expectation 97 % of the pairs at 0.8 meet in
+    one of the 20 tables and 99.9 % of those at 0.9. A group of copies is one point. Cells of a table hold a 2,048th of
+    the points, so a corpus over 10^8 different texts wants wider blocks and more parts.
+
+    A null doc_id takes part but is never a component's id unless all of it is null; repeated rows give repeated
+    results; a text without words has fingerprint 0, which links like any other. No rows give no rows.
+    """
+    names = [f"fp{i}" for i in range(PARTS)]
+    radius = similarity_radius(similarity)
+    long_names = ", ".join(f"{n} long" for n in names)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in chunks(batches):
+            marks = np.array([wide_fingerprint(x, shingle, PARTS) for x in raw(rows.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, marks.reshape(-1, PARTS).T.copy())], names=["doc_id", *names])
+
+    source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    marks = checkpointed(source.mapInArrow(mark, f"doc_id long, {long_names}"))
+    nodes = checkpointed(marks.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    points = nodes.withColumn("node", F.monotonically_increasing_id())
+
+    sample = nodes.orderBy(F.xxhash64(*names), *names).limit(SAMPLE // PARTS).select(*names).toPandas().to_numpy(np.int64).view(np.uint64)
+    depth = max(0, int(np.ceil(np.log2(max(1, nodes.count() / SHARD_POINTS)))))
+    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 4)))))
+    masks = [(part, ((1 << BLOCK) - 1) << BLOCK * i) for part in range(PARTS) for i in range(TABLES)]
+    tables = [(part, mask, grow(np.ascontiguousarray(sample[:, part]), mask, depth)) for part, mask in masks]
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, (part, mask, tree) in enumerate(shared.value):
+                own = batch.column(part).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(mask)
+                shard = (np.int64(number) << np.int64(40)) | route(own, mask, tree, depth)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", *batch.schema.names])
+
+    def join(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("node")
+        node = batch["node"].to_numpy(np.int64)
+        root = node[_roots(batch[names].to_numpy(np.int64).view(np.uint64), radius)]
+        apart = root != node
+        return pd.DataFrame({"a": node[apart], "b": root[apart]})
+
+    placed = points.select(*names, "node").mapInArrow(place, f"shard long, {long_names}, node long")
+    found = components(placed.groupBy("shard").applyInPandas(join, "a long, b long"))
+    grouped = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(ids, "component").select(*names, "component_id")
+    return marks.join(named, names).select("doc_id", "component_id")
