@@ -68,7 +68,10 @@ def pieces_for(df: DataFrame, piece_bytes: int) -> int:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices whose texts sum to about ``limit`` bytes; a longer text is a slice alone."""
+    """The rows of ``batches`` in slices whose texts sum to about ``limit`` bytes; a longer text is a slice alone.
+
+    At the end Arrow's unused memory goes back to the machine, since the worker lives on for other tasks.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
@@ -82,6 +85,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def raw(column: pa.Array) -> list:

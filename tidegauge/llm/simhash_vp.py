@@ -29,6 +29,8 @@ SEED = 42
 SHARD_POINTS = 2048
 SAMPLE = 65_536
 LEAF = 128
+# Distances held at a time, some 30 bytes each where all points are near.
+BLOCK_PAIRS = 1 << 18
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -170,7 +172,7 @@ def near_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
                 stack.append((inside[~right], asking[query <= middle + radius]))
                 stack.append((inside[right], asking[query > middle - radius]))
         if not split:
-            rows = max(1, (1 << 21) // len(inside))
+            rows = max(1, BLOCK_PAIRS // len(inside))
             for lo in range(0, len(asking), rows):
                 block = asking[lo : lo + rows]
                 i, j = np.nonzero(_wide_distance(points[block], points[inside]) <= radius)
