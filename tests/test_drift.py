@@ -189,6 +189,28 @@ def test_monitor_record(spark):
     assert not strict["overall"]["dataset_drift_detected"]
 
 
+@pytest.mark.parametrize("test", ["ks", "psi", "wasserstein"])
+def test_no_feature_and_no_batch_is_lost(spark, test):
+    """A feature or a whole batch without values stays in the record; one that neither side has does not drift."""
+    shape = "x double, c string, none double, b string"
+    ref = spark.createDataFrame([(float(i % 10), "ab"[i % 2], None) for i in range(100)], "x double, c string, none double")
+    side = {"full": (1.0, "a"), "nox": (None, "a"), "nan": (float("nan"), "a"), "empty": (None, None)}
+    rows = [(x and x * (i % 10), c and "ab"[i % 2], None, b) for b, (x, c) in side.items() for i in range(40)]
+    config = DriftConfig(numeric_test=test, numeric_threshold=0.05 if test == "ks" else 0.1)
+    got = {r["batch"]: r for r in monitor(ref, spark.createDataFrame(rows, shape), ["x", "c", "none"], "b", config).collect()}
+    assert set(got) == set(side)
+    assert all(r["overall"]["total_feature_count"] == 3 and set(r["features"]) == {"x", "c", "none"} for r in got.values())
+    lost = {"full": [], "nox": ["x"], "nan": ["x"], "empty": ["c", "x"]}
+    for name, record in got.items():
+        assert record["warnings"] == [f"missing_feature:{f}" for f in lost[name]]
+        assert record["overall"]["drifted_feature_count"] == len(lost[name])
+        for f in lost[name]:
+            entry = record["features"][f]
+            assert entry["drift_score"] is None and entry["drift_detected"] and entry["severity"] == "high"
+        assert record["features"]["none"]["drift_score"] is None and not record["features"]["none"]["drift_detected"]
+    assert got["empty"]["overall"]["severity"] == "high" and got["empty"]["alert"]
+
+
 def test_hot_value_is_one_row_after_counting(spark):
     ref = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
     cur = ref.withColumn("b", F.lit("b"))

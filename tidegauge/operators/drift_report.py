@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import RECORD_VERSION, DriftConfig
-from tidegauge.functions.columns import is_numeric, ratio
+from tidegauge.functions.columns import is_numeric, no_nan, ratio
 from tidegauge.functions.severity import detected, feature_severity, overall_severity, raises_alert, trips_gate
 from tidegauge.operators.two_sample import BATCH, FEATURE, TwoSample, run_test
 
@@ -86,34 +86,60 @@ def small_sample(n_ref: Column, n_cur: Column, limit: int = DriftConfig.small_sa
     return F.when(few, F.array(F.lit("small_sample"))).otherwise(F.array().cast("array<string>"))
 
 
+def feature_grid(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig) -> DataFrame:
+    """(batch, feature, column_type, stattest_name, stattest_threshold, is_lost): every batch with every feature.
+
+    A feature is lost where one side has values and the other has none. Each task sends one row per batch.
+    """
+    plan = {"num": (config.numeric_test, config.numeric_threshold), "cat": (config.categorical_test, config.categorical_threshold)}
+    role = {name: r for r, names in roles(reference, features).items() for name in names}
+
+    def present(df: DataFrame) -> list[Column]:
+        return [F.coalesce(F.max(no_nan(df, c).isNotNull()), F.lit(False)).alias(f"has_{i}") for i, c in enumerate(features)]
+
+    known = reference.agg(*present(reference)).select(F.array([f"has_{i}" for i in range(len(features))])).scalar()
+    name = F.col(batch).cast("string").alias(BATCH)
+    sides = batches.where(F.col(batch).isNotNull()).groupBy(name).agg(*present(batches)).withColumn("known", known)
+    rows = [
+        F.struct(
+            F.lit(c).alias(FEATURE),
+            F.lit(role[c]).alias("column_type"),
+            F.lit(plan[role[c]][0]).alias("stattest_name"),
+            F.lit(plan[role[c]][1]).alias("stattest_threshold"),
+            (F.col(f"has_{i}") != F.col("known")[i]).alias("is_lost"),
+        )
+        for i, c in enumerate(features)
+    ]
+    return sides.select(BATCH, F.inline(F.array(*rows)))
+
+
 def feature_table(
     reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig = DriftConfig()
 ) -> DataFrame:
-    """(batch, feature, column_type, stattest_name, stattest_threshold, drift_score, drift_detected, severity)."""
+    """(batch, feature, column_type, stattest_name, stattest_threshold, drift_score, drift_detected, severity).
+
+    One row for every batch and feature. Where one side has no value of a feature at all, the score is null and the
+    feature has drifted with severity high; where neither side has one, the score is null and it has not.
+    """
     parts = []
-    plan = (("num", config.numeric_test, config.numeric_threshold), ("cat", config.categorical_test, config.categorical_threshold))
     by_role = roles(reference, features)
-    for role, test, threshold in plan:
+    for role, test in (("num", config.numeric_test), ("cat", config.categorical_test)):
         if not by_role[role]:
             continue
         sample = TwoSample(reference, batches, by_role[role], batch, role == "num")
-        parts.append(
-            run_test(test, sample, config).select(
-                BATCH,
-                FEATURE,
-                F.lit(role).alias("column_type"),
-                F.lit(test).alias("stattest_name"),
-                F.lit(threshold).alias("stattest_threshold"),
-                F.col("score").alias("drift_score"),
-            )
-        )
+        parts.append(run_test(test, sample, config).select(BATCH, FEATURE, F.col("score").alias("drift_score")))
     scored = parts[0]
     for other in parts[1:]:
         scored = scored.unionByName(other)
+    grid = feature_grid(reference, batches, features, batch, config)
+    score = F.when(~F.col("is_lost"), F.col("drift_score"))
+    table = grid.join(scored, [BATCH, FEATURE], "left").withColumn("drift_score", score)
     hit = F.coalesce(detected(F.col("drift_score"), F.col("stattest_name"), F.col("stattest_threshold")), F.lit(False))
-    return scored.withColumn("drift_detected", hit).withColumn(
-        "severity",
-        feature_severity(F.col("drift_score"), F.col("drift_detected"), F.col("stattest_name"), config),
+    grade = feature_severity(F.col("drift_score"), F.col("drift_detected"), F.col("stattest_name"), config)
+    return (
+        table.withColumn("drift_detected", F.col("is_lost") | hit)
+        .withColumn("severity", F.when(F.col("is_lost"), "high").otherwise(grade))
+        .select(BATCH, FEATURE, "column_type", "stattest_name", "stattest_threshold", "drift_score", "drift_detected", "severity")
     )
 
 
@@ -185,8 +211,10 @@ def result_records(
         F.sum((F.col("severity") == s).cast("int")).cast("bigint").alias(f"n_{s}") for s in ("low", "medium", "high")
     ]
     by_feature = F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("features")
+    is_lost = F.col("drift_score").isNull() & F.col("drift_detected")
+    lost = F.array_sort(F.collect_list(F.when(is_lost, F.concat(F.lit("missing_feature:"), F.col(FEATURE))))).alias("lost")
     joined = (
-        dataset_table(features, config, by_feature, *graded)
+        dataset_table(features, config, by_feature, lost, *graded)
         .join(row_counts, BATCH)
         .withColumn("ref_rows", reference.agg(F.count("*")).scalar())
     )
@@ -223,7 +251,7 @@ def result_records(
         ).alias("overall"),
         "features",
         F.struct(*[F.col(f"n_{s}").alias(s) for s in ("low", "medium", "high")]).alias("severity_counts"),
-        small_sample(F.col("ref_rows"), F.col("row_count"), config.small_sample).alias("warnings"),
+        F.concat(small_sample(F.col("ref_rows"), F.col("row_count"), config.small_sample), F.col("lost")).alias("warnings"),
         F.create_map().cast("map<string,string>").alias("artifacts"),
         F.create_map(*[F.lit(str(x)) for kv in snapshot.items() for x in kv]).alias("config_snapshot"),
     )
