@@ -397,17 +397,21 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     kind = "array<struct<start:int,n:int,content:long,bits:int>>"
 
-    @F.pandas_udf("binary")
-    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for body, found in zip(texts, marks):
+    @F.arrow_udf("binary")
+    def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        def kept(body: bytes | None, found: list[dict] | None) -> bytes | None:
             if body is None or found is None:
-                out.append(body)
-                continue
-            words = bytes(body).split()
-            stay = keep_mask(words, [m if isinstance(m, dict) else m.asDict() for m in found], window)
-            out.append(bytes(body) if stay.all() else b" ".join(w for w, s in zip(words, stay.tolist()) if s))
-        return pd.Series(out, dtype=object)
+                return body
+            words = body.split()
+            stay = keep_mask(words, found, window)
+            return body if stay.all() else b" ".join(w for w, s in zip(words, stay.tolist()) if s)
+
+        # A few rows at a time are Python objects; the rest of the batch stays in Arrow's columns.
+        rows = [
+            pa.array([kept(t.as_py(), m.as_py()) for t, m in zip(texts[lo : lo + 256], marks[lo : lo + 256])], pa.binary())
+            for lo in range(0, len(texts), 256)
+        ]
+        return pa.concat_arrays(rows) if rows else pa.array([], pa.binary())
 
     named = marks.select(F.col("did").alias(did), F.col("marks").cast(kind).alias(own))
     same = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)) == F.col(did)
