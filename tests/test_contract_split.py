@@ -153,3 +153,26 @@ def test_resample_is_repeatable_and_follows_weights(spark):
     assert sorted(one.collect()) == sorted(sp.weighted_resample(df.repartition(7), "w", "key", 4000).collect())
     big = sp.weighted_resample(df.limit(10).withColumn("w", F.lit(1.0)), "w", "key", 10_000)
     assert abs(big.count() - 10_000) < 500
+
+
+def test_splits_of_few_and_many_classes_agree_and_null_keys_are_refused(spark, monkeypatch):
+    df = spark.range(900).select(F.col("id").alias("key"), F.when(F.col("id") % 3 > 0, (F.col("id") % 7).cast("string")).alias("label"))
+    few, many = sp.split_stratified(df, "label", "key"), sp.split_stratified(df, "label", "key", many_classes=True)
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    weights = [sp.with_class_weight(df, "label", many_classes=m).collect() for m in (False, True)]
+    assert sorted(weights[0], key=str) == sorted(weights[1], key=str)
+    with pytest.raises(Exception, match="key that is not null"):
+        sp.split_stratified(df.withColumn("key", F.when(F.col("key") > 3, F.col("key"))), "label", "key").collect()
+    monkeypatch.setattr(sp, "FEW_CLASSES", 2)
+    with pytest.raises(Exception, match="many_classes=True"):
+        sp.split_stratified(df, "label", "key").collect()
+    assert sp.split_stratified(df, "label", "key", many_classes=True).count() == 900
+
+
+def test_resample_of_high_rates_has_the_spread_of_poisson(spark):
+    df = spark.range(400).select(F.col("id").alias("key"), F.lit(1.0).alias("w"))
+    copies = [r["count"] for r in sp.weighted_resample(df, "w", "key", 400 * 100).groupBy("key").count().collect()]
+    mean = sum(copies) / len(copies)
+    assert len(copies) == 400 and mean == pytest.approx(100, abs=2)
+    assert sum((c - mean) ** 2 for c in copies) / 400 == pytest.approx(100, rel=0.3)

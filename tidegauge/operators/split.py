@@ -17,12 +17,15 @@ from tidegauge.functions.columns import clip, half_even, hash_fraction, seeded_h
 
 PREFIX = 4  # hex digits of the hash: 65,536 groups per class
 HASH = "_hash"
+# Cuts of at most so many classes are sent to every task: a label and a few hashes each.
+FEW_CLASSES = 100_000
 
 
-def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column]) -> DataFrame:
+def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column], many_classes: bool = False) -> DataFrame:
     """One row per class with the hash of the row at each rank in ``cuts``; a class cut at rank 0 has none.
 
     ``rows`` has the hash column; a cut is an expression over the class size ``n`` and the class columns.
+    ``many_classes`` as in ``take_per_class``.
     """
     prefix = F.substring(HASH, 1, PREFIX).alias("prefix")
     by_prefix = rows.groupBy(*strata, prefix).agg(F.count("*").alias("c"))
@@ -35,9 +38,9 @@ def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column]) -> D
         placed = placed.withColumn(f"k_{name}", rank.cast("bigint"))
     holds = {n: (F.col("below") < F.col(f"k_{n}")) & (F.col(f"k_{n}") <= F.col("below") + F.col("c")) for n in cuts}
     hit = placed.where(reduce(lambda a, b: a | b, holds.values()))
-    inside = null_safe_join(
-        rows.select(*strata, prefix, HASH), hit.select(*strata, "prefix", "below", *[f"k_{n}" for n in cuts]), strata + ["prefix"]
-    )
+    hit = hit.select(*strata, "prefix", "below", *[f"k_{n}" for n in cuts])
+    hit = hit if many_classes else _few(hit, "below", FEW_CLASSES * len(cuts))
+    inside = null_safe_join(rows.select(*strata, prefix, HASH), hit, strata + ["prefix"])
     place = F.col("below") + F.row_number().over(Window.partitionBy(*strata, "prefix").orderBy(HASH))
     ranked = inside.withColumn("place", place)
     found = ranked.groupBy(*strata).agg(
@@ -46,6 +49,16 @@ def class_cuts(rows: DataFrame, strata: list[str], cuts: dict[str, Column]) -> D
     return found
 
 
+def _few(table: DataFrame, column: str, bound: int) -> DataFrame:
+    """``table`` to be broadcast; the job fails, before anything is sent, if it has more than ``bound`` rows.
+
+    The rows counted are those of a limit one above the bound, so the count needs little memory whatever the table.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    refuse = F.raise_error(F.lit(f"more than {FEW_CLASSES} classes: pass many_classes=True"))
+    return F.broadcast(table.limit(bound + 1).withColumn(column, F.when(n <= bound, F.col(column)).otherwise(refuse)))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join in which a missing key matches a missing key, so rows without a class are kept."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -54,7 +67,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def _keyed(df: DataFrame, key: str | Column, seed: int) -> DataFrame:
-    return df.withColumn(HASH, seeded_hash(seed, key))
+    own = F.col(key) if isinstance(key, str) else key
+    # Rows without a key would share one hash and land on one side together.
+    refuse = F.raise_error(F.lit("rows to split need a key that is not null"))
+    return df.withColumn(HASH, F.when(own.isNull(), refuse).otherwise(seeded_hash(seed, key)))
 
 
 def _below(cut: str) -> Column:
@@ -62,11 +78,25 @@ def _below(cut: str) -> Column:
 
 
 def take_per_class(
-    df: DataFrame, strata: list[str], key: str, seed: int, cuts: dict[str, Column], name: str, rest: str
+    df: DataFrame,
+    strata: list[str],
+    key: str,
+    seed: int,
+    cuts: dict[str, Column],
+    name: str,
+    rest: str,
+    many_classes: bool = False,
 ) -> DataFrame:
-    """Label rows with the first cut they fall under, in the order of ``cuts``; the others get ``rest``."""
+    """Label rows with the first cut they fall under, in the order of ``cuts``; the others get ``rest``.
+
+    The cuts, one row per class, go to the rows, which stay where they are; this holds for ``FEW_CLASSES`` classes
+    at most, checked when the job runs. With ``many_classes`` rows and cuts are shuffled by class instead, for any
+    number of classes and with the same result. A null key fails the job.
+    """
     rows = _keyed(df, key, seed)
-    limits = class_cuts(rows, strata, cuts)
+    limits = class_cuts(rows, strata, cuts, many_classes)
+    if not many_classes:
+        limits = _few(limits, f"cut_{next(iter(cuts))}", FEW_CLASSES)
     label = F.lit(rest)
     for cut in reversed(list(cuts)):
         label = F.when(_below(cut), F.lit(cut)).otherwise(label)
@@ -81,11 +111,17 @@ def _train_val_cuts(train_ratio: float, val_ratio: float) -> dict[str, Column]:
 
 
 def split_stratified(
-    df: DataFrame, label: str, key: str, seed: int = 42, train_ratio: float = 0.70, val_ratio: float = 0.15
+    df: DataFrame,
+    label: str,
+    key: str,
+    seed: int = 42,
+    train_ratio: float = 0.70,
+    val_ratio: float = 0.15,
+    many_classes: bool = False,
 ) -> DataFrame:
     """Add ``split`` = train, val or test with each class's shares cut exactly (half-even rounding)."""
     _check_ratios(train_ratio, val_ratio)
-    return take_per_class(df, [label], key, seed, _train_val_cuts(train_ratio, val_ratio), "split", "test")
+    return take_per_class(df, [label], key, seed, _train_val_cuts(train_ratio, val_ratio), "split", "test", many_classes)
 
 
 def split_random(df: DataFrame, key: str, seed: int = 42, train_ratio: float = 0.70, val_ratio: float = 0.15) -> DataFrame:
@@ -103,7 +139,14 @@ def _check_ratios(train_ratio: float, val_ratio: float) -> None:
 
 
 def split_preserving_test(
-    df: DataFrame, label: str, name: str, key: str, seed: int = 42, train_ratio: float = 0.70, val_ratio: float = 0.15
+    df: DataFrame,
+    label: str,
+    name: str,
+    key: str,
+    seed: int = 42,
+    train_ratio: float = 0.70,
+    val_ratio: float = 0.15,
+    many_classes: bool = False,
 ) -> DataFrame:
     """Keep a split that the item names spell out (``train_…`` and ``test_…`` only, both present): test stays,
     val is cut from train per class. Any other naming gets the ordinary stratified split."""
@@ -123,7 +166,7 @@ def split_preserving_test(
         ),
         "train": F.when(as_train, n).when(kept, F.lit(0)).otherwise(F.least(n, half_even(n * F.lit(val_ratio)) + plain["train"])),
     }
-    return take_per_class(rows, [label, "_group"], key, seed, cuts, "split", "test").drop("_keep", "_side", "_group")
+    return take_per_class(rows, [label, "_group"], key, seed, cuts, "split", "test", many_classes).drop("_keep", "_side", "_group")
 
 
 def split_profile(df: DataFrame, label: str, split: str = "split") -> DataFrame:
@@ -145,12 +188,22 @@ def _held_out(ratio: float) -> Column:
     return F.least(F.greatest(F.lit(1), half_even(n * F.lit(ratio))), n - 1)
 
 
-def holdout_stratified(df: DataFrame, label: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
+def holdout_stratified(
+    df: DataFrame, label: str, key: str, ratio: float, seed: int = 42, many_classes: bool = False
+) -> DataFrame:
     """Add ``part`` = holdout or train; a class with a single row stays in train."""
-    return take_per_class(df, [label], key, seed, {"holdout": _held_out(ratio)}, "part", "train")
+    return take_per_class(df, [label], key, seed, {"holdout": _held_out(ratio)}, "part", "train", many_classes)
 
 
-def holdout_tabular(df: DataFrame, label: str, key: str, ratio: float, task_type: str = "classification", seed: int = 42) -> DataFrame:
+def holdout_tabular(
+    df: DataFrame,
+    label: str,
+    key: str,
+    ratio: float,
+    task_type: str = "classification",
+    seed: int = 42,
+    many_classes: bool = False,
+) -> DataFrame:
     """Add ``part`` with the ratio held so that both sides get a row; stratified for classification, unless a
     class has a single row. Needs two rows."""
     classes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("c"))
@@ -161,18 +214,21 @@ def holdout_tabular(df: DataFrame, label: str, key: str, ratio: float, task_type
     ratio = max(1 / total, min(ratio, (total - 1) / total))
     if task_type == "classification" and facts["least"] >= 2:
         cut = F.least(half_even(F.col("n") * F.lit(ratio)), F.col("n") - 1)
-        return take_per_class(df, [label], key, seed, {"holdout": cut}, "part", "train")
+        return take_per_class(df, [label], key, seed, {"holdout": cut}, "part", "train", many_classes)
     rows = _keyed(df, key, seed).withColumn("_all", F.lit(1))
     cut = clip(half_even(F.col("n") * F.lit(ratio)), 1, total - 1)
     limit = class_cuts(rows, ["_all"], {"holdout": cut}).select("cut_holdout").scalar()
     return rows.select(*df.columns, F.when(F.col(HASH) <= limit, "holdout").otherwise("train").alias("part"))
 
 
-def drift_val_slice(df: DataFrame, label: str, is_drifted: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
+def drift_val_slice(
+    df: DataFrame, label: str, is_drifted: str, key: str, ratio: float, seed: int = 42, many_classes: bool = False
+) -> DataFrame:
     """The drifted rows set aside per class to watch adaptation; a class with one drifted row gives none."""
     drifted = df.where(F.col(is_drifted))
     cut = F.when(F.col("n") > 1, _held_out(ratio)).otherwise(F.lit(0))
-    return take_per_class(drifted, [label], key, seed, {"take": cut}, "_part", "leave").where("_part = 'take'").drop("_part")
+    parted = take_per_class(drifted, [label], key, seed, {"take": cut}, "_part", "leave", many_classes)
+    return parted.where("_part = 'take'").drop("_part")
 
 
 def oversample_weights(df: DataFrame, is_drifted: str, target_ratio: float) -> DataFrame:
@@ -193,17 +249,27 @@ def weighted_resample(df: DataFrame, weight: str, key: str, size: int, seed: int
     """
     total = df.agg(F.sum(weight).alias("t")).first()["t"] or 1.0
     rate = F.col(weight) * F.lit(float(size) / float(total))
-    rows = df.withColumns({"_rate": rate, "_u": hash_fraction(seeded_hash(seed, key))})
+    # A Poisson number of a high rate is the sum of independent ones of lower rates, each with a hash of its own.
+    parts = F.greatest(F.lit(1), F.ceil(rate / F.lit(MOST_RATE))).cast("int")
+
+    def draw(i: Column) -> Column:
+        first = seeded_hash(seed, key)
+        return _poisson(rate / parts, hash_fraction(F.when(i == 1, first).otherwise(seeded_hash(seed, key, i))))
+
+    drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda sum_, i: sum_ + draw(i))
     return (
-        rows.withColumn("_k", _poisson(F.col("_rate"), F.col("_u")))
+        df.withColumn("_k", drawn)
         .where("_k > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-        .drop("_rate", "_u", "_k")
+        .drop("_k")
     )
 
 
+MOST_RATE = 30.0
+
+
 def _poisson(rate: Column, u: Column) -> Column:
-    """Inverse Poisson distribution at u for rates up to 30, its normal approximation beyond."""
+    """Inverse Poisson distribution at u, for rates up to ``MOST_RATE``."""
     none = F.exp(-rate)
     start = F.struct(F.lit(0).alias("k"), none.alias("term"), none.alias("cdf"), rate.alias("rate"), u.alias("u"))
 
@@ -218,15 +284,9 @@ def _poisson(rate: Column, u: Column) -> Column:
             acc["u"].alias("u"),
         )
 
-    steps = F.least(F.lit(120), F.ceil(rate + 10.0 * F.sqrt(rate) + 10.0)).cast("int")
-    exact = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["k"])
-    p = clip(u, 1e-9, 1 - 1e-9)
-    # Abramowitz and Stegun 26.2.23, a rational fit of the normal quantile
-    t = F.sqrt(-2.0 * F.ln(F.least(p, 1.0 - p)))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1.0 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    z = F.when(p < 0.5, -z).otherwise(z)
-    rough = F.greatest(F.lit(0), F.round(rate + F.sqrt(rate) * z).cast("int"))
-    return F.when(rate <= 30.0, exact).otherwise(rough)
+    # beyond ten deviations no u of 32 bits reaches
+    steps = F.ceil(rate + 10.0 * F.sqrt(rate) + 10.0).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["k"])
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -236,7 +296,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", whole["t"] / (whole["k"] * F.col("n")))
 
 
-def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Every row with its class's balanced weight, for ``weightCol``."""
+def with_class_weight(df: DataFrame, label: str, name: str = "weight", many_classes: bool = False) -> DataFrame:
+    """Every row with its class's balanced weight, for ``weightCol``; ``many_classes`` as in ``take_per_class``."""
     weights = class_weights(df, label).select(F.col("label").alias("_label"), F.col("weight").alias(name))
+    weights = weights if many_classes else _few(weights, name, FEW_CLASSES)
     return df.join(weights, df[label].eqNullSafe(F.col("_label")), "left").drop("_label")

@@ -22,7 +22,7 @@ from tidegauge.session import bucket_count
 
 FEATURE, VALUE, BATCH = "feature", "value", "batch"
 KEY = [FEATURE, BATCH]
-RANK_BUCKETS = 256
+RANK_BUCKETS = 256  # at least so many; larger inputs get as many as their values have buckets
 
 
 # --- value counts ---------------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ def wasserstein(data: Samples) -> DataFrame:
         ((nxt[VALUE] * nxt["ref_le"] - nxt["ref_mass"]) / n).alias("a1"),
         F.coalesce((F.col("ref_le") / n < share) & (nxt["ref_lt"] / n > share), F.lit(False)).alias("crosses"),
     )
-    placed = _with_quantile(steps)
+    placed = _with_quantile(steps, max(RANK_BUCKETS, data.bucket_number()))
     # below the first value of the batch, then the piece up to the next value, or what lies above the last
     head = F.when(F.col("is_first"), F.col("a0")).otherwise(F.lit(0.0))
     flat = F.abs(F.col("a1") - F.col("a0") - F.col("g") * (F.col("next_value") - F.col(VALUE)))
@@ -262,13 +262,12 @@ def _whole(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("bigint")
 
 
-def _with_quantile(steps: DataFrame) -> DataFrame:
+def _with_quantile(steps: DataFrame, k: int) -> DataFrame:
     """Add ``at``: the reference's value, and the area up to it, where its curve reaches the row's share g.
 
-    Ranks are cut into equal buckets. A reference value that spans several rank buckets is placed in each
+    Ranks are cut into ``k`` equal buckets. A reference value that spans several rank buckets is placed in each
     of them, so the value that holds a wanted rank is always found inside that rank's own bucket.
     """
-    k = RANK_BUCKETS
     top = F.lit(k - 1).cast("bigint")
     n, m = F.col("n"), F.col("m")
     is_ref = F.col(BATCH).isNull()
