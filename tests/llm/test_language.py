@@ -73,6 +73,19 @@ def test_messy(messy, messy_rows, nothing):
     assert {r["lang_pred"] for r in predict(messy, {}).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_sample_is_of_least_hashes(spark, monkeypatch, most):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", most)
+    rows = [(i, f"{'abcdefghij'[i % 10]} {i % 60}{'xyzuvw'[i % 6] * (i % 9)}", "ab"[i % 5 == 0]) for i in range(120)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    drawn = df.withColumn("draw", F.xxhash64(F.lit("profile"), "doc_id", F.col("text").cast("binary"))).collect()
+    want = []
+    for lang in "ab":
+        own = sorted((r for r in drawn if r["lang"] == lang), key=lambda r: r["draw"])
+        want += [(lang, r["text"]) for r in own if r["draw"] <= own[min(most, len(own)) - 1]["draw"]]
+    assert fit_profiles(df.repartition(5)) == brute_profiles(want)
+
+
 def test_wide_alphabets_go_in_smaller_parts():
     texts = ["".join(map(chr, range(0x4E00 + 400 * i, 0x4E00 + 400 * i + 400))).encode() for i in range(40)]
     texts += ["".join(map(chr, range(0x3400, 0x9FFF))).encode(), b"plain words", None]

@@ -21,6 +21,8 @@ LONGEST = 3
 UNKNOWN = "und"
 # Languages whose bounds may be broadcast (a name and a number each).
 BROADCAST_LANGS = 100_000
+# First bits of a hash by which a language's rows are counted.
+NEAR_BITS = 12
 _POINTS = 0x110000
 
 
@@ -105,6 +107,12 @@ def _spell(codes: np.ndarray, alphabet: str, n: int) -> list[str]:
     return out.tolist()
 
 
+def _per_lang(rows: DataFrame) -> DataFrame:
+    """``rows``, one a language, written down, and broadcast if they are few."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LANGS else rows
+
+
 def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, dict[str, int]]:
     """language -> {gram: rank from 0}: the ``PROFILE`` most frequent grams of each n over a bounded sample of texts.
 
@@ -117,18 +125,29 @@ def fit_profiles(df: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.col(text).cast("binary").alias("text"),
         F.xxhash64(F.lit("profile"), F.col(key), F.col(text)).alias("draw"),
     )
-    # Only hashes are ranked; the texts are read again, behind a bound on the hash.
+    # Hashes are counted by their first bits, and only those up to the bits that complete a language's sample are
+    # ranked, so no task orders a language's hashes. The texts are read again, behind a bound on the hash.
+    near = F.shiftright("draw", 64 - NEAR_BITS)
+    before = Window.partitionBy("lang").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
+    reach = (
+        rows.groupBy("lang", near.alias("near"))
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        .where(F.col("before") < SAMPLE_PER_LANG)
+        .groupBy("lang")
+        .agg(F.max("near").alias("reach"))
+    )
     place = Window.partitionBy("lang").orderBy("draw")
     bound = (
         rows.select("lang", "draw")
-        .withColumn("place", F.row_number().over(place))
+        .join(_per_lang(reach), "lang")
+        .where(near <= F.col("reach"))
+        .select("lang", "draw", F.row_number().over(place).alias("place"))
         .where(F.col("place") <= SAMPLE_PER_LANG)
         .groupBy("lang")
         .agg(F.max("draw").alias("bound"))
     )
-    bound = checkpointed(bound)
-    if bound.count() <= BROADCAST_LANGS:
-        bound = F.broadcast(bound)
+    bound = _per_lang(bound)
     sample = rows.join(bound, "lang").where("draw <= bound").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
