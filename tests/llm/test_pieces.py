@@ -107,3 +107,33 @@ def test_totals(messy, messy_rows, pieces):
     assert len(twice) == 2 and twice[0] == twice[1]
     assert len({r["digest"] for r in got if r["doc_id"] in (1, 2)}) == 1
     assert len({r["digest"] for r in got if r["doc_id"] in (1, 3)}) == 2
+
+
+def brute_whole(text, pieces):
+    """Viterbi over the whole text at once, no word cut: (cost, ids)."""
+    table, w = _table(pieces), "▁" + text.replace(" ", "▁")
+    best = [(0.0, None)] + [None] * len(w)
+    for i in range(len(w)):
+        for j in range(i + 1, min(len(w), i + pieces.longest) + 1):
+            found = table.get(w[i:j]) or ((None, pieces.unknown) if j == i + 1 else None)
+            if found and (best[j] is None or best[i][0] + found[1] > best[j][0]):
+                best[j] = best[i][0] + found[1], (i, found[0])
+    path, at = [], len(w)
+    while at:
+        start, number = best[at][1]
+        path.append([pieces.bytes[b] for b in w[start:at].encode()] if number is None else [number])
+        at = start
+    return [x for part in reversed(path) for x in part]
+
+
+def test_runs_of_blanks(spark, pieces, library):
+    """Pieces of several marks are edges too: the best segmentation of the whole text, and the library's."""
+    lines = [f"{lead}{' ' * n}def name{' ' * (n % 5 + 1)}= value" for n in range(1, 14) for lead in ("", "if x:")]
+    for line in lines:
+        assert library.encode(line) == brute_whole(line, pieces), line
+    texts = [*lines, "    def", " \t\n \u000b ", "a     ", "     ", "a\n    b\n\n        c  \n", "|  a  |   bb   |", "x▁▁▁ ▁y", " " * 200 + "z"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["ids"]) for r in encode(df, pieces).collect()) == [(i, brute_whole(t, pieces)) for i, t in rows]
+    n = {r["doc_id"]: r["n_pieces"] for r in totals(df, pieces).collect()}
+    assert n == {i: len(brute_whole(t, pieces)) for i, t in rows}

@@ -1,7 +1,8 @@
 """SentencePiece encoding as a relational lattice.
 
-A text is a row of words: blanks become the mark U+2581 and open a word, a newline is a word by itself. No piece spans
-two words, so the best segmentation of a text is that of its words. The substrings of a word up to the longest piece's
+A text is a row of words: blanks become the mark U+2581, the first mark of a run opens a word, a newline is a word by
+itself. Pieces may be several marks, but in none does a mark follow another character, so no piece spans two words and
+the best segmentation of a text is that of its words. The substrings of a word up to the longest piece's
 length are exploded and joined with the piece table; those found are the edges of the word's lattice. Edges are grouped
 by word and folded by a Viterbi search inside one ``aggregate``. A character without a piece is an edge of its own that
 costs 10 more than the worst piece, written as its UTF-8 bytes.
@@ -45,7 +46,7 @@ class Pieces:
         ids = range(m.get_piece_size())
         odd = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)
         rows = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in ids if not odd(i)]
-        inner = [p for p, *_ in rows if MARK in p[1:] and p.strip(MARK)]
+        inner = [p for p, *_ in rows if MARK in p.lstrip(MARK) or "\n" in p[1:] or "\n" in p[:-1]]
         if inner:
             raise ValueError(f"{len(inner)} pieces span words")
         octets = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -62,9 +63,12 @@ class Pieces:
 def words(text: Column) -> Column:
     """A text's words in order; their concatenation is the text with a leading mark. Null and empty texts have none."""
     # After the first step blanks only separate, so one literal character splits the text.
-    opened = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(" "), F.lit(" " + MARK))
+    marked = F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(" "), F.lit(" " + MARK))
+    opened = F.concat(F.lit(MARK), marked)
+    for _ in range(2):  # the first joins the marks of a run in pairs, the second the pairs
+        opened = F.replace(opened, F.lit(f"{MARK} {MARK}"), F.lit(MARK + MARK))
     apart = F.replace(opened, F.lit("\n"), F.lit(" \n "))
-    return F.when(text != "", F.array_remove(F.split(F.concat(F.lit(MARK), apart), " ", -1), ""))
+    return F.when(text != "", F.array_remove(F.split(apart, " ", -1), ""))
 
 
 def _key(word: Column) -> Column:
