@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import DataContract
 from tidegauge.operators.as_of import as_of
 from tidegauge.operators.contract import contract_report, row_count_check
-from tidegauge.operators.governance import production_metrics
+from tidegauge.operators.governance import production_metrics, register_versions
 from tidegauge.operators.training import random_forest_classifier
 
 
@@ -38,3 +38,13 @@ def test_metric_names_are_whole(spark):
 def test_a_depth_beyond_sparks_is_refused():
     with pytest.raises(ValueError):
         random_forest_classifier({"max_depth": 60}, 1, 10)
+
+
+def test_requests_without_a_time_get_the_last_versions(spark):
+    versions = spark.createDataFrame([("m", 4, "old")], "model string, version int, run_id string")
+    rows = [("m", "z", None), ("m", "y", None), ("m", "b", "2024-01-02"), ("m", "a", "2024-01-05"), ("n", "x", None), ("m", "old", None)]
+    requests = spark.createDataFrame(rows, "model string, run_id string, requested_at string").withColumn("requested_at", F.to_timestamp("requested_at"))
+    got = {(r["model"], r["run_id"]): (r["version"], r["is_new"]) for r in register_versions(requests, versions).collect()}
+    assert got == {
+        ("m", "old"): (4, False), ("m", "b"): (5, True), ("m", "a"): (6, True), ("m", "y"): (7, True), ("m", "z"): (8, True), ("n", "x"): (1, True)
+    }

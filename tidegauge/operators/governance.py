@@ -159,14 +159,18 @@ def production_metrics(versions: DataFrame, run_metrics: DataFrame) -> DataFrame
 
 def register_versions(requests: DataFrame, versions: DataFrame, span: str = "1 day") -> DataFrame:
     """(model, run_id, version, is_new): a run known to the registry keeps its highest version, the others get
-    the next numbers of their model in order of request."""
+    the next numbers of their model in order of request; requests without a time come last, by run_id."""
     known = versions.groupBy("model", "run_id").agg(F.max("version").alias("version"))
     wanted = requests.groupBy("model", "run_id").agg(F.min("requested_at").alias("requested_at"))
     kept = wanted.join(known, ["model", "run_id"]).select("model", "run_id", "version", F.lit(False).alias("is_new"))
     fresh = wanted.join(known, ["model", "run_id"], "left_anti")
     top = versions.groupBy("model").agg(F.max("version").alias("top"))
     # numbered span by span, so that a model with very many requests is not sorted by one task
-    spans = fresh.withColumn(BUCKET, F.window(F.col("requested_at").cast("timestamp"), span)["start"])
+    late = F.col("requested_at").isNull()
+    start = F.window(F.col("requested_at").cast("timestamp"), span)["start"]
+    timed = fresh.where(~late).withColumn("_start", start)  # a window has no place for null times
+    spans = timed.unionByName(fresh.where(late).withColumn("_start", F.lit(None).cast("timestamp")))
+    spans = spans.withColumn(BUCKET, F.struct(late.alias("late"), F.col("_start").alias("start"))).drop("_start")
     order = [F.col("requested_at").asc(), F.col("run_id").asc()]
     numbered = running_sums(spans, ["model"], order, {"rn": F.lit(1)}, bucketed=True).join(top, "model", "left")
     return kept.unionByName(
