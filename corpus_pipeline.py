@@ -23,8 +23,8 @@ NEAR_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: those without a letter."""
-    profiles = fit_profiles(docs)
+    """Rejects documents in no language: those without a letter, whether or not a language could be learned."""
+    profiles = fit_profiles(docs) or {"": {}}  # without labels every letter is of one nameless language
     return docs.where(prediction(F.col("text"), profiles, spark)["lang_pred"] != UNKNOWN).select(*docs.columns)
 
 

@@ -100,3 +100,12 @@ def test_held_out_accuracy(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     rows = predict(docs.where(held), fit_profiles(docs.where(~held))).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_without_labels_the_stage_keeps_texts_with_letters(spark):
+    import corpus_pipeline
+
+    rows = [(1, "plain words", None), (2, "12 !?", None), (3, "中文", None), (4, None, None), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == [1, 3, None]
