@@ -174,3 +174,48 @@ def test_long_text_in_parts(spark):
     assert fingerprint(text.encode(), 4) == plain(text, 4)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert fingerprints(df).first()["fp"] % 2**64 == plain(text, 4)
+
+
+def shingle_set(text, shingle=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def brute_resemblance(rows, similarity=0.8):
+    """Least id reachable over all pairs of this resemblance, by the sets themselves."""
+    sets = [shingle_set(t) for _, t in rows]
+    left, out = set(range(len(rows))), {}
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= similarity
+    while left:
+        todo, own = [left.pop()], []
+        while todo:
+            x = todo.pop()
+            own.append(x)
+            near = {y for y in left if alike(sets[x], sets[y])}
+            left -= near
+            todo += near
+        ids = [rows[x][0] for x in own if rows[x][0] is not None]
+        for x in own:
+            out[x] = min(ids, default=None)
+    return sorted(((rows[i][0], out[i]) for i in out), key=str)
+
+
+def test_similar_is_resemblance_of_shingles(spark, messy, messy_rows, small, monkeypatch):
+    """Pairs just below 0.8 stay apart and pairs just above are joined, whatever their fingerprints say."""
+    monkeypatch.setattr("tidegauge.llm.simhash_vp.SHARD_POINTS", 16)
+    assert similar(messy) == brute_resemblance([(r[0], r[1]) for r in messy_rows])
+    rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    assert similar(small) == brute_resemblance(rows)
+    rng, rows = random.Random(5), []
+    for base in range(0, 1200, 3):  # of 296 shingles a run of n new words at the end changes n: 0.8 is up to 32
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for number, n in enumerate((0, rng.randrange(20, 33), rng.randrange(33, 60))):
+            rows.append((base + number, " ".join([*words[: 300 - n], *(f"x{rng.randrange(10**6)}" for _ in range(n))])))
+    got = dict(similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    want = {}
+    for at in range(0, len(rows), 3):
+        want.update(brute_resemblance(rows[at : at + 3]))
+    assert sum(want[i] != i for i in want) >= 400
+    lost = [i for i in want if got[i] != want[i]]
+    assert not [i for i in got if got[i] not in (want[i], i)]  # no false link
+    assert len(lost) <= 0.01 * 400

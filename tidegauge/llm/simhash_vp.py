@@ -11,7 +11,7 @@ Inside a shard a vantage-point tree over all bits finds the pairs: a query enter
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,16 +67,30 @@ def _mixed(values: np.ndarray, part: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int, parts: int) -> np.ndarray:
-    """``parts`` times 64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
+def _majority(blocks: Iterable[np.ndarray], parts: int) -> np.ndarray:
     counts, total = np.zeros((parts, BITS), np.int64), 0
-    for values in _hashed_shingles(text, shingle):
+    for values in blocks:
         total += len(values)
         for part in range(parts):
             counts[part] += _votes(_mixed(values, part))
     return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def wide_fingerprint(text: bytes | None, shingle: int, parts: int) -> np.ndarray:
+    """``parts`` times 64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
+    return _majority(_hashed_shingles(text, shingle), parts)
+
+
+def _distinct(blocks: list[np.ndarray]) -> np.ndarray:
+    """A text's set of shingle hashes, in order."""
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _digest(values: np.ndarray) -> int:
+    digest = xxhash.xxh64_intdigest(values.astype("<u8").tobytes(), SEED)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """64 bits, each set if set in over half of the hashes of the text's shingles, repeats included."""
     return int(wide_fingerprint(text, shingle, 1)[0])
@@ -202,6 +216,46 @@ def _roots(points: np.ndarray, radius: int) -> np.ndarray:
     return settle(np.arange(len(points)))
 
 
+def _resemble(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, given in order, share at least this part of their union; two empty sets do."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return not union or both / union >= similarity
+
+
+def _alike_roots(points: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """As ``_roots``, but of the pairs within ``radius`` only those whose sets resemble each other are links.
+
+    A pair already joined is not compared, so a group of near copies costs a comparison per member.
+    """
+    parent = np.arange(len(points))
+
+    def settle(x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(up := parent[x], x):
+            x = up
+        return x
+
+    for i, j in near_pairs(points, radius):
+        while True:
+            parent = settle(parent)
+            a, b = parent[i], parent[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            _, first = np.unique(np.minimum(a, b) * len(points) + np.maximum(a, b), return_index=True)
+            for n in first.tolist():  # one pair for each two groups
+                x, y = settle(i[n : n + 1])[0], settle(j[n : n + 1])[0]
+                if x != y and _resemble(sets[i[n]], sets[j[n]], similarity):
+                    parent[max(x, y)] = min(x, y)
+            rest = np.ones(len(i), bool)
+            rest[first] = False
+            i, j = i[rest], j[rest]
+    return settle(np.arange(len(points)))
+
+
 def links(marks: DataFrame, radius: int = 4, equal: int = 1) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of values of ``fp`` within ``radius`` bits.
 
@@ -260,14 +314,16 @@ def near_groups(
 # Wide fingerprints, for a similarity that 64 bits cannot tell: the share of bits in which two texts differ is the
 # angle between their shingle vectors over pi, so 0.8 means 15 % of the bits.
 PARTS = 4
-BLOCK = 11  # Bits that two fingerprints must share to meet in one of the tables, and tables a part of 64 bits gives.
-TABLES = 5
+BLOCK = 9  # Bits that two fingerprints must share to meet in one of the tables, and tables a part of 64 bits gives.
+TABLES = 7
+# Standard deviations beyond the expected distance within which pairs are compared shingle by shingle.
+SEARCH_DEVIATIONS = 3.0
 
 
-def similarity_radius(similarity: float, parts: int = PARTS) -> int:
-    """The bits in which texts of this resemblance differ by expectation, and one standard deviation more."""
+def similarity_radius(similarity: float, parts: int = PARTS, deviations: float = 1.0) -> int:
+    """The bits in which texts of this resemblance differ by expectation, and so many standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(parts * BITS * share + np.sqrt(parts * BITS * share * (1 - share)))
+    return int(parts * BITS * share + deviations * np.sqrt(parts * BITS * share * (1 - share)))
 
 
 def similar_groups(
@@ -275,27 +331,37 @@ def similar_groups(
 ) -> DataFrame:
     """(doc_id, component_id): the least doc_id reachable over links of resemblance ``similarity`` or more, one row per row.
 
-    Links are pairs of fingerprints of 256 bits within ``similarity_radius``. Each block of 11 bits makes a table, in
-    which a vantage-point tree splits the fingerprints by their distance on the block; a pair that agrees on a block
-    meets in a shard, where a vantage-point tree over all bits finds it. By expectation 97 % of the pairs at 0.8 meet in
-    one of the 20 tables and 99.9 % of those at 0.9. A group of copies is one point. Cells of a table hold a 2,048th of
-    the points, so a corpus over 10^8 different texts wants wider blocks and more parts.
+    A link is a pair whose sets of shingles share that part of their union. Candidates are pairs of fingerprints of 256
+    bits within the expected distance and three deviations. Each block of 9 bits makes a table, in which a vantage-point
+    tree splits the fingerprints by their distance on the block; a pair that agrees on a block meets in a shard, where a
+    vantage-point tree over all bits finds it. The texts of each group of candidates then come together once, and pairs
+    not yet joined are compared by their shingles. By the binomial model 99.9 % of the pairs at 0.8 meet in one of the
+    28 tables and 99.9 % lie within the distance, more of those above. Texts of one set of shingles are one point. Cells
+    of a table hold a 512th of the points, so a corpus over 10^7 different texts wants wider blocks and more parts; one
+    task reads a whole group of candidates.
 
     A null doc_id takes part but is never a component's id unless all of it is null; repeated rows give repeated
-    results; a text without words has fingerprint 0, which links like any other. No rows give no rows.
+    results; texts without words are one group. No rows give no rows.
     """
     names = [f"fp{i}" for i in range(PARTS)]
-    radius = similarity_radius(similarity)
+    radius = similarity_radius(similarity, deviations=SEARCH_DEVIATIONS)
     long_names = ", ".join(f"{n} long" for n in names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches):
-            marks = np.array([wide_fingerprint(x, shingle, PARTS) for x in raw(rows.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, marks.reshape(-1, PARTS).T.copy())], names=["doc_id", *names])
+            marks, digests = [], []
+            for x in raw(rows.column(1)):
+                blocks = list(_hashed_shingles(x, shingle))
+                marks.append(_majority(blocks, PARTS))
+                digests.append(_digest(_distinct(blocks)))
+            parts = np.array(marks, np.uint64).view(np.int64).reshape(-1, PARTS).T.copy()
+            columns = [rows.column(0), rows.column(2), pa.array(digests, pa.int64()), *map(pa.array, parts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "shingles", *names])
 
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    marks = checkpointed(source.mapInArrow(mark, f"doc_id long, {long_names}"))
-    nodes = checkpointed(marks.groupBy(*names).agg(F.min("doc_id").alias("least")))
+    source = source.withColumn("body", F.xxhash64("text"))
+    marks = checkpointed(source.mapInArrow(mark, f"doc_id long, body long, shingles long, {long_names}"))
+    nodes = checkpointed(marks.groupBy(*names, "shingles").agg(F.min("doc_id").alias("least"), F.min("body").alias("body")))
     points = nodes.withColumn("node", F.monotonically_increasing_id())
 
     sample = nodes.orderBy(F.xxhash64(*names), *names).limit(SAMPLE // PARTS).select(*names).toPandas().to_numpy(np.int64).view(np.uint64)
@@ -319,9 +385,20 @@ def similar_groups(
         apart = root != node
         return pd.DataFrame({"a": node[apart], "b": root[apart]})
 
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("node")
+        node = batch["node"].to_numpy(np.int64)
+        sets = [_distinct(list(_hashed_shingles(None if x is None else bytes(x), shingle))) for x in batch["text"]]
+        root = node[_alike_roots(batch[names].to_numpy(np.int64).view(np.uint64), sets, radius, similarity)]
+        return pd.DataFrame({"node": node, "component": root})
+
     placed = points.select(*names, "node").mapInArrow(place, f"shard long, {long_names}, node long")
-    found = components(placed.groupBy("shard").applyInPandas(join, "a long, b long"))
+    near = components(placed.groupBy("shard").applyInPandas(join, "a long, b long"))
+    members = points.join(near, "node").select("node", "component", "body", *names)
+    bodies = source.select("body", "text").join(members.select("body").distinct(), "body", "left_semi")
+    bodies = bodies.groupBy("body").agg(F.first("text").alias("text"))  # copies of a text are compared once
+    found = members.join(bodies, "body").groupBy("component").applyInPandas(compare, "node long, component long")
     grouped = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(ids, "component").select(*names, "component_id")
-    return marks.join(named, names).select("doc_id", "component_id")
+    named = grouped.join(ids, "component").select(*names, "shingles", "component_id")
+    return marks.join(named, [*names, "shingles"]).select("doc_id", "component_id")
