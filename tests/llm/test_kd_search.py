@@ -70,3 +70,21 @@ def test_most_nodes_are_never_opened():
     scores[7] = -(2**62)
     assert sorted((s for s, _ in found), reverse=True) == sorted(scores.tolist(), reverse=True)[:10]
     assert opened <= sum(r is not None for r in tree.rows) / 10
+
+
+def test_copies_of_the_querys_own_row_hide_no_others(spark, monkeypatch):
+    """Equal vectors: an id repeated more than k times takes no place from other ids."""
+    monkeypatch.setattr(kd_search, "LEAF", 4)
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 10):
+        rows = [(int(i), [1.0, 2.0]) for i in rng.choice([0, 1, 2, 5, 7, 8, 9, 11], 150, p=[0.4, 0.2, 0.2, 0.1, 0.04, 0.03, 0.02, 0.01])]
+        rows += [(0, [1.0, 2.0])] * 12 + [(i, [0.5, 0.5]) for i in range(20, 45)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        asked = [(i, [1.0, 2.0]) for i in (0, 1, 2, 5, 30)]
+        queries = spark.createDataFrame(asked, "vec_id long, embedding array<float>")
+        got = sorted(map(tuple, top_k(df.repartition(3), queries, k).collect()))
+        assert got == brute(rows, asked, k)
+    few = [(0, [1.0])] * 12 + [(7, [1.0]), (8, [1.0]), (9, [0.5])]
+    df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
+    out = top_k(df, df.where("vec_id = 0").limit(1), 10).collect()
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == [7, 8, 9]

@@ -25,7 +25,8 @@ LEAF = 256
 
 
 class Tree:
-    """Median splits over the distinct vectors of a shard; each distinct vector keeps its least ``keep`` ids."""
+    """Median splits over the vectors of a shard; of equal vectors the rows with the least ids stay, at most ``keep`` of
+    an id and no more than give any query ``keep`` rows of other ids."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, keep: int):
         order = np.lexsort((ids, *vectors.T[::-1]))
@@ -33,8 +34,20 @@ class Tree:
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         group = np.cumsum(new) - 1
-        place = np.arange(len(ids)) - np.flatnonzero(new)[group]
-        kept = place < keep  # no more of a group of equal vectors can be in a result
+        start = np.flatnonzero(new)[group]
+        place = np.arange(len(ids)) - start
+        named = new.copy()
+        named[1:] |= ids[1:] != ids[:-1]
+        first = np.flatnonzero(named)[np.cumsum(named) - 1]
+        # A query leaves out one id at most. Of the rows before a row, those of the id with the most among them may be
+        # left out, so a row goes only if ``keep`` rows of other ids remain before it.
+        size = np.diff(np.append(np.flatnonzero(named), len(ids)))
+        most = np.zeros(len(ids), np.int64)  # the most rows of one id before this id, within the group
+        runs, whose, best = np.flatnonzero(named), group[named], 0
+        for n, at in enumerate(runs.tolist()):
+            best = 0 if not n or whose[n] != whose[n - 1] else max(best, int(size[n - 1]))
+            most[at : at + size[n]] = best
+        kept = (np.arange(len(ids)) - first < keep) & (first - start - most < keep)
         self.vectors, self.ids = vectors[kept].astype(np.float64), ids[kept]
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
@@ -127,7 +140,7 @@ def top_k(
         if len(points) and len(wanted):
             # A leading 0 gives vectors without components a dimension and changes no score.
             pad = lambda v: np.concatenate(([0], np.asarray(v, np.int64)))
-            tree = Tree(np.stack([pad(v) for v in points["v"]]), points["vec_id"].to_numpy(np.int64), k + 1)
+            tree = Tree(np.stack([pad(v) for v in points["v"]]), points["vec_id"].to_numpy(np.int64), k)
             for name, query, least in zip(wanted["vec_id"].tolist(), wanted["v"], wanted["least"].tolist()):
                 least = -np.inf if least is None or np.isnan(least) else least
                 for score, other in tree.search(pad(query).astype(np.float64), name, k, least):
