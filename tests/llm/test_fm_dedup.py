@@ -92,3 +92,21 @@ def test_index_counts_every_pattern():
                 low, high = index.extend(np.array([s]), low, high)
             places = sorted(index.places[low[0] : high[0]].tolist())
             assert places == [i for i in range(len(text)) if text[i : i + size] == pattern]
+
+
+@pytest.mark.parametrize("window", [8, 20, 39, 40, 50, 90])
+def test_windows_of_any_width(spark, window):
+    rng = np.random.default_rng(window)
+    passage = " ".join(f"p{x}" for x in range(130))
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(12)]
+    rows += [(20, " ".join(rows[0][1].split()[5:110])), (21, "x " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, window)
+    assert sorted(map(tuple, drop_repeats(df, window=window).collect()), key=str) == want
+    kept = {r["doc_id"]: r["text"] for r in without_repeats(df, window=window).collect()}
+    assert kept == {i: body if gone else dict(rows)[i] for i, _, gone, _, body in want}
+
+
+def test_windows_shorter_than_a_gram_are_refused(spark):
+    with pytest.raises(ValueError):
+        drop_repeats(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), window=7)

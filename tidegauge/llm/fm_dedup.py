@@ -238,8 +238,10 @@ def _sieve(again: DataFrame) -> np.ndarray:
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(documents, marks): documents has did and text; marks has, per did, the windows that start earlier elsewhere.
 
-    A mark is a segment's start, windows and content hash, and a bit mask of its windows to remove.
+    A mark is a segment's start, windows and content hash, and the places among them of its windows to remove.
     """
+    if window < GRAM:
+        raise ValueError(f"a window has {GRAM} words or more")
     docs = df.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(text).cast("binary").alias("text")
     )
@@ -318,16 +320,13 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
         )
 
     found = bodies.groupBy("shard").applyInPandas(search, "anchor long, content long, docs array<long>, starts array<long>")
-    earlier = F.expr(
-        "aggregate(sequence(0, n - 1), 0, (bits, i) -> bits | if("
-        "docs[i] < did OR (docs[i] = did AND starts[i] < start + i), shiftleft(1, i), 0))"
-    )
+    earlier = F.expr("filter(sequence(0, n - 1), i -> docs[i] < did OR (docs[i] = did AND starts[i] < start + i))")
     marks = (
         candidates.join(found, ["anchor", "content"])
-        .select("did", "start", "n", "content", earlier.alias("bits"))
-        .where("bits != 0")
+        .select("did", "start", "n", "content", earlier.alias("gone"))
+        .where("size(gone) > 0")
         .groupBy("did")
-        .agg(F.collect_list(F.struct("start", "n", "content", "bits")).alias("marks"))  # a document's own segments
+        .agg(F.collect_list(F.struct("start", "n", "content", "gone")).alias("marks"))  # a document's own segments
     )
     return docs, marks
 
@@ -343,10 +342,9 @@ def keep_mask(words: list[bytes], marks: list[dict] | None, window: int) -> np.n
     for m in marks or ():
         if _content(b" ".join(words[m["start"] : m["start"] + m["n"] + window - 1])) != m["content"]:
             continue
-        for i in range(m["n"]):
-            if m["bits"] >> i & 1:
-                edge[m["start"] + i] += 1
-                edge[m["start"] + i + window] -= 1
+        for i in m["gone"]:
+            edge[m["start"] + i] += 1
+            edge[m["start"] + i + window] -= 1
     return np.cumsum(edge)[:-1] == 0
 
 
@@ -395,7 +393,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     while own in taken:
         own += "_"
 
-    kind = "array<struct<start:int,n:int,content:long,bits:int>>"
+    kind = "array<struct<start:int,n:int,content:long,gone:array<int>>>"
 
     @F.arrow_udf("binary")
     def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
