@@ -14,6 +14,9 @@ ORACLES: dict[str, str] = {}
 
 # Input bytes that one Python call works on at a time, whatever the size of the Arrow batch.
 CHUNK_BYTES = 2 * 1024 * 1024
+# Facts (a row per key) that are broadcast whole, and the share of all rows from which a key's fact always is.
+FACT_ROWS = 50_000
+HOT_SHARE = 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -93,6 +96,31 @@ def raw(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist() if pa.types.is_string(column.type) else column.to_pylist()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def join_facts(df: DataFrame, facts: DataFrame, key: str, fact_key: str, rows: str) -> DataFrame:
+    """``df`` left-joined with ``facts``, which has one row per key; null is a key like any other.
+
+    ``facts`` is a table worth a checkpoint whose column ``rows`` says how many rows of ``df`` have the key. Up to
+    ``FACT_ROWS`` facts are broadcast. Of more, those of keys with over 1 / ``HOT_SHARE`` of all rows are (at most
+    ``HOT_SHARE`` by that count), and the other keys, none of them large, meet in a shuffle.
+    """
+    facts = checkpointed(facts)
+    same = F.col(f"`{key}`").eqNullSafe(F.col(fact_key))
+    n, total = facts.agg(F.count(F.lit(1)), F.sum(rows)).first()
+    if n <= FACT_ROWS:
+        return df.join(F.broadcast(facts), same, "left")
+    hot = F.col(rows) * F.lit(HOT_SHARE) > F.lit(total)
+    routed = df.join(F.broadcast(facts.where(hot)), same, "left")
+    rest = routed.where(F.col(rows).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    return routed.where(F.col(rows).isNotNull()).unionByName(rest.join(facts.where(~hot), same, "left"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the nodes of ``edges``; component is the smallest node reachable, by its value as a long.
 
