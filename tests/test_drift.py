@@ -56,6 +56,54 @@ def test_distances_equal_brute_force_for_any_bucket_count(spark, buckets):
     assert ks["same"] == 0 and ks["far"] == 1
 
 
+@pytest.mark.parametrize("buckets,salts", [(1, 3), (4, 3)])
+def test_many_batches_dealt_over_salts(spark, buckets, salts):
+    """Batches that share one hot value, dealt with copies of the reference: the same numbers for each."""
+    rng = np.random.default_rng(8)
+    ref = np.round(rng.normal(0, 2, 300), 1)
+    batches = {f"b{i}": np.concatenate([np.full(20, 0.5), np.round(rng.normal(i / 20, 2, 5 + i % 7), 1)]) for i in range(40)}
+    left, right = frames(spark, ref, batches)
+    data = ts.samples(left, right, ["x"], "b", buckets, salts)
+    ks = {r["batch"]: r for r in ts.ks(data).collect()}
+    wd = {r["batch"]: r["statistic"] for r in ts.wasserstein(data).collect()}
+    assert set(ks) == set(wd) == set(batches)
+    for name, values in batches.items():
+        assert (ks[name]["n"], ks[name]["m"]) == (300, len(values))
+        assert ks[name]["statistic"] == pytest.approx(ks_distance(ref, values), abs=1e-12)
+        assert wd[name] == pytest.approx(earth_mover(ref, values), abs=1e-9)
+
+
+def test_cells_are_the_same_however_they_are_dealt(spark):
+    left = spark.createDataFrame([("abcdefg"[i * i % 7],) for i in range(90)], "x string")
+    right = spark.createDataFrame([(f"b{i % 9}", "abcxyz"[i * 5 % 6]) for i in range(200)], "b string, x string")
+    counts = ts.value_counts(left, right, ["x"], "b", "string")
+
+    def rows(df):
+        return {r["batch"]: [round(v, 9) for v in r if isinstance(v, (int, float))] for r in df.collect()}
+
+    assert rows(ts.chi_square(counts)) == rows(ts.chi_square(counts, salts=4)) == rows(ts.chi_square(counts, few=True))
+    whole = rows(ts.share_distances(counts))
+    assert whole == rows(ts.share_distances(counts, salts=4, parts=3)) == rows(ts.share_distances(counts, few=True))
+
+
+@pytest.mark.parametrize("test", ["ks", "psi", "jensenshannon", "wasserstein", "chisquare"])
+def test_infinities_are_missing_and_stay_where_they_are(spark, test):
+    rng = np.random.default_rng(2)
+    ref, clean, other = rng.normal(size=80), rng.normal(size=40), rng.normal(1, 1, 30)
+    config = DriftConfig(numeric_test=test, numeric_threshold=0.1)
+
+    def scores(ref, batches):
+        got = monitor(*frames(spark, ref, batches), ["x"], "b", config).collect()
+        return {r["batch"]: (r["features"]["x"]["drift_score"], r["features"]["x"]["severity"], list(r["warnings"])) for r in got}
+
+    before = scores(ref, {"clean": clean, "other": other})
+    after = scores(ref, {"clean": clean, "other": np.append(other, [math.inf, -math.inf]), "none": np.full(30, math.inf)})
+    assert after["clean"] == before["clean"] and after["other"][:2] == before["other"][:2]
+    assert after["other"][2] == ["non_finite:x"] and after["none"] == (None, "high", ["missing_feature:x", "non_finite:x"])
+    spoiled = scores(np.append(ref, math.inf), {"clean": clean})
+    assert spoiled["clean"] == (*before["clean"][:2], ["non_finite:x"])
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.integers(-5, 5), min_size=1, max_size=25),

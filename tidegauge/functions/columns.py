@@ -70,10 +70,18 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def unpivot(df: DataFrame, ids: list[str], columns: list[str], as_type: str, name="feature", value="value") -> DataFrame:
-    """Long form (ids, name, value) of ``columns``, all cast to one type, without missing values."""
+def unpivot(
+    df: DataFrame, ids: list[str], columns: list[str], as_type: str, name="feature", value="value", finite_only: bool = False
+) -> DataFrame:
+    """Long form (ids, name, value) of ``columns``, all cast to one type, without missing values.
+
+    ``finite_only`` reads infinite numbers as missing too.
+    """
     # stack, not unpivot, and the filter on the name spelled out: so the branches of a plan stay alike down to
     # the scan, whatever joins stand above them, and Spark reuses their shuffle
-    pairs = [x for c in columns for x in (F.lit(c), no_nan(df, c).cast(as_type))]
+    def known(c: str) -> Column:
+        return finite(F.col(c)) if finite_only and is_float(df.schema[c].dataType) else no_nan(df, c)
+
+    pairs = [x for c in columns for x in (F.lit(c), known(c).cast(as_type))]
     long = df.select(*ids, F.stack(F.lit(len(columns)), *pairs).alias(name, value))
     return long.where(F.col(name).isNotNull() & F.col(value).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import RECORD_VERSION, DriftConfig
-from tidegauge.functions.columns import is_numeric, no_nan, ratio
+from tidegauge.functions.columns import finite, is_float, is_numeric, ratio
 from tidegauge.functions.severity import detected, feature_severity, overall_severity, raises_alert, trips_gate
 from tidegauge.operators.two_sample import BATCH, FEATURE, TwoSample, run_test
 
@@ -86,40 +86,57 @@ def small_sample(n_ref: Column, n_cur: Column, limit: int = DriftConfig.small_sa
     return F.when(few, F.array(F.lit("small_sample"))).otherwise(F.array().cast("array<string>"))
 
 
-def feature_grid(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig) -> DataFrame:
-    """(batch, feature, column_type, stattest_name, stattest_threshold, is_lost): every batch with every feature.
+def feature_grid(
+    reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig, minimum: int = 0
+) -> DataFrame:
+    """(batch, row_count, feature, column_type, stattest_name, stattest_threshold, is_lost, is_infinite): every batch of
+    at least ``minimum`` rows with every feature.
 
-    A feature is lost where one side has values and the other has none. Each task sends one row per batch.
+    A feature is lost where one side has values and the other has none, and infinite where either side has an infinite
+    number, which counts as missing. Each task sends one row per batch; the batches are read once for all of it.
     """
     plan = {"num": (config.numeric_test, config.numeric_threshold), "cat": (config.categorical_test, config.categorical_threshold)}
     role = {name: r for r, names in roles(reference, features).items() for name in names}
 
     def present(df: DataFrame) -> list[Column]:
-        return [F.coalesce(F.max(no_nan(df, c).isNotNull()), F.lit(False)).alias(f"has_{i}") for i, c in enumerate(features)]
+        found = []
+        for i, c in enumerate(features):
+            known, infinite = F.col(c).isNotNull(), F.lit(False)
+            if is_float(df.schema[c].dataType):
+                infinite = F.abs(F.col(c)) == F.lit(float("inf"))
+                known = finite(F.col(c)).isNotNull()
+            found += [F.coalesce(F.max(known), F.lit(False)).alias(f"has_{i}"), F.coalesce(F.max(infinite), F.lit(False)).alias(f"inf_{i}")]
+        return found
 
-    known = reference.agg(*present(reference)).select(F.array([f"has_{i}" for i in range(len(features))])).scalar()
+    flags = [f"{n}_{i}" for n in ("has", "inf") for i in range(len(features))]
+    known = reference.agg(*present(reference)).select(F.struct(*flags)).scalar()
     name = F.col(batch).cast("string").alias(BATCH)
-    sides = batches.where(F.col(batch).isNotNull()).groupBy(name).agg(*present(batches)).withColumn("known", known)
+    sides = batches.where(F.col(batch).isNotNull()).groupBy(name).agg(F.count("*").alias("row_count"), *present(batches))
+    if minimum:
+        sides = sides.where(F.col("row_count") >= minimum)
     rows = [
         F.struct(
             F.lit(c).alias(FEATURE),
             F.lit(role[c]).alias("column_type"),
             F.lit(plan[role[c]][0]).alias("stattest_name"),
             F.lit(plan[role[c]][1]).alias("stattest_threshold"),
-            (F.col(f"has_{i}") != F.col("known")[i]).alias("is_lost"),
+            (F.col(f"has_{i}") != F.col("known")[f"has_{i}"]).alias("is_lost"),
+            (F.col(f"inf_{i}") | F.col("known")[f"inf_{i}"]).alias("is_infinite"),
         )
         for i, c in enumerate(features)
     ]
-    return sides.select(BATCH, F.inline(F.array(*rows)))
+    return sides.withColumn("known", known).select(BATCH, "row_count", F.inline(F.array(*rows)))
 
 
-def feature_table(
-    reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig = DriftConfig()
+TABLE = (BATCH, FEATURE, "column_type", "stattest_name", "stattest_threshold", "drift_score", "drift_detected", "severity")
+
+
+def scored_grid(
+    reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig = DriftConfig(), minimum: int = 0
 ) -> DataFrame:
-    """(batch, feature, column_type, stattest_name, stattest_threshold, drift_score, drift_detected, severity).
+    """The rows of ``feature_table`` with row_count and is_infinite, for batches of at least ``minimum`` rows.
 
-    One row for every batch and feature. Where one side has no value of a feature at all, the score is null and the
-    feature has drifted with severity high; where neither side has one, the score is null and it has not.
+    Every batch is scored and the small ones are left out here, so rows need not be filtered before they are counted.
     """
     parts = []
     by_role = roles(reference, features)
@@ -131,7 +148,7 @@ def feature_table(
     scored = parts[0]
     for other in parts[1:]:
         scored = scored.unionByName(other)
-    grid = feature_grid(reference, batches, features, batch, config)
+    grid = feature_grid(reference, batches, features, batch, config, minimum)
     score = F.when(~F.col("is_lost"), F.col("drift_score"))
     table = grid.join(scored, [BATCH, FEATURE], "left").withColumn("drift_score", score)
     hit = F.coalesce(detected(F.col("drift_score"), F.col("stattest_name"), F.col("stattest_threshold")), F.lit(False))
@@ -139,10 +156,21 @@ def feature_table(
     return (
         table.withColumn("drift_detected", F.col("is_lost") | hit)
         .withColumn("severity", F.when(F.col("is_lost"), "high").otherwise(grade))
-        .select(BATCH, FEATURE, "column_type", "stattest_name", "stattest_threshold", "drift_score", "drift_detected", "severity")
+        .select(*TABLE, "row_count", "is_infinite")
     )
 
 
+def feature_table(
+    reference: DataFrame, batches: DataFrame, features: list[str], batch: str, config: DriftConfig = DriftConfig()
+) -> DataFrame:
+    """(batch, feature, column_type, stattest_name, stattest_threshold, drift_score, drift_detected, severity).
+
+    One row for every batch and feature. Where one side has no value of a feature at all, the score is null and the
+    feature has drifted with severity high; where neither side has one, the score is null and it has not.
+    """
+    return scored_grid(reference, batches, features, batch, config).select(*TABLE)
+
+
 def _verdict(df: DataFrame, config: DriftConfig) -> DataFrame:
     """Add share, verdict and severity to the feature counts of a batch."""
     share = ratio(F.col("drifted_feature_count"), F.col("total_feature_count"))
@@ -191,7 +219,6 @@ def method_label(config: DriftConfig) -> str:
 
 def result_records(
     features: DataFrame,
-    row_counts: DataFrame,
     reference: DataFrame,
     config: DriftConfig = DriftConfig(),
     task_type: str = "classification",
@@ -199,7 +226,7 @@ def result_records(
     version_id: str = "batch",
     generated_at: Column | None = None,
 ) -> DataFrame:
-    """One nested record per batch. ``row_counts`` is (batch, row_count).
+    """One nested record per batch. ``features`` are the rows of ``scored_grid``.
 
     The features map of a record has one entry per feature column, so its size is that of the schema.
     """
@@ -213,10 +240,9 @@ def result_records(
     by_feature = F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("features")
     is_lost = F.col("drift_score").isNull() & F.col("drift_detected")
     lost = F.array_sort(F.collect_list(F.when(is_lost, F.concat(F.lit("missing_feature:"), F.col(FEATURE))))).alias("lost")
-    joined = (
-        dataset_table(features, config, by_feature, lost, *graded)
-        .join(row_counts, BATCH)
-        .withColumn("ref_rows", reference.agg(F.count("*")).scalar())
+    infinite = F.array_sort(F.collect_list(F.when(F.col("is_infinite"), F.concat(F.lit("non_finite:"), F.col(FEATURE))))).alias("infinite")
+    joined = dataset_table(features, config, F.max("row_count").alias("row_count"), by_feature, lost, infinite, *graded).withColumn(
+        "ref_rows", reference.agg(F.count("*")).scalar()
     )
     snapshot = {
         "stattest_numerical": config.numeric_test,
@@ -251,7 +277,7 @@ def result_records(
         ).alias("overall"),
         "features",
         F.struct(*[F.col(f"n_{s}").alias(s) for s in ("low", "medium", "high")]).alias("severity_counts"),
-        F.concat(small_sample(F.col("ref_rows"), F.col("row_count"), config.small_sample), F.col("lost")).alias("warnings"),
+        F.concat(small_sample(F.col("ref_rows"), F.col("row_count"), config.small_sample), F.col("lost"), F.col("infinite")).alias("warnings"),
         F.create_map().cast("map<string,string>").alias("artifacts"),
         F.create_map(*[F.lit(str(x)) for kv in snapshot.items() for x in kv]).alias("config_snapshot"),
     )

@@ -51,7 +51,7 @@ def _distances(reference: DataFrame, batches: DataFrame, batch: str, prefix: Col
 
     number = bucket_count(reference, batches)
     thin = None if number <= 1 else both(thinned(reference), thinned(batches))
-    return ts.wasserstein(ts.Samples(ts.counts_of(both(reference, batches)), thin, number))
+    return ts.wasserstein(ts.Samples(ts.counts_of(both(reference, batches)), thin, number, ts.salt_number(reference, batches)))
 
 
 def channel_wasserstein(reference: DataFrame, batches: DataFrame, batch: str) -> DataFrame:

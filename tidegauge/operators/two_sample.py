@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import DriftConfig
-from tidegauge.functions.columns import no_nan, unpivot
+from tidegauge.functions.columns import finite, unpivot
 from tidegauge.functions.stats import chi_square_p, kolmogorov_p
-from tidegauge.operators.ordered import BUCKET, bucket_edges, running_sums, thinned, with_bucket
-from tidegauge.session import bucket_count
+from tidegauge.operators.ordered import BUCKET, bucket_edges, thinned, with_bucket
+from tidegauge.session import bucket_count, plan_bytes
 
 FEATURE, VALUE, BATCH = "feature", "value", "batch"
 KEY = [FEATURE, BATCH]
+SALT = "_salt"
 RANK_BUCKETS = 256  # at least so many; larger inputs get as many as their values have buckets
 
 
@@ -29,12 +30,12 @@ RANK_BUCKETS = 256  # at least so many; larger inputs get as many as their value
 
 
 def long_form(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, as_type: str) -> DataFrame:
-    """(feature, batch, value) of both sides; batch is null for the reference."""
-    ref = unpivot(reference, [], features, as_type).select(FEATURE, F.lit(None).cast("string").alias(BATCH), VALUE)
+    """(feature, batch, value) of both sides; batch is null for the reference. Infinite numbers count as missing."""
+    ref = unpivot(reference, [], features, as_type, finite_only=True).select(FEATURE, F.lit(None).cast("string").alias(BATCH), VALUE)
     named = batches.where(F.col(batch).isNotNull()).select(
         F.col(batch).cast("string").alias(BATCH), *[F.col(c) for c in features if c != BATCH]
     )
-    return ref.unionByName(unpivot(named, [BATCH], features, as_type).select(FEATURE, BATCH, VALUE))
+    return ref.unionByName(unpivot(named, [BATCH], features, as_type, finite_only=True).select(FEATURE, BATCH, VALUE))
 
 
 def counts_of(long: DataFrame) -> DataFrame:
@@ -64,6 +65,7 @@ class Samples:
     counts: DataFrame
     thin: DataFrame | None = None
     buckets: int | None = None
+    salts: int = 1
 
     def bucket_number(self) -> int:
         return bucket_count(self.counts) if self.buckets is None else self.buckets
@@ -75,12 +77,33 @@ class Samples:
         return with_bucket(self.counts, edges, [FEATURE], VALUE), edges is not None
 
 
-def samples(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, buckets: int | None = None) -> Samples:
+def salt_number(reference: DataFrame, batches: DataFrame) -> int:
+    """Over how many parts the batches are dealt, each with a copy of the reference: as often as the batches are larger
+    than the reference, so that the copies take no more room than the batches, and at most once per shuffle partition."""
+    ref, cur = plan_bytes(reference), plan_bytes(batches)
+    if not ref or not cur:
+        return 1
+    most = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(max(1, min(most, cur // ref)))
+
+
+def dealt(rows: DataFrame, salts: int) -> DataFrame:
+    """Rows with their salt: one per batch, and for the reference's rows (batch null) every one in turn."""
+    if salts <= 1:
+        return rows.withColumn(SALT, F.lit(0))
+    own = F.array(F.pmod(F.xxhash64(BATCH), F.lit(salts)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    return rows.withColumn(SALT, F.explode(F.when(F.col(BATCH).isNull(), every).otherwise(own)))
+
+
+def samples(
+    reference: DataFrame, batches: DataFrame, features: list[str], batch: str, buckets: int | None = None, salts: int | None = None
+) -> Samples:
     """Counts of numeric features, ready for the distances over ordered values."""
     counts = value_counts(reference, batches, features, batch, "double")
     number = bucket_count(reference, batches) if buckets is None else buckets
     thin = None if number <= 1 else long_form(thinned(reference), thinned(batches), features, batch, "double")
-    return Samples(counts, thin, number)
+    return Samples(counts, thin, number, salt_number(reference, batches) if salts is None else salts)
 
 
 def bin_counts(reference: DataFrame, batches: DataFrame, features: list[str], batch: str, bins: int) -> DataFrame:
@@ -90,7 +113,7 @@ def bin_counts(reference: DataFrame, batches: DataFrame, features: list[str], ba
     at most ``bins`` rows per feature and batch.
     """
     span = reference.agg(
-        *[f(no_nan(reference, c).cast("double")).alias(f"{c}_{n}") for c in features for n, f in _ENDS.items()]
+        *[f(finite(F.col(c).cast("double"))).alias(f"{c}_{n}") for c in features for n, f in _ENDS.items()]
     )
     rows = [F.struct(F.lit(c).alias(FEATURE), F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi")) for c in features]
     span = span.select(F.inline(F.array(*rows)))
@@ -109,20 +132,6 @@ def bin_long(long: DataFrame, span: DataFrame, bins: int) -> DataFrame:
     return counts_of(binned.select(FEATURE, BATCH, place.cast("string").alias(VALUE)))
 
 
-def sizes(counts: DataFrame) -> DataFrame:
-    """(feature, batch, n, m, ref_kinds): non-missing rows of the reference and of each batch, and how many
-    distinct values the reference has. A feature without any reference value has no row."""
-    spread = Window.partitionBy(FEATURE)
-    ref_only = F.col(BATCH).isNull()
-    return (
-        counts.groupBy(*KEY)
-        .agg(F.sum("n_ref").alias("_n"), F.sum("n_cur").alias("m"), F.count("*").alias("_kinds"))
-        .withColumns({"n": F.max("_n").over(spread), "ref_kinds": F.max(F.when(ref_only, F.col("_kinds"))).over(spread)})
-        .where(~ref_only & (F.col("n") > 0))
-        .select(*KEY, "n", "m", "ref_kinds")
-    )
-
-
 def reference_moments(counts: DataFrame) -> DataFrame:
     """(feature, ref_mean, ref_std): mean and population standard deviation from the value counts."""
     n = F.nullif(F.sum("n_ref").cast("double"), F.lit(0.0))
@@ -138,28 +147,91 @@ def reference_moments(counts: DataFrame) -> DataFrame:
 # --- distances over ordered values ----------------------------------------------------------------------
 
 
-def cumulative(data: Samples) -> tuple[DataFrame, bool]:
-    """The counts with both cumulative counts up to (``_le``) and below (``_lt``) each value.
+def cumulative(data: Samples, of_reference: bool = True) -> tuple[DataFrame, bool]:
+    """The counts with both cumulative counts up to (``_le``) and below (``_lt``) each value, and both sizes n and m.
 
     ``ref_mass`` is the reference's running sum of value x count, for areas under its distribution function.
+
+    Windows run over (feature, salt, bucket): a salt holds a part of the batches and the reference's values, so
+    neither many batches nor one value that all of them have gathers in one task. ``of_reference`` keeps the reference's
+    rows. With more than one bucket, what lies
+    before a bucket and the sizes enter the windows as rows of their own that sort first, so nothing is joined.
     """
     placed, bucketed = data.placed()
     is_ref = F.col(BATCH).isNull()
-    placed = placed.withColumns(
-        {
-            "_mass": F.col("n_ref") * F.col(VALUE),
-            "_value": F.when(is_ref, F.col(VALUE)),
-            "_count": F.when(is_ref, F.col("n_ref")),
-        }
-    )
+    rows = placed.withColumn("mass", F.when(is_ref, F.col("n_ref") * F.col(VALUE)).otherwise(0.0))
+    if bucketed:
+        none = F.lit(None).cast("bigint")
+        rows = rows.withColumns({"n_all": none, "m_all": none}).unionByName(_earlier_buckets(rows))
+    rows = dealt(rows, data.salts)
     # the reference's row of a value comes first, so a batch row sees it in its running sums
-    ref_first = [F.col(VALUE).asc(), F.col(BATCH).asc_nulls_first()]
-    sums = {"ref_le": F.col("n_ref"), "ref_mass": F.col("_mass")}
-    ref = running_sums(placed, [FEATURE], ref_first, sums, bucketed, latest={"_v": "_value", "_c": "_count"})
-    here = F.when(F.col("_v") == F.col(VALUE), F.col("_c")).otherwise(F.lit(0))
-    ref = ref.withColumn("ref_lt", F.col("ref_le") - here).drop("_v", "_c", "_mass", "_value", "_count")
-    cur = running_sums(ref, KEY, [F.col(VALUE).asc()], {"cur_le": F.col("n_cur")}, bucketed, base=placed)
-    return cur.withColumn("cur_lt", F.col("cur_le") - F.col("n_cur")), bucketed
+    group, whole = [FEATURE, SALT, BUCKET], (Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = Window.partitionBy(*group).orderBy(F.col(VALUE).asc_nulls_first(), F.col(BATCH).asc_nulls_first())
+    own = Window.partitionBy(*group, BATCH).orderBy(F.col(VALUE).asc_nulls_first())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    ref, cur = merged.rowsBetween(*so_far), own.rowsBetween(*so_far)
+    known = is_ref & F.col(VALUE).isNotNull()
+    seen = {"seen": F.last(F.when(known, F.col(VALUE)), True), "times": F.last(F.when(known, F.col("n_ref")), True)}
+    n = F.max("n_all").over(ref) if bucketed else F.sum("n_ref").over(merged.rowsBetween(*whole))
+    m = F.max("m_all").over(cur) if bucketed else F.sum("n_cur").over(own.rowsBetween(*whole))
+    curves = rows.withColumns(
+        {"ref_le": F.sum("n_ref").over(ref), "ref_mass": F.sum("mass").over(ref), "n": n} | {k: c.over(ref) for k, c in seen.items()}
+    )
+    curves = curves if of_reference else curves.where(~is_ref)
+    curves = curves.withColumns({"cur_le": F.sum("n_cur").over(cur), "m": m})
+    here = F.when(F.col("seen") == F.col(VALUE), F.col("times")).otherwise(F.lit(0))
+    return curves.where(F.col(VALUE).isNotNull() & (F.col("n") > 0)).select(
+        *KEY,
+        SALT,
+        BUCKET,
+        VALUE,
+        "ref_le",
+        (F.col("ref_le") - here).alias("ref_lt"),
+        "ref_mass",
+        "cur_le",
+        (F.col("cur_le") - F.col("n_cur")).alias("cur_lt"),
+        "n",
+        F.coalesce("m", F.lit(0)).alias("m"),
+    ), bucketed
+
+
+def _earlier_buckets(rows: DataFrame) -> DataFrame:
+    """A row without a value per (feature, bucket, batch): the counts of the buckets before it and the sizes in all.
+
+    The reference has one for each bucket of a feature, also where it has no value there itself.
+    """
+    sums = {c: F.sum(c).alias(c) for c in ("n_ref", "mass", "n_cur")}
+    totals = rows.groupBy(*KEY, BUCKET).agg(*sums.values())
+    long, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+
+    def before(c: str, keys: list[str]) -> Column:
+        return F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def over_all(c: str, keys: list[str]) -> Column:
+        return F.sum(c).over(Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    ref = totals.groupBy(FEATURE, BUCKET).agg(sums["n_ref"], sums["mass"]).select(
+        FEATURE,
+        F.lit(None).cast("string").alias(BATCH),
+        real.alias(VALUE),
+        before("n_ref", [FEATURE]).alias("n_ref"),
+        F.lit(0).cast("bigint").alias("n_cur"),
+        BUCKET,
+        before("mass", [FEATURE]).cast("double").alias("mass"),
+        over_all("n_ref", [FEATURE]).alias("n_all"),
+        long.alias("m_all"),
+    )
+    cur = totals.where(F.col(BATCH).isNotNull()).select(
+        *KEY,
+        real.alias(VALUE),
+        F.lit(0).cast("bigint").alias("n_ref"),
+        before("n_cur", KEY).alias("n_cur"),
+        BUCKET,
+        F.lit(0.0).alias("mass"),
+        long.alias("n_all"),
+        over_all("n_cur", KEY).alias("m_all"),
+    )
+    return ref.unionByName(cur)
 
 
 def ks(data: Samples) -> DataFrame:
@@ -168,13 +240,12 @@ def ks(data: Samples) -> DataFrame:
     It sits at a value of the batch or just below one, because the batch's curve is flat and the
     reference's only rises in between.
     """
-    curves, _ = cumulative(data)
-    at = curves.where(F.col(BATCH).isNotNull()).join(sizes(data.counts), KEY)
+    curves, _ = cumulative(data, of_reference=False)
     n, m = F.col("n"), F.col("m")
     gap = F.greatest(
         F.abs(F.col("ref_le") / n - F.col("cur_le") / m), F.abs(F.col("ref_lt") / n - F.col("cur_lt") / m)
     )
-    d = at.groupBy(*KEY).agg(F.max(gap).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
+    d = curves.groupBy(*KEY).agg(F.max(gap).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
     return d.select(*KEY, "statistic", kolmogorov_p(F.col("statistic"), n, m).alias("p_value"), "n", "m")
 
 
@@ -188,13 +259,10 @@ def wasserstein(data: Samples) -> DataFrame:
     rows run through one chain of windows.
     """
     n, m, nxt = F.col("n"), F.col("m"), F.col("nxt")
-    rows = _neighbours(*cumulative(data))
-    size = _all_sizes(data.counts)
-    same = [rows[FEATURE] == size[FEATURE], rows[BATCH].eqNullSafe(size[BATCH])]
     share = F.col("cur_le") / F.nullif(m, F.lit(0).cast("bigint"))
-    steps = rows.join(size, same).select(
-        rows[FEATURE],
-        rows[BATCH],
+    steps = _neighbours(*cumulative(data)).select(
+        *KEY,
+        SALT,
         VALUE,
         "ref_lt",
         "ref_le",
@@ -229,13 +297,6 @@ def wasserstein(data: Samples) -> DataFrame:
     )
 
 
-def _all_sizes(counts: DataFrame) -> DataFrame:
-    """(feature, batch, n, m) with a row for the reference too (batch null)."""
-    spread = Window.partitionBy(FEATURE)
-    totals = counts.groupBy(*KEY).agg(F.sum("n_ref").alias("_n"), F.sum("n_cur").alias("m"))
-    return totals.withColumn("n", F.max("_n").over(spread)).where("n > 0").select(*KEY, "n", "m")
-
-
 def _neighbours(rows: DataFrame, bucketed: bool) -> DataFrame:
     """Each row with the row after it (``nxt``) and the value before it, in value order per batch.
 
@@ -243,17 +304,18 @@ def _neighbours(rows: DataFrame, bucketed: bool) -> DataFrame:
     one first and one last row per bucket.
     """
     point = F.struct(VALUE, "ref_lt", "ref_le", "ref_mass")
-    inside = Window.partitionBy(*KEY, BUCKET).orderBy(VALUE)
+    inside = Window.partitionBy(*KEY, SALT, BUCKET).orderBy(VALUE)
     linked = rows.withColumns({"nxt": F.lead(point).over(inside), "prev_value": F.lag(VALUE).over(inside)})
     if not bucketed:
         return linked
-    ends = rows.groupBy(*KEY, BUCKET).agg(F.min(point).alias("_first"), F.max(VALUE).alias("_last"))
-    over = Window.partitionBy(*KEY).orderBy(BUCKET)
+    place = [FEATURE, SALT, BUCKET]
+    ends = rows.groupBy(*KEY, SALT, BUCKET).agg(F.min(point).alias("_first"), F.max(VALUE).alias("_last"))
+    over = Window.partitionBy(*KEY, SALT).orderBy(BUCKET)
     links = ends.select(
-        *KEY, BUCKET, F.lead("_first").over(over).alias("_after"), F.lag("_last").over(over).alias("_before")
+        *KEY, SALT, BUCKET, F.lead("_first").over(over).alias("_after"), F.lag("_last").over(over).alias("_before")
     )
-    same = [linked[FEATURE] == links[FEATURE], linked[BUCKET] == links[BUCKET], linked[BATCH].eqNullSafe(links[BATCH])]
-    joined = linked.join(links, same).drop(links[FEATURE], links[BUCKET], links[BATCH])
+    same = [*[linked[c] == links[c] for c in place], linked[BATCH].eqNullSafe(links[BATCH])]
+    joined = linked.join(links, same).drop(*[links[c] for c in (*place, BATCH)])
     return joined.withColumns({"nxt": F.coalesce("nxt", "_after"), "prev_value": F.coalesce("prev_value", "_before")})
 
 
@@ -282,7 +344,7 @@ def _with_quantile(steps: DataFrame, k: int) -> DataFrame:
     mark = F.when(is_ref, F.struct(F.col(VALUE).alias("q"), F.col("a0").alias("area")))
     spread = steps.withColumns({"rank": rank, "mark": mark, "rank_bucket": F.explode(F.sequence(first, last))})
     downwards = (
-        Window.partitionBy(FEATURE, "rank_bucket")
+        Window.partitionBy(FEATURE, SALT, "rank_bucket")
         .orderBy(F.desc("rank"), F.col(BATCH).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -292,68 +354,87 @@ def _with_quantile(steps: DataFrame, k: int) -> DataFrame:
 # --- distances over cells (categories or bins) ----------------------------------------------------------
 
 
-def _with_reference_cell(counts: DataFrame) -> DataFrame:
-    """Every row with the reference's count of its own value (0 where the reference lacks it)."""
-    cell = Window.partitionBy(FEATURE, VALUE)
-    return counts.withColumn("here", F.sum("n_ref").over(cell))
+def _with_reference_cell(counts: DataFrame, salts: int, few: bool) -> DataFrame:
+    """Every row with the reference's count of its own value (0 where the reference lacks it).
+
+    ``few`` says that the reference has few cells, as bins are: they are broadcast. Else rows meet by value and salt, so
+    that a value all batches have is spread over as many tasks as there are salts. The reference's rows have salt 0.
+    """
+    if few:
+        cells = counts.where(F.col(BATCH).isNull()).select(FEATURE, VALUE, F.col("n_ref").alias("here"))
+        return counts.join(F.broadcast(cells), [FEATURE, VALUE], "left").fillna({"here": 0})
+    cell = Window.partitionBy(FEATURE, VALUE, SALT)
+    met = dealt(counts, salts).withColumn("here", F.sum("n_ref").over(cell))
+    return met.where(F.col(BATCH).isNotNull() | (F.col(SALT) == 0)).drop(SALT)
 
 
-def chi_square(counts: DataFrame, unseen: float = DriftConfig.unseen_expected) -> DataFrame:
+def chi_square(counts: DataFrame, unseen: float = DriftConfig.unseen_expected, salts: int = 1, few: bool = False) -> DataFrame:
     """(feature, batch, statistic, df, p_value): batch counts against the reference's shares.
 
-    A category the batch lacks adds its expected count, so all of those together add what the present
-    categories leave of the batch size; the reference's categories need not be listed per batch.
+    With o observed, h the reference's count and e = h m / n expected, the sum of (o - e)^2 / e over the reference's
+    categories is (n / m) sum(o^2 / h) - 2 sum(o) + m, in which the categories a batch lacks have no part. So neither the
+    reference's categories are listed per batch nor the batch's size is needed before its rows are summed.
     """
-    rows = _with_reference_cell(counts).where(F.col(BATCH).isNotNull()).join(sizes(counts), KEY)
-    o, e = F.col("n_cur"), F.col("here") / F.col("n") * F.col("m")
-    known = F.pow(o - e, 2) / F.nullif(e, F.lit(0.0)) - e
+    rows = _with_reference_cell(counts, salts, few)
+    o, h, is_known = F.col("n_cur"), F.col("here"), F.col("here") > 0
     fresh = F.pow(o - F.lit(unseen), 2) / F.lit(unseen)
-    is_known = F.col("here") > 0
-    summed = rows.groupBy(*KEY).agg(
-        (F.sum(F.when(is_known, known).otherwise(fresh)) + F.first("m")).alias("raw"),
-        (F.sum(F.when(is_known, 0).otherwise(1)) + F.first("ref_kinds") - 1).cast("bigint").alias("df"),
+    summed = rows.where(F.col(BATCH).isNotNull()).groupBy(*KEY).agg(
+        F.sum("n_cur").alias("m"),
+        F.coalesce(F.sum(F.when(is_known, o.cast("double") * o / h)), F.lit(0.0)).alias("squares"),
+        F.coalesce(F.sum(F.when(is_known, o)), F.lit(0)).alias("met"),
+        F.coalesce(F.sum(F.when(~is_known, fresh)), F.lit(0.0)).alias("fresh"),
+        F.count_if(~is_known).alias("kinds"),
+    )
+    ref = counts.where(F.col(BATCH).isNull()).groupBy(FEATURE).agg(F.sum("n_ref").alias("n"), F.count("*").alias("ref_kinds"))
+    raw = F.col("n") / F.col("m") * F.col("squares") - 2 * F.col("met") + F.col("m") + F.col("fresh")
+    df = (F.col("kinds") + F.col("ref_kinds") - 1).cast("bigint")
+    out = summed.join(F.broadcast(ref), FEATURE).select(  # as many rows as there are feature columns
+        *KEY, F.when(df <= 0, F.lit(0.0)).otherwise(F.greatest(raw, F.lit(0.0))).alias("statistic"), df.alias("df")
     )
-    statistic = F.when(F.col("df") <= 0, F.lit(0.0)).otherwise(F.greatest("raw", F.lit(0.0)))
-    out = summed.select(*KEY, statistic.alias("statistic"), "df")
     return out.withColumn("p_value", chi_square_p(F.col("statistic"), F.col("df").cast("double")))
 
 
-def share_distances(counts: DataFrame, floor: float = DriftConfig.share_floor) -> DataFrame:
+def _with_size(rows: DataFrame, parts: int) -> DataFrame:
+    """Batch rows with m, the size of their batch. With ``parts`` above 1 the cells of a batch are dealt by hash, and its
+    size comes from one total per part, so no task needs all cells of a batch."""
+    if parts <= 1:
+        return rows.withColumn("m", F.sum("n_cur").over(Window.partitionBy(*KEY)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(VALUE), F.lit(parts)))
+    totals = rows.groupBy(*KEY, "_part").agg(F.sum("n_cur").alias("_here"))
+    totals = totals.select(*KEY, "_part", F.sum("_here").over(Window.partitionBy(*KEY)).alias("m"))
+    return rows.join(totals, [*KEY, "_part"])
+
+
+def share_distances(
+    counts: DataFrame, floor: float = DriftConfig.share_floor, salts: int = 1, few: bool = False, parts: int = 1
+) -> DataFrame:
     """(feature, batch, psi, jensenshannon) over bins or categories; shares are floored, natural logarithm.
 
     As in ``chi_square``, the cells a batch lacks come from one total per feature: what the reference alone
     would give against the floor, less the part of the cells the batch does have.
     """
-    low = F.lit(floor)
-    spread = Window.partitionBy(FEATURE)
-    ref_only = F.col(BATCH).isNull()
-    rows = _with_reference_cell(counts).withColumns(
-        {"_n": F.col("n_ref"), "side": F.when(ref_only, F.col("n_ref")).otherwise(F.col("n_cur"))}
-    )
-    totals = counts.groupBy(*KEY).agg(F.sum("n_ref").alias("tn"), F.sum("n_cur").alias("m"))
-    totals = totals.withColumn("n", F.max("tn").over(spread)).where("n > 0").select(*KEY, "n", "m")
-    same = [rows[FEATURE] == totals[FEATURE], rows[BATCH].eqNullSafe(totals[BATCH])]
-    rows = rows.join(totals, same).select(
-        rows[FEATURE],
-        rows[BATCH],
-        "here",
-        F.greatest(F.col("here") / F.col("n"), low).alias("p"),
-        F.greatest(F.coalesce(F.col("n_cur") / F.nullif(F.col("m"), F.lit(0)), low), low).alias("q"),
+    low, here = F.lit(floor), F.col("here")
+    is_ref = F.col(BATCH).isNull()
+    ref = counts.where(is_ref)
+    sizes = ref.groupBy(FEATURE).agg(F.sum("n_ref").alias("n"))
+    met = _with_reference_cell(counts, salts, few).where(~is_ref)
+    rows = _with_size(met, parts).join(F.broadcast(sizes), FEATURE)  # as many rows as there are feature columns
+    p, q = F.greatest(here / F.col("n"), low), F.greatest(F.col("n_cur") / F.col("m"), low)
+    shares = rows.select(*KEY, (here > 0).alias("known"), p.alias("p"), q.alias("q"))
+    summed = shares.groupBy(*KEY).agg(
+        *[
+            F.sum(term(F.col("p"), F.col("q")) - F.when(F.col("known"), term(F.col("p"), low)).otherwise(0.0)).alias(name)
+            for name, term in _SHARE_TERMS.items()
+        ]
     )
-    p, q = F.col("p"), F.col("q")
-    alone = {name: F.when(F.col("here") > 0, term(p, low)).otherwise(0.0) for name, term in _SHARE_TERMS.items()}
-    summed = rows.groupBy(*KEY).agg(
-        *[F.sum(term(p, q) - alone[name]).alias(name) for name, term in _SHARE_TERMS.items()],
-        *[F.sum(alone[name]).alias(f"{name}_alone") for name in _SHARE_TERMS],
+    own = F.greatest(F.col("n_ref") / F.col("n"), low)
+    alone = ref.join(F.broadcast(sizes), FEATURE).groupBy(FEATURE).agg(
+        *[F.sum(term(own, low)).alias(f"{name}_alone") for name, term in _SHARE_TERMS.items()]
     )
-    whole = {
-        name: F.col(name) + F.max(F.when(ref_only, F.col(f"{name}_alone"))).over(spread) for name in _SHARE_TERMS
-    }
-    out = summed.withColumns(whole).where(~ref_only)
-    return out.select(
+    return summed.join(F.broadcast(alone), FEATURE).select(
         *KEY,
-        F.greatest("psi", F.lit(0.0)).alias("psi"),
-        F.sqrt(F.greatest(F.col("js") / 2.0, F.lit(0.0))).alias("jensenshannon"),
+        F.greatest(F.col("psi") + F.col("psi_alone"), F.lit(0.0)).alias("psi"),
+        F.sqrt(F.greatest((F.col("js") + F.col("js_alone")) / 2.0, F.lit(0.0))).alias("jensenshannon"),
     )
 
 
@@ -391,6 +472,9 @@ class TwoSample:
             return bin_counts(self.reference, self.batches, self.features, self.batch, bins)
         return self.counts()
 
+    def salts(self) -> int:
+        return salt_number(self.reference, self.batches)
+
     def ordered(self, test: str) -> Samples:
         if not self.numeric:
             raise ValueError(f"the {test} test needs numeric features, got {self.features}")
@@ -416,10 +500,17 @@ def _score(result: DataFrame, column: str) -> DataFrame:
     return result.select(*KEY, F.col(column).alias("score"))
 
 
+def _chi_square_score(s: TwoSample, c: DriftConfig) -> DataFrame:
+    return _score(chi_square(s.cells(c.bins), c.unseen_expected, s.salts(), s.numeric), "p_value")
+
+
+def _share_score(s: TwoSample, c: DriftConfig, name: str) -> DataFrame:
+    parts = 1 if s.numeric else bucket_count(s.reference, s.batches)
+    return _score(share_distances(s.cells(c.bins), c.share_floor, s.salts(), s.numeric, parts), name)
+
+
 register_stat_test("ks", lambda s, c: _score(ks(s.ordered("ks")), "p_value"))
 register_stat_test("wasserstein", lambda s, c: _score(wasserstein(s.ordered("wasserstein")), "scaled"))
-register_stat_test("chisquare", lambda s, c: _score(chi_square(s.cells(c.bins), c.unseen_expected), "p_value"))
-register_stat_test("psi", lambda s, c: _score(share_distances(s.cells(c.bins), c.share_floor), "psi"))
-register_stat_test(
-    "jensenshannon", lambda s, c: _score(share_distances(s.cells(c.bins), c.share_floor), "jensenshannon")
-)
+register_stat_test("chisquare", _chi_square_score)
+register_stat_test("psi", lambda s, c: _share_score(s, c, "psi"))
+register_stat_test("jensenshannon", lambda s, c: _share_score(s, c, "jensenshannon"))

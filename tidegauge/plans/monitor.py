@@ -9,10 +9,10 @@ from tidegauge.config import DriftConfig, ImageDriftConfig
 from tidegauge.operators import image_drift as im
 from tidegauge.operators.drift_report import (
     batch_sizes,
-    feature_table,
     large_enough,
     require_alignment,
     result_records,
+    scored_grid,
     with_alerts,
     with_verdict,
 )
@@ -25,8 +25,8 @@ def monitor_features(
 ) -> DataFrame:
     """One row per (batch, feature) for every batch that is large enough, with the batch's own verdict."""
     require_alignment(reference, batches, features, (batch,))
-    kept = large_enough(batches, batch, config.min_batch_size)
-    return with_verdict(feature_table(reference, kept, features, batch, config), config)
+    table = scored_grid(reference, batches, features, batch, config, config.min_batch_size)
+    return with_verdict(table.drop("row_count", "is_infinite"), config)
 
 
 def monitor(
@@ -41,10 +41,8 @@ def monitor(
 ) -> DataFrame:
     """One nested drift record per batch, with the alert and the gate. Batches below the minimum size give none."""
     require_alignment(reference, batches, features, (batch,))
-    kept = large_enough(batches, batch, config.min_batch_size)
-    table = feature_table(reference, kept, features, batch, config)
-    rows = batch_sizes(batches, batch).where(F.col("row_count") >= config.min_batch_size)
-    records = result_records(table, rows, reference, config, task_type, generated_at=generated_at)
+    table = scored_grid(reference, batches, features, batch, config, config.min_batch_size)
+    records = result_records(table, reference, config, task_type, generated_at=generated_at)
     graded = records.withColumn("severity", F.col("overall.severity"))
     return with_alerts(graded, config, interactive).drop("severity")
 

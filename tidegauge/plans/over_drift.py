@@ -18,6 +18,7 @@ from tidegauge.operators.drift_report import (
     dataset_table,
     feature_table,
     large_enough,
+    scored_grid,
     small_sample,
     with_alerts,
 )
@@ -171,7 +172,7 @@ def drift_chisquare(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = both_sides(spark, sf_dir)
-    return ts.share_distances(ts.bin_counts(ref, cur, NUM, "batch", 10)).select("feature", "batch", r6("psi").alias("psi"))
+    return ts.share_distances(ts.bin_counts(ref, cur, NUM, "batch", 10), few=True).select("feature", "batch", r6("psi").alias("psi"))
 
 
 @query(
@@ -379,6 +380,57 @@ def drift_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Infinities in one batch and in one feature of the reference; they count as missing and touch nothing else.
+INF = "cast('infinity' as double)"
+INF_REF = REF_SQL.replace("l_discount, l_tax", f"l_discount, case when l_orderkey % 101 = 0 then -{INF} else l_tax end as l_tax")
+INF_CUR = CUR_SQL.replace(
+    "l_discount, case", f"case when month(l_shipdate) = 5 and l_linenumber = 1 then {INF} else l_discount end as l_discount, case"
+)
+INF_SIDES = f"with ref as ({INF_REF}), cur as ({INF_CUR})"
+FINITE_LONG = long_sql(NUM).replace(f"for feature in ({', '.join(NUM)}))", f"for feature in ({', '.join(NUM)})) where isfinite(value)")
+
+
+@query(
+    "drift_non_finite",
+    f"""{INF_SIDES}, {FINITE_LONG}, {ECDF}, {WASS},
+    flag as (select batch, bool_or(isinf(l_discount)) as holds from cur group by batch)
+    select feature, batch, round(scaled, 6) as scaled, case feature when 'l_tax' then true when 'l_discount' then holds else false end as is_infinite
+    from ws join flag using (batch)""",
+)
+def drift_non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cur = derived(spark, sf_dir, INF_REF), derived(spark, sf_dir, INF_CUR)
+    out = scored_grid(ref, cur, NUM, "batch", DriftConfig(numeric_test="wasserstein", numeric_threshold=0.1))
+    return out.select("feature", "batch", r6("drift_score").alias("scaled"), "is_infinite")
+
+
+# Every user is a batch: as many batches as rows allow, most of them small.
+USER_REF = "select value, event_type from events where ts < timestamp '2024-01-08 00:00:00'"
+USER_CUR = """select user_id as batch, case when user_id % 7 = 0 then value * 1.3 else value end as value,
+    case when user_id % 11 = 0 and event_type = 'click' then 'tap' else event_type end as event_type
+    from events where ts >= timestamp '2024-01-08 00:00:00'"""
+
+
+@query(
+    "monitor_many_batches",
+    f"""with ref as (select value as v from ({USER_REF})), cur as (select batch, value as v from ({USER_CUR})),
+    {long_sql(["value"]).replace("feature in (value)", "feature in (v)")}, {ECDF},
+    crl as (select 'event_type' as feature, event_type as value from ({USER_REF})),
+    ccl as (select batch, 'event_type' as feature, event_type as value from ({USER_CUR})),
+    crn as (select feature, count(*) as n from crl group by all),
+    ccm as (select feature, batch, count(*) as m from ccl group by all),
+    {chi_sql("c")},
+    feat as (select batch, 'value' as feature, p_value as drift_score from ks union all select batch, feature, p_value from chi),
+    counted as (select batch, count(*) as row_count from cur group by all having count(*) >= 10)
+    select batch::varchar as batch, feature, row_count, round(drift_score, 6) + 0.0 as drift_score, drift_score < 0.05 as drift_detected
+    from feat join counted using (batch)""",
+)
+def monitor_many_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id`` names the batch."""
+    ref, cur = derived(spark, sf_dir, USER_REF), derived(spark, sf_dir, USER_CUR)
+    out = scored_grid(ref, cur, ["value", "event_type"], "batch", DriftConfig(), DriftConfig().min_batch_size)
+    return out.select("batch", "feature", "row_count", r6("drift_score").alias("drift_score"), "drift_detected")
+
+
 EVENT_REF = "select value, event_type from events where ts < timestamp '2024-01-08 00:00:00'"
 EVENT_CUR = """select cast(cast(ts as date) as varchar(10)) as batch, value * 1.1 as value, event_type
     from events where ts >= timestamp '2024-01-08 00:00:00'"""
