@@ -149,15 +149,18 @@ def scored_grid(
     for other in parts[1:]:
         scored = scored.unionByName(other)
     grid = feature_grid(reference, batches, features, batch, config, minimum)
+    return grade_rows(grid, scored, [BATCH, FEATURE], config).select(*TABLE, "row_count", "is_infinite")
+
+
+def grade_rows(grid: DataFrame, scored: DataFrame, keys: list[str], config: DriftConfig) -> DataFrame:
+    """The rows of ``grid`` with drift_score, drift_detected and severity; ``scored`` has the scores by ``keys``."""
     score = F.when(~F.col("is_lost"), F.col("drift_score"))
-    table = grid.join(scored, [BATCH, FEATURE], "left").withColumn("drift_score", score)
+    table = grid.join(scored, keys, "left").withColumn("drift_score", score)
     hit = F.coalesce(detected(F.col("drift_score"), F.col("stattest_name"), F.col("stattest_threshold")), F.lit(False))
     grade = feature_severity(F.col("drift_score"), F.col("drift_detected"), F.col("stattest_name"), config)
-    return (
-        table.withColumn("drift_detected", F.col("is_lost") | hit)
-        .withColumn("severity", F.when(F.col("is_lost"), "high").otherwise(grade))
-        .select(*TABLE, "row_count", "is_infinite")
-    )
+    return table.withColumn("drift_detected", F.col("is_lost") | hit).withColumn(
+        "severity", F.when(F.col("is_lost"), "high").otherwise(grade)
+    ).drop("is_lost")
 
 
 def feature_table(
@@ -191,9 +194,9 @@ def dataset_table(features: DataFrame, config: DriftConfig = DriftConfig(), *ext
     return _verdict(out, config).withColumnRenamed("overall_severity", "severity")
 
 
-def with_verdict(features: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
+def with_verdict(features: DataFrame, config: DriftConfig = DriftConfig(), keys: tuple[str, ...] = (BATCH,)) -> DataFrame:
     """The feature rows with their batch's verdict beside them, from one window over a batch's few rows."""
-    whole = Window.partitionBy(BATCH)
+    whole = Window.partitionBy(*keys)
     counted = features.withColumns(
         {
             "drifted_feature_count": F.sum(F.col("drift_detected").cast("int")).over(whole),
