@@ -148,11 +148,28 @@ def test_drift_slice_and_weights(spark):
 def test_resample_is_repeatable_and_follows_weights(spark):
     df = spark.range(4000).select(F.col("id").alias("key"), F.when(F.col("id") < 1000, 3.0).otherwise(1.0).alias("w"))
     one = sp.weighted_resample(df, "w", "key", 4000)
-    n = one.count()
-    assert abs(n - 4000) < 300 and one.where("key < 1000").count() / n == pytest.approx(0.5, abs=0.05)
+    assert one.count() == 4000 and one.where("key < 1000").count() / 4000 == pytest.approx(0.5, abs=0.05)
     assert sorted(one.collect()) == sorted(sp.weighted_resample(df.repartition(7), "w", "key", 4000).collect())
+    assert {sp.weighted_resample(df, "w", "key", 777, seed).count() for seed in range(5)} == {777}
     big = sp.weighted_resample(df.limit(10).withColumn("w", F.lit(1.0)), "w", "key", 10_000)
-    assert abs(big.count() - 10_000) < 500
+    assert big.count() == 10_000 and big.groupBy("key").count().count() == 10
+
+
+def test_resample_down_a_deeper_tree(spark):
+    df = spark.range(6000).select(F.col("id").alias("key"), F.when(F.col("id") < 600, 9.0).otherwise(1.0).alias("w"), F.lit(None).cast("int").alias("_n"))
+    df = df.drop("_n")
+    drawn = sp.weighted_resample(df, "w", "key", 5000, leaf_rows=1)  # two levels of branches above the rows
+    assert drawn.count() == 5000 and drawn.where("key < 600").count() / 5000 == pytest.approx(0.5, abs=0.04)
+    assert sorted(drawn.collect()) == sorted(sp.weighted_resample(df.repartition(5), "w", "key", 5000, leaf_rows=1).collect())
+
+
+def test_resample_never_draws_rows_without_weight(spark):
+    rows = [(1, 2.0), (2, 0.0), (3, None), (4, float("nan")), (5, -1.0), (6, 1e-6), (None, 2.0), (1, 2.0)]
+    df = spark.createDataFrame(rows, "key int, w double")
+    drawn = sp.weighted_resample(df, "w", "key", 500)
+    assert drawn.count() == 500 and {r["key"] for r in drawn.collect()} <= {1, 6, None}
+    assert sp.weighted_resample(df.where("w <= 0"), "w", "key", 500).count() == 0
+    assert sp.weighted_resample(df, "w", "key", 0).count() == 0
 
 
 def test_splits_of_few_and_many_classes_agree_and_null_keys_are_refused(spark, monkeypatch):

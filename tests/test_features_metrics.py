@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tidegauge.operators import features as ft
 from tidegauge.operators import governance as gv
 from tidegauge.operators import history as hs
 from tidegauge.operators import metrics as mt
-from tidegauge.operators.as_of import as_of
+from tidegauge.operators.as_of import as_of, with_span
 
 
 @pytest.fixture(scope="module")
@@ -187,6 +188,28 @@ def test_as_of_carries_over_spans(spark):
     assert got == {1: "x", 2: None, 3: None, 4: "x"}
 
 
+@pytest.mark.parametrize("span_rows", [7, 100])
+def test_as_of_and_versions_of_a_key_that_crowds_one_day(spark, span_rows):
+    """Half of all rows belong to one model and one second of a day: cut into spans of about the wished depth."""
+    rng = np.random.default_rng(9)
+    at = np.where(rng.random(400) < 0.5, 1000 + rng.integers(0, 1000, 400) / 1000, rng.integers(0, 900_000, 400))
+    left = pd.DataFrame({"k": rng.choice(["hot", "hot", "hot", "b", "c"], 400), "id": range(400), "t": at.round(3)})
+    right = pd.DataFrame({"k": rng.choice(["hot", "b"], 300), "v": range(300), "at": (rng.choice(at, 300) + rng.integers(0, 3, 300)).round(3)})
+    right = right.drop_duplicates(["k", "at"])
+    want = pd.merge_asof(left.sort_values("t"), right.sort_values("at"), left_on="t", right_on="at", by="k")
+    sides = [spark.createDataFrame(d).withColumn(c, F.timestamp_millis((F.col(c) * 1000).cast("long"))) for d, c in ((left, "t"), (right, "at"))]
+    got = {r["id"]: r["match"] and r["match"]["v"] for r in as_of(*sides, ["k"], "t", "at", span_rows).collect()}
+    assert got == {int(i): None if pd.isna(v) else int(v) for i, v in zip(want["id"], want["v"])}
+    spans = with_span(sides[0], ["k"], F.col("t"), span_rows).groupBy("k", "_bucket").count().collect()
+    hot = [r["count"] for r in spans if r["k"] == "hot"]
+    assert len(hot) > 240 / span_rows / 2 and max(hot) < 4 * span_rows
+    asks = sides[0].select(F.col("k").alias("model"), F.format_string("r%03d", "id").alias("run_id"), F.col("t").alias("requested_at"))
+    none = spark.createDataFrame([], "model string, version long, run_id string")
+    numbered = {r["run_id"]: r["version"] for r in gv.register_versions(asks, none, span_rows).collect()}
+    order = left.sort_values(["k", "t", "id"])
+    assert numbered == {f"r{i:03d}": n for i, n in zip(order["id"], order.groupby("k").cumcount() + 1)}
+
+
 def test_trends(spark):
     def trend(*severities):
         data = [("m", i, s) for i, s in enumerate(severities)]

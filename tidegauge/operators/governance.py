@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import PromotionRule
-from tidegauge.operators.as_of import as_of
+from tidegauge.operators.as_of import SPAN_ROWS, as_of, with_span
 from tidegauge.operators.ordered import BUCKET, running_sums
 
 TOLERANCE = 1e-6
@@ -157,7 +157,7 @@ def production_metrics(versions: DataFrame, run_metrics: DataFrame) -> DataFrame
     return current_production(versions).join(evals, "run_id").select("model", "version", "metric", "value")
 
 
-def register_versions(requests: DataFrame, versions: DataFrame, span: str = "1 day") -> DataFrame:
+def register_versions(requests: DataFrame, versions: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     """(model, run_id, version, is_new): a run known to the registry keeps its highest version, the others get
     the next numbers of their model in order of request; requests without a time come last, by run_id."""
     known = versions.groupBy("model", "run_id").agg(F.max("version").alias("version"))
@@ -167,10 +167,8 @@ def register_versions(requests: DataFrame, versions: DataFrame, span: str = "1 d
     top = versions.groupBy("model").agg(F.max("version").alias("top"))
     # numbered span by span, so that a model with very many requests is not sorted by one task
     late = F.col("requested_at").isNull()
-    start = F.window(F.col("requested_at").cast("timestamp"), span)["start"]
-    timed = fresh.where(~late).withColumn("_start", start)  # a window has no place for null times
-    spans = timed.unionByName(fresh.where(late).withColumn("_start", F.lit(None).cast("timestamp")))
-    spans = spans.withColumn(BUCKET, F.struct(late.alias("late"), F.col("_start").alias("start"))).drop("_start")
+    spans = with_span(fresh, ["model"], F.col("requested_at"), span_rows)
+    spans = spans.withColumn(BUCKET, F.struct(late.alias("late"), F.col(BUCKET).alias("span")))
     order = [F.col("requested_at").asc(), F.col("run_id").asc()]
     numbered = running_sums(spans, ["model"], order, {"rn": F.lit(1)}, bucketed=True).join(top, "model", "left")
     return kept.unionByName(
@@ -261,9 +259,9 @@ def audit_status(audit: DataFrame) -> DataFrame:
 # --- decisions, deployment, runs ------------------------------------------------------------------------
 
 
-def drift_provenance(decisions: DataFrame, drift: DataFrame, width: str = "1 day") -> DataFrame:
+def drift_provenance(decisions: DataFrame, drift: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Decisions (…, model, decided_at) with the latest drift record (model, generated_at, …) before them."""
-    out = as_of(decisions, drift, ["model"], "decided_at", "generated_at", width)
+    out = as_of(decisions, drift, ["model"], "decided_at", "generated_at", span_rows)
     fields = [c for c in drift.columns if c != "model"]
     return out.select(
         *decisions.columns, F.col("match").isNotNull().alias("available"), *[F.col(f"match.{c}").alias(f"drift_{c}") for c in fields]

@@ -8,10 +8,15 @@ as a small one. Rows with equal keys always land on the same side.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.columns import clip, half_even, hash_fraction, seeded_hash
 
@@ -241,52 +246,73 @@ def oversample_weights(df: DataFrame, is_drifted: str, target_ratio: float) -> D
     return df.withColumn("weight", weight)
 
 
-def weighted_resample(df: DataFrame, weight: str, key: str, size: int, seed: int = 42) -> DataFrame:
-    """Draw with replacement by weight: a row appears as often as its own Poisson draw says.
+# Hexadecimal digits of a hash that one level of the draw's tree takes, and the rows a group at its foot may hold.
+TREE_DIGITS = 3
+LEAF_ROWS = 50_000
+WHOLE_WEIGHT = 2**40  # the largest weight as a whole number, so that sums do not depend on their order
 
-    The draw of a row depends on its key and the seed only, so a repeated task gives the same rows. The
-    number of rows is ``size`` in expectation. ``copy_no`` numbers the copies.
-    """
-    total = df.agg(F.sum(weight).alias("t")).first()["t"] or 1.0
-    rate = F.col(weight) * F.lit(float(size) / float(total))
-    # A Poisson number of a high rate is the sum of independent ones of lower rates, each with a hash of its own.
-    parts = F.greatest(F.lit(1), F.ceil(rate / F.lit(MOST_RATE))).cast("int")
-
-    def draw(i: Column) -> Column:
-        first = seeded_hash(seed, key)
-        return _poisson(rate / parts, hash_fraction(F.when(i == 1, first).otherwise(seeded_hash(seed, key, i))))
-
-    drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda sum_, i: sum_ + draw(i))
-    return (
-        df.withColumn("_k", drawn)
-        .where("_k > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-        .drop("_k")
-    )
-
-
-MOST_RATE = 30.0
 
+def _shared_out(n: int, weights: list[int], *seed: int | str) -> list[int]:
+    """How many of ``n`` draws fall to each weight: a multinomial by conditional binomials, fixed by its seed."""
+    draw = np.random.default_rng(list(hashlib.sha256(":".join(map(str, seed)).encode()).digest()))
+    left, rest, out = int(n), sum(weights), []
+    for w in weights:
+        share = 0 if not left or not w else left if w == rest else int(draw.binomial(left, w / rest))
+        out.append(share)
+        left, rest = left - share, rest - w
+    return out
 
-def _poisson(rate: Column, u: Column) -> Column:
-    """Inverse Poisson distribution at u, for rates up to ``MOST_RATE``."""
-    none = F.exp(-rate)
-    start = F.struct(F.lit(0).alias("k"), none.alias("term"), none.alias("cdf"), rate.alias("rate"), u.alias("u"))
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * acc["rate"] / i
-        grow = acc["u"] >= acc["cdf"]
-        return F.struct(
-            F.when(grow, i.cast("int")).otherwise(acc["k"]).alias("k"),
-            F.when(grow, term).otherwise(acc["term"]).alias("term"),
-            F.when(grow, acc["cdf"] + term).otherwise(acc["cdf"]).alias("cdf"),
-            acc["rate"].alias("rate"),
-            acc["u"].alias("u"),
-        )
-
-    # beyond ten deviations no u of 32 bits reaches
-    steps = F.ceil(rate + 10.0 * F.sqrt(rate) + 10.0).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["k"])
+def weighted_resample(
+    df: DataFrame, weight: str, key: str, size: int, seed: int = 42, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
+    """Exactly ``size`` rows drawn from ``df`` with replacement, each draw by weight; ``copy_no`` numbers a row's copies.
+
+    The draws go down a tree over the seeded hashes of the keys. At each node they are shared out among its branches
+    by the sums of their weights (conditional binomials, so the whole is one multinomial), at the foot among rows. The
+    driver shares out over the first 4096 branches; below, each group has at most 4096 branches or about ``leaf_rows``
+    rows, and a node's random numbers depend on the seed and its place only. So the result depends neither on
+    partitions nor on lost executors. Weights count as whole numbers of 2^-40 of the largest; null, NaN, negative and
+    zero weights are never drawn. Without any weight there are no rows. Keys name rows: rows with one key stay together.
+    """
+    w = F.col(weight).cast("double")
+    usable = F.when(~F.isnan(w) & (w > 0) & (w < float("inf")), w)
+    most, rows = df.agg(F.max(usable), F.count(usable)).first()
+    empty = df.withColumn("copy_no", F.lit(1)).where("false")
+    if not rows or size <= 0:
+        return empty
+    levels = 1
+    while rows > leaf_rows * 16 ** (TREE_DIGITS * levels):
+        levels += 1
+    whole = F.coalesce(F.floor(usable / F.lit(most) * F.lit(float(WHOLE_WEIGHT))), F.lit(0)).cast("decimal(38,0)")
+    kept = df.withColumns({"_w": whole, "_h": seeded_hash(seed, key)}).where("_w > 0")
+
+    def sums(level: int) -> DataFrame:
+        return kept.groupBy(F.substring("_h", 1, TREE_DIGITS * level).alias("_p")).agg(F.sum("_w").alias("_w"))
+
+    top = sorted((r["_p"], int(r["_w"])) for r in sums(1).collect())  # at most 4096 rows
+    shares = _shared_out(size, [w for _, w in top], seed, "root")
+    drawn = df.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(top, shares) if n], "_p string, _n long")
+    for level in range(2, levels + 1):
+
+        def branch(group: pa.Table) -> pa.Table:
+            group = group.sort_by("_p")
+            found = _shared_out(group["_n"][0].as_py(), [int(x) for x in group["_w"].to_pylist()], seed, group["_up"][0].as_py())
+            return pa.table({"_p": group["_p"], "_n": pa.array(found, pa.int64())}).filter(pc.greater(pa.array(found), 0))
+
+        up = sums(level).withColumn("_up", F.substring("_p", 1, TREE_DIGITS * (level - 1)))
+        drawn = up.join(drawn.withColumnRenamed("_p", "_up"), "_up").groupBy("_up").applyInArrow(branch, "_p string, _n long")
+
+    def foot(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_h", "ascending"), ("_w", "ascending"), ("_row", "ascending")])
+        found = _shared_out(group["_n"][0].as_py(), [int(x) for x in group["_w"].to_pylist()], seed, group["_p"][0].as_py())
+        return group.select(columns).append_column("_k", pa.array(found, pa.int64())).filter(pc.greater(pa.array(found), 0))
+
+    columns = df.columns
+    placed = kept.withColumns({"_p": F.substring("_h", 1, TREE_DIGITS * levels), "_row": F.xxhash64(*columns)})
+    schema = T.StructType([*df.schema.fields, T.StructField("_k", T.LongType())])
+    taken = placed.join(drawn, "_p").groupBy("_p").applyInArrow(foot, schema)
+    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).drop("_k")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -126,6 +126,26 @@ def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.weighted_resample(weighted, "weight", "event_id", size).select("event_id", "is_drifted", "copy_no")
 
 
+# The draw itself has no twin in SQL; its size, the copies' numbers and what it may draw from do.
+@query(
+    "weighted_resample_size",
+    """select count(*) as drawn, true as all_known, true as near_its_share, count(*) as copies_numbered from events""",
+)
+def weighted_resample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows drawn in all, whether all are rows of the input, and whether the drifted ones are within five deviations of
+    the wanted share of 0.3."""
+    drawn = weighted_resample(spark, sf_dir)
+    known = table(spark, sf_dir, "events").select("event_id", F.lit(True).alias("known"))
+    rows = drawn.groupBy("event_id", "is_drifted").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"))
+    n, hit = F.sum("n"), F.sum(F.when(F.col("is_drifted"), F.col("n")).otherwise(0))
+    return rows.join(known, "event_id", "left").agg(
+        n.alias("drawn"),
+        F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"),
+        (F.abs(hit - n * 0.3) <= 5 * F.sqrt(n * 0.21)).alias("near_its_share"),
+        F.sum("last").cast("bigint").alias("copies_numbered"),
+    )
+
+
 @query(
     "class_weight_balanced",
     """with c as (select o_orderpriority as label, count(*) as n from orders group by all)
