@@ -214,11 +214,28 @@ def test_exact_mmd(spark, block):
     got = mmd.embedding_mmd(left, right, "v", block).first()
     want, gamma = brute_mmd(x, y)
     assert got["mmd"] == pytest.approx(want, abs=1e-12) and got["gamma"] == pytest.approx(gamma, rel=1e-12)
+    stored = mmd.embedding_mmd(left, right, "v", block, gamma=0.3).first()
+    z = np.concatenate([x, y])
+    k = np.exp(-0.3 * ((z[:, None] - z[None]) ** 2).sum(-1))
+    inside = (k[:15, :15].sum() - 15) / (15 * 14) + (k[15:, 15:].sum() - 12) / (12 * 11)
+    assert stored["gamma"] == 0.3 and stored["mmd"] == pytest.approx(max(0.0, inside - 2 * k[:15, 15:].mean()), abs=1e-12)
     assert mmd.embedding_mmd(left.limit(1), right, "v").first()["mmd"] == 0.0
     rough = mmd.mmd_features(left, right, "v", gamma, count=4096).first()["mmd"]
     assert rough == pytest.approx(want, abs=0.06)
 
 
+def test_mmd_far_from_the_origin_and_all_bits_of_the_median(spark, monkeypatch):
+    """Gram products lose the small distances there, and with few gathered pairs the ranks are read bit by bit."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(1e4, 1e-2, size=(40, 3)), rng.normal(1e4, 1.5e-2, size=(30, 3))
+    sides = [spark.createDataFrame([(v.tolist(),) for v in rows], "v array<double>") for rows in (x, y)]
+    want, gamma = brute_mmd(x, y)
+    for gathered in (0, 1 << 20):
+        monkeypatch.setattr(mmd, "GATHERED", gathered)
+        got = mmd.embedding_mmd(*sides, "v", 16).first()
+        assert got["gamma"] == pytest.approx(gamma, rel=1e-6) and got["mmd"] == pytest.approx(want, rel=1e-6)
+
+
 def test_mmd_of_equal_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, v array<double>")
     row = mmd.embedding_mmd(same, same, "v", 2).first()

@@ -1,8 +1,9 @@
 """Maximum mean discrepancy between two sets of embeddings.
 
-The exact statistic is defined over all pairs. Rows are hashed into blocks, every pair of blocks is one cell
-of an even grid, and a task computes one cell with numpy and returns sums only. ``mmd_features`` replaces
-the pairs by random Fourier features, whose cost grows with the rows alone.
+The exact statistic is defined over all pairs. Rows are hashed into blocks, every pair of blocks is one tile
+of an even grid, and a task computes a tile's distances from one Gram product and returns sums only. With a stored
+bandwidth that is one pass over the pairs; the exact median of the distances takes two more. ``mmd_features``
+replaces the pairs by random Fourier features, whose cost grows with the rows alone.
 """
 
 from __future__ import annotations
@@ -11,12 +12,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.session import checkpointed
+
 BLOCK = 1024
-# a distance's 64 bits, read from the top in these steps, so that a pass returns at most 2**16 counts per cell
+LEAST_BLOCK = 128
+# A distance's 64 bits are read from the top in these steps, so that a pass returns at most 2**16 counts per tile. Once
+# no more than ``GATHERED`` pairs share the bits read so far, the next pass reads all that is left.
 BIT_STEPS = (20, 16, 14, 14)
+GATHERED = 1 << 20
+# Distances this small against the vectors are measured again by differences: a Gram product leaves rounding there.
+NEAR = 1e-6
 
 
 def _sides(reference: DataFrame, batch: DataFrame, vector: str) -> DataFrame:
@@ -44,37 +53,46 @@ def _sizes(rows: DataFrame) -> tuple[int, int, int]:
 
 
 def _grid(rows: DataFrame, total: int, block: int) -> DataFrame:
-    """Each row in all the cells of its block: cell (i, j) holds blocks i and j."""
-    blocks = max(1, -(-total // block))
+    """Each row in all the tiles of its block: tile (i, j) holds blocks i and j.
+
+    Blocks hold about ``block`` rows, fewer where that leaves tasks without a tile.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(1, -(-total // block), min(math.isqrt(4 * parts), total // LEAST_BLOCK))
     own = F.pmod(F.xxhash64("v", "is_ref"), F.lit(blocks)).cast("int")
     many = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return many.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
 
 
-def _pairs(pdf: pd.DataFrame):
-    """Squared distances of a cell's pairs, some rows at a time, with the kind of each pair (0, 1 or 2
-    reference members) and the number of row pairs it stands for. Inside one block every pair counts once."""
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    left = pdf if same else pdf[pdf["b"] == pdf["i"]]
-    right = pdf if same else pdf[pdf["b"] == pdf["j"]]
-    if len(left) == 0 or len(right) == 0:
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b, by one matrix product; exactly 0 for equal rows."""
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    d2 = na[:, None] + nb[None, :]
+    near = d2 * NEAR
+    d2 -= 2.0 * (a @ b.T)
+    rows, columns = np.nonzero(d2 < near)
+    for start in range(0, len(rows), 1 << 16):
+        r, c = rows[start : start + (1 << 16)], columns[start : start + (1 << 16)]
+        d2[r, c] = ((a[r] - b[c]) ** 2).sum(axis=1)
+    return d2
+
+
+def _pairs(tile: pa.Table):
+    """Squared distances of a tile's pairs, with the kind of each pair (0, 1 or 2 reference members) and the number of
+    row pairs it stands for. Inside one block every pair counts once."""
+    own, i, j = tile["b"].to_numpy(), tile["i"][0].as_py(), tile["j"][0].as_py()
+    v = np.stack(tile["v"].to_numpy())
+    ref, w = tile["is_ref"].to_numpy(), tile["w"].to_numpy()
+    left, right = own == i, own == j
+    if not left.any() or not right.any():
         return
-    a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-    ra, rb = left["is_ref"].to_numpy(), right["is_ref"].to_numpy()
-    wa, wb = left["w"].to_numpy(), right["w"].to_numpy()
-    if same:
-        yield np.zeros(len(a)), 2 * ra, wa * (wa - 1) // 2
-    step = max(1, (1 << 21) // max(1, b.size))
-    for start in range(0, len(a), step):
-        part = slice(start, start + step)
-        d2 = ((a[part, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
-        kind = ra[part, None] + rb[None, :]
-        weight = wa[part, None] * wb[None, :]
-        if same:
-            keep = np.arange(start, start + len(d2))[:, None] < np.arange(len(b))[None, :]
-            yield d2[keep], kind[keep], weight[keep]
-        else:
-            yield d2.ravel(), kind.ravel(), weight.ravel()
+    ra, rb, wa, wb = ref[left], ref[right], w[left], w[right]
+    d2, kind, weight = _squared(v[left], v[right]), ra[:, None] + rb[None, :], wa[:, None] * wb[None, :]
+    if i == j:
+        yield np.zeros(len(ra)), 2 * ra, wa * (wa - 1) // 2
+        above = np.triu_indices(len(ra), 1)
+        d2, kind, weight = d2[above], kind[above], weight[above]
+    yield d2.ravel(), kind.ravel(), weight.ravel()
 
 
 def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
@@ -84,12 +102,15 @@ def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
     counts under the prefixes found so far, a table whose size the step width bounds.
     """
     wanted: list[tuple[int, int]] = []  # (prefix, rank below it)
-    taken = 0
-    for width in BIT_STEPS:
+    taken, inside = 0, None
+    for step in BIT_STEPS:
+        if taken == 64:
+            break
+        width = 64 - taken if inside is not None and inside <= GATHERED else step
         prefixes = sorted({p for p, _ in wanted})
         shift = 64 - taken - width
 
-        counted = cells.groupBy("i", "j").applyInPandas(_prefix_counter(shift, width, prefixes if wanted else None), "prefix long, c long")
+        counted = cells.groupBy("i", "j").applyInArrow(_prefix_counter(shift, width, prefixes if wanted else None), "prefix long, c long")
         table = counted.groupBy("prefix").agg(F.sum("c").alias("c")).orderBy("prefix").collect()
         if not wanted:
             total = sum(r["c"] for r in table)
@@ -109,15 +130,16 @@ def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
                     break
                 rank -= r["c"]
         wanted, taken = found, taken + width
+        inside = sum(r["c"] for r in table if r["prefix"] in {p for p, _ in found})
     return [float(np.array([p], dtype=np.int64).view(np.float64)[0]) for p, _ in wanted]
 
 
 def _prefix_counter(shift: int, width: int, prefixes: list[int] | None):
     """Counts of the positive distances of a cell by their leading bits, under the given shorter prefixes."""
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(tile: pa.Table) -> pa.Table:
         tally: dict[int, int] = {}
-        for d2, _, weight in _pairs(pdf):
+        for d2, _, weight in _pairs(tile):
             positive = d2 > 0
             top, count_of = d2[positive].view(np.int64) >> shift, weight[positive]
             if prefixes is not None:
@@ -128,7 +150,7 @@ def _prefix_counter(shift: int, width: int, prefixes: list[int] | None):
             np.add.at(added, place, count_of)
             for key, c in zip(keys, added):
                 tally[int(key)] = tally.get(int(key), 0) + int(c)
-        return pd.DataFrame({"prefix": list(tally), "c": list(tally.values())}).astype("int64")
+        return pa.table({"prefix": pa.array(list(tally), pa.int64()), "c": pa.array(list(tally.values()), pa.int64())})
 
     return count
 
@@ -137,28 +159,35 @@ def _middle(count: int) -> list[int]:
     return [count // 2] if count % 2 else [count // 2 - 1, count // 2]
 
 
-def embedding_mmd(reference: DataFrame, batch: DataFrame, vector: str, block: int = BLOCK) -> DataFrame:
+def bandwidth(rows: DataFrame, distinct: int, block: int = BLOCK) -> float:
+    """1 / the exact median of all positive squared distances, to be stored and used for later batches."""
+    middle = _order_statistics(_grid(rows, distinct, block), _middle)
+    return 1.0 / ((sum(middle) / len(middle) if middle else 1.0) + 1e-8)
+
+
+def embedding_mmd(
+    reference: DataFrame, batch: DataFrame, vector: str, block: int = BLOCK, gamma: float | None = None
+) -> DataFrame:
     """(mmd, gamma, n, m): unbiased squared MMD with a Gaussian kernel, not below 0.
 
-    The bandwidth is the exact median of all positive squared distances. Fewer than two rows on a side give 0.
+    ``gamma`` is a bandwidth kept from an earlier run, and the pairs are then visited once. Without one it comes from the
+    exact median of all positive squared distances of both sides. Fewer than two rows on a side give 0.
     """
-    rows = _distinct(_sides(reference, batch, vector))
+    rows = checkpointed(_distinct(_sides(reference, batch, vector)))
     spark = rows.sparkSession
     n, m, distinct = _sizes(rows)
     schema = "mmd double, gamma double, n long, m long"
     if n < 2 or m < 2:
         return spark.createDataFrame([(0.0, None, n, m)], schema)
-    cells = _grid(rows, distinct, block)
-    middle = _order_statistics(cells, _middle)
-    gamma = 1.0 / ((sum(middle) / len(middle) if middle else 1.0) + 1e-8)
+    gamma = bandwidth(rows, distinct, block) if gamma is None else gamma
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(tile: pa.Table) -> pa.Table:
         sums = np.zeros(3)
-        for d2, kind, weight in _pairs(pdf):
+        for d2, kind, weight in _pairs(tile):
             sums += np.bincount(kind, weights=weight * np.exp(-gamma * d2), minlength=3)
-        return pd.DataFrame([sums], columns=["yy", "xy", "xx"])
+        return pa.table({name: [x] for name, x in zip(("yy", "xy", "xx"), sums)})
 
-    total = cells.groupBy("i", "j").applyInPandas(kernel, "yy double, xy double, xx double")
+    total = _grid(rows, distinct, block).groupBy("i", "j").applyInArrow(kernel, "yy double, xy double, xx double")
     sums = total.agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy"))
     value = (
         2.0 * F.col("xx") / float(n * (n - 1)) + 2.0 * F.col("yy") / float(m * (m - 1)) - 2.0 * F.col("xy") / float(n * m)
