@@ -1,11 +1,13 @@
 """Rows that must not go missing."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.config import DataContract
 from tidegauge.operators.as_of import as_of
-from tidegauge.operators.contract import contract_report, row_count_check
+from tidegauge.operators.contract import assert_contract, contract_report, row_count_check
 from tidegauge.operators.governance import production_metrics, register_versions
 from tidegauge.operators.training import random_forest_classifier
 
@@ -26,6 +28,16 @@ def test_an_empty_table_fails_its_row_count(spark):
     assert ("missing_column", "y") in {(r["check"], r["column"]) for r in missing}
 
 
+def test_an_absent_split_fails_its_contract(spark):
+    contract = DataContract(name="c", types={"x": "float"}, target="y", min_rows=1)
+    rows = spark.createDataFrame([(1.0, "a", "train"), (2.0, "b", "extra")], "x double, y string, split string")
+    got = {r["split"]: (r["observed"], r["ok"]) for r in row_count_check(rows, contract, "split").collect()}
+    assert got == {"train": (1, True), "extra": (1, True), "val": (0, False), "test": (0, False)}
+    with pytest.raises(ValueError, match="min_rows"):
+        assert_contract(rows, contract, "split")
+    assert row_count_check(rows, replace(contract, splits=()), "split").where("not ok").isEmpty()
+
+
 def test_metric_names_are_whole(spark):
     name = "m" * 1200
     versions = spark.createDataFrame([("a", 1, "r", "Production")], "model string, version int, run_id string, stage string")

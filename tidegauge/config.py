@@ -61,6 +61,7 @@ class DataContract:
     label_classes: tuple[str, ...] = ()
     expected_formats: tuple[str, ...] = (".png",)
     min_images_per_class: int = 5
+    splits: tuple[str, ...] = ("train", "val", "test")  # the splits a split table must have
 
     @property
     def features(self) -> list[str]:

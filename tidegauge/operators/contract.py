@@ -57,10 +57,17 @@ def text_dtype_table(df: DataFrame, contract: DataContract) -> DataFrame:
 
 
 def row_count_check(df: DataFrame, contract: DataContract, by: str | None = None) -> DataFrame:
-    """(split, observed, limit, ok) for the minimum number of rows."""
+    """(split, observed, limit, ok) for the minimum number of rows.
+
+    An empty table has a count, and with ``by`` so has every split that the contract expects and the table lacks.
+    """
     count = F.count("*").alias("observed")
-    # without splits an empty table still has a count
-    counted = df.agg(count).withColumn("split", F.lit("all")) if by is None else df.groupBy(F.col(by).alias("split")).agg(count)
+    if by is None:
+        counted = df.agg(count).withColumn("split", F.lit("all"))
+    else:
+        counted = df.groupBy(F.col(by).cast("string").alias("split")).agg(count)
+        wanted = df.sparkSession.createDataFrame([(s,) for s in contract.splits], "split string")
+        counted = counted.join(F.broadcast(wanted), "split", "full").withColumn("observed", F.coalesce("observed", F.lit(0).cast("bigint")))
     return (
         counted.select("split", "observed", F.lit(contract.min_rows).cast("bigint").alias("limit"), (F.col("observed") >= contract.min_rows).alias("ok"))
     )

@@ -112,6 +112,22 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.contract_report(customers(spark, sf_dir), CONTRACT, "split").withColumn("observed", r6("observed"))
 
 
+NO_TEST = f"select * from ({CUSTOMERS}) where split <> 'test'"
+
+
+@query(
+    "contract_absent_split",
+    f"""with t as ({NO_TEST}), n as ({_null_rows('split')}),
+    r as (select split, count(*) as observed from t group by split union all select 'test', 0)
+    select split, 'min_rows' as "check", null as "column", observed::double as observed, 200.0::double as "limit", observed >= 200 as ok from r
+    union all select split, 'null_fraction', "column", round(nulls / "rows", 6), 0.06, nulls / "rows" <= 0.06 from n""",
+)
+def contract_absent_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without its test split fails the contract by that split's count."""
+    out = ct.contract_report(derived(spark, sf_dir, NO_TEST), CONTRACT, "split").where("check in ('min_rows', 'null_fraction')")
+    return out.withColumn("observed", r6("observed"))
+
+
 @query(
     "null_fail_fast",
     f"""with t as ({CUSTOMERS}), n as ({_null_rows("'all'")})
