@@ -36,12 +36,12 @@ def _table(pieces):
 
 
 def brute(text, pieces):
-    """Viterbi over the text's words, one after the other."""
+    """Viterbi over the text's words, one after the other; of short texts also over the whole, with the same result."""
     table = _table(pieces)
     out, marked = [], "▁" + text.replace(" ", "▁") if text else ""
     words, word = [], ""
     for c in marked:
-        if c in "▁\n" or word == "\n":
+        if c == "\n" or word == "\n" or (c == "▁" and word[-1:] != "▁"):  # a run of blanks stays with the word after it
             words.append(word)
             word = ""
         word += c
@@ -58,6 +58,7 @@ def brute(text, pieces):
             path.append([pieces.bytes[b] for b in w[start:at].encode()] if number is None else [number])
             at = start
         out += [x for part in reversed(path) for x in part]
+    assert len(text) > 2000 or out == (brute_whole(text, pieces) if text else [])
     return out
 
 

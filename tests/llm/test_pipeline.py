@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     texts = test_line_dedup.brute([(s, t) for _, t, s in have], 0.1, 5)
     lines = [(i, t) for (i, *_), t in zip(have, texts)]
     assert pairs(outputs[1]) == sorted(lines, key=str)
-    groups = test_simhash.brute_similar(lines)
+    groups = test_simhash.brute_resemblance(lines)
     stay = {i for i, c in groups if i is None or i == c}
     near = [(i, t) for i, t in lines if i in stay]
     assert 20 not in stay and pairs(outputs[2]) == sorted(near, key=str)

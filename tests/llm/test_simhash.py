@@ -44,11 +44,6 @@ def plain_wide(text, shingle):
     return out
 
 
-def brute_similar(rows, shingle=5, similarity=0.8):
-    marks = [(i, plain_wide(t, shingle)) for i, t in rows]
-    return [(i, c) for i, _, c in groups(marks, similarity_radius(similarity))]
-
-
 def groups(marks, radius):
     """Least id reachable, over all pairs."""
     left, out = set(range(len(marks))), {}
@@ -90,12 +85,12 @@ def similar(df):
 
 
 def test_similar_messy(messy, messy_rows):
-    assert similar(messy) == sorted(brute_similar([(r[0], r[1]) for r in messy_rows]), key=str)
+    assert similar(messy) == sorted(brute_resemblance([(r[0], r[1]) for r in messy_rows]), key=str)
 
 
 def test_similar_given_documents(small):
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
-    assert similar(small) == sorted(brute_similar(rows), key=str)
+    assert similar(small) == sorted(brute_resemblance(rows), key=str)
 
 
 def test_similar_finds_resemblance_of_four_fifths(spark, monkeypatch):
