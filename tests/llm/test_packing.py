@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tidegauge.llm import tokens
 from tidegauge.llm.packing import Packer, Run, pack
 from tidegauge.llm.tokens import Encoder
 
@@ -90,3 +92,20 @@ def test_parts_between_blanks_encode_like_whole_texts(model):
     for _ in range(2):
         for ids, text in zip(encoder.encode(texts), texts):
             assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
+def test_new_parts_are_encoded_together_as_alone(monkeypatch):
+    """Whatever is cached and however many parts go together, the ids are the tokenizer's own."""
+    model = Tokenizer.from_file(PATH)
+    model.encode_special_tokens = True
+    draw = random.Random(3)
+    texts = ["", " ", "a", " a", "a ", "a  b", "x\n y", "x \n\n z", "<|endoftext|> b <|endoftext|>", "Ġ Ġa Ċ", "it's 'll don't 12 3,4 !? . .."]
+    texts += ["".join(draw.choice(" a\n\t.'é中0\U0001f600　Ġ") for _ in range(n)) for n in (10, 100, 3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    for together in (1, 3, 10_000):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        assert tokens.Encoder(PATH).encode(texts) == want
+    slow = tokens.Encoder(PATH)
+    assert slow._merges(PATH) is not None
+    slow.together = lambda text: model.encode(text, add_special_tokens=False).ids
+    assert slow.encode(texts) == want

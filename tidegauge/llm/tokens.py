@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
+import tiktoken
 
 # Parts a worker remembers, and the longest part worth remembering (characters).
 CACHE_PARTS = 1_200_000
@@ -14,10 +18,10 @@ CACHE_CHARS = 64
 # A blank before a character that is not white space always starts a pre-token, so parts cut there are encoded alone.
 _CUT = re.compile(r" (?=\S)")
 _OTHER = re.compile(r" (?:\s|$)")
-# Letters below this character, and a mark after them, are told from their code points alone; all other parts go
-# through the whole tokenizer.
-_PLAIN = "\u0250"
-_MARKS = ".,;:!?"
+# Fixed value: how byte-level tokenizers cut a text into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# New parts that are encoded as one text.
+TOGETHER = 10_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,8 +44,34 @@ class Encoder:
         self.model = Tokenizer.from_file(tokenizer)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = self.model.model.tokenize  # looked up once: each look makes a new wrapper
+        self.together = self._merges(tokenizer) or (lambda text: self.model.encode(text, add_special_tokens=False).ids)
         self.known: dict[str, bytes] = {}
-        self.marks = {m: self.pre_token(m) for m in _MARKS}
+        self.opens = np.zeros(self.model.get_vocab_size(), bool)  # tokens that begin with a blank
+        for token, number in self.model.get_vocab().items():
+            self.opens[number] = token.startswith(_LETTERS[32])
+
+    @staticmethod
+    def _merges(tokenizer: str) -> Callable[[str], list[int]] | None:
+        """The file's merges in tiktoken, which gives the same ids several times faster; None where it might not.
+
+        That takes byte-level pre-tokens by the usual pattern, nothing before them, and merged tokens numbered in the
+        order of their merges, since tiktoken merges by the numbers.
+        """
+        with open(tokenizer, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, model = spec["pre_tokenizer"], spec["model"]
+        plain = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not spec["normalizer"]
+        if not plain or model["type"] != "BPE" or model.get("ignore_merges"):
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = [model["vocab"][a + b] for a, b in pairs]
+        octets = {letter: bytes([b]) for b, letter in _LETTERS.items()}
+        added = {t["content"] for t in spec["added_tokens"]}
+        words = {t: n for t, n in model["vocab"].items() if t not in added}
+        if merged != sorted(set(merged)) or len(merged) + 256 != len(words) or max(words[c] for c in octets) > min(merged):
+            return None
+        ranks = {b"".join(octets[c] for c in t): n for t, n in words.items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def parts(self, text: str) -> list[str]:
         """The text cut before each blank that starts a word; all but the first part lack that blank."""
@@ -52,31 +82,39 @@ class Encoder:
         return [t.id for t in self.merges(text.encode().decode("latin-1").translate(_LETTERS))]
 
     def _learn(self, parts: set[str], blank: str) -> dict[str, bytes]:
-        """Ids of ``blank`` and each part."""
-        found, others = {}, []
-        for p in parts:
-            body = p[:-1] if p[-1:] in self.marks else p
-            if body.isalpha() and max(body) < _PLAIN:  # one pre-token, and one for the mark
-                ids = self.pre_token(blank + body)
-                found[p] = np.array(ids + self.marks[p[-1]] if body is not p else ids, "<u4").tobytes()
-            else:
-                others.append(p)
+        """Ids of ``blank`` and each part.
+
+        Parts without a blank inside are encoded as one text, many at a time: there a token begins with a blank where a
+        part does, and nowhere else.
+        """
+        found, others = {}, list(parts)
+        if blank:
+            whole = [p for p in others if p and blank not in p]
+            others = [p for p in others if not p or blank in p]
+            for start in range(0, len(whole), TOGETHER):
+                some = whole[start : start + TOGETHER]
+                ids = np.array(self.together(blank + blank.join(some)), "<u4")
+                begins = np.flatnonzero(self.opens[ids])
+                if len(begins) != len(some):  # a tokenizer that cuts otherwise
+                    others += some
+                    continue
+                octets, ends = ids.tobytes(), (4 * np.append(begins[1:], len(ids))).tolist()
+                found.update(zip(some, map(octets.__getitem__, map(slice, (4 * begins).tolist(), ends))))
         codes = self.model.encode_batch([blank + p for p in others], add_special_tokens=False)
         found.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(others, codes))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
-        heads = {c[0] for c in cut}
-        first = self._learn(heads, "")
-        wanted = set().union(*(c[1:] for c in cut)) if cut else set()
+        first = self._learn({c[0] for c in cut}, "")
+        wanted = set().union(*cut)
         if len(self.known) > CACHE_PARTS:
             self.known.clear()
         here = self._learn(wanted.difference(self.known), " ")
         long = [p for p in here if len(p) > CACHE_CHARS]
         self.known.update(here)
         get = self.known.__getitem__
-        out = [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+        out = [first[c[0]] + b"".join(map(get, islice(c, 1, None))) for c in cut]
         for p in long:
             del self.known[p]
         return out
