@@ -52,7 +52,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
         for rows in chunks(batches, "media"):
             images = [jpeg.parse(m) for m in raw(rows.column(2))]
             found = jpeg.coefficients(images)
-            tensors = [jpeg.rgb(image, found) for image in images]
+            tensors = jpeg.tensors(images, found)
             yield pa.RecordBatch.from_arrays(
                 [
                     *rows.columns,

@@ -355,25 +355,34 @@ def _ac(lanes: Lanes, table: np.ndarray, first: int, last: int, low: int, out: n
 
 def _refine(data: bytes, rows: np.ndarray, table: np.ndarray, first: int, last: int, low: int, out: np.ndarray) -> None:
     """One interval of an AC refining scan. A run of blocks without new coefficients is corrected in one go."""
-    bits = Bits([data])
+    ended = data + b"\xff" * 8  # ones after the end, as the format pads
+    octets = np.frombuffer(ended, np.uint8)
     place, bit, flat = 0, 1 << low, out.reshape(-1)
 
+    def window(place: int) -> int:
+        at = min(place >> 3, len(data))
+        return int.from_bytes(ended[at : at + 5]) >> (8 - (place & 7)) & 0xFFFFFFFF
+
     def correct(cells: np.ndarray) -> None:
         nonlocal place
+        if not len(cells):
+            return
         old = flat[cells]
-        fix = bits.run(place, len(cells)).astype(bool) & (np.abs(old) >> low & 1 == 0)
-        flat[cells] = old + np.where(fix, np.sign(old) * bit, 0)
+        here = octets[place >> 3 : (place + len(cells) + 7) >> 3]
+        bits = np.unpackbits(here)[place & 7 : (place & 7) + len(cells)].astype(bool)
+        fix = np.flatnonzero(bits & (np.abs(old) & bit == 0))
+        flat[cells[fix]] = old[fix] + np.sign(old[fix]) * bit
         place += len(cells)
 
     def read(n: int) -> int:
         nonlocal place
-        value = int(bits.window(np.array([place]))[0]) >> (32 - n) if n else 0
+        value = window(place) >> (32 - n) if n else 0
         place += n
         return value
 
     block, k = 0, first
     while block < len(rows):
-        found = int(table[int(bits.window(np.array([place]))[0]) >> 16])
+        found = int(table[window(place) >> 16])
         if not found:
             raise BadJpeg("no such AC code")
         place += found & 31
@@ -445,13 +454,33 @@ def coefficients(images: list[Image]) -> np.ndarray:
     return out
 
 
+def tensors(images: list[Image], found: np.ndarray) -> list[np.ndarray]:
+    """Each image's tensor (height, width, 3) from the coefficients of the call; chroma is replicated to full size.
+
+    Blocks of all images and components that share a quantisation are transformed together.
+    """
+    spans: dict[bytes, list[tuple[int, int]]] = {}
+    for image in images:
+        for c in image.components:
+            spans.setdefault(image.quant[c.table].tobytes(), []).append((c.base, c.base + c.across * c.down))
+    blocks = np.empty(found.shape, np.int32)
+    for quant, parts in spans.items():
+        rows = np.concatenate([np.arange(a, b) for a, b in parts]) if len(spans) > 1 else slice(None)
+        blocks[rows] = samples(found[rows] * np.frombuffer(quant, np.int32)[None, :]).reshape(-1, BLOCK)
+    return [_tensor(image, blocks) for image in images]
+
+
 def rgb(image: Image, found: np.ndarray) -> np.ndarray:
-    """The image's tensor (height, width, 3) from the coefficients of the call; chroma is replicated to full size."""
+    """One image's tensor."""
+    return tensors([image], found)[0]
+
+
+def _tensor(image: Image, blocks: np.ndarray) -> np.ndarray:
     planes = []
     wide, high = max(c.h for c in image.components), max(c.v for c in image.components)
     for c in image.components:
-        blocks = found[c.base : c.base + c.across * c.down] * image.quant[c.table][None, :]
-        plane = samples(blocks).reshape(c.down, c.across, 8, 8).transpose(0, 2, 1, 3).reshape(c.down * 8, c.across * 8)
+        own = blocks[c.base : c.base + c.across * c.down]
+        plane = own.reshape(c.down, c.across, 8, 8).transpose(0, 2, 1, 3).reshape(c.down * 8, c.across * 8)
         plane = plane.repeat(high // c.v, axis=0).repeat(wide // c.h, axis=1)
         planes.append(plane[: image.height, : image.width])
     return to_rgb(planes)
