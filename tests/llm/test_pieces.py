@@ -99,6 +99,14 @@ def test_long_words(spark, pieces):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, pieces)
 
 
+def test_a_text_that_is_one_word_of_a_third_of_a_million_characters(spark, pieces):
+    rng = random.Random(2)
+    rows = [(1, "".join(rng.choice("abcdefgh12中é😀") for _ in range(300_000))), (2, "short one"), (3, "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    check(df, rows, pieces)
+    assert all(r["round_trip"] for r in totals(df, pieces).collect())
+
+
 def test_totals(messy, messy_rows, pieces):
     got = totals(messy, pieces).collect()
     assert all(r["round_trip"] for r in got)

@@ -4,7 +4,8 @@ A text is a row of words: blanks become the mark U+2581, the first mark of a run
 itself. Pieces may be several marks, but in none does a mark follow another character, so no piece spans two words and
 the best segmentation of a text is that of its words. The substrings of a word up to the longest piece's
 length are exploded and joined with the piece table; those found are the edges of the word's lattice. Edges are grouped
-by word and folded by a Viterbi search inside one ``aggregate``. A character without a piece is an edge of its own that
+by word and folded by a Viterbi search inside one ``aggregate``; words of over 64 characters, which are rare, are folded
+from the stream of their sorted edges. A character without a piece is an edge of its own that
 costs 10 more than the worst piece, written as its UTF-8 bytes.
 
 Each word is solved once, not at each of its occurrences. The most frequent words, as many as a checked bound allows,
@@ -13,12 +14,15 @@ are broadcast to the occurrences; occurrences of all others go to their word in
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffle_parts
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -76,28 +80,26 @@ def _key(word: Column) -> Column:
 
 
 def _edges(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, long, edge) from (key, word) with distinct keys; ``long`` is the word where the key is its hash.
+    """(key, start, stop, back, score, letter) from (key, word) with distinct keys.
 
-    ``back`` holds an edge's start and, from 1, its piece; 0 stands for a character without one.
+    ``back`` holds an edge's start and, from 1, its piece; 0 stands for a character without one, which is ``letter``.
     """
     reach = pieces.longest
-    slices = keyed.select(
-        "key", F.expr("if(word = key, null, word)").alias("long"), "word", F.explode(F.expr(f"sequence(0, length(word) - 1, {SHORT})")).alias("base")
-    ).select("key", "long", "base", F.expr(f"substring(word, base + 1, {SHORT + reach - 1})").alias("slice"))
+    slices = keyed.select("key", "word", F.explode(F.expr(f"sequence(0, length(word) - 1, {SHORT})")).alias("base")).select(
+        "key", "base", F.expr(f"substring(word, base + 1, {SHORT + reach - 1})").alias("slice")
+    )
     begins = slices.withColumn("i", F.explode(F.expr(f"sequence(1, least({SHORT}, length(slice)))")))
     spans = begins.withColumn("n", F.explode(F.expr(f"sequence(1, least({reach}, length(slice) - i + 1))")))
-    found = spans.select("key", "long", "n", F.expr("base + i - 1").alias("start"), F.expr("substring(slice, i, n)").alias("piece")).join(
+    found = spans.select("key", "n", F.expr("base + i - 1").alias("start"), F.expr("substring(slice, i, n)").alias("piece")).join(
         F.broadcast(pieces.table(keyed.sparkSession)), "piece", "left"
     )
     return found.where("id is not null or n = 1").select(
         "key",
-        "long",
-        F.struct(
-            F.expr("start + n").alias("stop"),
-            "start",
-            F.expr("shiftleft(cast(start as bigint), 32) + coalesce(id + 1, 0)").alias("back"),
-            F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-        ).alias("edge"),
+        "start",
+        F.expr("start + n").alias("stop"),
+        F.expr("shiftleft(cast(start as bigint), 32) + coalesce(id + 1, 0)").alias("back"),
+        F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
+        F.expr("if(id is null, piece, null)").alias("letter"),
     )
 
 
@@ -127,10 +129,11 @@ aggregate(sequence(size(backs) - 1, 1, -1),
 
 
 def solve(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, ids, unknown, whole) for distinct (key, word): the best pieces, how many of them stand for a byte, and
-    whether decoding them gives the word again. Stays in the partitioning by key that its input has."""
-    grouped = _edges(keyed, pieces).groupBy("key", "long").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    traced = grouped.select("key", F.coalesce("long", "key").alias("word"), F.expr(_FOLD).alias("backs")).withColumn("path", F.expr(_TRACE))
+    """(key, ids, unknown, whole) for distinct (key, word), key and word the same: the best pieces, how many of them
+    stand for a byte, and whether decoding them gives the word again. Stays in the partitioning by key that its input has."""
+    edge = F.struct("stop", "start", "back", "score")
+    grouped = _edges(keyed, pieces).groupBy("key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    traced = grouped.select("key", F.col("key").alias("word"), F.expr(_FOLD).alias("backs")).withColumn("path", F.expr(_TRACE))
     octets = "array(" + ",".join(map(str, pieces.bytes)) + ")"
     letter = "substring(word, cast(shiftright(e, 32) as int) + 1, 1)"  # of an edge without a piece
     spelled = (
@@ -144,6 +147,62 @@ def solve(keyed: DataFrame, pieces: Pieces) -> DataFrame:
     )
 
 
+def solve_long(keyed: DataFrame, pieces: Pieces) -> DataFrame:
+    """``solve`` for long words, keyed by their hashes, in time that grows with their length alone.
+
+    ``aggregate`` copies its state at each step, so for these the sorted edges are read as a stream: a task holds a
+    score and a way back per character, neither the word nor its edges.
+    """
+    octets, names = pieces.bytes, pieces.names
+    spelled = {i: bytes([b]) for b, i in enumerate(octets)}
+
+    def result(key: str, backs: list[int], letters: dict[int, str]) -> tuple:
+        path, at = [], len(backs) - 1
+        while at:
+            path.append(backs[at])
+            at = backs[at] >> 32
+        ids, unknown, text = [], 0, hashlib.sha256()
+        for back in reversed(path):
+            if back & 0xFFFFFFFF:
+                own = [(back & 0xFFFFFFFF) - 1]
+            else:
+                own = [octets[b] for b in letters[back >> 32].encode()]
+                unknown += len(own)
+            for i in own:
+                text.update(spelled[i] if i in spelled else names[i].encode())
+            ids += own
+        return key, ids, unknown, key == "#" + text.hexdigest()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for batch in batches:
+            done = []
+            for name, start, stop, back, score, letter in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != key:
+                    if key is not None:
+                        done.append(result(key, backs, letters))
+                    key, scores, backs, letters = name, [0.0], [0], {}
+                if letter is not None:
+                    letters[start] = letter
+                if stop == len(scores):  # the first edge to the next place
+                    scores.append(scores[start] + score)
+                    backs.append(back)
+                elif scores[start] + score > scores[stop]:
+                    scores[stop], backs[stop] = scores[start] + score, back
+            yield table(done)
+        if key is not None:
+            yield table([result(key, backs, letters)])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "ids", "unknown", "whole"])
+
+    edges = _edges(keyed, pieces).select("key", "start", "stop", "back", "score", "letter")
+    ordered = edges.repartition(shuffle_parts(keyed.sparkSession), "key").sortWithinPartitions("key", "stop", "start")
+    return ordered.mapInArrow(fold, "key string, ids array<int>, unknown int, whole boolean")
+
+
 def decoded(ids: Column, pieces: Pieces) -> Column:
     """The UTF-8 bytes that ids stand for, marks still in place. Null ids give null."""
     byte = {i: b for b, i in enumerate(pieces.bytes)}
@@ -179,8 +238,10 @@ def occurrences(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
     near = placed.join(F.broadcast(solved.withColumnRenamed("key", "word")), "word", "left")
     done = near.where("ids is not null or word is null").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
     rest = near.where("ids is null and word is not null").select("row", "doc_id", "none", "place", "word", _key(F.col("word")).alias("key"))
-    rest = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "key")
-    others = solve(rest.groupBy("key").agg(F.first("word").alias("word")), pieces)
+    rest = rest.repartition(shuffle_parts(spark), "key")
+    distinct = rest.groupBy("key").agg(F.first("word").alias("word"))
+    long = F.length("word") > SHORT
+    others = solve(distinct.where(~long), pieces).unionByName(solve_long(distinct.where(long), pieces))
     far = rest.join(others, "key").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
     return done.unionByName(far)
 
@@ -189,8 +250,8 @@ def encode(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text
     """(doc_id, ids): the whole text's pieces, one row per row. A null text has null ids, an empty one none.
 
     Texts are taken as they are (no normalisation but blanks to marks); a literal mark in a text reads as a blank when
-    decoded. Repeated rows and null ids are rows like any other, other columns are ignored, no rows give no rows. The
-    search in a word of n characters copies its state n times, so a word of 10^5 characters takes seconds.
+    decoded. Repeated rows and null ids are rows like any other, other columns are ignored, no rows give no rows. Time
+    grows with a text's length also where the text is one word.
     """
     rows = occurrences(df, pieces, key, text)
     order = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "ids"))))
