@@ -226,21 +226,22 @@ def occurrences(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
     spark = df.sparkSession
     texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).isNull().alias("none"), words(F.col(text)).alias("words"))
     placed = texts.select("row", "doc_id", "none", F.posexplode_outer("words").alias("place", "word")).where("word is null or word != ''")
-    counts = (
+    counts = checkpointed(
         texts.select(F.explode("words").alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
-    frequent = checkpointed(counts.where("n >= 16 and length(word) <= 64"))
+    frequent = counts.where((F.col("n") >= 16) & (F.length("word") <= SHORT))
     steps = [F.sum((F.col("n") >= 1 << p).cast("long")).alias(str(p)) for p in range(4, 63)]
     sizes = frequent.agg(*steps).first()
     least = 1 << next(p for p in range(4, 63) if (sizes[str(p)] or 0) <= BROADCAST_WORDS)
-    hot = frequent.where(F.col("n") >= least).select(F.col("word").alias("key"), "word")
+    is_hot = (F.col("n") >= least) & (F.length("word") <= SHORT)
+    hot = counts.where(is_hot).select(F.col("word").alias("key"), "word")
     solved = checkpointed(solve(hot.repartition("key"), pieces))  # BROADCAST_WORDS rows at most
     near = placed.join(F.broadcast(solved.withColumnRenamed("key", "word")), "word", "left")
     done = near.where("ids is not null or word is null").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
-    rest = near.where("ids is null and word is not null").select("row", "doc_id", "none", "place", "word", _key(F.col("word")).alias("key"))
-    rest = rest.repartition(shuffle_parts(spark), "key")
-    distinct = rest.groupBy("key").agg(F.first("word").alias("word"))
-    long = F.length("word") > SHORT
+    rest = near.where("ids is null and word is not null").select("row", "doc_id", "none", "place", _key(F.col("word")).alias("key"))
+    # The words themselves come from the counts, so occurrences travel with their key alone, and once.
+    parts, long = shuffle_parts(spark), F.length("word") > SHORT
+    distinct = counts.where(~is_hot).select(_key(F.col("word")).alias("key"), "word").repartition(parts, "key")
     others = solve(distinct.where(~long), pieces).unionByName(solve_long(distinct.where(long), pieces))
     far = rest.join(others, "key").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
     return done.unionByName(far)
