@@ -158,6 +158,7 @@ def test_training_reaches_the_floor_and_repeats(spark):
         again = tr.train_tabular(df.select("a", "b", "y"), fmap, algorithm, "classification", hp, "v1")
         assert again.model.transform(df).select("prediction").collect() == scored.select("prediction").collect()
     record = tr.train_tabular(df.select("a", "b", "y"), fmap, "random_forest", "classification", {"n_estimators": 2, "max_depth": 2}, "v1").run_record()
+    assert record["trained_at"].endswith("+00:00") and record["unused_hp.min_samples_split"] == "2" and "hp.min_samples_split" not in record
     assert record["hp.n_estimators"] == "2" and record["train_rows"] == "400" and record["dataset_version_id"] == "v1"
     assert tr.TrainingResult(None, "x", "t", {"max_depth": None}, "", 1, 1).run_record()["hp.max_depth"] == "null"
     with pytest.raises(ValueError, match="differ from the feature map"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -20,6 +21,8 @@ SCORE_DIGITS = 4
 FOREST = {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "class_weight": "balanced"}
 LOGISTIC = {"C": 1.0, "max_iter": 1000, "class_weight": None}
 BOOSTING = {"max_iter": 300, "learning_rate": 0.05, "max_depth": 7, "min_samples_leaf": 20, "l2_regularization": 0.1}
+# Settings that Spark's models lack: kept in the record under a name that says so.
+UNUSED = {"random_forest": ("min_samples_split",), "gradient_boosting": ("l2_regularization",)}
 ALGORITHMS = {
     "classification": ("random_forest", "logistic_regression"),
     "regression": ("random_forest", "gradient_boosting", "linear_regression"),
@@ -91,16 +94,22 @@ class TrainingResult:
     train_rows: int
     features: list[str] = field(default_factory=list)
     target: str = ""
+    trained_at: str = ""
 
     def run_record(self) -> dict[str, str]:
-        """What a run stores about its model; an open hyperparameter is written ``null``."""
-        named = {f"hp.{k}": "null" if v is None else str(v) for k, v in sorted(self.hyperparameters.items())}
+        """What a run stores about its model; an open hyperparameter is written ``null``, one that the model lacks as
+        ``unused_hp``."""
+        idle = UNUSED.get(self.algorithm, ())
+        named = {
+            f"{'unused_hp' if k in idle else 'hp'}.{k}": "null" if v is None else str(v) for k, v in sorted(self.hyperparameters.items())
+        }
         return {
             "algorithm": self.algorithm,
             "task_type": self.task_type,
             "dataset_version_id": self.dataset_version_id,
             "random_seed": str(self.seed),
             "train_rows": str(self.train_rows),
+            "trained_at": self.trained_at,
             **named,
         }
 
@@ -147,7 +156,8 @@ def train_tabular(
     else:
         estimator.setLabelCol(target).setPredictionCol("prediction")
         model = Pipeline(stages=[assembler, estimator]).fit(data)
-    return TrainingResult(model, algorithm, task_type, used, version, seed, rows, features, target)
+    at = datetime.now(UTC).isoformat(timespec="seconds")
+    return TrainingResult(model, algorithm, task_type, used, version, seed, rows, features, target, at)
 
 
 def run_records(df_source: DataFrame, results: list[TrainingResult], run_ids: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ RUN_METRICS = f"""
     select {RUN} as run_id, {MODEL} as model, 'eval.accuracy' as key, {ACCURACY} as value from orders
     union all select {RUN}, {MODEL}, 'eval.f1_score', {F1} from orders where o_orderpriority <> '4-NOT SPECIFIED'
     union all select {RUN}, {MODEL}, 'train.loss', cast(o_orderkey % 13 as double) from orders"""
-METRICS = f"""select run_id, model, substr(key, 6, 100) as metric, value,
+METRICS = f"""select run_id, model, substr(key, 6) as metric, value,
     case when length(run_id) % 2 = 0 then 'val' else 'test' end as split from ({RUN_METRICS}) m where key like 'eval.%'"""
 RULES = (
     *CLASSIFICATION_RULES,
@@ -71,12 +71,12 @@ def promotion_split_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # candidate: the metrics of the newest run; production: those of the current production version
 CANDIDATE = f"""
-    select model, substr(key, 6, 100) as metric, value + case when o_orderkey % 4 = 0 then 0.0000001 else 0 end as value
+    select model, substr(key, 6) as metric, value + case when o_orderkey % 4 = 0 then 0.0000001 else 0 end as value
     from (select {MODEL} as model, {RUN} as run_id, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as rn
         from orders) o join (select run_id as r, key, value from ({RUN_METRICS}) x) m on o.run_id = m.r
     where rn = 1 and key like 'eval.%'"""
 PRODUCTION = f"""
-    select p.model, p.version, substr(key, 6, 100) as metric, value from (
+    select p.model, p.version, substr(key, 6) as metric, value from (
         select model, version, run_id, row_number() over (partition by model order by version desc) as rn
         from ({VERSIONS}) v where stage = 'Production') p
     join (select run_id as r, key, value from ({RUN_METRICS}) x) m on p.run_id = m.r where rn = 1 and key like 'eval.%'"""
