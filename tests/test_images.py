@@ -115,6 +115,58 @@ def test_resize(spark):
     assert arrays(px.pixel_resize(table(spark, [np.full((6, 4), 2.5)]), 3, 5))[0] == pytest.approx(2.5)
 
 
+def resampled(image, height, width):
+    """Bilinear resampling pixel by pixel."""
+    h, w = image.shape[:2]
+    out = np.zeros((height, width, image.shape[2]))
+    for i in range(height):
+        for j in range(width):
+            y, x = min(max((i + 0.5) * h / height - 0.5, 0), h - 1), min(max((j + 0.5) * w / width - 0.5, 0), w - 1)
+            y0, x0 = int(y), int(x)
+            y1, x1 = min(y0 + 1, h - 1), min(x0 + 1, w - 1)
+            top = image[y0, x0] * (1 - x + x0) + image[y0, x1] * (x - x0)
+            low = image[y1, x0] * (1 - x + x0) + image[y1, x1] * (x - x0)
+            out[i, j] = top * (1 - y + y0) + low * (y - y0)
+    return out
+
+
+@pytest.mark.parametrize("stack", [1, 1 << 22])
+def test_stacks_of_mixed_shapes(spark, monkeypatch, stack):
+    """Shapes mixed in one batch, images without pixels or shape, a null pixel, extra columns and empty tables."""
+    monkeypatch.setattr(px, "STACK_VALUES", stack)
+    rng = np.random.default_rng(3)
+    shapes = [(5, 7, 3), (1, 1, 1), (5, 7, 3), (9, 2, 1), (1, 6, 3)]
+    images = [rng.random(s) for s in shapes]
+    rows = [(i, a.ravel().tolist(), *a.shape, f"n{i}", [i]) for i, a in enumerate(images)]
+    rows += [(5, None, 4, 4, 1, None, None), (6, [1.0], None, 1, 1, "x", []), (7, [None, 2.0], 1, 2, 1, "y", None)]
+    df = spark.createDataFrame(rows, "id int, pixels array<double>, height int, width int, channels int, level_ string, batch array<int>").coalesce(1)
+    out = {r["id"]: r for r in px.pixel_resize(df, 4, 3).collect()}
+    for i, a in enumerate(images):
+        assert (out[i]["height"], out[i]["width"], out[i]["level_"], out[i]["batch"]) == (4, 3, f"n{i}", [i])
+        assert np.array(out[i]["pixels"]) == pytest.approx(resampled(a, 4, 3).ravel(), abs=1e-12)
+    assert out[5]["pixels"] is None and out[5]["height"] == 4 and out[6]["pixels"] == [1.0] and out[6]["height"] is None
+    assert len(out[7]["pixels"]) == 12 and math.isnan(out[7]["pixels"][0]) and out[7]["pixels"][2] == 2.0
+    levels = {(r["id"], r["level"]): r for r in px.pyramid(df, 3, 0.5, 2).collect()}
+    assert {k for k in levels if k[0] < 5} == {(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (2, 1), (2, 2), (3, 0), (4, 0)}
+    want = px.blur(px.blur(images[2], 0.5)[::2, ::2], 0.5)[::2, ::2]
+    assert np.array(levels[2, 2]["pixels"]) == pytest.approx(want.ravel()) and (levels[2, 2]["height"], levels[2, 2]["width"]) == (2, 2)
+    assert px.pixel_blur(df.limit(0), 1.0).count() == 0
+    wrong = spark.createDataFrame([([1.0, 2.0], 3, 3, 1)], "pixels array<double>, height int, width int, channels int")
+    with pytest.raises(Exception, match="3 x 3 x 1 has 2 pixels"):
+        px.pixel_resize(wrong, 2, 2).collect()
+
+
+def test_blur_mirrors_as_often_as_needed():
+    rng = np.random.default_rng(1)
+    for side in (1, 2, 3, 8):
+        image = rng.random((side, side, 2))
+        kernel = px.gaussian_kernel(1.3)
+        radius = len(kernel) // 2
+        padded = np.pad(image, ((radius, radius), (radius, radius), (0, 0)), mode="symmetric")
+        want = sum(a * b * padded[i : i + side, j : j + side] for i, a in enumerate(kernel) for j, b in enumerate(kernel))
+        assert px.blur(image, 1.3) == pytest.approx(want)
+
+
 def test_augmentation_keeps_originals_labels_and_range(spark):
     rng = np.random.default_rng(2)
     df = table(spark, [rng.random((4, 4, 3)) for _ in range(6)], label=list("abcdef"), is_drifted=[True] + [False] * 5)
@@ -254,6 +306,32 @@ def test_scenario_limits(spark):
     assert far.count() == 0
 
 
+@pytest.mark.parametrize("entries", [50_000, 7])
+def test_scenarios_against_all_pairs(spark, monkeypatch, entries):
+    """One block and many, with nulls, missing channels, ties, equal names in both tables and empty tables."""
+    monkeypatch.setattr(im, "SIGNATURE_ENTRIES", entries)
+    rng = np.random.default_rng(12)
+    scores = [(f"b{i}", c, float(rng.integers(0, 4)) / 16) for i in range(30) for c in "rgb" if rng.random() < 0.8]
+    scores += [("b0", None, 0.1), (None, "r", 0.1), ("lost", "r", None), ("far", "other", 0.0), ("b1", "r", None)]
+    sig = [(f"s{i:02d}", c, float(rng.integers(0, 4)) / 16) for i in range(12) for c in "rgbx" if rng.random() < 0.7]
+    sig += [("s00", "g", None), (None, "r", 0.0), ("null", "r", None)]
+    want = {}
+    for b in {x for x, _, _ in scores} - {None}:
+        found = []
+        for s in {x for x, _, _ in sig} - {None}:
+            gaps = [(v - w) ** 2 for x, c, v in scores for y, k, w in sig if (x, y) == (b, s) and c == k and None not in (c, v, w)]
+            if gaps and math.sqrt(sum(gaps)) <= 0.2:
+                found.append((math.sqrt(sum(gaps)), s))
+        if found:
+            want[b] = min(found)
+    left = spark.createDataFrame(scores, "batch string, channel string, drift_score double").withColumn("block", F.lit("x"))
+    right = spark.createDataFrame(sig, "scenario string, channel string, drift_score double").withColumn("salt", F.lit("y"))
+    got = {r["batch"]: (r["match_distance"], r["matched_scenario"]) for r in im.match_scenarios(left, right).collect()}
+    assert {b: s for b, (_, s) in got.items()} == {b: s for b, (_, s) in want.items()}
+    assert all(got[b][0] == pytest.approx(want[b][0], abs=1e-6) for b in want)
+    assert im.match_scenarios(left, right.limit(0)).count() == 0 and im.match_scenarios(left.limit(0), right).count() == 0
+
+
 def test_image_records(spark):
     rng = np.random.default_rng(8)
     ref = [rng.random((8, 8)) for _ in range(12)]

@@ -93,21 +93,70 @@ def scale_profile(levels: DataFrame) -> DataFrame:
     return out.select(ts.BATCH, "scale_decay_ratio", text.alias("interpretation"))
 
 
+SIGNATURE_ENTRIES = 50_000  # scores of signatures that are held by every task at once
+
+
+def _signature_blocks(signatures: DataFrame) -> tuple[DataFrame, int]:
+    """(block, names, vectors): the scenarios of a block as one row, each with its scores in the order of ``names``,
+    the channels of the block. A count decides the number of blocks, so a block stays near SIGNATURE_ENTRIES scores."""
+    known = signatures.where("scenario is not null and channel is not null and drift_score is not null")
+    scores = known.groupBy("scenario", "channel").agg(F.avg("drift_score").alias("s"))
+    blocks = max(1, -(-scores.count() // SIGNATURE_ENTRIES))
+    own = scores.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("channel", "s"))).alias("m"))
+    block = F.pmod(F.xxhash64("scenario"), F.lit(blocks)).cast("int").alias("block")
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("m")))))
+    packed = own.groupBy(block).agg(names.alias("names"), F.collect_list(F.struct("scenario", "m")).alias("all"))
+    vector = F.transform("all", lambda x: F.struct(x["scenario"], F.transform("names", lambda c: x["m"][c]).alias("v")))
+    return packed.select("block", "names", vector.alias("vectors")), blocks
+
+
+def _nearest() -> tuple[Column, Column]:
+    """The scores whose channels ``names`` has, with their places in it (to be stored as ``_found``), and the smallest
+    (distance, scenario) of ``vectors`` to them, null where no channel is shared."""
+    at = F.transform("scores", lambda x: F.struct((F.array_position("names", x["channel"]) - 1).cast("int").alias("i"), x["drift_score"]))
+    found = F.filter(at, lambda x: x["i"] >= 0)
+
+    def distance(v: Column) -> Column:
+        squares = F.filter(F.transform("_found", lambda x: F.pow(x["drift_score"] - F.get(v, x["i"]), F.lit(2.0))), F.isnotnull)
+        total = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+        return F.when(F.size(squares) > 0, F.sqrt(total))
+
+    candidates = F.transform("vectors", lambda x: F.struct(distance(x["v"]).alias("d"), x["scenario"].alias("scenario")))
+    return found, F.array_min(F.filter(candidates, lambda x: x["d"].isNotNull()))
+
+
 def match_scenarios(
     scores: DataFrame, signatures: DataFrame, report: DataFrame | None = None, config: ImageDriftConfig = ImageDriftConfig()
 ) -> DataFrame:
     """(batch, matched_scenario, match_distance, confidence, estimated_accuracy_drop): the nearest signature.
 
     ``scores`` is (batch, channel, drift_score), ``signatures`` (scenario, channel, drift_score). Distances run
-    over the shared channels. A batch whose nearest scenario is beyond the limit has no row.
+    over the channels both have a score for; scenarios without such a channel are no match, the rest ties to the
+    smaller name. Repeated rows of a batch's channel all count, repeated rows of a signature's count as their mean.
+    A batch whose nearest scenario is beyond the limit has no row.
+
+    A batch is one row with all its scores and meets the signatures as vectors, so nothing is shuffled on a channel
+    and no (batch, scenario) row is made. Signatures of up to SIGNATURE_ENTRIES scores (counted) go to every task;
+    more are met block by block, over as many salts as the session has shuffle partitions.
     """
-    sig = signatures.select("scenario", "channel", F.col("drift_score").alias("sig"))
-    gap = F.sqrt(F.sum(F.pow(F.col("drift_score") - F.col("sig"), 2)))
-    near = scores.join(sig, "channel").groupBy(ts.BATCH, "scenario").agg(gap.alias("d"))
-    best = near.groupBy(ts.BATCH).agg(F.min(F.struct("d", "scenario")).alias("b")).where(F.col("b.d") <= config.match_limit)
+    blocks, number = _signature_blocks(signatures)
+    own = scores.where(F.col(ts.BATCH).isNotNull() & F.col("channel").isNotNull() & F.col("drift_score").isNotNull())
+    rows = own.groupBy(ts.BATCH).agg(F.array_sort(F.collect_list(F.struct("channel", "drift_score"))).alias("scores"))
+    if number == 1:
+        all_of_it = blocks.agg(F.first(F.struct("names", "vectors"))).scalar()
+        met = rows.withColumn("_b", all_of_it).select(ts.BATCH, "scores", "_b.names", "_b.vectors").where("names is not null")
+    else:
+        salts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        each = F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+        spread = rows.withColumn("block", each).withColumn("salt", F.pmod(F.xxhash64(ts.BATCH), F.lit(salts)).cast("int"))
+        copies = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = spread.join(copies, ["block", "salt"])
+    found, nearest = _nearest()
+    near = met.withColumn("_found", found).select(ts.BATCH, nearest.alias("b"))
+    best = near if number == 1 else near.groupBy(ts.BATCH).agg(F.min(F.when(F.col("b").isNotNull(), F.col("b"))).alias("b"))
     d = F.col("b.d")
     confidence = F.when(d < config.match_high, "high").when(d < config.match_medium, "medium").otherwise("low")
-    out = best.select(
+    out = best.where(d <= config.match_limit).select(
         ts.BATCH, F.col("b.scenario").alias("matched_scenario"), F.round(d, 6).alias("match_distance"), confidence.alias("confidence")
     )
     if report is None:

@@ -1,15 +1,16 @@
 """Operators on pixel-array tables: one row per image, pixels flat in (row, column, channel) order.
 
-Everything but blur and resize is an expression over the array, so images stay in the JVM.
+Everything but blur and resize is an expression over the array, so images stay in the JVM; those two run as numpy
+products over all images of a shape in an Arrow batch.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,7 +168,14 @@ def augment_photometric(
     return out.withColumn("pixels", F.when(F.col("copy_no") > 0, clipped).otherwise(p)).drop("_p", "_f", "_m")
 
 
-# --- numpy kernels --------------------------------------------------------------------------------------
+# --- banded products over stacks of images --------------------------------------------------------------
+#
+# Blur and resampling are linear along each side: every new row (column) is a short weighted sum of old ones. A
+# band holds, for each new position, the old positions it reads and their weights, so that a side costs one pass
+# per tap over all images of a shape at once.
+
+Band = tuple[np.ndarray, np.ndarray]  # positions and weights, both (new size, taps)
+STACK_VALUES = 1 << 22  # numbers of one stack, so that a task's memory does not grow with Arrow's batches
 
 
 def gaussian_kernel(sigma: float) -> np.ndarray:
@@ -177,78 +185,126 @@ def gaussian_kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def blur(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian blur of an (H, W, C) array; edges are mirrored with the edge pixel repeated."""
+def blur_band(size: int, sigma: float, step: int = 1) -> Band:
+    """Gaussian blur of every ``step``-th position; edges are mirrored with the edge pixel repeated."""
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
-    out = image.astype(np.float64)
-    for axis in (0, 1):
-        pads = [(radius, radius) if a == axis else (0, 0) for a in range(3)]
-        padded = np.pad(out, pads, mode="symmetric")
-        size = out.shape[axis]
-        out = sum(w * np.take(padded, np.arange(i, i + size), axis=axis) for i, w in enumerate(kernel))
-    return out
+    at = (np.arange(0, size, step)[:, None] + np.arange(-radius, radius + 1)) % (2 * size)
+    return np.where(at < size, at, 2 * size - 1 - at), np.broadcast_to(kernel, at.shape)
 
 
-def _resample(image: np.ndarray, height: int, width: int) -> np.ndarray:
+def resize_band(size: int, wanted: int) -> Band:
     """Bilinear resampling with pixel centres aligned."""
-    h, w = image.shape[:2]
-    y = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1)
-    x = np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
-    low = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
-    return top * (1 - fy) + low * fy
+    at = np.clip((np.arange(wanted) + 0.5) * size / wanted - 0.5, 0, size - 1)
+    low = np.floor(at).astype(int)
+    part = at - low
+    return np.stack([low, np.minimum(low + 1, size - 1)], axis=1), np.stack([1 - part, part], axis=1)
+
+
+def banded(stack: np.ndarray, axis: int, band: Band) -> np.ndarray:
+    """The product of a band with one side of a stack (images, rows, columns, channels)."""
+    positions, weights = band
+    shape = [1] * stack.ndim
+    shape[axis] = -1
+    out = np.take(stack, positions[:, 0], axis=axis) * weights[:, 0].reshape(shape)
+    for tap in range(1, positions.shape[1]):
+        out += np.take(stack, positions[:, tap], axis=axis) * weights[:, tap].reshape(shape)
+    return out
 
 
-def _array(row) -> np.ndarray:
-    return np.asarray(row.pixels, dtype=np.float64).reshape(row.height, row.width, row.channels)
+def _stacks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
+    """The rows of a batch by shape, each part with its images as one array; rows without pixels come with None."""
+    names = batch.schema.names
+    pixels = batch.column(names.index("pixels"))
+    shape = np.stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in GEOMETRY], axis=1)
+    shape[np.isnan(shape).any(axis=1) | ~pixels.is_valid().to_numpy(zero_copy_only=False)] = -1
+    kinds, which = np.unique(shape, axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(which.ravel(), minlength=len(kinds)))
+    for kind, end, begin in zip(kinds.astype(int), ends, [0, *ends[:-1]]):
+        size = int(np.prod(kind))
+        step = len(order) if kind[0] < 0 else max(1, STACK_VALUES // max(size, 1))
+        for at in range(begin, end, step):
+            part = batch.take(pa.array(order[at : min(at + step, end)]))
+            if kind[0] < 0:
+                yield part, None
+                continue
+            lists = part.column(names.index("pixels"))
+            lengths = lists.value_lengths().to_numpy()
+            if (lengths != size).any():
+                raise ValueError(f"an image of {' x '.join(map(str, kind))} has {lengths[lengths != size][0]} pixels")
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield part, values.reshape(-1, *kind)
+
+
+def _with_stack(part: pa.RecordBatch, schema: pa.Schema, stack: np.ndarray, **more: int) -> pa.RecordBatch:
+    """The rows with new images; other columns pass through, ``more`` are numbers equal in all rows."""
+    count = len(stack)
+    each = int(np.prod(stack.shape[1:]))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * each, pa.int32()), pa.array(stack.ravel()))
+    fresh = {"height": stack.shape[1], "width": stack.shape[2], **more}
+    columns = []
+    for field in schema:
+        if field.name == "pixels":
+            columns.append(lists.cast(field.type))
+        elif field.name in fresh:
+            columns.append(pa.array(np.full(count, fresh[field.name])).cast(field.type))
+        else:
+            columns.append(part.column(part.schema.names.index(field.name)))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _mapped(df: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Every image changed stack by stack; rows without pixels or shape stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, stack in _stacks(batch):
+                yield part if stack is None else _with_stack(part, batch.schema, change(stack))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def pixel_resize(df: DataFrame, height: int, width: int) -> DataFrame:
-    """Resize every image; the table's other columns pass through."""
-    schema = df.schema
+    """Resize every image; other columns pass through. Images without pixels or shape stay as they are, a null
+    pixel counts as NaN."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            resized = [_resample(_array(r), height, width).ravel() for r in pdf.itertuples()]
-            yield pdf.assign(pixels=resized, height=height, width=width)[schema.names]
+    def change(stack: np.ndarray) -> np.ndarray:
+        return banded(banded(stack, 2, resize_band(stack.shape[2], width)), 1, resize_band(stack.shape[1], height))
 
-    return df.mapInPandas(run, schema)
+    return _mapped(df, change)
 
 
-def pixel_blur(df: DataFrame, sigma: float) -> DataFrame:
-    schema = df.schema
+def _blurred(stack: np.ndarray, sigma: float, step: int = 1) -> np.ndarray:
+    return banded(banded(stack, 1, blur_band(stack.shape[1], sigma, step)), 2, blur_band(stack.shape[2], sigma, step))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(pixels=[blur(_array(r), sigma).ravel() for r in pdf.itertuples()])[schema.names]
 
-    return df.mapInPandas(run, schema)
+def blur(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian blur of an (H, W, C) array."""
+    return _blurred(image[None].astype(np.float64), sigma)[0]
+
+
+def pixel_blur(df: DataFrame, sigma: float) -> DataFrame:
+    return _mapped(df, lambda stack: _blurred(stack, sigma))
 
 
 def pyramid(df: DataFrame, levels: int = 3, sigma: float = 0.5, min_side: int = 4) -> DataFrame:
-    """Every image at each level of a Gaussian pyramid: blur, halve, stop before a side falls below the minimum."""
+    """Every image at each level of a Gaussian pyramid: blur, halve, stop before a side falls below the minimum.
+    Only the pixels that halving keeps are computed. Images without pixels have no level."""
     schema = T.StructType([*df.schema.fields, T.StructField("level", T.IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for record in pdf.to_dict("records"):
-                image = np.asarray(record["pixels"], dtype=np.float64)
-                image = image.reshape(int(record["height"]), int(record["width"]), int(record["channels"]))
-                for level in range(levels):
-                    if level:
-                        image = blur(image, sigma)[::2, ::2, :]
-                        if min(image.shape[:2]) < min_side:
-                            break
-                    shape = {"height": image.shape[0], "width": image.shape[1]}
-                    out.append({**record, **shape, "pixels": image.ravel(), "level": level})
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.schema.append(pa.field("level", pa.int32()))
+            for part, stack in _stacks(batch):
+                level = 0
+                while stack is not None and level < levels:
+                    yield _with_stack(part, wanted, stack, level=level)
+                    level += 1
+                    halved = [-(-side // 2) for side in stack.shape[1:3]]
+                    stack = _blurred(stack, sigma, 2) if min(halved) >= min_side and level < levels else None
+
+    return df.mapInArrow(run, schema)
 
 
 # --- perturbation scenarios -----------------------------------------------------------------------------

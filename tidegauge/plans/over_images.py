@@ -102,16 +102,41 @@ def pixel_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(gray(spark, sf_dir).withColumn("pixels", px.flip_horizontal()))
 
 
-@query("pixel_resize")
+def resize_sql(name: str, size: int, wanted: int) -> str:
+    """The weights of a bilinear resize of one side: (fresh, held, weight)."""
+    spot = f"least(greatest((p + 0.5) * {size} / {wanted} - 0.5, 0), {size - 1})"
+    return f"""{name}_spots as (select p as fresh, ({spot})::double as spot from (select unnest(range(0, {wanted})) as p)),
+    {name} as (select fresh, floor(spot)::bigint as held, 1 - (spot - floor(spot)) as w from {name}_spots
+        union all select fresh, least(floor(spot) + 1, {size - 1})::bigint, spot - floor(spot) from {name}_spots)"""
+
+
+@query(
+    "pixel_resize",
+    f"""with f as ({FLAT}), {resize_sql('by_row', 8, 6)}, {resize_sql('by_col', 8, 5)}
+    select vec_id, by_row.fresh * 5 + by_col.fresh as pixel, round(sum(by_row.w * by_col.w * value), 6) + 0.0 as value
+    from f join by_row on by_row.held = f.pixel // 8 join by_col on by_col.held = f.pixel % 8 group by vec_id, by_row.fresh, by_col.fresh""",
+)
 def pixel_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.pixel_resize(gray(spark, sf_dir), 6, 5).select("vec_id", "height", "width", "pixels")
+    return flat(px.pixel_resize(gray(spark, sf_dir), 6, 5))
+
 
+BYTES = f"select vec_id, label, pixel, greatest(least(round(value * 128 + 128), 255), 0) as value from ({FLAT})"
 
-@query("batch_prepare")
+
+@query(
+    "batch_prepare",
+    f"""with f as ({BYTES}), s as (select pixel % 4 as channel, avg(value / 255) as mean, stddev_pop(value / 255) as std from f where label < 5 group by 1),
+    {resize_sql('by_row', 4, 3)}, {resize_sql('by_col', 4, 6)},
+    z as (select vec_id, (by_row.fresh * 6 + by_col.fresh) * 4 + pixel % 4 as pixel, sum(by_row.w * by_col.w * value) / 255 as value
+        from f join by_row on by_row.held = f.pixel // 16 join by_col on by_col.held = f.pixel // 4 % 4 where label >= 5 group by all)
+    select vec_id, pixel, round((value - mean) / std, 6) + 0.0 as value from z join s on s.channel = z.pixel % 4""",
+)
 def batch_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = colour(spark, sf_dir)
-    reference, batch = sides(images)
-    return px.prepare_batch(batch, px.channel_stats(reference), 4, 4).select("vec_id", "label", "pixels")
+    """Embeddings read as images of whole numbers from 0 to 255, with the statistics of the scaled reference."""
+    whole = F.transform("pixels", lambda x: F.greatest(F.least(F.round(x * 128 + 128), F.lit(255.0)), F.lit(0.0)))
+    reference, batch = sides(colour(spark, sf_dir).withColumn("pixels", whole))
+    stats = px.channel_stats(reference.withColumn("pixels", px.pixel_scale(F.col("pixels"))))
+    return flat(px.prepare_batch(batch, stats, 3, 6))
 
 
 SCENARIO_EFFECT = {"brightness_high": "value + 0.5", "brightness_low": "value - 0.5", "contrast_low": "value * 0.5"}
@@ -215,7 +240,7 @@ def multiscale_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def image_severity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", image_severity(F.col("value") / 100).alias("severity"))
-    return rows.withColumn("detected", F.col("severity") != "low")
+    return by_row.withColumn("detected", F.col("severity") != "low")
 
 
 MMD_SQL = """with e as (select vec_id, embedding::double[] as v, label < 5 as r from embeddings),
