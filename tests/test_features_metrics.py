@@ -117,6 +117,25 @@ def test_classification_metrics(spark):
     assert len(grid) == 9 and grid["c", "a"] == 0 and grid["a", "a"] == 3
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_confusion_grid_in_blocks(spark, monkeypatch, block):
+    """Groups of different width, a null group, nulls on either side, clashing names and no rows."""
+    monkeypatch.setattr(mt, "CLASS_BLOCK", block)
+    rows = [("wide", str(i), str(i * 7 % 13)) for i in range(13)] * 2 + [("narrow", "a", "b"), (None, "x", "y"), (None, "x", "x")]
+    rows += [("wide", None, "3"), ("wide", "3", None), ("none", None, None)]
+    df = spark.createDataFrame(rows, "m string, y string, p string").withColumns({"label": F.lit("z"), "_block": F.lit(1)})
+    got = [tuple(r) for r in mt.confusion_matrix(df, "y", "p", ["m"]).select("m", "label", "prediction", "n").collect()]
+    want = []
+    for m in ("wide", "narrow", None):
+        pairs = [(y, p) for g, y, p in rows if g == m and y is not None and p is not None]
+        names = {c for pair in pairs for c in pair}
+        want += [(m, a, b, pairs.count((a, b))) for a in names for b in names]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    whole = mt.confusion_matrix(df.where("m = 'narrow'"), "y", "p", [])
+    assert sorted(tuple(r) for r in whole.collect()) == [("a", "a", 0), ("a", "b", 1), ("b", "a", 0), ("b", "b", 0)]
+    assert mt.confusion_matrix(df.limit(0), "y", "p", ["m"]).count() == 0 and mt.confusion_matrix(df.limit(0), "y", "p", []).count() == 0
+
+
 def test_regression_metrics(spark):
     df = spark.createDataFrame([("m", 1.0, 2.0), ("m", 3.0, 3.0), ("m", 5.0, 4.0), ("flat", 2.0, 2.0), ("bad", 2.0, 3.0)], "m string, y double, p double")
     got = {r["m"]: r for r in mt.regression_metrics(df, "y", "p", ["m"]).collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import half_even, no_nan, ratio, zero_safe
+from tidegauge.operators.split import null_safe_join
 
 CLASSIFICATION = ("accuracy", "precision", "recall", "f1_score")
 REGRESSION = ("mae", "mse", "rmse", "r2")
@@ -14,6 +15,7 @@ DIGITS = 4
 # fixed values: drop in accuracy from which a scenario counts as high or medium
 SENSITIVITY_HIGH, SENSITIVITY_MEDIUM = 0.15, 0.05
 MIN_ANALYSIS_ACCURACY = 0.6
+CLASS_BLOCK = 1024  # classes of a confusion matrix that are held at once
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str, by: list[str]) -> DataFrame:
@@ -66,12 +68,34 @@ def classification_metrics(
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, by: list[str]) -> DataFrame:
-    """(by…, label, prediction, n) with a row for every pair of classes of a group, zeros included."""
+    """(by…, label, prediction, n) with a row for every pair of classes of a group, zeros included.
+
+    The classes of a group are dealt into blocks of about CLASS_BLOCK by hash. Each class, as a label, meets each
+    block of predictions once: the pairs that were counted come from the counts, the rest of the block are zeros.
+    So a task holds one block, and what is shuffled is the counts and one row per (class, block), never the grid.
+    Groups may be null, as in a grouping.
+    """
     counts = confusion_counts(df, label, prediction, by)
-    sides = counts.select(*by, F.explode(F.array("label", "prediction")).alias("c"))
-    classes = sides.groupBy(*by).agg(F.collect_set("c").alias("cs"))
-    grid = classes.select(*by, "cs", F.explode("cs").alias("label")).select(*by, "label", F.explode("cs").alias("prediction"))
-    return grid.join(counts, [*by, "label", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    classes = counts.select(*by, F.explode(F.array("label", "prediction")).alias("c")).distinct()
+    most = classes.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).scalar()
+    number = F.coalesce(F.ceil(most / F.lit(float(CLASS_BLOCK))), F.lit(1)).cast("int")
+
+    def block(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.col("_number")).cast("int").alias("_block")
+
+    blocks = classes.withColumn("_number", number).select(*by, block("c"), "c").groupBy(*by, "_block").agg(F.collect_list("c").alias("_all"))
+    seen = counts.withColumn("_number", number).select(*by, "label", block("prediction"), "prediction")
+    seen = seen.groupBy(*by, "label", "_block").agg(F.collect_list("prediction").alias("_seen"))
+    spread = classes.withColumn("_number", number).select(
+        *by, F.col("c").alias("label"), F.explode(F.sequence(F.lit(0), F.col("_number") - 1)).alias("_block")
+    )
+    # few bytes become many rows here: an explicit number of tasks, which adaptive execution does not merge
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spread = spread.repartition(tasks, *by, "label", "_block")
+    known = null_safe_join(spread, seen, [*by, "label", "_block"], "left")
+    rest = F.array_except("_all", F.coalesce("_seen", F.array().cast("array<string>")))
+    zeros = null_safe_join(known, blocks, [*by, "_block"]).select(*by, "label", F.explode(rest).alias("prediction"))
+    return counts.unionByName(zeros.withColumn("n", F.lit(0).cast("bigint")))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by: list[str]) -> DataFrame:
