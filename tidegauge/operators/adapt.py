@@ -118,17 +118,11 @@ def _name_parts(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
 
 
-def safe_names(new: DataFrame, existing: DataFrame, seed: int = 0) -> DataFrame:
-    """(class, path, new_name): ``stem_drifted.ext``, or the first free ``stem_drifted_N.ext``.
+SMALL_GROUP = 10_000  # names and taken numbers of a group that one window numbers
 
-    ``new`` is (class, path), ``existing`` (class, name). Items of one class with equal names take the free
-    numbers one by one, in order of a hash of their path, so a name that very many items share is numbered
-    by many tasks.
-    """
-    group = ["class", "stem", "ext"]
-    file = F.regexp_extract("path", r"([^/]*)$", 1)
-    stem, ext = _name_parts(file)
-    rows = new.select("class", "path", stem.alias("stem"), ext.alias("ext")).withColumn(HASH, seeded_hash(seed, "path"))
+
+def _numbered(rows: DataFrame, taken: DataFrame, group: list[str]) -> DataFrame:
+    """(group…, path, number) of groups of any size, by tasks that hold a hash prefix or a span of numbers each."""
     # place of each new item in its group: count by hash prefix, then number inside the prefix
     prefixed = rows.withColumn("prefix", F.substring(HASH, 1, PREFIX))
     per_prefix = prefixed.groupBy(*group, "prefix").agg(F.count("*").alias("c"))
@@ -138,6 +132,42 @@ def safe_names(new: DataFrame, existing: DataFrame, seed: int = 0) -> DataFrame:
     placed = null_safe_join(prefixed, starts, [*group, "prefix"]).select(
         *group, "path", (F.col("start") + inside - 1).cast("bigint").alias("at")
     )
+    spans = taken.withColumn(BUCKET, F.floor(F.col("t") / NUMBERS_PER_BUCKET))
+    ranked = running_sums(spans, group, [F.col("t").asc()], {"r": F.lit(1)}, bucketed=True)
+    # a free number for place k is k plus the taken numbers t with t - rank(t) <= k, counted in order
+    marks = ranked.select(*group, F.lit(None).cast("string").alias("path"), (F.col("t") - F.col("r") + 1).alias("at"), F.lit(1).alias("is_taken"))
+    both = marks.unionByName(placed.withColumn("is_taken", F.lit(0))).withColumn(BUCKET, F.floor(F.col("at") / NUMBERS_PER_BUCKET))
+    order = [F.col("at").asc(), F.col("is_taken").desc()]
+    counted = running_sums(both, group, order, {"used": F.col("is_taken")}, bucketed=True).where("is_taken = 0")
+    return counted.select(*group, "path", (F.col("at") + F.col("used")).alias("number"))
+
+
+def _numbered_small(rows: DataFrame, taken: DataFrame, group: list[str]) -> DataFrame:
+    """As ``_numbered``, for groups that fit one window: the free numbers of a group are the first not taken, and its
+    items take them in order of their hash."""
+    held = taken.groupBy(*group).agg(F.array_sort(F.collect_list("t")).alias("held"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(HASH, "path")) - 1
+    # the place below which each taken number pushes no item: t minus the taken numbers before it
+    pushes = F.transform("held", lambda t, i: t - i)
+    known = null_safe_join(rows.withColumn("at", place), held.withColumn("pushes", pushes), group, "left")
+    used = F.coalesce(F.size(F.filter("pushes", lambda x: x <= F.col("at"))), F.lit(0))
+    return known.select(*group, "path", (F.col("at") + used).cast("bigint").alias("number"))
+
+
+def safe_names(new: DataFrame, existing: DataFrame, seed: int = 0) -> DataFrame:
+    """(class, path, new_name): ``stem_drifted.ext``, or the first free ``stem_drifted_N.ext``.
+
+    ``new`` is (class, path), ``existing`` (class, name). Items of one class with equal names take the free
+    numbers one by one, in order of a hash of their path. One count per name decides the way: a name that one item
+    wants and nothing holds is a projection of that count; names up to SMALL_GROUP items and taken numbers are
+    numbered by one window each; a name that very many items share is numbered by many tasks. Repeated items each
+    get a name of their own; an item without a path has none.
+    """
+    group = ["class", "stem", "ext"]
+    file = F.regexp_extract("path", r"([^/]*)$", 1)
+    stem, ext = _name_parts(file)
+    named = new.where(F.col("path").isNotNull()).select("class", "path", stem.alias("stem"), ext.alias("ext"))
+    rows = named.withColumn(HASH, seeded_hash(seed, "path"))
     # numbers taken already: 0 stands for the name without a number
     old_stem, old_ext = _name_parts(F.col("name"))
     mark = r"^(.*)_drifted(?:_([1-9][0-9]*))?$"
@@ -151,17 +181,23 @@ def safe_names(new: DataFrame, existing: DataFrame, seed: int = 0) -> DataFrame:
             F.coalesce(F.nullif(F.regexp_extract("s", mark, 2), F.lit("")), F.lit("0")).cast("bigint").alias("t"),
         )
         .distinct()
-        .withColumn(BUCKET, F.floor(F.col("t") / NUMBERS_PER_BUCKET))
     )
-    ranked = running_sums(taken, group, [F.col("t").asc()], {"r": F.lit(1)}, bucketed=True)
-    # a free number for place k is k plus the taken numbers t with t - rank(t) <= k, counted in order
-    marks = ranked.select(*group, F.lit(None).cast("string").alias("path"), (F.col("t") - F.col("r") + 1).alias("at"), F.lit(1).alias("is_taken"))
-    both = marks.unionByName(placed.withColumn("is_taken", F.lit(0))).withColumn(BUCKET, F.floor(F.col("at") / NUMBERS_PER_BUCKET))
-    order = [F.col("at").asc(), F.col("is_taken").desc()]
-    counted = running_sums(both, group, order, {"used": F.col("is_taken")}, bucketed=True).where("is_taken = 0")
-    number = F.col("at") + F.col("used")
-    suffix = F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(F.lit(""))
-    return counted.select("class", "path", F.concat("stem", F.lit("_drifted"), suffix, "ext").alias("new_name"))
+    wanted = named.withColumn("_new", F.lit(1)).unionByName(
+        taken.select(*group, F.lit(None).cast("string").alias("path"), F.lit(0).alias("_new"))
+    )
+    sizes = wanted.groupBy(*group).agg(F.sum("_new").alias("k"), F.count("*").alias("both"), F.max("path").alias("path"))
+    free = sizes.where("k = 1 and both = 1").select("class", "path", F.concat("stem", F.lit("_drifted"), "ext").alias("new_name"))
+
+    # only a count tells whether the long way is needed; where it is not, its plan is not built
+    many = f"both > {SMALL_GROUP}"
+    is_long = not sizes.where("k > 0").where(many).isEmpty()
+    few = sizes.where("k > 0 and both > 1" + (f" and not {many}" if is_long else "")).select(*group)
+    met = _numbered_small(null_safe_join(rows, few, group, "left_semi"), taken, group)
+    if is_long:
+        long = sizes.where("k > 0").where(many).select(*group)
+        met = met.unionByName(_numbered(null_safe_join(rows, long, group, "left_semi"), taken, group))
+    suffix = F.when(F.col("number") > 0, F.concat(F.lit("_"), F.col("number").cast("string"))).otherwise(F.lit(""))
+    return free.unionByName(met.select("class", "path", F.concat("stem", F.lit("_drifted"), suffix, "ext").alias("new_name")))
 
 
 def adaptation_due(runs: DataFrame, staged: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _few(table: DataFrame, column: str, bound: int) -> DataFrame:
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join in which a missing key matches a missing key, so rows without a class are kept."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
