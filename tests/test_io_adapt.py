@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import DataContract, DriftConfig, FeatureConfig
 from tidegauge.operators import adapt as ad
+from tidegauge.operators import boosting
 from tidegauge.operators import fingerprint as fp
 from tidegauge.operators import metrics as mt
 from tidegauge.operators import training as tr
@@ -142,6 +144,32 @@ def test_names_take_the_first_free_numbers(spark):
     assert got["c", "free.jpg"] == {"free_drifted.jpg"} and got["d", "x.png"] == {"x_drifted.png"}
 
 
+@pytest.mark.parametrize("small", [10_000, 3, 1])
+def test_names_of_every_route_are_alike(spark, monkeypatch, small):
+    """Free, small and large groups, null classes, repeated items, names without an ending, null paths, no rows."""
+    monkeypatch.setattr(ad, "SMALL_GROUP", small)
+    rng = np.random.default_rng(7)
+    new = [(str(rng.choice(["a", "b"])), f"in{i}/n{rng.integers(0, 12)}.png") for i in range(60)]
+    new += [(None, "q/n1.png"), (None, "r/n1.png"), ("a", "in/alone"), ("a", "in/n1.png"), ("a", "in/n1.png"), ("a", None), ("b", "x/ünï.tar.gz")]
+    held = [(str(rng.choice(["a", "b"])), f"n{rng.integers(0, 12)}_drifted{s}.png") for s in ["", *[f"_{k}" for k in range(1, 9)]] for _ in range(4)]
+    held += [(None, "n1_drifted.png"), ("a", "n1_drifted_03.png"), ("a", None), ("a", "n2_drifted_1.jpg"), ("c", "n1_drifted.png")]
+    left = spark.createDataFrame(new, "class string, path string").withColumns({"stem": F.lit("s"), "number": F.lit(1)})
+    out = ad.safe_names(left, spark.createDataFrame(held, "class string, name string"))
+    want, used = [], set(held)
+    for c, p in sorted((x for x in new if x[1] is not None), key=lambda x: (hashlib.sha256(f"0:{x[1]}".encode()).hexdigest(), x[1])):
+        name = p.split("/")[-1]
+        stem, dot, ext = name.partition(".") if name.count(".") < 2 else (name[: name.rindex(".")], ".", name[name.rindex(".") + 1 :])
+        k = 0
+        while (c, f"{stem}_drifted{'_' + str(k) if k else ''}{dot}{ext}") in used:
+            k += 1
+        chosen = f"{stem}_drifted{'_' + str(k) if k else ''}{dot}{ext}"
+        used.add((c, chosen))
+        want.append((c, p, chosen))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert ad.safe_names(left.limit(0), spark.createDataFrame(held, "class string, name string")).count() == 0
+    assert ad.safe_names(left, spark.createDataFrame([], "class string, name string")).count() == len(want)
+
+
 def numbers(spark, n=400):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(n, 2))
@@ -167,6 +195,39 @@ def test_training_reaches_the_floor_and_repeats(spark):
         tr.train_tabular(df.select("a", "b", "y"), fmap, "linear_regression", "classification")
 
 
+def test_boosting_penalises_leaf_values(spark, monkeypatch):
+    """Against leaf sums in numpy, over a checkpoint; a larger penalty draws predictions to the mean."""
+    monkeypatch.setattr(boosting, "LINEAGE", 2)
+    df = numbers(spark, 120)
+    table = df.toPandas()
+    fmap = {"output_features": ["a", "b"], "target": "t"}
+    spread = []
+    for penalty in (0.0, 5.0, 1e9):
+        hp = {"max_iter": 3, "max_depth": 2, "learning_rate": 0.5, "min_samples_leaf": 5, "l2_regularization": penalty}
+        result = tr.train_tabular(df.select("a", "b", "t"), fmap, "gradient_boosting", "regression", hp)
+        model = result.model.stages[-1]
+        margin = np.full(len(table), table.t.mean())
+        vectors = result.model.stages[0].transform(df)
+        for tree in model.trees:
+            own = tree.model.transform(vectors.select("_features", "a")).orderBy("a").toPandas()
+            leaf = own["_leaf"].to_numpy().astype(int)[np.argsort(np.argsort(table.a))]
+            for i in set(leaf):
+                at = leaf == i
+                value = (table.t - margin)[at].sum() / (at.sum() + penalty)
+                assert tree.values[i] == pytest.approx(value, abs=1e-9) and at.sum() >= 5
+            margin = margin + 0.5 * np.array(tree.values)[leaf]
+        got = result.model.transform(df).orderBy("a").toPandas()["prediction"].to_numpy()
+        assert got == pytest.approx(margin[np.argsort(table.a)])
+        spread.append(float(got.std()))
+        record = result.run_record()
+        assert record["hp.l2_regularization"] == str(penalty) and not any(k.startswith("unused") for k in record)
+    assert spread[0] > spread[1] > spread[2] and spread[2] < 1e-3
+    with pytest.raises(ValueError, match="no row has a label"):
+        tr.train_tabular(df.select("a", "b", "t").limit(0), fmap, "gradient_boosting", "regression", {"max_iter": 1})
+    with pytest.raises(ValueError, match="must not be negative"):
+        tr.train_tabular(df.select("a", "b", "t"), fmap, "gradient_boosting", "regression", {"l2_regularization": -1.0})
+
+
 def test_regression_models_and_scoring(spark):
     df = numbers(spark)
     fmap = {"output_features": ["a", "b"], "target": "t"}

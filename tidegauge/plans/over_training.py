@@ -61,6 +61,35 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.regression_metrics(scored, "l_extendedprice", "prediction", ["model"])
 
 
+STUMP_RATE, STUMP_PENALTY, STUMPS = 0.5, 2000.0, 2
+
+
+def stump_sql(step: int) -> str:
+    """One boosted stump on the quantity: the cut with the largest gain in squares, penalised values of both sides."""
+    was = f"m{step - 1}"
+    return f"""r{step} as (select q, n, s - n * {was}.m as g, {was}.m from {was}),
+    c{step} as (select q, sum(g) over w as gl, sum(n) over w as nl, sum(g) over () as gt, sum(n) over () as nt from r{step}
+        window w as (order by q)),
+    b{step} as (select q as cut, gl / (nl + {STUMP_PENALTY}) as lv, (gt - gl) / (nt - nl + {STUMP_PENALTY}) as rv from c{step}
+        where nl < nt order by gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) desc limit 1),
+    m{step} as (select q, n, r{step}.g + n * r{step}.m as s, r{step}.m + {STUMP_RATE} * case when q <= cut then lv else rv end as m from r{step}, b{step})"""
+
+
+@query(
+    "train_gbt_stumps",
+    f"""with m0 as (select l_quantity::double as q, count(*)::double as n, sum(l_extendedprice)::double as s,
+        (select avg(l_extendedprice) from lineitem)::double as m from lineitem group by 1),
+    {", ".join(stump_sql(i) for i in range(1, STUMPS + 1))}
+    select q as quantity, round(m, 2) + 0.0 as prediction from m{STUMPS}""",
+)
+def train_gbt_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees of depth 1 with a penalty large enough to be seen, for every quantity."""
+    hp = {"max_iter": STUMPS, "max_depth": 1, "learning_rate": STUMP_RATE, "l2_regularization": STUMP_PENALTY}
+    rows, result = _train(spark, sf_dir, "gradient_boosting", "regression", "l_extendedprice", hp, ["l_quantity"])
+    scored = result.model.transform(rows.select("l_quantity").distinct())
+    return scored.select(F.col("l_quantity").cast("double").alias("quantity"), r6("prediction", 2).alias("prediction"))
+
+
 @query("train_tabular")
 def train_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run record of a trained model."""
