@@ -16,6 +16,16 @@ LOWER_IS_BETTER = ("mae", "mse", "rmse")
 METRIC_PREFIX = "eval."
 PRODUCTION, ARCHIVED = "Production", "Archived"
 STALE_DAYS = 7
+LINEAGE_DIGITS = 6
+# fixed values: the metrics of each task that become tags, where a decision is kept, the answers to drift
+LINEAGE_METRICS = {
+    "classification": ("accuracy", "precision", "recall", "f1_score"),
+    "regression": ("mae", "mse", "rmse", "r2"),
+    "image_classification_cnn": ("accuracy", "precision", "recall", "f1_score"),
+}
+DECISION_ARTIFACT = "promotion/promotion_decision.json"
+DRIFT_OPTIONS = ("fine tune", "retrain", "collect data", "adjust isp", "accept")
+CANCELLED = "cancelled"
 # fixed values: the lineage tags a version must carry, all of them first, then the ones that may not be empty
 LINEAGE_TAGS = (
     "lineage.run_id",
@@ -197,6 +207,57 @@ def fold_stages(versions: DataFrame, promotions: DataFrame) -> DataFrame:
     )
 
 
+def _metric_text(value: Column) -> Column:
+    """A metric rounded to 6 digits as other tools of the registry print it: 0.9, 1.0, 1.2e-05, nan."""
+    v = F.bround(value.cast("double"), LINEAGE_DIGITS)
+    plain = F.regexp_replace(v.try_cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = F.regexp_replace(F.regexp_replace(v.cast("string"), r"\.0E", "E"), r"E-(\d)$", "e-0$1")
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    return (
+        F.when(odd, F.regexp_replace(F.lower(v.cast("string")), "inf.*", "inf"))
+        .when((v != 0) & (F.abs(v) < 1e-4), small)
+        .otherwise(F.coalesce(plain, v.cast("string")))
+    )
+
+
+def lineage_tags(runs: DataFrame, metrics: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The lineage tags of every run, assembled, and checked by ``lineage_status``.
+
+    ``runs`` is (run_id, task_type, dataset, tags, params), ``metrics`` (run_id, metric, value) with plain metric
+    names, ``decisions`` (run_id, outcome, verdict). Only the task's own metrics become tags, rounded to 6 digits;
+    null ones do not. A run without a decision lacks its outcome, so it is not complete. A task type that is not
+    known has ``supported`` false and is never complete.
+    """
+    task = F.create_map(*[x for t, names in LINEAGE_METRICS.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names]))])
+    own = F.coalesce(F.try_element_at(task, F.col("task_type")), F.array().cast("array<string>"))
+    scores = metric_maps(metrics.where("metric is not null and value is not null"), ["run_id"])
+    chosen = decisions.groupBy("run_id").agg(F.max_by(F.struct("outcome", "verdict"), F.struct("outcome", "verdict")).alias("_d"))
+    rows = runs.join(scores, "run_id", "left").join(chosen, "run_id", "left")
+
+    def of(column: str, key: str) -> Column:
+        return F.try_element_at(F.col(column), F.lit(key))
+
+    values = (
+        F.col("run_id").cast("string"),
+        of("tags", "pipeline.execution_id"),
+        of("tags", "pipeline.config_hash"),
+        F.col("dataset"),
+        of("tags", "pipeline.dataset_version_id"),
+        F.col("task_type"),
+        of("params", "algorithm"),
+        of("params", "train_rows"),
+        of("params", "trained_at"),
+        F.col("_d.outcome"),
+        F.col("_d.verdict"),
+        F.lit(DECISION_ARTIFACT),
+    )
+    fixed = F.create_map(*[x for k, v in zip(LINEAGE_TAGS, values, strict=True) for x in (F.lit(k), F.coalesce(v, F.lit("")))])
+    wanted = F.map_filter(F.coalesce("metrics", F.create_map().cast("map<string,double>")), lambda k, v: F.array_contains(own, k))
+    scored = F.transform_keys(F.transform_values(wanted, lambda k, v: _metric_text(v)), lambda k, v: F.concat(F.lit("lineage.eval."), k))
+    built = rows.select("run_id", F.map_concat(fixed, scored).alias("tags"), (F.size(own) > 0).alias("supported"))
+    return lineage_status(built).withColumn("complete", F.col("complete") & F.col("supported"))
+
+
 def lineage_status(runs: DataFrame, tags: str = "tags") -> DataFrame:
     """Runs with ``missing`` (required tags that are absent or empty, sorted), ``complete`` and the tags kept."""
     required = F.array(*[F.lit(t) for t in REQUIRED_TAGS])
@@ -283,6 +344,64 @@ def decision_records(decisions: DataFrame, metrics: DataFrame, verdicts: DataFra
     )
 
 
+def drift_responses(decisions: DataFrame, drift: DataFrame, span_rows: int = SPAN_ROWS) -> DataFrame:
+    """The record of every answer to drift (decision_id, model, option, reason, decided_at), and whether it stands.
+
+    ``drift`` is (model, generated_at, drift_type, severity, report). The answer is linked to the model's latest
+    report before it; without one its drift fields are null and the report is the default name. ``problem`` is null
+    for a valid answer, else unknown_option or reason_missing; only a cancelled answer needs no reason. Options are
+    read without outer blanks and in lower case.
+    """
+    option = F.lower(F.trim("option"))
+    reason = F.coalesce(F.trim("reason"), F.lit(""))
+    linked = drift_provenance(decisions, drift.select("model", "generated_at", "drift_type", "severity", "report"), span_rows)
+    known = option.isin(*DRIFT_OPTIONS, CANCELLED)
+    problem = F.when(~F.coalesce(known, F.lit(False)), "unknown_option").when((option != CANCELLED) & (reason == ""), "reason_missing")
+    return linked.select(
+        "decision_id",
+        "model",
+        F.lit("1.0.0").alias("schema_version"),
+        "decided_at",
+        F.col("drift_drift_type").alias("drift_type"),
+        "drift_severity",
+        option.alias("option"),
+        F.when(option == CANCELLED, "").otherwise(reason).alias("reason"),
+        F.coalesce("drift_report", F.lit("drift_result.json")).alias("drift_report_linked"),
+        problem.alias("problem"),
+    )
+
+
+def deployment_records(rows: DataFrame, runs: DataFrame, stage: str = PRODUCTION) -> DataFrame:
+    """One nested record per pipeline row: the model served, the promotion behind it, and whether it may be deployed.
+
+    ``rows`` holds the columns of ``readiness`` and (model, registry_run_id, promotion_run_id, reason, verdict,
+    version_id, artifact_path); ``runs`` is (run_id, tags) with lineage tags. The registry's run comes before the
+    promotion's; without a registry version the stage and what its tags say are null.
+    """
+    tags = runs.select(F.col("run_id").alias("registry_run_id"), F.col("tags").alias("_tags"))
+    joined = readiness(rows).join(tags, "registry_run_id", "left")
+
+    def tag(name: str) -> Column:
+        return F.when(F.col("registry_version").isNotNull(), F.try_element_at("_tags", F.lit(f"lineage.{name}")))
+
+    run = F.coalesce(F.when(F.col("registry_version").isNotNull(), F.col("registry_run_id")), F.col("promotion_run_id"))
+    return joined.select(
+        *[c for c in rows.columns if c == "request_id"],
+        F.struct(
+            F.col("model").alias("registry_name"),
+            "registry_version",
+            F.when(F.col("registry_version").isNotNull(), stage).alias("stage"),
+            run.alias("run_id"),
+            tag("algorithm").alias("algorithm"),
+            tag("trained_at").alias("trained_at"),
+            F.coalesce(tag("dataset_version_id"), F.col("version_id")).alias("dataset_version_id"),
+            F.when(F.col("artifact_exists") & run.isNotNull(), F.col("artifact_path")).alias("local_artifact_path"),
+        ).alias("model"),
+        F.struct("outcome", F.col("promotion_run_id").alias("run_id"), "reason", F.col("verdict").alias("comparison_verdict")).alias("promotion"),
+        F.struct("status", "warnings").alias("readiness"),
+    )
+
+
 def report_age(generated_at: Column, now: Column) -> dict[str, Column]:
     """Age columns of a report time given as text; text without a zone is UTC, unreadable text gives nulls."""
     clock = F.when(F.length(generated_at) == 10, F.concat(generated_at, F.lit("T00:00:00"))).otherwise(generated_at)

@@ -296,6 +296,60 @@ def decision_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LINEAGE_RUNS = f"""select {RUN} as run_id, case when o_orderkey % 8 = 0 then 'other' when o_orderkey % 2 = 0 then 'classification'
+        else 'image_classification_cnn' end as task_type, 'orders' as dataset,
+    case when o_orderkey % 9 = 0 then '' else 'c0ffee' end as config_hash, concat('d', cast(o_custkey % 9 as varchar(5))) as version,
+    case when o_orderstatus <> 'P' then 'random_forest' end as algorithm, cast(o_orderkey as varchar(20)) as train_rows,
+    cast(cast(o_orderdate as date) as varchar(10)) as trained_at from orders"""
+LINEAGE_DECIDED = f"""select {RUN} as run_id, case when o_orderstatus = 'F' then 'approved' else 'rejected' end as outcome,
+    case when o_custkey % 2 = 0 then 'improvement' end as verdict from orders where o_orderpriority <> '1-URGENT'"""
+
+
+@query(
+    "lineage_tags",
+    f"""with r as ({LINEAGE_RUNS}), d as ({LINEAGE_DECIDED}), m as ({METRICS}),
+    t as (select run_id, unnest(['run_id', 'config_hash', 'dataset_name', 'dataset_version_id', 'task_type', 'algorithm', 'train_rows',
+            'trained_at', 'promotion_outcome', 'comparison_verdict', 'decision_artifact']) as k,
+        unnest([run_id, config_hash, dataset, version, task_type, algorithm, train_rows, trained_at, outcome, verdict,
+            'promotion/promotion_decision.json']) as v from r left join d using (run_id)
+        union all select run_id, 'eval.' || metric, value::varchar from m join r using (run_id) where task_type <> 'other'),
+    f as (select run_id, coalesce(string_agg('lineage.' || k, ',' order by k) filter (coalesce(v, '') = '' and k in ('config_hash', 'algorithm',
+            'promotion_outcome')), '') as missing,
+        string_agg('lineage.' || k || '=' || v, ',' order by k) filter (coalesce(v, '') <> '') as kept from t group by run_id)
+    select run_id, missing, missing = '' and task_type <> 'other' as complete, task_type <> 'other' as supported, kept from f join r using (run_id)""",
+)
+def lineage_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, LINEAGE_RUNS)
+    tags = F.create_map(F.lit("pipeline.config_hash"), "config_hash", F.lit("pipeline.dataset_version_id"), "version")
+    params = F.create_map(*[x for c in ("algorithm", "train_rows", "trained_at") for x in (F.lit(c), F.col(c))])
+    runs = rows.select("run_id", "task_type", "dataset", tags.alias("tags"), params.alias("params"))
+    out = gv.lineage_tags(runs, derived(spark, sf_dir, METRICS), derived(spark, sf_dir, LINEAGE_DECIDED))
+    pairs = F.transform(F.array_sort(F.map_entries("kept_tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("run_id", F.array_join("missing", ",").alias("missing"), "complete", "supported", F.array_join(pairs, ",").alias("kept"))
+
+
+ANSWERS = """select event_id as decision_id, cast(user_id as varchar(20)) as model, ts as decided_at,
+    case event_id % 7 when 0 then ' Retrain' when 1 then 'accept' when 2 then 'cancelled' when 3 then 'ignore' when 4 then 'fine tune'
+        when 5 then 'adjust isp' end as option,
+    case when event_id % 5 = 0 then '  ' when event_id % 5 = 1 then cast(null as varchar(10)) else ' seen ' end as reason
+    from events where event_type = 'purchase'"""
+REPORTS = """select cast(user_id as varchar(20)) as model, ts as generated_at, case when event_id % 2 = 0 then 'tabular' else 'image_statistical' end
+        as drift_type, case when value > 60 then 'high' when value > 30 then 'medium' else 'low' end as severity,
+    concat('report_', cast(event_id as varchar(20)), '.json') as report from events where event_type <> 'purchase'"""
+
+
+@query(
+    "drift_responses",
+    f"""with d as ({ANSWERS}), r as ({REPORTS}), j as (select d.*, lower(trim(d.option)) as o, coalesce(trim(d.reason), '') as w, drift_type, severity, report
+        from d asof left join r on d.model = r.model and d.decided_at >= r.generated_at)
+    select decision_id, model, '1.0.0' as schema_version, decided_at, drift_type, severity as drift_severity, o as option,
+        case when o = 'cancelled' then '' else w end as reason, coalesce(report, 'drift_result.json') as drift_report_linked,
+        case when o is null or o = 'ignore' then 'unknown_option' when o <> 'cancelled' and w = '' then 'reason_missing' end as problem from j""",
+)
+def drift_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gv.drift_responses(derived(spark, sf_dir, ANSWERS), derived(spark, sf_dir, REPORTS))
+
+
 AGES = """select event_id, case when event_id % 10 = 0 then 'unknown' when event_id % 2 = 0 then
         concat(cast(cast(ts as date) as varchar(10)), 'T00:00:00Z') else concat(cast(cast(ts as date) as varchar(10)), ' 12:00:00') end as generated_at
     from events"""
@@ -332,6 +386,37 @@ def deploy_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "status", F.array_join("warnings", ",").alias("warnings"))
 
 
+DEPLOYED = f"""select o_orderkey as request_id, {MODEL} as model, {RUN} as promotion_run_id, o_orderkey % 10 <> 0 as registry_reachable,
+    case when o_orderstatus <> 'F' and o_orderkey % 10 <> 0 then o_orderkey % 7 end as registry_version,
+    case when o_orderstatus <> 'F' and o_orderkey % 10 <> 0 then concat('reg-', cast(o_custkey as varchar(20))) end as registry_run_id,
+    case when o_orderpriority = '1-URGENT' then 'rejected' when o_orderpriority = '2-HIGH' then null else 'approved' end as outcome,
+    o_orderpriority as reason, 'equal' as verdict, concat('v', cast(o_orderkey % 5 as varchar(5))) as version_id,
+    o_custkey % 3 <> 0 as artifact_exists, concat('artifacts/runs/', cast(o_orderkey as varchar(20))) as artifact_path from orders"""
+REGISTRY_RUNS = """select concat('reg-', cast(c_custkey as varchar(20))) as run_id, c_mktsegment as algorithm,
+    case when c_custkey % 4 <> 0 then concat('d', cast(c_nationkey as varchar(5))) end as version from customer"""
+
+
+@query(
+    "deployment_records",
+    f"""with d as ({DEPLOYED}), r as ({REGISTRY_RUNS})
+    select request_id, model, registry_version, case when registry_version is not null then 'Production' end as stage,
+        coalesce(registry_run_id, promotion_run_id) as run_id, algorithm, coalesce(r.version, version_id) as dataset_version_id,
+        case when artifact_exists then artifact_path end as local_artifact_path, outcome, reason, verdict,
+        case when not registry_reachable then 'mlflow_unavailable' when registry_version is null then 'no_production_model'
+            when coalesce(outcome, '') <> 'approved' then 'promotion_not_approved' else 'ready' end as status
+    from d left join r on r.run_id = registry_run_id""",
+)
+def deployment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.create_map(F.lit("lineage.algorithm"), "algorithm", F.lit("lineage.dataset_version_id"), "version")
+    runs = derived(spark, sf_dir, REGISTRY_RUNS).select("run_id", tags.alias("tags"))
+    out = gv.deployment_records(derived(spark, sf_dir, DEPLOYED), runs)
+    fields = ("registry_version", "stage", "run_id", "algorithm", "dataset_version_id", "local_artifact_path")
+    return out.select(
+        "request_id", F.col("model.registry_name").alias("model"), *[F.col(f"model.{c}").alias(c) for c in fields],
+        "promotion.outcome", "promotion.reason", F.col("promotion.comparison_verdict").alias("verdict"), "readiness.status",
+    )
+
+
 STAGES = """select l_orderkey as run_id, l_linenumber as stage, case when l_returnflag = 'R' and l_linenumber = 3 then 'failed'
         when l_returnflag = 'A' and l_linenumber = 2 then 'cancelled' when l_tax = 0.08 then 'blocked' else 'completed' end as status,
     l_shipdate as started_at, l_shipdate + interval '90' second as ended_at from lineitem"""
