@@ -322,16 +322,16 @@ def _noise(key: str, sigma: float, seed: int) -> Column:
     return F.transform("pixels", noisy)
 
 
-# fixed values: scenario names, what they stand for and their sizes (on z-scored pixels)
+# fixed values: scenario names and their sizes (on z-scored pixels); the notes are ours
 SCENARIOS: dict[str, str] = {
-    "horizontal_flip": "Mirror images left-right",
-    "rotation_90": "90° clockwise rotation",
-    "rotation_180": "180° rotation",
-    "brightness_high": "Positive brightness shift (+0.5)",
-    "brightness_low": "Negative brightness shift (−0.5)",
-    "contrast_low": "Contrast reduction (×0.5)",
-    "gaussian_noise": "Additive Gaussian noise (σ=0.1)",
-    "gaussian_blur": "Gaussian blur (σ=1.0 px)",
+    "horizontal_flip": "columns in reverse order",
+    "rotation_90": "a quarter turn to the right",
+    "rotation_180": "upside down",
+    "brightness_high": "0.5 added to every pixel",
+    "brightness_low": "0.5 taken from every pixel",
+    "contrast_low": "every pixel halved",
+    "gaussian_noise": "independent noise of deviation 0.1",
+    "gaussian_blur": "smoothed over a pixel's width",
 }
 _EXPRESSIONS = {
     "horizontal_flip": lambda key, seed: flip_horizontal(),
