@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidegauge.sources import history as hist
 
 
 def test_image_severity_runs_and_equals_its_sql(spark, sf_dir):
@@ -12,3 +13,25 @@ def test_image_severity_runs_and_equals_its_sql(spark, sf_dir):
         db.execute(f"create view events as select * from '{sf_dir}/events.parquet'")
         want = sorted(db.execute(f"select event_id, severity, detected from ({entry.oracle_sql()['image_severity']})").fetchall())
     assert got == want and got
+
+
+def test_a_history_has_files_by_rows_not_by_tasks_and_models(spark, tmp_path):
+    names = ["_shared-3", "007", "a b/c", *[str(i) for i in range(hist.MODEL_FOLDERS + 40)]]
+    rows = [(m, f"2024-01-{1 + i % 9:02d} 00:00:00", f"/r/{i}") for i, m in enumerate(names * 4 + [None])]
+    index = spark.createDataFrame(rows, "model string, g string, json_path string").repartition(16)
+    index = index.select(F.to_timestamp("g").alias("timestamp"), "json_path", "model")
+    hist.append_history(index, str(tmp_path / "many"), "model")
+    assert len(list((tmp_path / "many").rglob("*.json"))) <= 2 * hist.SHARED_FOLDERS
+    shared = next(p for p in (tmp_path / "many").iterdir() if p.name.startswith(f"model={hist.SHARED}"))
+    (shared / "part-manual.json").write_text('{"timestamp": "2024-\n')
+    hist.append_history(index.where("model = '7'"), str(tmp_path / "many"), "model")
+    entries, rejected = hist.scan_history(spark, str(tmp_path / "many"))
+    want = [(r[0], r[2]) for r in rows] + [(r[0], r[2]) for r in rows if r[0] == "7"]
+    got = [tuple(r) for r in entries.select("model", "json_path").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert [tuple(r) for r in rejected.select("model", "value").collect()] == [(None, '{"timestamp": "2024-')]
+
+    few = index.where("model in ('1', '2', '3')")
+    hist.append_history(few, str(tmp_path / "few"), "model")
+    assert len(list((tmp_path / "few").rglob("*.json"))) == 3
+    assert sorted(r["model"] for r in hist.scan_history(spark, str(tmp_path / "few"))[0].collect()) == sorted([1, 2, 3] * 4)
