@@ -1,9 +1,12 @@
 """Work that must not grow with tasks, models or pairs beyond the rows, and queries run as they are registered."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidegauge.operators import mmd
 from tidegauge.sources import history as hist
 
 
@@ -35,3 +38,24 @@ def test_a_history_has_files_by_rows_not_by_tasks_and_models(spark, tmp_path):
     hist.append_history(few, str(tmp_path / "few"), "model")
     assert len(list((tmp_path / "few").rglob("*.json"))) == 3
     assert sorted(r["model"] for r in hist.scan_history(spark, str(tmp_path / "few"))[0].collect()) == sorted([1, 2, 3] * 4)
+
+
+def test_a_vector_is_sent_once_per_block_and_blocks_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, [float(i), 1.0], 1) for i in range(50)], "is_ref int, v array<double>, w long")
+    few, many = (mmd._grid(rows, total, 64).count() for total in (20_000, 400_000))
+    assert few <= 8 * 50 and many <= 8 * 50
+    assert mmd._grid(rows, 10**7, 64).count() > many  # a block is held by a task, so it does not grow for ever
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 3)).astype("f4"), rng.normal(0.4, 1.0, size=(50, 3)).astype("f4")
+    y[:5] = x[:5]
+    x[10:20] = x[9]
+    sides = [spark.createDataFrame([(v.tolist(),) for v in part], "v array<float>") for part in (x, y)]
+    whole = mmd.embedding_mmd(*sides, "v").first()
+    monkeypatch.setattr(mmd, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(mmd, "HELD_BYTES", 8 * 3 * 8)
+    tiles = mmd.embedding_mmd(*sides, "v", 5).first()
+    d2 = ((np.concatenate([x, y])[:, None].astype("f8") - np.concatenate([x, y])[None]) ** 2).sum(-1)
+    above = d2[np.triu_indices(110, 1)]
+    assert whole["gamma"] == pytest.approx(1 / (np.median(above[above > 0]) + 1e-8), rel=1e-12)
+    assert tiles["gamma"] == pytest.approx(whole["gamma"], rel=1e-12) and tiles["mmd"] == pytest.approx(whole["mmd"], abs=1e-12)

@@ -1,7 +1,8 @@
 """Maximum mean discrepancy between two sets of embeddings.
 
-The exact statistic is defined over all pairs. Rows are hashed into blocks, every pair of blocks is one tile
-of an even grid, and a task computes a tile's distances from one Gram product and returns sums only. With a stored
+The exact statistic is defined over all pairs. Rows are hashed into as many blocks as keep all tasks at work, every pair
+of blocks is one tile of an even grid, and a task computes a tile's distances from Gram products and returns sums only.
+So a row is sent once per block, and more rows make larger blocks until one reaches ``HELD_BYTES``. With a stored
 bandwidth that is one pass over the pairs; the exact median of the distances takes two more. ``mmd_features``
 replaces the pairs by random Fourier features, whose cost grows with the rows alone.
 """
@@ -15,11 +16,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.session import checkpointed
 
-BLOCK = 1024
+BLOCK = 1024  # rows a side of one Gram product
 LEAST_BLOCK = 128
+HELD_BYTES = 32 * 1024 * 1024  # a block's vectors as doubles; a task holds two blocks
 # A distance's 64 bits are read from the top in these steps, so that a pass returns at most 2**16 counts per tile. Once
 # no more than ``GATHERED`` pairs share the bits read so far, the next pass reads all that is left.
 BIT_STEPS = (20, 16, 14, 14)
@@ -31,9 +34,13 @@ NEAR = 1e-6
 def _sides(reference: DataFrame, batch: DataFrame, vector: str) -> DataFrame:
     def one(df: DataFrame, is_ref: int) -> DataFrame:
         return df.where(F.col(vector).isNotNull()).select(
-            F.lit(is_ref).alias("is_ref"), F.col(vector).cast("array<double>").alias("v")
+            F.lit(is_ref).alias("is_ref"), F.col(vector).cast(kind).alias("v")
         )
 
+    # floats stay floats until they are multiplied, at half the bytes to send
+    floats = T.ArrayType(T.FloatType())
+    is_float = all(df.schema[vector].dataType.simpleString() == floats.simpleString() for df in (reference, batch))
+    kind = floats.simpleString() if is_float else "array<double>"
     return one(reference, 1).unionByName(one(batch, 0))
 
 
@@ -42,23 +49,26 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("is_ref", "v").agg(F.count("*").alias("w"))
 
 
-def _sizes(rows: DataFrame) -> tuple[int, int, int]:
-    """Rows of the reference and of the batch, and distinct vectors of both."""
+def _sizes(rows: DataFrame) -> tuple[int, int, int, int]:
+    """Rows of the reference and of the batch, distinct vectors of both, and the components of the longest."""
     size = rows.agg(
         F.sum(F.when(F.col("is_ref") == 1, F.col("w")).otherwise(0)).alias("n"),
         F.sum(F.when(F.col("is_ref") == 0, F.col("w")).otherwise(0)).alias("m"),
         F.count("*").alias("distinct"),
+        F.max(F.size("v")).alias("length"),
     ).first()
-    return size["n"] or 0, size["m"] or 0, size["distinct"]
+    return size["n"] or 0, size["m"] or 0, size["distinct"], size["length"] or 1
 
 
-def _grid(rows: DataFrame, total: int, block: int) -> DataFrame:
+def _grid(rows: DataFrame, total: int, length: int) -> DataFrame:
     """Each row in all the tiles of its block: tile (i, j) holds blocks i and j.
 
-    Blocks hold about ``block`` rows, fewer where that leaves tasks without a tile.
+    There are some four tiles per shuffle partition, fewer for few rows, and more only where a block of vectors of
+    ``length`` components would exceed ``HELD_BYTES``.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(1, -(-total // block), min(math.isqrt(4 * parts), total // LEAST_BLOCK))
+    held = max(LEAST_BLOCK, HELD_BYTES // (8 * length))
+    blocks = max(1, -(-total // held), min(math.isqrt(8 * parts), total // LEAST_BLOCK))
     own = F.pmod(F.xxhash64("v", "is_ref"), F.lit(blocks)).cast("int")
     many = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return many.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
@@ -77,25 +87,28 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d2
 
 
-def _pairs(tile: pa.Table):
-    """Squared distances of a tile's pairs, with the kind of each pair (0, 1 or 2 reference members) and the number of
-    row pairs it stands for. Inside one block every pair counts once."""
+def _vectors(tile: pa.Table) -> np.ndarray:
+    column = tile["v"].combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("the vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _pairs(tile: pa.Table, block: int):
+    """A tile's pairs in pieces of ``block`` x ``block``: squared distances, and the rows of both sides as positions in the
+    tile. Inside one block every pair counts once, so a piece on the diagonal is named and only its upper half counts."""
     own, i, j = tile["b"].to_numpy(), tile["i"][0].as_py(), tile["j"][0].as_py()
-    v = np.stack(tile["v"].to_numpy())
-    ref, w = tile["is_ref"].to_numpy(), tile["w"].to_numpy()
-    left, right = own == i, own == j
-    if not left.any() or not right.any():
-        return
-    ra, rb, wa, wb = ref[left], ref[right], w[left], w[right]
-    d2, kind, weight = _squared(v[left], v[right]), ra[:, None] + rb[None, :], wa[:, None] * wb[None, :]
-    if i == j:
-        yield np.zeros(len(ra)), 2 * ra, wa * (wa - 1) // 2
-        above = np.triu_indices(len(ra), 1)
-        d2, kind, weight = d2[above], kind[above], weight[above]
-    yield d2.ravel(), kind.ravel(), weight.ravel()
-
-
-def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
+    v = _vectors(tile)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for x in range(0, len(left), block):
+        a = left[x : x + block]
+        for y in range(x if i == j else 0, len(right), block):
+            b = right[y : y + block]
+            yield _squared(v[a], v[b]), a, b, i == j and x == y
+
+
+def _order_statistics(cells: DataFrame, ranks_of, block: int) -> list[float]:
     """Exact order statistics of the positive distances by counting bit prefixes from the top.
 
     ``ranks_of(count)`` names the wanted ranks once the first pass has the count. Every pass brings back the
@@ -110,7 +123,7 @@ def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
         prefixes = sorted({p for p, _ in wanted})
         shift = 64 - taken - width
 
-        counted = cells.groupBy("i", "j").applyInArrow(_prefix_counter(shift, width, prefixes if wanted else None), "prefix long, c long")
+        counted = cells.groupBy("i", "j").applyInArrow(_prefix_counter(shift, width, prefixes if wanted else None, block), "prefix long, c long")
         table = counted.groupBy("prefix").agg(F.sum("c").alias("c")).orderBy("prefix").collect()
         if not wanted:
             total = sum(r["c"] for r in table)
@@ -134,34 +147,64 @@ def _order_statistics(cells: DataFrame, ranks_of) -> list[float]:
     return [float(np.array([p], dtype=np.int64).view(np.float64)[0]) for p, _ in wanted]
 
 
-def _prefix_counter(shift: int, width: int, prefixes: list[int] | None):
+def _prefix_counter(shift: int, width: int, prefixes: list[int] | None, block: int):
     """Counts of the positive distances of a cell by their leading bits, under the given shorter prefixes."""
 
+    def counted(top: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The keys and their counts. Few bits are counted in place, many (of few distances) by sorting."""
+        if width <= max(BIT_STEPS):
+            low = top.min()
+            tally = np.bincount(top - low, weight)
+            keys = np.flatnonzero(tally)
+            return keys + low, tally[keys].astype(np.int64)  # sums of whole numbers, exact to 2**53
+        keys, place = np.unique(top, return_inverse=True)
+        return keys, np.bincount(place, weight, len(keys)).astype(np.int64)
+
     def count(tile: pa.Table) -> pa.Table:
-        tally: dict[int, int] = {}
-        for d2, _, weight in _pairs(tile):
+        w = tile["w"].to_numpy()
+        single = bool((w == 1).all())
+        keys_of, counts_of, held = [], [], 0
+        for d2, a, b, diagonal in _pairs(tile, block):
             positive = d2 > 0
-            top, count_of = d2[positive].view(np.int64) >> shift, weight[positive]
-            if prefixes is not None:
-                inside = np.isin(top >> width, prefixes)
-                top, count_of = top[inside], count_of[inside]
-            keys, place = np.unique(top, return_inverse=True)
-            added = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(added, place, count_of)
-            for key, c in zip(keys, added):
-                tally[int(key)] = tally.get(int(key), 0) + int(c)
-        return pa.table({"prefix": pa.array(list(tally), pa.int64()), "c": pa.array(list(tally.values()), pa.int64())})
+            if diagonal:
+                positive = np.triu(positive, 1)
+            top = d2[positive].view(np.int64) >> shift
+            weight = None if single else (w[a][:, None] * w[b][None, :])[positive]
+            for prefix in [None] if prefixes is None else prefixes:
+                inside = slice(None) if prefix is None else (top >> width) == prefix
+                some = top[inside]
+                if not len(some):
+                    continue
+                keys, counts = counted(some, None if single else weight[inside])
+                keys_of.append(keys)
+                counts_of.append(counts)
+                held += len(keys)
+            if held > 1 << 21:
+                keys_of, counts_of = ([x] for x in _merged(keys_of, counts_of))
+                held = len(keys_of[0]) >> 1  # merge again only after as much has come
+        keys, counts = _merged(keys_of, counts_of)
+        return pa.table({"prefix": pa.array(keys, pa.int64()), "c": pa.array(counts, pa.int64())})
 
     return count
 
 
+def _merged(keys_of: list[np.ndarray], counts_of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys as one, their counts added up."""
+    if not keys_of:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, place = np.unique(np.concatenate(keys_of), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, place, np.concatenate(counts_of))
+    return keys, total
+
+
 def _middle(count: int) -> list[int]:
     return [count // 2] if count % 2 else [count // 2 - 1, count // 2]
 
 
-def bandwidth(rows: DataFrame, distinct: int, block: int = BLOCK) -> float:
+def bandwidth(rows: DataFrame, distinct: int, length: int, block: int = BLOCK) -> float:
     """1 / the exact median of all positive squared distances, to be stored and used for later batches."""
-    middle = _order_statistics(_grid(rows, distinct, block), _middle)
+    middle = _order_statistics(_grid(rows, distinct, length), _middle, block)
     return 1.0 / ((sum(middle) / len(middle) if middle else 1.0) + 1e-8)
 
 
@@ -175,19 +218,26 @@ def embedding_mmd(
     """
     rows = checkpointed(_distinct(_sides(reference, batch, vector)))
     spark = rows.sparkSession
-    n, m, distinct = _sizes(rows)
+    n, m, distinct, length = _sizes(rows)
     schema = "mmd double, gamma double, n long, m long"
     if n < 2 or m < 2:
         return spark.createDataFrame([(0.0, None, n, m)], schema)
-    gamma = bandwidth(rows, distinct, block) if gamma is None else gamma
+    gamma = bandwidth(rows, distinct, length, block) if gamma is None else gamma
 
     def kernel(tile: pa.Table) -> pa.Table:
-        sums = np.zeros(3)
-        for d2, kind, weight in _pairs(tile):
-            sums += np.bincount(kind, weights=weight * np.exp(-gamma * d2), minlength=3)
-        return pa.table({name: [x] for name, x in zip(("yy", "xy", "xx"), sums)})
-
-    total = _grid(rows, distinct, block).groupBy("i", "j").applyInArrow(kernel, "yy double, xy double, xx double")
+        ref, w = tile["is_ref"].to_numpy(), tile["w"].to_numpy()
+        sides = np.stack([w * (1 - ref), w * ref]).astype(np.float64)
+        sums = np.zeros((2, 2))
+        for d2, a, b, diagonal in _pairs(tile, block):
+            similar = np.exp(-gamma * d2)
+            if diagonal:
+                similar = np.triu(similar, 1)
+                copies = sides[:, a] * np.maximum(w[a] - 1, 0) / 2  # pairs of equal rows
+                sums += np.diag(copies.sum(axis=1))
+            sums += sides[:, a] @ similar @ sides[:, b].T
+        return pa.table({"yy": [sums[0, 0]], "xy": [sums[0, 1] + sums[1, 0]], "xx": [sums[1, 1]]})
+
+    total = _grid(rows, distinct, length).groupBy("i", "j").applyInArrow(kernel, "yy double, xy double, xx double")
     sums = total.agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy"))
     value = (
         2.0 * F.col("xx") / float(n * (n - 1)) + 2.0 * F.col("yy") / float(m * (m - 1)) - 2.0 * F.col("xy") / float(n * m)
@@ -206,7 +256,7 @@ def mmd_features(
     1/sqrt(count); the estimate is unbiased for the features' own kernel.
     """
     rows = _sides(reference, batch, vector)
-    n, m, _ = _sizes(rows.withColumn("w", F.lit(1)))
+    n, m, _, _ = _sizes(rows.withColumn("w", F.lit(1)))
     spark = rows.sparkSession
     if n < 2 or m < 2:
         return spark.createDataFrame([(0.0, gamma, n, m)], "mmd double, gamma double, n long, m long")
