@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidegauge.operators import image_drift as im
 from tidegauge.operators import mmd
 from tidegauge.sources import history as hist
 
@@ -59,3 +60,15 @@ def test_a_vector_is_sent_once_per_block_and_blocks_grow_with_the_rows(spark, mo
     above = d2[np.triu_indices(110, 1)]
     assert whole["gamma"] == pytest.approx(1 / (np.median(above[above > 0]) + 1e-8), rel=1e-12)
     assert tiles["gamma"] == pytest.approx(whole["gamma"], rel=1e-12) and tiles["mmd"] == pytest.approx(whole["mmd"], abs=1e-12)
+
+
+def test_pixels_are_bucketed_by_their_number_not_by_the_bytes_of_the_file(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i % 3, rng.normal(i % 3, 1.0, 64).round(1).tolist(), 8, 8, 1) for i in range(45)]
+    images = spark.createDataFrame(rows, "label int, pixels array<double>, height int, width int, channels int")
+    sides = images.where("label = 0"), images.where("label > 0")
+    once = {r["batch"]: r["drift_score"] for r in im.channel_wasserstein(*sides, "label").collect()}
+    monkeypatch.setattr(im, "PIXELS_PER_BUCKET", 200)
+    assert im._pixel_buckets(*sides) == 15
+    again = {r["batch"]: r["drift_score"] for r in im.channel_wasserstein(*sides, "label").collect()}
+    assert sorted(again) == ["1", "2"] and again == pytest.approx(once, abs=1e-12)

@@ -10,7 +10,7 @@ from tidegauge.functions.severity import image_severity
 from tidegauge.operators import two_sample as ts
 from tidegauge.operators.ordered import thinned
 from tidegauge.operators.pixels import pyramid
-from tidegauge.session import bucket_count
+from tidegauge.session import MAX_BUCKETS
 
 # fixed values: the readings of a scale profile and the ratios between them
 FINE_ABOVE, COARSE_BELOW = 3.0, 1.5
@@ -45,18 +45,27 @@ def _long(images: DataFrame, batch: Column, prefix: Column | None) -> DataFrame:
     return rows.where(F.col(ts.VALUE).isNotNull()).select(name.alias(ts.FEATURE), ts.BATCH, ts.VALUE)
 
 
-def _distances(reference: DataFrame, batches: DataFrame, batch: str, prefix: Column | None = None) -> DataFrame:
+PIXELS_PER_BUCKET = 200_000  # many small buckets, so that those which fall to one task add up to an even share
+
+
+def _pixel_buckets(*images: DataFrame) -> int:
+    """How many ordered buckets the pixels need. They are counted: an image is one small row of its file, and as rows its
+    pixels take many times its bytes."""
+    pixels = sum(df.agg(F.sum(F.size("pixels").cast("bigint"))).first()[0] or 0 for df in images)
+    return max(1, min(MAX_BUCKETS, -(-pixels // PIXELS_PER_BUCKET)))
+
+
+def _distances(reference: DataFrame, batches: DataFrame, batch: str, number: int, prefix: Column | None = None) -> DataFrame:
     def both(ref: DataFrame, cur: DataFrame) -> DataFrame:
         return _long(ref, F.lit(None), prefix).unionByName(_long(cur.where(F.col(batch).isNotNull()), F.col(batch), prefix))
 
-    number = bucket_count(reference, batches)
     thin = None if number <= 1 else both(thinned(reference), thinned(batches))
     return ts.wasserstein(ts.Samples(ts.counts_of(both(reference, batches)), thin, number, ts.salt_number(reference, batches)))
 
 
 def channel_wasserstein(reference: DataFrame, batches: DataFrame, batch: str) -> DataFrame:
     """(batch, channel, drift_score): earth mover distance over all pixels of a channel, unscaled."""
-    out = _distances(reference, batches, batch)
+    out = _distances(reference, batches, batch, _pixel_buckets(reference, batches))
     return out.select(ts.BATCH, F.col(ts.FEATURE).alias("channel"), F.col("statistic").alias("drift_score"))
 
 
@@ -76,7 +85,8 @@ def multiscale(reference: DataFrame, batches: DataFrame, batch: str, config: Ima
     args = (config.pyramid_levels, config.pyramid_sigma, config.pyramid_min_side)
     ref = pyramid(reference.select(*keep), *args)
     cur = pyramid(batches.select(F.col(batch).cast("string").alias(ts.BATCH), *keep), *args)
-    out = _distances(ref, cur, ts.BATCH, F.col("level").cast("string"))
+    # the finest level has all the pixels, the others fewer and buckets of their own
+    out = _distances(ref, cur, ts.BATCH, _pixel_buckets(reference, batches), F.col("level").cast("string"))
     parts = F.split(F.col(ts.FEATURE), "/")
     return out.select(
         ts.BATCH, parts[0].cast("int").alias("level"), parts[1].alias("channel"), F.round("statistic", 6).alias("drift_score")
