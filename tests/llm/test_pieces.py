@@ -146,3 +146,25 @@ def test_runs_of_blanks(spark, pieces, library):
     assert sorted((r["doc_id"], r["ids"]) for r in encode(df, pieces).collect()) == [(i, brute_whole(t, pieces)) for i, t in rows]
     n = {r["doc_id"]: r["n_pieces"] for r in totals(df, pieces).collect()}
     assert n == {i: len(brute_whole(t, pieces)) for i, t in rows}
+
+
+def test_words_are_folded_where_they_are(spark, pieces):
+    """No shuffle, sort or grouping between a word and its pieces; few edges a batch cut words anywhere."""
+    words = ["▁", "\n", "▁▁▁x", "▁naïve中😀", "▁" + "ab1" * 21, "▁reproducible"] + [f"▁word{i}é{i * i}" for i in range(300)]
+    keyed = spark.createDataFrame([(w, w) for w in words], "key string, word string").repartition(2)
+    solved = piece_lattice.solve(keyed, pieces)
+    plan = solved._jdf.queryExecution().executedPlan().toString()
+    assert "SortExec" not in plan and "HashAggregate" not in plan and plan.count("hashpartitioning") == 0
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["key"]: (r["ids"], r["unknown"], r["whole"]) for r in solved.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    octets = set(pieces.bytes)
+    for w in words:
+        if w in ("▁", "\n"):  # the brute force reads texts, and these are none
+            continue
+        best = brute(w[1:].replace("▁", " "), pieces)
+        assert got[w] == (best, sum(i in octets for i in best), True), w
+    assert len(got) == len(words) and all(whole for *_, whole in got.values())

@@ -3,9 +3,8 @@
 A text is a row of words: blanks become the mark U+2581, the first mark of a run opens a word, a newline is a word by
 itself. Pieces may be several marks, but in none does a mark follow another character, so no piece spans two words and
 the best segmentation of a text is that of its words. The substrings of a word up to the longest piece's
-length are exploded and joined with the piece table; those found are the edges of the word's lattice. Edges are grouped
-by word and folded by a Viterbi search inside one ``aggregate``; words of over 64 characters, which are rare, are folded
-from the stream of their sorted edges. A character without a piece is an edge of its own that
+length are exploded and joined with the piece table; those found are the edges of the word's lattice. A Viterbi search
+folds the stream of edges, one word after the other. A character without a piece is an edge of its own that
 costs 10 more than the worst piece, written as its UTF-8 bytes.
 
 Each word is solved once, not at each of its occurrences. The most frequent words, as many as a checked bound allows,
@@ -17,15 +16,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_parts
+from .common import checkpointed
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
+UNKNOWN = -1
 # Words that may be broadcast with their pieces: some dozen MB.
 BROADCAST_WORDS = 300_000
 # Longer words are keyed by their SHA-256, and cut in slices of this many characters before substrings are taken.
@@ -80,9 +82,10 @@ def _key(word: Column) -> Column:
 
 
 def _edges(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, start, stop, back, score, letter) from (key, word) with distinct keys.
+    """(key, start, stop, id, score, letter) from (key, word) with distinct keys, the edges of a word by start.
 
-    ``back`` holds an edge's start and, from 1, its piece; 0 stands for a character without one, which is ``letter``.
+    Only a word's first edge names its key. A character without a piece is an edge with the id ``UNKNOWN`` and that
+    ``letter``.
     """
     reach = pieces.longest
     slices = keyed.select("key", "word", F.explode(F.expr(f"sequence(0, length(word) - 1, {SHORT})")).alias("base")).select(
@@ -94,113 +97,81 @@ def _edges(keyed: DataFrame, pieces: Pieces) -> DataFrame:
         F.broadcast(pieces.table(keyed.sparkSession)), "piece", "left"
     )
     return found.where("id is not null or n = 1").select(
-        "key",
+        F.expr("if(start = 0 and n = 1, key, null)").alias("key"),
         "start",
         F.expr("start + n").alias("stop"),
-        F.expr("shiftleft(cast(start as bigint), 32) + coalesce(id + 1, 0)").alias("back"),
+        F.coalesce("id", F.lit(UNKNOWN)).alias("id"),
         F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
         F.expr("if(id is null, piece, null)").alias("letter"),
     )
 
 
-# One pass over the edges by (stop, start): the best way to each place is closed when the first edge to the next comes.
-# Every place has an edge, since a single character always has one. Of equal ways the longest last piece wins.
-# The state starts with the place 0, which takes no edge; ``scores`` and ``backs`` are those of closed places.
-_FOLD = """
-aggregate(edges,
-  named_struct('scores', cast(array() as array<double>), 'backs', cast(array() as array<bigint>), 'score', 0D, 'back', 0L, 'stop', 0),
-  (s, e) -> if(e.stop = s.stop,
-    if(s.scores[e.start] + e.score > s.score,
-      named_struct('scores', s.scores, 'backs', s.backs, 'score', s.scores[e.start] + e.score, 'back', e.back, 'stop', s.stop),
-      s),
-    named_struct('scores', concat(s.scores, array(s.score)), 'backs', concat(s.backs, array(s.back)),
-      'score', if(e.start = s.stop, s.score, s.scores[e.start]) + e.score, 'back', e.back, 'stop', e.stop)),
-  s -> concat(s.backs, array(s.back)))
-"""
-
-_TRACE = """
-aggregate(sequence(size(backs) - 1, 1, -1),
-  named_struct('at', size(backs) - 1, 'path', cast(array() as array<bigint>)),
-  (s, p) -> if(p = s.at,
-    named_struct('at', cast(shiftright(backs[p], 32) as int), 'path', concat(array(backs[p]), s.path)),
-    s),
-  s -> s.path)
-"""
-
-
 def solve(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, ids, unknown, whole) for distinct (key, word), key and word the same: the best pieces, how many of them
-    stand for a byte, and whether decoding them gives the word again. Stays in the partitioning by key that its input has."""
-    edge = F.struct("stop", "start", "back", "score")
-    grouped = _edges(keyed, pieces).groupBy("key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    traced = grouped.select("key", F.col("key").alias("word"), F.expr(_FOLD).alias("backs")).withColumn("path", F.expr(_TRACE))
-    octets = "array(" + ",".join(map(str, pieces.bytes)) + ")"
-    letter = "substring(word, cast(shiftright(e, 32) as int) + 1, 1)"  # of an edge without a piece
-    spelled = (
-        f"transform(sequence(1, octet_length({letter})), i -> "
-        f"element_at({octets}, cast(conv(hex(substring(cast({letter} as binary), i, 1)), 16, 10) as int) + 1))"
-    )
-    ids = F.expr(f"flatten(transform(path, e -> if((e & 4294967295) > 0, array(cast(e & 4294967295 as int) - 1), {spelled})))")
-    unknown = F.expr(f"aggregate(path, 0, (n, e) -> n + if((e & 4294967295) > 0, 0, octet_length({letter})))")
-    return traced.select("key", "word", ids.alias("ids"), unknown.alias("unknown")).select(
-        "key", "ids", "unknown", (decoded(F.col("ids"), pieces) == F.col("word").cast("binary")).alias("whole")
-    )
-
-
-def solve_long(keyed: DataFrame, pieces: Pieces) -> DataFrame:
-    """``solve`` for long words, keyed by their hashes, in time that grows with their length alone.
+    """(key, ids, unknown, whole) for distinct (key, word): the best pieces, how many of them stand for a byte, and
+    whether decoding them gives the word again.
 
-    ``aggregate`` copies its state at each step, so for these the sorted edges are read as a stream: a task holds a
-    score and a way back per character, neither the word nor its edges.
+    The edges of a word follow one another by start, as they were exploded, so a task folds them as a stream, with neither
+    a shuffle nor a sort: it holds a score and a way back per character of one word. When the first edge from a place comes,
+    all edges to it were seen. Of equal ways the longest last piece wins.
     """
     octets, names = pieces.bytes, pieces.names
-    spelled = {i: bytes([b]) for b, i in enumerate(octets)}
+    spelled = [name.encode() for name in names]
+    for b, i in enumerate(octets):
+        spelled[i] = bytes([b])
 
-    def result(key: str, backs: list[int], letters: dict[int, str]) -> tuple:
-        path, at = [], len(backs) - 1
+    def result(key: str, found: list[int], froms: list[int], letters: dict[int, str]) -> tuple:
+        path, at = [], len(froms) - 1
         while at:
-            path.append(backs[at])
-            at = backs[at] >> 32
-        ids, unknown, text = [], 0, hashlib.sha256()
-        for back in reversed(path):
-            if back & 0xFFFFFFFF:
-                own = [(back & 0xFFFFFFFF) - 1]
+            path.append(at)
+            at = froms[at]
+        ids, unknown = [], 0
+        for at in reversed(path):
+            if found[at] != UNKNOWN:
+                ids.append(found[at])
             else:
-                own = [octets[b] for b in letters[back >> 32].encode()]
+                own = [octets[b] for b in letters[froms[at]].encode()]
                 unknown += len(own)
-            for i in own:
-                text.update(spelled[i] if i in spelled else names[i].encode())
-            ids += own
-        return key, ids, unknown, key == "#" + text.hexdigest()
+                ids += own
+        text = b"".join([spelled[i] for i in ids])
+        whole = text == key.encode() if len(froms) <= SHORT + 1 else "#" + hashlib.sha256(text).hexdigest() == key
+        return key, ids, unknown, whole
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        key, done = None, []
         for batch in batches:
-            done = []
-            for name, start, stop, back, score, letter in zip(*(c.to_pylist() for c in batch.columns)):
-                if name != key:
+            edges = [batch.column(c).to_numpy().tolist() for c in ("start", "stop", "id", "score")]
+            opens, odd = (np.flatnonzero(batch.column(c).is_valid().to_numpy(zero_copy_only=False)).tolist() for c in ("key", "letter"))
+            names, signs = (batch.column(c).drop_null().to_pylist() for c in ("key", "letter"))
+            cuts, seen = [0, *opens, batch.num_rows], 0
+            for part, (first, after) in enumerate(zip(cuts, cuts[1:])):  # part 0 goes on with the batch before
+                if part:
                     if key is not None:
-                        done.append(result(key, backs, letters))
-                    key, scores, backs, letters = name, [0.0], [0], {}
-                if letter is not None:
-                    letters[start] = letter
-                if stop == len(scores):  # the first edge to the next place
-                    scores.append(scores[start] + score)
-                    backs.append(back)
-                elif scores[start] + score > scores[stop]:
-                    scores[stop], backs[stop] = scores[start] + score, back
+                        done.append(result(key, found, froms, letters))
+                    key, scores, found, froms, letters, last = names[part - 1], [0.0], [0], [0], {}, 0
+                for start, stop, piece, score in zip(*(c[first:after] for c in edges)):
+                    if start < last or start >= len(scores):
+                        raise ValueError("the edges of a word are out of order")
+                    last, score = start, scores[start] + score
+                    while stop >= len(scores):  # places that no edge has reached
+                        scores.append(-inf)
+                        found.append(0)
+                        froms.append(0)
+                    if score > scores[stop]:
+                        scores[stop], found[stop], froms[stop] = score, piece, start
+                while seen < len(odd) and odd[seen] < after:
+                    letters[edges[0][odd[seen]]] = signs[seen]
+                    seen += 1
             yield table(done)
+            done = []
         if key is not None:
-            yield table([result(key, backs, letters)])
+            yield table([result(key, found, froms, letters)])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
         columns = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "ids", "unknown", "whole"])
 
-    edges = _edges(keyed, pieces).select("key", "start", "stop", "back", "score", "letter")
-    ordered = edges.repartition(shuffle_parts(keyed.sparkSession), "key").sortWithinPartitions("key", "stop", "start")
-    return ordered.mapInArrow(fold, "key string, ids array<int>, unknown int, whole boolean")
+    return _edges(keyed, pieces).mapInArrow(fold, "key string, ids array<int>, unknown int, whole boolean")
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
@@ -223,7 +194,6 @@ def occurrences(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
     ``row`` numbers the input's rows by their place, so the input must read alike twice, as files do. A text without
     words has one row, with null place and ids; ``none`` tells null texts from empty ones.
     """
-    spark = df.sparkSession
     texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).isNull().alias("none"), words(F.col(text)).alias("words"))
     placed = texts.select("row", "doc_id", "none", F.posexplode_outer("words").alias("place", "word")).where("word is null or word != ''")
     counts = checkpointed(
@@ -235,14 +205,12 @@ def occurrences(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
     least = 1 << next(p for p in range(4, 63) if (sizes[str(p)] or 0) <= BROADCAST_WORDS)
     is_hot = (F.col("n") >= least) & (F.length("word") <= SHORT)
     hot = counts.where(is_hot).select(F.col("word").alias("key"), "word")
-    solved = checkpointed(solve(hot.repartition("key"), pieces))  # BROADCAST_WORDS rows at most
+    solved = checkpointed(solve(hot, pieces))  # BROADCAST_WORDS rows at most
     near = placed.join(F.broadcast(solved.withColumnRenamed("key", "word")), "word", "left")
     done = near.where("ids is not null or word is null").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
     rest = near.where("ids is null and word is not null").select("row", "doc_id", "none", "place", _key(F.col("word")).alias("key"))
     # The words themselves come from the counts, so occurrences travel with their key alone, and once.
-    parts, long = shuffle_parts(spark), F.length("word") > SHORT
-    distinct = counts.where(~is_hot).select(_key(F.col("word")).alias("key"), "word").repartition(parts, "key")
-    others = solve(distinct.where(~long), pieces).unionByName(solve_long(distinct.where(long), pieces))
+    others = solve(counts.where(~is_hot).select(_key(F.col("word")).alias("key"), "word"), pieces)
     far = rest.join(others, "key").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
     return done.unionByName(far)
 
