@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidegauge.operators import governance as gv
 from tidegauge.operators import image_drift as im
 from tidegauge.operators import mmd
 from tidegauge.sources import history as hist
@@ -72,3 +73,20 @@ def test_pixels_are_bucketed_by_their_number_not_by_the_bytes_of_the_file(spark,
     assert im._pixel_buckets(*sides) == 15
     again = {r["batch"]: r["drift_score"] for r in im.channel_wasserstein(*sides, "label").collect()}
     assert sorted(again) == ["1", "2"] and again == pytest.approx(once, abs=1e-12)
+
+
+def test_deployments_without_a_registry_run_meet_nothing(spark):
+    """Rows whose registry_run_id is null reach the records without passing the join, where one task would get them all."""
+    schema = """request_id long, model string, promotion_run_id string, registry_reachable boolean, registry_version long, registry_run_id string,
+        outcome string, reason string, verdict string, version_id string, artifact_exists boolean, artifact_path string"""
+    rows = spark.createDataFrame(
+        [(i, "m", f"p{i}", True, None if i % 4 else 1, None if i % 4 else f"r{i % 8}", "approved", "x", "equal", "v1", True, "a") for i in range(40)], schema
+    )
+    runs = spark.createDataFrame([("r0", {"lineage.algorithm": "forest"})], "run_id string, tags map<string,string>")
+    out = gv.deployment_records(rows, runs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :]
+    assert "isnotnull(registry_run_id" in join and plan.startswith("Union")
+    got = {r["request_id"]: (r["model"]["run_id"], r["model"]["algorithm"], r["readiness"]["status"]) for r in out.collect()}
+    assert len(got) == 40 and out.count() == 40
+    assert got[0] == ("r0", "forest", "ready") and got[4] == ("r4", None, "ready") and got[1] == ("p1", None, "no_production_model")

@@ -376,10 +376,13 @@ def deployment_records(rows: DataFrame, runs: DataFrame, stage: str = PRODUCTION
 
     ``rows`` holds the columns of ``readiness`` and (model, registry_run_id, promotion_run_id, reason, verdict,
     version_id, artifact_path); ``runs`` is (run_id, tags) with lineage tags. The registry's run comes before the
-    promotion's; without a registry version the stage and what its tags say are null.
+    promotion's; without a registry version the stage and what its tags say are null. Rows without a run in the
+    registry, often the most, have nothing to meet and are not shuffled, where they would all go to one task.
     """
     tags = runs.select(F.col("run_id").alias("registry_run_id"), F.col("tags").alias("_tags"))
-    joined = readiness(rows).join(tags, "registry_run_id", "left")
+    ready, known = readiness(rows), F.col("registry_run_id").isNotNull()
+    met = ready.where(known).join(tags, "registry_run_id", "left")
+    joined = met.unionByName(ready.where(~known).withColumn("_tags", F.lit(None).cast(tags.schema["_tags"].dataType)))
 
     def tag(name: str) -> Column:
         return F.when(F.col("registry_version").isNotNull(), F.try_element_at("_tags", F.lit(f"lineage.{name}")))
