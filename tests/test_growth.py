@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidegauge.operators import adapt as ad
 from tidegauge.operators import governance as gv
 from tidegauge.operators import image_drift as im
 from tidegauge.operators import mmd
@@ -90,3 +91,13 @@ def test_deployments_without_a_registry_run_meet_nothing(spark):
     got = {r["request_id"]: (r["model"]["run_id"], r["model"]["algorithm"], r["readiness"]["status"]) for r in out.collect()}
     assert len(got) == 40 and out.count() == 40
     assert got[0] == ("r0", "forest", "ready") and got[4] == ("r4", None, "ready") and got[1] == ("p1", None, "no_production_model")
+
+
+def test_attempts_are_counted_before_they_meet(spark, sf_dir):
+    items = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (3, "a"), (None, "a")], "attempt_id long, class string")
+    attempts = spark.createDataFrame([(7, 1), (8, 1), (8, 1), (7, 2), (9, 4), (7, None)], "dataset long, attempt_id long")
+    got = ad.counted_attempts(items, attempts, ["dataset"])
+    want = ad.attempt_summary(attempts.join(items, "attempt_id"), ["dataset"])
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 5
+    plan = entry.queries()["attempt_manifest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")] and "Window" not in plan[: plan.index("Join Inner")]
