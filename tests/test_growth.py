@@ -1,5 +1,7 @@
 """Work that must not grow with tasks, models or pairs beyond the rows, and queries run as they are registered."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from tidegauge.operators import adapt as ad
 from tidegauge.operators import governance as gv
 from tidegauge.operators import image_drift as im
 from tidegauge.operators import mmd
+from tidegauge.operators import two_sample as ts
 from tidegauge.sources import history as hist
 
 
@@ -101,3 +104,21 @@ def test_attempts_are_counted_before_they_meet(spark, sf_dir):
     assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 5
     plan = entry.queries()["attempt_manifest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join Inner")] and "Window" not in plan[: plan.index("Join Inner")]
+
+
+def test_the_counts_of_many_buckets_are_made_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 4), float(v)) for i, v in enumerate(rng.normal(size=400).round(2))]
+    data = spark.createDataFrame(rows, "day int, x double").repartition(2)
+    sides = data.where("day = 0"), data.where("day > 0")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = ts.wasserstein(ts.samples(*sides, ["x"], "day", 5))
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    made = [line for line in plan if re.search(r"[-+] Exchange hashpartitioning\(feature#\d+, batch#\d+, value#\d+,", line)]
+    assert len(made) == 1
+    once = {r["batch"]: r["statistic"] for r in ts.wasserstein(ts.samples(*sides, ["x"], "day", 1)).collect()}
+    again = {r["batch"]: r["statistic"] for r in out.collect()}
+    assert sorted(once) == ["1", "2", "3"] and again == pytest.approx(once, abs=1e-12)

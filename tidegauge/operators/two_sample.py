@@ -221,7 +221,7 @@ def _earlier_buckets(rows: DataFrame) -> DataFrame:
         over_all("n_ref", [FEATURE]).alias("n_all"),
         long.alias("m_all"),
     )
-    cur = totals.where(F.col(BATCH).isNotNull()).select(
+    cur = totals.select(
         *KEY,
         real.alias(VALUE),
         F.lit(0).cast("bigint").alias("n_ref"),
@@ -231,7 +231,8 @@ def _earlier_buckets(rows: DataFrame) -> DataFrame:
         long.alias("n_all"),
         over_all("n_cur", KEY).alias("m_all"),
     )
-    return ref.unionByName(cur)
+    # only batches have a size: a filter on BATCH would go down to the scan, and the counts be made again for these rows
+    return ref.unionByName(cur.where("m_all > 0"))
 
 
 def ks(data: Samples) -> DataFrame:
