@@ -122,3 +122,19 @@ def test_the_counts_of_many_buckets_are_made_once(spark):
     once = {r["batch"]: r["statistic"] for r in ts.wasserstein(ts.samples(*sides, ["x"], "day", 1)).collect()}
     again = {r["batch"]: r["statistic"] for r in out.collect()}
     assert sorted(once) == ["1", "2", "3"] and again == pytest.approx(once, abs=1e-12)
+
+
+def test_buckets_of_pixels_go_over_as_many_tasks_as_were_counted(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, rng.normal(i % 3, 1.0, 64).round(1).tolist(), 8, 8, 1) for i in range(45)]
+    images = spark.createDataFrame(rows, "label int, pixels array<double>, height int, width int, channels int")
+    sides = images.where("label = 0"), images.where("label > 0")
+    once = {(r["batch"], r["level"]): r["drift_score"] for r in im.multiscale(*sides, "label").collect()}
+    monkeypatch.setattr(im, "PIXELS_PER_BUCKET", 60)
+    monkeypatch.setattr(im, "PIXELS_PER_TASK", 300)
+    spread = im.multiscale(*sides, "label")
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    # 45 images of 64 pixels and a third more in the coarser levels; the windows over values and ranks, and the neighbours
+    assert len(re.findall(r"RepartitionByExpression \[feature.*\], 12", plan)) >= 3
+    again = {(r["batch"], r["level"]): r["drift_score"] for r in spread.collect()}
+    assert len(again) == 4 and again == pytest.approx(once, abs=1e-6)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import IMAGE_RECORD_VERSION, ImageDriftConfig
@@ -45,7 +45,8 @@ def _long(images: DataFrame, batch: Column, prefix: Column | None) -> DataFrame:
     return rows.where(F.col(ts.VALUE).isNotNull()).select(name.alias(ts.FEATURE), ts.BATCH, ts.VALUE)
 
 
-PIXELS_PER_BUCKET = 200_000  # many small buckets, so that those which fall to one task add up to an even share
+PIXELS_PER_BUCKET = 50_000  # many small buckets, so that those which fall to one task add up to an even share
+PIXELS_PER_TASK = 250_000  # a pixel takes about 1 kB in the windows of a task
 
 
 def _pixel_buckets(*images: DataFrame) -> int:
@@ -55,12 +56,23 @@ def _pixel_buckets(*images: DataFrame) -> int:
     return max(1, min(MAX_BUCKETS, -(-pixels // PIXELS_PER_BUCKET)))
 
 
-def _distances(reference: DataFrame, batches: DataFrame, batch: str, number: int, prefix: Column | None = None) -> DataFrame:
+def _tasks(spark: SparkSession, buckets: int, share: float) -> int | None:
+    """Over how many tasks the pixels go, ``share`` times those counted; None where the session has as many."""
+    wanted = int(buckets * share * PIXELS_PER_BUCKET) // PIXELS_PER_TASK
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions", "200")) else None
+
+
+def _distances(
+    reference: DataFrame, batches: DataFrame, batch: str, number: int, prefix: Column | None = None, share: float = 1.0
+) -> DataFrame:
     def both(ref: DataFrame, cur: DataFrame) -> DataFrame:
         return _long(ref, F.lit(None), prefix).unionByName(_long(cur.where(F.col(batch).isNotNull()), F.col(batch), prefix))
 
     thin = None if number <= 1 else both(thinned(reference), thinned(batches))
-    return ts.wasserstein(ts.Samples(ts.counts_of(both(reference, batches)), thin, number, ts.salt_number(reference, batches)))
+    tasks = _tasks(reference.sparkSession, number, share)
+    return ts.wasserstein(
+        ts.Samples(ts.counts_of(both(reference, batches)), thin, number, ts.salt_number(reference, batches), tasks)
+    )
 
 
 def channel_wasserstein(reference: DataFrame, batches: DataFrame, batch: str) -> DataFrame:
@@ -86,7 +98,7 @@ def multiscale(reference: DataFrame, batches: DataFrame, batch: str, config: Ima
     ref = pyramid(reference.select(*keep), *args)
     cur = pyramid(batches.select(F.col(batch).cast("string").alias(ts.BATCH), *keep), *args)
     # the finest level has all the pixels, the others fewer and buckets of their own
-    out = _distances(ref, cur, ts.BATCH, _pixel_buckets(reference, batches), F.col("level").cast("string"))
+    out = _distances(ref, cur, ts.BATCH, _pixel_buckets(reference, batches), F.col("level").cast("string"), 4 / 3)
     parts = F.split(F.col(ts.FEATURE), "/")
     return out.select(
         ts.BATCH, parts[0].cast("int").alias("level"), parts[1].alias("channel"), F.round("statistic", 6).alias("drift_score")

@@ -60,12 +60,16 @@ def value_counts(reference: DataFrame, batches: DataFrame, features: list[str],
 
 @dataclass(frozen=True)
 class Samples:
-    """Value counts with a thinned copy of the rows behind them, from which cut points are drawn."""
+    """Value counts with a thinned copy of the rows behind them, from which cut points are drawn.
+
+    ``tasks`` deals the buckets over so many tasks, where their rows were counted and the session has fewer.
+    """
 
     counts: DataFrame
     thin: DataFrame | None = None
     buckets: int | None = None
     salts: int = 1
+    tasks: int | None = None
 
     def bucket_number(self) -> int:
         return bucket_count(self.counts) if self.buckets is None else self.buckets
@@ -76,6 +80,10 @@ class Samples:
         edges = bucket_edges(rows, [FEATURE], VALUE, self.bucket_number())
         return with_bucket(self.counts, edges, [FEATURE], VALUE), edges is not None
 
+    def spread(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows of a key together, over as many tasks as were asked for; else as the session has it."""
+        return rows if self.tasks is None else rows.repartition(self.tasks, *keys)
+
 
 def salt_number(reference: DataFrame, batches: DataFrame) -> int:
     """Over how many parts the batches are dealt, each with a copy of the reference: as often as the batches are larger
@@ -163,9 +171,9 @@ def cumulative(data: Samples, of_reference: bool = True) -> tuple[DataFrame, boo
     if bucketed:
         none = F.lit(None).cast("bigint")
         rows = rows.withColumns({"n_all": none, "m_all": none}).unionByName(_earlier_buckets(rows))
-    rows = dealt(rows, data.salts)
-    # the reference's row of a value comes first, so a batch row sees it in its running sums
     group, whole = [FEATURE, SALT, BUCKET], (Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = data.spread(dealt(rows, data.salts), *group)
+    # the reference's row of a value comes first, so a batch row sees it in its running sums
     merged = Window.partitionBy(*group).orderBy(F.col(VALUE).asc_nulls_first(), F.col(BATCH).asc_nulls_first())
     own = Window.partitionBy(*group, BATCH).orderBy(F.col(VALUE).asc_nulls_first())
     so_far = (Window.unboundedPreceding, Window.currentRow)
@@ -261,7 +269,7 @@ def wasserstein(data: Samples) -> DataFrame:
     """
     n, m, nxt = F.col("n"), F.col("m"), F.col("nxt")
     share = F.col("cur_le") / F.nullif(m, F.lit(0).cast("bigint"))
-    steps = _neighbours(*cumulative(data)).select(
+    steps = _neighbours(data, *cumulative(data)).select(
         *KEY,
         SALT,
         VALUE,
@@ -277,7 +285,7 @@ def wasserstein(data: Samples) -> DataFrame:
         ((nxt[VALUE] * nxt["ref_le"] - nxt["ref_mass"]) / n).alias("a1"),
         F.coalesce((F.col("ref_le") / n < share) & (nxt["ref_lt"] / n > share), F.lit(False)).alias("crosses"),
     )
-    placed = _with_quantile(steps, max(RANK_BUCKETS, data.bucket_number()))
+    placed = _with_quantile(data, steps, max(RANK_BUCKETS, data.bucket_number()))
     # below the first value of the batch, then the piece up to the next value, or what lies above the last
     head = F.when(F.col("is_first"), F.col("a0")).otherwise(F.lit(0.0))
     flat = F.abs(F.col("a1") - F.col("a0") - F.col("g") * (F.col("next_value") - F.col(VALUE)))
@@ -298,25 +306,32 @@ def wasserstein(data: Samples) -> DataFrame:
     )
 
 
-def _neighbours(rows: DataFrame, bucketed: bool) -> DataFrame:
+def _neighbours(data: Samples, rows: DataFrame, bucketed: bool) -> DataFrame:
     """Each row with the row after it (``nxt``) and the value before it, in value order per batch.
 
     Inside a bucket they come from a window; the ends of buckets are linked through a small table with
-    one first and one last row per bucket.
+    one first and one last row per bucket. Window, ends and join go by the same keys, ``_name`` for the batch since null
+    joins nothing, so the rows are shuffled for them once; the ends read all columns, so that this shuffle is shared.
     """
     point = F.struct(VALUE, "ref_lt", "ref_le", "ref_mass")
-    inside = Window.partitionBy(*KEY, SALT, BUCKET).orderBy(VALUE)
-    linked = rows.withColumns({"nxt": F.lead(point).over(inside), "prev_value": F.lag(VALUE).over(inside)})
     if not bucketed:
-        return linked
-    place = [FEATURE, SALT, BUCKET]
-    ends = rows.groupBy(*KEY, SALT, BUCKET).agg(F.min(point).alias("_first"), F.max(VALUE).alias("_last"))
-    over = Window.partitionBy(*KEY, SALT).orderBy(BUCKET)
+        inside = Window.partitionBy(*KEY, SALT, BUCKET).orderBy(VALUE)
+        return rows.withColumns({"nxt": F.lead(point).over(inside), "prev_value": F.lag(VALUE).over(inside)})
+    place = [FEATURE, SALT, BUCKET, "_name"]
+    rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col(BATCH)), F.lit("")))
+    rows = rows.repartition(*place) if data.tasks is None else data.spread(rows, *place)
+    inside = Window.partitionBy(*place).orderBy(VALUE)
+    linked = rows.withColumns({"nxt": F.lead(point).over(inside), "prev_value": F.lag(VALUE).over(inside)})
+    all_of_it = F.struct(VALUE, "ref_lt", "ref_le", "ref_mass", "cur_le", "n", "m", BATCH)
+    ends = rows.groupBy(*place).agg(F.min(all_of_it).alias("_first"), F.max(VALUE).alias("_last"))
+    over = Window.partitionBy(FEATURE, SALT, "_name").orderBy(BUCKET)
+    after = F.lead("_first").over(over)
     links = ends.select(
-        *KEY, SALT, BUCKET, F.lead("_first").over(over).alias("_after"), F.lag("_last").over(over).alias("_before")
+        *place, F.struct(*[after[c].alias(c) for c in (VALUE, "ref_lt", "ref_le", "ref_mass")]).alias("_after"),
+        after.isNotNull().alias("_has_after"), F.lag("_last").over(over).alias("_before"),
     )
-    same = [*[linked[c] == links[c] for c in place], linked[BATCH].eqNullSafe(links[BATCH])]
-    joined = linked.join(links, same).drop(*[links[c] for c in (*place, BATCH)])
+    links = links.withColumn("_after", F.when(F.col("_has_after"), F.col("_after"))).drop("_has_after")
+    joined = linked.join(links, place)
     return joined.withColumns({"nxt": F.coalesce("nxt", "_after"), "prev_value": F.coalesce("prev_value", "_before")})
 
 
@@ -325,7 +340,7 @@ def _whole(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("bigint")
 
 
-def _with_quantile(steps: DataFrame, k: int) -> DataFrame:
+def _with_quantile(data: Samples, steps: DataFrame, k: int) -> DataFrame:
     """Add ``at``: the reference's value, and the area up to it, where its curve reaches the row's share g.
 
     Ranks are cut into ``k`` equal buckets. A reference value that spans several rank buckets is placed in each
@@ -344,12 +359,13 @@ def _with_quantile(steps: DataFrame, k: int) -> DataFrame:
     rank = F.when(is_ref, F.col("ref_le").cast("double")).otherwise(F.col("cur_le") * (n / F.greatest(m, F.lit(1))))
     mark = F.when(is_ref, F.struct(F.col(VALUE).alias("q"), F.col("a0").alias("area")))
     spread = steps.withColumns({"rank": rank, "mark": mark, "rank_bucket": F.explode(F.sequence(first, last))})
+    group = [FEATURE, SALT, "rank_bucket"]
     downwards = (
-        Window.partitionBy(FEATURE, SALT, "rank_bucket")
+        Window.partitionBy(*group)
         .orderBy(F.desc("rank"), F.col(BATCH).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return spread.withColumn("at", F.last("mark", ignorenulls=True).over(downwards))
+    return data.spread(spread, *group).withColumn("at", F.last("mark", ignorenulls=True).over(downwards))
 
 
 # --- distances over cells (categories or bins) ----------------------------------------------------------
