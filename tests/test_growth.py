@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidegauge.operators import adapt as ad
+from tidegauge.operators import boosting
 from tidegauge.operators import governance as gv
 from tidegauge.operators import image_drift as im
 from tidegauge.operators import mmd
+from tidegauge.operators import training as tr
 from tidegauge.operators import two_sample as ts
 from tidegauge.sources import history as hist
 
@@ -138,3 +140,32 @@ def test_buckets_of_pixels_go_over_as_many_tasks_as_were_counted(spark, monkeypa
     assert len(re.findall(r"RepartitionByExpression \[feature.*\], 12", plan)) >= 3
     again = {(r["batch"], r["level"]): r["drift_score"] for r in spread.collect()}
     assert len(again) == 4 and again == pytest.approx(once, abs=1e-6)
+
+
+def test_boosting_merges_rows_of_equal_features(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 6, 900), rng.integers(0, 4, 900)
+    data = [(float(x), float(y), float(x * x - 3 * y + e)) for x, y, e in zip(a, b, rng.normal(0, 1, 900))]
+    rows = spark.createDataFrame(data + [(9.0, 9.0, 500.0)] * 7, "a double, b double, t double")
+    met = []
+
+    class Counted(boosting.DecisionTreeRegressor):
+        def _fit(self, dataset):
+            met.append(dataset.count())
+            return super()._fit(dataset)
+
+    def fitted(df):
+        hp = {"max_iter": 3, "max_depth": 3, "learning_rate": 0.5, "min_samples_leaf": 8}
+        model = tr.train_tabular(df, {"output_features": ["a", "b"], "target": "t"}, "gradient_boosting", "regression", hp).model
+        return [r[0] for r in model.transform(rows.select("a", "b").distinct().orderBy("a", "b")).select("prediction").collect()]
+
+    monkeypatch.setattr(boosting, "DecisionTreeRegressor", Counted)
+    merged = fitted(rows)
+    assert met == [25] * 3  # 6 x 4 pairs and the one of its own
+    assert merged[-1] < 400  # 7 rows are no leaf of their own
+    monkeypatch.setattr(boosting, "MERGED", 10**9)
+    assert fitted(rows) == pytest.approx(merged, abs=1e-9) and met[3:] == [907] * 3
+
+    monkeypatch.setattr(boosting, "MERGED", 2)
+    same = fitted(rows.selectExpr("1.0D as a", "2.0D as b", "t"))
+    assert max(same) - min(same) < 1e-9

@@ -3,6 +3,9 @@
 Spark's own boosting takes the mean of a leaf's residuals. Here each tree is grown by Spark on the residuals of the
 trees before it, its leaves are named by ``leafCol``, and their values are taken anew from the rows as the sum of the
 residuals over (rows + penalty). The penalty bears on leaf values, not on the choice of splits.
+
+Rows with equal features fall into the same leaf of every tree. Where they are many, they become one row with their mean
+label, weighted with their number: splits differ in gain by the same amount for all, and sums by leaf stay as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from tidegauge.session import checkpointed
 
 MAX_BINS = 256
 LINEAGE = 10  # trees after which the residuals are written to the checkpoint folder
-LEAF, MARGIN, RESIDUAL = "_leaf", "_margin", "_residual"
+MERGED = 2  # rows per different features from which rows are merged
+LEAF, MARGIN, RESIDUAL, WEIGHT = "_leaf", "_margin", "_residual", "_rows"
 
 
 @dataclass
@@ -54,7 +58,8 @@ class PenalisedBoostingModel(Model, HasFeaturesCol, HasPredictionCol):
 class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     """Least-squares boosting; rows without a label take no part.
 
-    Every tree takes Spark's jobs for one tree and one sum by leaf; only leaf values come to the driver, at most one
+    One aggregate counts the rows and, nearly, the different features, and so decides whether rows are merged. Every tree
+    takes Spark's jobs for one tree and one sum by leaf; only leaf values come to the driver, at most one
     per ``min_rows`` rows and 2^depth. Residuals stay in executors' storage and are checkpointed every LINEAGE trees,
     so that a lost executor costs at most that many steps.
     """
@@ -77,19 +82,27 @@ class PenalisedBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol
     def _fit(self, dataset: DataFrame) -> PenalisedBoostingModel:
         label = F.col(self.getLabelCol()).cast("double")
         rows = dataset.where(label.isNotNull()).select(self.getFeaturesCol(), label.alias("_label"))
-        base = rows.agg(F.avg("_label")).first()[0]
+        base, total, kinds = rows.agg(F.avg("_label"), F.count("*"), F.approx_count_distinct(self.getFeaturesCol())).first()
         if base is None:
             raise ValueError("no row has a label")
+        if total >= MERGED * kinds:
+            rows = rows.groupBy(self.getFeaturesCol()).agg(F.avg("_label").alias("_label"), F.count("*").cast("double").alias(WEIGHT))
+        else:
+            rows = rows.withColumn(WEIGHT, F.lit(1.0))
+        can_split = 2 * self.min_rows <= total
         grower = DecisionTreeRegressor(
-            featuresCol=self.getFeaturesCol(), labelCol=RESIDUAL, predictionCol="_own", leafCol=LEAF, maxDepth=self.depth,
-            maxBins=MAX_BINS, minInstancesPerNode=self.min_rows, seed=self.seed,
+            featuresCol=self.getFeaturesCol(), labelCol=RESIDUAL, predictionCol="_own", leafCol=LEAF, weightCol=WEIGHT,
+            maxDepth=self.depth if can_split else 0, maxBins=MAX_BINS, minInstancesPerNode=1, seed=self.seed,
+            # the least number of rows as a share of the weights, half a row lower against rounding
+            minWeightFractionPerNode=max(0.0, (self.min_rows - 0.5) / total) if can_split else 0.0,
         )
         current = rows.withColumn(MARGIN, F.lit(base)).persist()
         grown: list[Tree] = []
         for number in range(1, self.trees + 1):
             left = current.withColumn(RESIDUAL, F.col("_label") - F.col(MARGIN))
             model = grower.fit(left)
-            sums = model.transform(left).groupBy(LEAF).agg((F.sum(RESIDUAL) / (F.count("*") + F.lit(float(self.penalty)))).alias("v"))
+            own = F.sum(F.col(RESIDUAL) * F.col(WEIGHT)) / (F.sum(WEIGHT) + F.lit(float(self.penalty)))
+            sums = model.transform(left).groupBy(LEAF).agg(own.alias("v"))
             found = {int(r[LEAF]): r["v"] for r in sums.collect()}
             grown.append(Tree(model, [found.get(i, 0.0) for i in range(max(found) + 1)]))
             if number == self.trees:
