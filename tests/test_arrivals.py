@@ -91,3 +91,18 @@ def test_tests_that_need_every_value_are_refused(spark, sides):
     ref = spark.createDataFrame(sides[0])
     with pytest.raises(ValueError, match="every value"):
         monitor_arrivals(ref, ref, ["x"], "day", "h", "c", DriftConfig(numeric_test="ks"))
+
+
+def test_ranges_are_taken_once_and_bring_no_model_to_one_task(spark, tmp_path, sides, monkeypatch):
+    from tidegauge.streaming import arrivals
+
+    met, whole = [], arrivals.celled
+    monkeypatch.setattr(arrivals, "celled", lambda *args: met.append(whole(*args)) or met[-1])
+    ref, cur = sides
+    put(spark, tmp_path, cur.assign(total=cur.groupby(["model", "day"])["day"].transform("size")))
+    run(spark, tmp_path, ref, expected="total").awaitTermination()
+    plans = [df._jdf.queryExecution().logical().toString() for df in met]
+    assert len(plans) == 2 and all("strategy=broadcast" in p and "Aggregate" not in p for p in plans)
+    assert history(spark, tmp_path) == in_one(spark, ref, cur)
+    monkeypatch.setattr(arrivals, "BROADCAST_MODELS", 1)
+    assert "Hint" not in arrivals.kept_ranges(arrivals.ranges(spark.createDataFrame(ref), ["x", "c"]))._jdf.queryExecution().logical().toString()

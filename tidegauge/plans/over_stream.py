@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import DriftConfig
-from tidegauge.plans.catalog import derived, query, r6
+from tidegauge.plans.catalog import derived, query, r6, table
 from tidegauge.plans.over_drift import CELLS, SHARES, chi_sql
-from tidegauge.session import scratch_folder
+from tidegauge.session import checkpointed, plan_bytes, scratch_folder
 from tidegauge.sources import history as hist
 from tidegauge.streaming.arrivals import monitor_arrivals
 
+ARRIVAL_FILE_BYTES = 16 * 1024 * 1024  # bytes of the table behind a file of each arrival, so that tasks grow with it
+
 MODEL_SQL = "case when user_id % 2 = 0 then 'even' else 'odd' end"
 ARRIVED_REF = f"select {MODEL_SQL} as model, value, event_type from events where ts < timestamp '2024-01-08 00:00:00'"
 ARRIVED_CUR = f"""select event_id, {MODEL_SQL} as model, substr(cast(ts as varchar(30)), 1, 10) as day,
@@ -44,15 +46,17 @@ ARRIVED_CUR = f"""select event_id, {MODEL_SQL} as model, substr(cast(ts as varch
     from feat join sizes s on s.batch = feat.batch and s.model = split_part(feature, '/', 1)""",
 )
 def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of three files, each with a part of every batch of two models; a batch is graded when all has come."""
+    """A stream of three arrivals, each with a part of every batch of two models; a batch is graded when all has come."""
     folder = scratch_folder(spark, "arrivals")
-    sizes = derived(spark, sf_dir, f"select model, day, count(*) as total from ({ARRIVED_CUR}) group by model, day")
-    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
-    derived(spark, sf_dir, ARRIVED_CUR).repartition(3, part).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    # one row per model and day, the same for every arrival
+    sizes = checkpointed(derived(spark, sf_dir, f"select model, day, count(*) as total from ({ARRIVED_CUR}) group by model, day"))
+    arriving = derived(spark, sf_dir, ARRIVED_CUR)
+    files = max(1, -(-(plan_bytes(table(spark, sf_dir, "events")) or 0) // ARRIVAL_FILE_BYTES))
+    arriving.repartition(3 * files, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     config = DriftConfig(numeric_test="psi", numeric_threshold=0.1)
     monitor_arrivals(
-        stream.join(sizes, ["model", "day"]), derived(spark, sf_dir, ARRIVED_REF), ["value", "event_type"], "day",
+        stream.join(F.broadcast(sizes), ["model", "day"]), derived(spark, sf_dir, ARRIVED_REF), ["value", "event_type"], "day",
         f"{folder}/history", f"{folder}/checkpoint", config, expected="total",
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/history").select(
