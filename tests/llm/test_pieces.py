@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -168,3 +169,16 @@ def test_words_are_folded_where_they_are(spark, pieces):
         best = brute(w[1:].replace("▁", " "), pieces)
         assert got[w] == (best, sum(i in octets for i in best), True), w
     assert len(got) == len(words) and all(whole for *_, whole in got.values())
+
+
+def test_words_and_occurrences_share_one_shuffle_whatever_the_thinned_copy_holds(spark, pieces, monkeypatch):
+    long = "ab" * 60
+    texts = [f"the word {i % 7} of {long} and {long}x\n" + "often " * (i % 5) for i in range(40)] + ["", None, " ", long]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(piece_lattice, "THINNED", share)
+        out = totals(rows, pieces)
+        found.append(sorted(tuple(r) for r in out.collect()))
+        assert "ReusedExchange" in re.sub(r"ReusedExchange[^\n]*Broadcast", "", out._jdf.queryExecution().executedPlan().toString())
+    assert found[0] == found[1] and len(found[0]) == len(texts) and all(r[-1] for r in found[0])

@@ -7,8 +7,10 @@ length are exploded and joined with the piece table; those found are the edges o
 folds the stream of edges, one word after the other. A character without a piece is an edge of its own that
 costs 10 more than the worst piece, written as its UTF-8 bytes.
 
-Each word is solved once, not at each of its occurrences. The most frequent words, as many as a checked bound allows,
-are broadcast to the occurrences; occurrences of all others go to their word in one shuffle, where they are solved.
+Each word is solved once, not at each of its occurrences. The words most frequent in a thinned copy of the texts, as many
+as a checked bound allows, are solved first and broadcast to the occurrences; occurrences of all others, whatever the copy
+missed, go to their word in one shuffle, from which the words to solve are taken too. So the texts are split once, and the
+thinned copy decides only which way a word takes.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ UNKNOWN_COST = 10.0
 UNKNOWN = -1
 # Words that may be broadcast with their pieces: some dozen MB.
 BROADCAST_WORDS = 300_000
+# The share of the texts in which words are counted to choose those; no result depends on it.
+THINNED = 1 / 16
 # Longer words are keyed by their SHA-256, and cut in slices of this many characters before substrings are taken.
 SHORT = 64
 
@@ -196,22 +200,27 @@ def occurrences(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
     """
     texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).isNull().alias("none"), words(F.col(text)).alias("words"))
     placed = texts.select("row", "doc_id", "none", F.posexplode_outer("words").alias("place", "word")).where("word is null or word != ''")
-    counts = checkpointed(
-        texts.select(F.explode("words").alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    frequent = counts.where((F.col("n") >= 16) & (F.length("word") <= SHORT))
-    steps = [F.sum((F.col("n") >= 1 << p).cast("long")).alias(str(p)) for p in range(4, 63)]
-    sizes = frequent.agg(*steps).first()
-    least = 1 << next(p for p in range(4, 63) if (sizes[str(p)] or 0) <= BROADCAST_WORDS)
-    is_hot = (F.col("n") >= least) & (F.length("word") <= SHORT)
-    hot = counts.where(is_hot).select(F.col("word").alias("key"), "word")
+    thin = df.select(text).sample(THINNED, seed=17).select(F.explode(words(F.col(text))).alias("word"))
+    short = (F.col("word") != "") & (F.length("word") <= SHORT)
+    counts = checkpointed(thin.where(short).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
+    steps = [F.sum((F.col("n") >= 1 << p).cast("long")).alias(str(p)) for p in range(1, 63)]
+    sizes = counts.agg(*steps).first()
+    least = 1 << next(p for p in range(1, 63) if (sizes[str(p)] or 0) <= BROADCAST_WORDS)
+    hot = counts.where(F.col("n") >= least).select(F.col("word").alias("key"), "word")
     solved = checkpointed(solve(hot, pieces))  # BROADCAST_WORDS rows at most
     near = placed.join(F.broadcast(solved.withColumnRenamed("key", "word")), "word", "left")
     done = near.where("ids is not null or word is null").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
-    rest = near.where("ids is null and word is not null").select("row", "doc_id", "none", "place", _key(F.col("word")).alias("key"))
-    # The words themselves come from the counts, so occurrences travel with their key alone, and once.
-    others = solve(counts.where(~is_hot).select(_key(F.col("word")).alias("key"), "word"), pieces)
-    far = rest.join(others, "key").select("row", "doc_id", "none", "place", "ids", "unknown", "whole")
+    # a short word is its key, so occurrences travel with one text
+    spelled = F.when(F.length("word") > SHORT, F.col("word")).alias("long")
+    rest = near.where("ids is null and word is not null").select("row", "doc_id", "place", _key(F.col("word")).alias("key"), spelled)
+    rest = rest.where("key is not null").repartition("key")
+    # Words and occurrences share this shuffle as long as both read all its columns, hence two checks that always hold.
+    read = (F.max("row") >= 0) & (F.max("place") >= 0) & (F.count("doc_id") >= 0)
+    kinds = rest.groupBy("key", "long").agg(read.alias("read")).where("read")
+    others = solve(kinds.select("key", F.coalesce("long", "key").alias("word")), pieces)
+    none = F.lit(False).alias("none")
+    whole = (F.col("whole") & (F.coalesce(F.length("long"), F.lit(SHORT + 1)) > SHORT)).alias("whole")
+    far = rest.join(others, "key").select("row", "doc_id", none, "place", "ids", "unknown", whole)
     return done.unionByName(far)
 
 
